@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Shards before and after, in the resharding query.
 OLD_SHARDS, NEW_SHARDS = 16, 24
+#: Tokenizer of the packing query; the path comes from the installed package.
+TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +20,21 @@ def op1_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard(docs, old, NEW_SHARDS)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens, as pieces."""
+    import public_tokenizers
+
+    from veridrift.llm.packing import tokenizer_pack
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return tokenizer_pack(docs, public_tokenizers.path(TOKENIZER))
+
+
 def queries() -> dict:
-    return {"op1_resharding": op1_resharding}
+    return {
+        "op1_resharding": op1_resharding,
+        "op2_packing": op2_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
