@@ -30,10 +30,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_pack(docs, public_tokenizers.path(TOKENIZER))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose fingerprints of 4-word shingles differ in 4 bits or fewer."""
+    from veridrift.llm.simhash import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, distance=4)
+
+
 def queries() -> dict:
     return {
         "op1_resharding": op1_resharding,
         "op2_packing": op2_packing,
+        "op3_simhash": op3_simhash,
     }
 
 
