@@ -37,11 +37,20 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, distance=4)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact occurrences of 10-word windows of all benchmark items in all documents."""
+    from veridrift.llm.decontaminate import decontaminate
+
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return decontaminate(docs, items, window=10)
+
+
 def queries() -> dict:
     return {
         "op1_resharding": op1_resharding,
         "op2_packing": op2_packing,
         "op3_simhash": op3_simhash,
+        "op4_decontamination": op4_decontamination,
     }
 
 
