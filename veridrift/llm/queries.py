@@ -45,12 +45,20 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, items, window=10)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back."""
+    from veridrift.llm.warc import round_trip
+
+    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict:
     return {
         "op1_resharding": op1_resharding,
         "op2_packing": op2_packing,
         "op3_simhash": op3_simhash,
         "op4_decontamination": op4_decontamination,
+        "op7_warc": op7_warc,
     }
 
 
