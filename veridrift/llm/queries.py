@@ -52,6 +52,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents, outliers by language and source."""
+    from veridrift.llm.quality_rules import judge
+
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict:
     return {
         "op1_resharding": op1_resharding,
@@ -59,6 +66,7 @@ def queries() -> dict:
         "op3_simhash": op3_simhash,
         "op4_decontamination": op4_decontamination,
         "op7_warc": op7_warc,
+        "op9_quality_rules": op9_quality_rules,
     }
 
 
