@@ -2,10 +2,471 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veridrift.functions import identifiers
+from veridrift.functions.numeric import close, dominated, within
+from veridrift.operators import bootstrap, calibration, checks, manifest, metrics, selection
+from veridrift.plans import fixture
+from veridrift.plans.fixture import SQL, candidates, picks, table
+
+DRAWS = 200
+#: Groups of the bootstrap query: few, as in the experiments, so that its index stays small.
+BOOTSTRAP_GROUPS = 64
+
+_QUERIES: dict = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _round(*names: str) -> dict:
+    return {n: F.round(F.col(n), 9) for n in names}
+
+
+@_query(
+    SQL
+    + """SELECT strategy, count(*) AS groups, round(avg(selected_quality), 9) AS mean_quality,
+    round(avg(top1_correct::int::double), 9) AS top1_accuracy, round(avg(regret), 9) AS mean_regret,
+    round(avg(selected_quality / nullif(optimal_quality, 0)), 9) AS quality_capture FROM picks GROUP BY strategy"""
+)
+def strategy_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each strategy picks, and how good it is."""
+    return metrics.leaderboard(picks(spark, sf_dir)).withColumns(_round("mean_quality", "top1_accuracy", "mean_regret", "quality_capture"))
+
+
+@_query(SQL + "SELECT group_id, optimal_id, optimal_quality FROM best")
+def best_of_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1: the best candidate of each group."""
+    best = selection.top_one(candidates(spark, sf_dir), ["group_id"], [F.desc("quality"), F.asc("sample_id")])
+    return best.select("group_id", F.col("sample_id").alias("optimal_id"), F.col("quality").alias("optimal_quality"))
+
+
+@_query(SQL + "SELECT strategy, group_id, selected_id, selected_quality, optimal_id, optimal_quality, regret, top1_correct FROM picks")
+def strategy_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row of every strategy and group."""
+    return picks(spark, sf_dir)
+
+
+@_query(
+    SQL
+    + """, budgets AS (SELECT b.budget, group_id, max(quality) AS best FROM candidates
+    JOIN (VALUES (1), (2), (4)) b(budget) ON k < b.budget GROUP BY 1, 2)
+    SELECT budget, count(*) AS groups, round(avg(best), 9) AS mean_best FROM budgets GROUP BY budget"""
+)
+def best_of_k_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best of the first 1, 2 and 4."""
+    return selection.best_of_budget(candidates(spark, sf_dir), ["group_id"], "k", "quality", [1, 2, 4]).withColumns(_round("mean_best"))
+
+
+@_query(
+    SQL
+    + """SELECT group_id, sample_id, gate_passed FROM (
+    SELECT *, l_discount >= 0.05 AS gate_passed,
+      row_number() OVER (PARTITION BY group_id ORDER BY l_discount >= 0.05 DESC, quality DESC, sample_id) AS r FROM candidates) WHERE r = 1"""
+)
+def gated_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A structural gate, then the ranking."""
+    chosen = selection.gated_rank(candidates(spark, sf_dir), ["group_id"], F.col("l_discount") >= 0.05, [F.desc("quality"), F.asc("sample_id")])
+    return chosen.select("group_id", "sample_id", "gate_passed")
+
+
+@_query(
+    SQL
+    + """SELECT p.strategy, count(*) AS groups, round(avg(p.selected_quality - b.selected_quality), 9) AS mean_delta
+    FROM picks p JOIN picks b ON p.group_id = b.group_id AND b.strategy = 'direct' WHERE p.strategy <> 'direct' GROUP BY p.strategy"""
+)
+def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences from a baseline in the same group."""
+    return metrics.paired_delta(picks(spark, sf_dir), "direct").withColumns(_round("mean_delta"))
+
+
+@_query(
+    SQL
+    + f""", few AS (SELECT group_id FROM best ORDER BY group_id LIMIT {BOOTSTRAP_GROUPS}), n AS (SELECT count(*) AS n FROM few),
+    d AS (SELECT p.strategy, p.group_id, p.selected_quality - b.selected_quality AS diff,
+      row_number() OVER (PARTITION BY p.strategy ORDER BY p.group_id) - 1 AS pos
+      FROM picks p JOIN picks b ON p.group_id = b.group_id AND b.strategy = 'direct'
+      WHERE p.strategy <> 'direct' AND p.group_id IN (SELECT group_id FROM few)),
+    i AS (SELECT draw, ('0x' || substr(md5('{fixture.SEED}:' || draw || ':' || slot), 1, 8))::bigint % (SELECT n FROM n) AS pos
+      FROM range({DRAWS}) a(draw), range((SELECT n FROM n)) b(slot)),
+    m AS (SELECT strategy, draw, avg(diff) AS m FROM i JOIN d USING (pos) GROUP BY 1, 2)
+    SELECT strategy, count(*) AS draws, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m GROUP BY strategy"""
+)
+def paired_bootstrap_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentile bootstrap of paired differences, with an index that every engine has."""
+    chosen = picks(spark, sf_dir)
+    first = chosen.select("group_id").distinct().orderBy("group_id").limit(BOOTSTRAP_GROUPS)
+    paired = metrics.paired_differences(chosen.join(F.broadcast(first), "group_id"), "direct")  # BOOTSTRAP_GROUPS rows
+    n = first.count()
+    index = bootstrap.md5_index(spark, n, DRAWS, fixture.SEED)
+    return bootstrap.paired_bootstrap(paired, index).withColumns(_round("low", "high"))
+
+
+@_query(
+    """SELECT l_orderkey AS group_id, count(*) AS "rows", count(DISTINCT l_linenumber) AS distinct_groups
+    FROM lineitem GROUP BY l_orderkey HAVING count(*) <> count(DISTINCT l_linenumber)"""
+)
+def uniqueness_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows against distinct keys."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group_id"), "l_linenumber")
+    return checks.duplicate_groups(line, "group_id", "l_linenumber")
+
+
+@_query(
+    """SELECT coalesce(o.o_orderkey, l.l_orderkey) AS key, CASE WHEN l.l_orderkey IS NULL THEN 'missing' ELSE 'unexpected' END AS side
+    FROM (SELECT DISTINCT l_orderkey FROM lineitem) l FULL JOIN (SELECT DISTINCT o_orderkey FROM orders) o ON o_orderkey = l_orderkey
+    WHERE l.l_orderkey IS NULL OR o.o_orderkey IS NULL"""
+)
+def key_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys on one side only."""
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"))
+    return checks.set_difference(found, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")), "key")
+
+
+@_query(
+    """WITH p AS (SELECT DISTINCT l_shipmode_like AS strategy, g AS group_id FROM (
+      SELECT l_returnflag AS l_shipmode_like, l_suppkey AS g FROM lineitem)),
+    t AS (SELECT count(DISTINCT strategy) AS n_strategies FROM p)
+    SELECT group_id, count(*) AS n, any_value(n_strategies) AS n_strategies FROM p, t GROUP BY group_id HAVING count(*) <> any_value(n_strategies)"""
+)
+def coverage_set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers that not every return flag has."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("strategy"), F.col("l_suppkey").alias("group_id"))
+    return checks.different_cover(rows, "strategy", "group_id")
+
+
+@_query(
+    """WITH m AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS s FROM lineitem GROUP BY 1)
+    SELECT count(*) AS orders, count(*) FILTER (WHERE s IS NULL) AS without_lines,
+    count(*) FILTER (WHERE s IS NOT NULL AND NOT abs(s - o_totalprice) <= greatest(1e-9 * greatest(abs(s), abs(o_totalprice)), 1e-9)) AS mismatched,
+    count(*) FILTER (WHERE abs(s - o_totalprice) <= greatest(1e-9 * greatest(abs(s), abs(o_totalprice)), 1e-9)) AS agreed
+    FROM orders LEFT JOIN m ON l_orderkey = o_orderkey"""
+)
+def declared_vs_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declared total against the total of its rows, within the tolerance."""
+    price = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    sums = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(price).alias("s"))
+    both = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").join(sums, "o_orderkey", "left")
+    same = close(F.col("s"), F.col("o_totalprice"))
+    return both.agg(
+        F.count("*").alias("orders"),
+        F.count_if(F.col("s").isNull()).alias("without_lines"),
+        F.count_if(F.col("s").isNotNull() & ~same).alias("mismatched"),
+        F.count_if(same).alias("agreed"),
+    )
+
+
+@_query(
+    SQL
+    + """SELECT strategy, metric, round(value, 9) AS value FROM (
+      SELECT strategy, avg(selected_quality) AS mean_quality, avg(regret) AS mean_regret, avg(top1_correct::int::double) AS top1_accuracy FROM picks GROUP BY 1)
+    UNPIVOT (value FOR metric IN (mean_quality, mean_regret, top1_accuracy))"""
+)
+def metric_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates as (strategy, metric, value) rows."""
+    board = metrics.leaderboard(picks(spark, sf_dir)).select("strategy", "mean_quality", "mean_regret", "top1_accuracy")
+    return board.unpivot(["strategy"], ["mean_quality", "mean_regret", "top1_accuracy"], "metric", "value").withColumns(_round("value"))
+
+
+@_query(
+    """SELECT l_partkey, l_suppkey, min(l_discount) AS low, max(l_discount) AS high FROM lineitem GROUP BY 1, 2
+    HAVING NOT abs(max(l_discount) - min(l_discount)) <= greatest(1e-9 * greatest(abs(max(l_discount)), abs(min(l_discount))), 1e-9)"""
+)
+def asset_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One value per asset, wherever it stands."""
+    return checks.asset_drift(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"], "l_discount")
+
+
+@_query(
+    """WITH o AS (SELECT l_partkey, l_suppkey, l_discount AS value, l_orderkey, lag(l_discount) OVER w AS before, row_number() OVER w AS turn FROM lineitem
+      WINDOW w AS (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_discount))
+    SELECT l_partkey, l_suppkey, l_orderkey, value, before FROM o
+    WHERE turn > 1 AND NOT abs(value - before) <= greatest(1e-9 * greatest(abs(value), abs(before)), 1e-9)"""
+)
+def asset_drift_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A20 as a sequential audit does it: each value against the one before."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("value", F.col("l_discount"))
+    order = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount"]
+    return checks.asset_drift(rows, ["l_partkey", "l_suppkey"], "value", order).select("l_partkey", "l_suppkey", "l_orderkey", "value", "before")
+
+
+@_query(
+    """SELECT count(*) AS "rows", count(*) FILTER (WHERE NOT (l_quantity / 50 BETWEEN 0 AND 1)) AS bad_quality,
+    count(*) FILTER (WHERE NOT (l_tax BETWEEN 0 AND 0.05)) AS bad_tax, count(*) FILTER (WHERE NOT (l_tax <= l_discount + 1e-9)) AS not_dominated FROM lineitem"""
+)
+def range_and_finite_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges, finite values and dominance, with nothing passing for want of a value."""
+    return table(spark, sf_dir, "lineitem").agg(
+        F.count("*").alias("rows"),
+        F.count_if(~within(F.col("l_quantity") / 50)).alias("bad_quality"),
+        F.count_if(~within(F.col("l_tax"), 0.0, 0.05)).alias("bad_tax"),
+        F.count_if(~dominated(F.col("l_tax"), F.col("l_discount"))).alias("not_dominated"),
+    )
+
+
+_SPLIT_SQL = """CASE WHEN ('0x' || substr(md5('7:' || l_orderkey), 1, 8))::bigint / 4294967296.0::double < 0.7 THEN 'train'
+    WHEN ('0x' || substr(md5('7:' || l_orderkey), 1, 8))::bigint / 4294967296.0::double < 0.7 + 0.15 THEN 'validation' ELSE 'test' END"""
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = {"train": 0.7, "validation": 0.15, "test": 0.15}
+    return table(spark, sf_dir, "lineitem").withColumn("split", selection.split_of(F.col("l_orderkey"), shares, 7))
+
+
+@_query(f"""SELECT split, count(*) AS "rows", count(DISTINCT l_orderkey) AS groups FROM (SELECT l_orderkey, {_SPLIT_SQL} AS split FROM lineitem) GROUP BY split""")
+def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole groups in a split."""
+    return _split(spark, sf_dir).groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct(F.col("l_orderkey")).alias("groups"))
+
+
+@_query(
+    f"""SELECT l_orderkey, count(DISTINCT split) AS splits FROM (SELECT l_orderkey, {_SPLIT_SQL} AS split FROM lineitem) GROUP BY 1 HAVING count(DISTINCT split) > 1"""
+)
+def split_leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups in two splits (none)."""
+    return selection.leaked_groups(_split(spark, sf_dir), "l_orderkey", "split")
+
+
+@_query(
+    SQL
+    + """SELECT strategy FROM (SELECT strategy, avg(regret) AS r, avg(selected_quality / nullif(optimal_quality, 0)) AS c, avg(top1_correct::int::double) AS t
+    FROM picks WHERE strategy <> 'oracle' GROUP BY 1) ORDER BY r, c DESC, t DESC, strategy LIMIT 1"""
+)
+def lexicographic_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least regret, then most capture, then top-1 accuracy."""
+    board = metrics.leaderboard(picks(spark, sf_dir)).where("strategy != 'oracle'")
+    order = [("mean_regret", True), ("quality_capture", False), ("top1_accuracy", False)]
+    return selection.lexicographic(board, order, "strategy").select("strategy")
+
+
+@_query(
+    """SELECT a || '/' || b || '/' || c AS name FROM (VALUES ('r1'), ('r2'), ('r3')) x(a), (VALUES ('m1'), ('m2'), ('m3')) y(b), (VALUES ('q1'), ('q2'), ('q3')) z(c)"""
+)
+def candidate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 27 combinations of three choices of three."""
+    one = lambda c, p: spark.createDataFrame([(f"{p}{i}",) for i in (1, 2, 3)], f"{c} string")
+    return selection.grid(a=one("a", "r"), b=one("b", "m"), c=one("c", "q")).select(F.concat_ws("/", "a", "b", "c").alias("name"))
+
+
+@_query(
+    SQL
+    + """SELECT w AS weight, round(avg(quality), 9) AS mean_quality FROM (
+      SELECT w, quality, row_number() OVER (PARTITION BY w, group_id ORDER BY round(w * l_discount * 10 + (1 - w) * (1 - l_tax * 12.5), 9) DESC, k) AS r
+      FROM candidates, (SELECT i / 10.0::double AS w FROM range(11) t(i))) WHERE r = 1 GROUP BY w"""
+)
+def score_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scores fused with each weight, and what the best fused score picks."""
+    scored = candidates(spark, sf_dir).withColumns({"pairwise": F.col("l_discount") * 10, "utility": 1 - F.col("l_tax") * 12.5})
+    best = {i: F.min_by(F.col("quality"), F.struct((-F.round(selection.fused_score({"pairwise": i / 10, "utility": 1 - i / 10}), 9)).alias("a"), F.col("k").alias("b"))) for i in range(11)}
+    grouped = scored.groupBy("group_id").agg(*[c.alias(f"w{i}") for i, c in best.items()])
+    cells = F.array(*[F.struct(F.lit(i / 10).alias("weight"), F.col(f"w{i}").alias("q")) for i in best])
+    return grouped.select(F.inline(cells)).groupBy("weight").agg(F.round(F.avg("q"), 9).alias("mean_quality"))
+
+
+_METRICS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@_query(
+    " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, round(quantile_cont({m}, 0.05), 9) AS low, round(quantile_cont({m}, 0.95), 9) AS high FROM lineitem" for m in _METRICS
+    )
+)
+def calibration_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5th and 95th percentiles."""
+    return calibration.bounds(table(spark, sf_dir, "lineitem"), list(_METRICS)).withColumns(_round("low", "high"))
+
+
+@_query(
+    """WITH b AS (SELECT quantile_cont(l_quantity, 0.05) AS lq, quantile_cont(l_quantity, 0.95) AS hq, quantile_cont(l_tax, 0.05) AS lt, quantile_cont(l_tax, 0.95) AS ht FROM lineitem),
+    s AS (SELECT l_returnflag, least(1.0, greatest(0.0, (l_quantity - lq) / (hq - lq))) AS q, 1.0 - least(1.0, greatest(0.0, (l_tax - lt) / (ht - lt))) AS t FROM lineitem, b)
+    SELECT l_returnflag, count(*) AS n, round(avg(0.75::double * q + 0.25::double * t), 9) AS score FROM s GROUP BY 1"""
+)
+def calibrated_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values between their bounds, turned where lower is better, and composed."""
+    line = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_tax")
+    q = line.agg(*[F.percentile(c, F.array(F.lit(0.05), F.lit(0.95))).alias(f"b_{c}") for c in ("l_quantity", "l_tax")])
+    both = line.crossJoin(F.broadcast(q))  # one row
+    scored = both.select(
+        "l_returnflag",
+        calibration.normalized(F.col("l_quantity"), F.col("b_l_quantity")[0], F.col("b_l_quantity")[1]).alias("q"),
+        calibration.normalized(F.col("l_tax"), F.col("b_l_tax")[0], F.col("b_l_tax")[1], positive=False).alias("t"),
+    )
+    return scored.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg(calibration.composite({"q": 3.0, "t": 1.0})), 9).alias("score"))
+
+
+@_query("SELECT 'constant' AS metric, 0.0::double AS low, 0.0::double AS high, 0.0::double AS score, count(*) AS n FROM lineitem")
+def degenerate_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal bounds give a defined score."""
+    rows = table(spark, sf_dir, "lineitem").select(F.lit(0.0).alias("constant"))
+    b = calibration.bounds(rows, ["constant"])
+    scored = rows.crossJoin(F.broadcast(b)).withColumn("score", calibration.normalized(F.col("constant"), F.col("low"), F.col("high")))  # one row
+    return scored.groupBy("metric", "low", "high", "score").agg(F.count("*").alias("n"))
+
+
+@_query(
+    SQL
+    + """, t AS (SELECT quantile_cont(quality, 0.7) AS threshold FROM candidates)
+    SELECT strategy, round(any_value(threshold), 9) AS threshold, round(avg((selected_quality >= threshold)::int::double), 9) AS qualified_rate FROM picks, t GROUP BY strategy"""
+)
+def threshold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A threshold at the 70th percentile, and the share of picks that reach it."""
+    t = calibration.threshold(candidates(spark, sf_dir), "quality", 0.7)
+    rows = picks(spark, sf_dir).crossJoin(F.broadcast(t))  # one row
+    rate = F.avg((F.col("selected_quality") >= F.col("threshold")).cast("double"))
+    return rows.groupBy("strategy").agg(F.round(F.first("threshold"), 9).alias("threshold"), F.round(rate, 9).alias("qualified_rate"))
+
+
+@_query(
+    SQL
+    + """, b AS (SELECT strategy, avg(selected_quality) AS q, avg(regret) AS r FROM picks GROUP BY 1)
+    SELECT (SELECT q FROM b WHERE strategy = 'rule') > (SELECT q FROM b WHERE strategy = 'random') AS rule_above_random,
+    (SELECT r FROM b WHERE strategy = 'oracle') = 0 AS oracle_without_regret,
+    (SELECT q FROM b WHERE strategy = 'rule') > (SELECT q FROM b WHERE strategy = 'random') AND (SELECT r FROM b WHERE strategy = 'oracle') = 0 AS allowed"""
+)
+def boolean_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allowed where every named check holds."""
+    board = metrics.leaderboard(picks(spark, sf_dir))
+    of = lambda s, c: F.max(F.when(F.col("strategy") == s, F.col(c)))
+    wide = board.agg(of("rule", "mean_quality").alias("rule"), of("random", "mean_quality").alias("random"), of("oracle", "mean_regret").alias("regret"))
+    named = wide.select((F.col("rule") > F.col("random")).alias("rule_above_random"), (F.col("regret") == 0).alias("oracle_without_regret"))
+    checked = F.create_map(F.lit("a"), F.col("rule_above_random"), F.lit("b"), F.col("oracle_without_regret"))
+    return named.withColumn("allowed", calibration.gate(checked))
+
+
+@_query(
+    """SELECT lang, count(*) AS total, count(l.doc_id) AS covered, round(count(l.doc_id)::double / count(*), 9) AS rate
+    FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY lang"""
+)
+def coverage_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents and their share."""
+    labels = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("labelled", F.lit(True))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang").join(labels, "doc_id", "left")
+    return metrics.coverage(docs, F.col("labelled").isNotNull(), ["lang"]).withColumns(_round("rate"))
+
+
+@_query("SELECT l.doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)")
+def orphan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of no document (none)."""
+    return table(spark, sf_dir, "labels").select("doc_id").join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_anti")
+
+
+@_query("SELECT lang || ':' || source AS key, count(*) AS n FROM documents GROUP BY 1")
+def category_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by a composite key."""
+    return metrics.histogram(table(spark, sf_dir, "documents"), "lang", "source")
+
+
+@_query(
+    SQL + "SELECT strategy, count(*) AS n, round(avg(selected_quality), 9) AS mean, round(median(selected_quality), 9) AS median FROM picks GROUP BY strategy"
+)
+def median_mean_by_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centre of each arm."""
+    return metrics.center_by(picks(spark, sf_dir), "strategy", "selected_quality").withColumns(_round("mean", "median"))
+
+
+@_query(
+    SQL
+    + """, b AS (SELECT strategy, avg(selected_quality) AS q FROM picks GROUP BY 1)
+    SELECT b.strategy, round((b.q - d.q) / nullif(d.q, 0), 9) AS uplift FROM b, b d WHERE d.strategy = 'direct'"""
+)
+def relative_uplift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative to the baseline."""
+    board = metrics.leaderboard(picks(spark, sf_dir)).select("strategy", "mean_quality")
+    base = board.where("strategy = 'direct'").select(F.col("mean_quality").alias("base"))
+    return board.crossJoin(F.broadcast(base)).select("strategy", F.round(metrics.relative_uplift(F.col("base"), F.col("mean_quality")), 9).alias("uplift"))  # one row
+
+
+@_query(
+    SQL
+    + """, w AS (SELECT group_id, sum(quality * l_discount) / nullif(sum(l_discount), 0) AS weighted, avg(quality) AS plain FROM candidates GROUP BY 1)
+    SELECT count(*) AS groups, round(avg(weighted), 9) AS mean_weighted, round(avg(CASE WHEN weighted >= plain THEN weighted ELSE plain END), 9) AS mean_guarded FROM w"""
+)
+def guarded_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted means, taken only where they don't lose to the plain ones."""
+    by_group = candidates(spark, sf_dir).groupBy("group_id").agg(selection.weighted_mean("quality", "l_discount").alias("weighted"), F.avg("quality").alias("plain"))
+    safe = selection.guarded(F.col("weighted"), F.col("plain"), F.col("weighted") >= F.col("plain"))
+    return by_group.agg(F.count("*").alias("groups"), F.round(F.avg("weighted"), 9).alias("mean_weighted"), F.round(F.avg(safe), 9).alias("mean_guarded"))
+
+
+@_query(SQL + """SELECT sample_id, regexp_extract(sample_id || '_s' || (1000 + 10 * group_id + k), '^(.+)_c(\\d+)_s(\\d+)$', 1) AS "group", k::int AS candidate, (1000 + 10 * group_id + k)::bigint AS seed, true AS seed_ok FROM candidates""")
+def parsed_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids taken apart, and their seeds checked against the rule."""
+    rows = candidates(spark, sf_dir)
+    seed = 1000 + 10 * F.col("group_id") + F.col("k")
+    rows = rows.withColumn("p", identifiers.parse_sample(F.concat("sample_id", F.lit("_s"), seed.cast("string"))))
+    ok = F.col("p.seed") == identifiers.expected_seed(1000, F.col("group_id"), F.col("p.candidate"), 10)
+    return rows.select("sample_id", "p.group", "p.candidate", "p.seed", ok.alias("seed_ok"))
+
+
+@_query("SELECT sha256(text) AS sha256, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def checksum_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests that stand for more than one document."""
+    return manifest.repeated_digests(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha256")))
+
+
+@_query(
+    """SELECT status, count(*) AS n FROM (
+      SELECT CASE WHEN doc_id % 7 = 3 THEN 'escapes' WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 3 = 0 THEN 'mismatch' ELSE 'ok' END AS status FROM documents) GROUP BY status"""
+)
+def manifest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of the documents held against their digests, some of them spoilt."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    name = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"))
+    path = F.when(F.expr("doc_id % 7 = 3"), F.concat(F.lit("docs/../../"), name)).otherwise(name)
+    listed = docs.select(path.alias("path"), F.when(F.expr("doc_id % 3 = 0"), F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    there = docs.where("doc_id % 5 != 0").select(name.alias("path"), "sha256")
+    return manifest.file_status(listed, there).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@_query(
+    SQL
+    + """SELECT 'passed' AS status, count(DISTINCT group_id) AS groups, round(avg(selected_quality) FILTER (WHERE strategy = 'oracle'), 9) AS oracle_mean,
+    count(DISTINCT strategy) AS strategies FROM picks"""
+)
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of a record whose aggregates were declared from its own rows.
+
+    The picks become a record of the shape of an evaluation, are checked with every check, and
+    reported.  The check of single assets is by spread, as ids here are unique.
+    """
+    rows = picks(spark, sf_dir)
+    board = metrics.leaderboard(rows)
+    bad = checks.declared_against_recomputed(
+        rows, board, (("mean_quality", "selected_quality"), ("mean_regret", "regret"), ("top1_accuracy", "top1_correct"))
+    ).where(~close(F.col("declared"), F.col("recomputed")))
+    outside = rows.where(~(within(F.col("selected_quality")) & dominated(F.col("selected_quality"), F.col("optimal_quality"))))
+    n_bad = bad.agg(F.count("*").alias("bad")).crossJoin(outside.agg(F.count("*").alias("outside")))
+    summary = rows.agg(
+        F.count_distinct(F.col("group_id")).alias("groups"),
+        F.round(F.avg(F.when(F.col("strategy") == "oracle", F.col("selected_quality"))), 9).alias("oracle_mean"),
+        F.count_distinct(F.col("strategy")).alias("strategies"),
+    )
+    status = F.when((F.col("bad") == 0) & (F.col("outside") == 0), "passed").otherwise("failed")
+    return summary.crossJoin(n_bad).select(status.alias("status"), "groups", "oracle_mean", "strategies")
+
+
+@_query(
+    """SELECT label, count(*) AS n, round(avg(list_dot_product(embedding::double[], embedding::double[])), 6) AS mean_square FROM embeddings GROUP BY label"""
+)
+def embedding_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: squared norms of the embeddings by label."""
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(square), 6).alias("mean_square"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
