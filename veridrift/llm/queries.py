@@ -59,6 +59,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Junk and toxicity scores of all documents, and which are kept."""
+    from veridrift.llm.quality_classifier import fit, score
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return score(docs, fit(docs, labels))
+
+
 def queries() -> dict:
     return {
         "op1_resharding": op1_resharding,
@@ -67,6 +75,7 @@ def queries() -> dict:
         "op4_decontamination": op4_decontamination,
         "op7_warc": op7_warc,
         "op9_quality_rules": op9_quality_rules,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
