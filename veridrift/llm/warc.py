@@ -38,7 +38,7 @@ REVISIT_FROM = 100
 DATE = "2024-01-01T00:00:00Z"
 
 PARSED = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean"
-FRAGMENTS = f"file string, block long, local long, octets long, delta long, whole boolean, {PARSED}, content binary"
+FRAGMENTS = f"file string, block long, local long, octets long, delta long, whole boolean, {PARSED}"
 
 
 def with_types(pages: DataFrame) -> DataFrame:
@@ -57,8 +57,12 @@ def with_types(pages: DataFrame) -> DataFrame:
     return sized.join(first, "payload_digest", "left").withColumn("again", again)
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """One record per page in text files below ``path``; revisits carry headers only."""
+def write_archives(pages: DataFrame, path: str, compression: str = "gzip") -> None:
+    """One record per page in files below ``path``; revisits carry headers only.
+
+    A compressed file is read by one task; files are as large as what a task writes.  With
+    ``compression`` "none" a file is split when read.
+    """
     typed = with_types(pages)
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     safe = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
@@ -81,7 +85,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
         F.lit(CRLF),
     )
     # the writer ends each line with the second of the two line ends after a block
-    typed.withColumn("block", block).select(record.alias("value")).write.option("lineSep", CRLF).text(path)
+    typed.withColumn("block", block).select(record.alias("value")).write.option("lineSep", CRLF).option("compression", compression).text(path)
 
 
 def parse_record(content: bytes) -> tuple[int | None, tuple | None]:
@@ -128,14 +132,19 @@ def parse_record(content: bytes) -> tuple[int | None, tuple | None]:
     )
 
 
-def fragments(spark: SparkSession, path: str) -> DataFrame:
-    """What stands between magics, with its place in its split of a file and what it parses to."""
+def fragments(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
+    """What stands between magics, with its place in its split of a file and what it parses to.
+
+    With ``content`` the bytes come with it.
+    """
     text = spark.read.option("lineSep", MAGIC).text(path)
     text = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("content"))
     empty = (None,) * 7
+    with_content = content
+    schema = FRAGMENTS + (", content binary" if with_content else "")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.rsplit(" ", 1)[0] for x in FRAGMENTS.split(", ")]
+        names = [x.rsplit(" ", 1)[0] for x in schema.split(", ")]
         split, local = None, 0
         for pdf in frames:
             out = []
@@ -145,14 +154,14 @@ def fragments(spark: SparkSession, path: str) -> DataFrame:
                 content = bytes(content)
                 delta, fields = parse_record(content)
                 whole = fields is not None and delta == len(content) + len(MAGIC)
-                out.append((file, block, local, len(content), delta, whole, *(fields if whole else empty), content))
+                out.append((file, block, local, len(content), delta, whole, *(fields if whole else empty), *([content] if with_content else [])))
                 local += len(content) + len(MAGIC)
             made = pd.DataFrame(out, columns=names)
             for name in ("delta", "page_id", "payload_bytes", "refers_to"):
                 made[name] = made[name].astype("Int64")
             yield made
 
-    return materialize(text.mapInPandas(run, FRAGMENTS), "fragments")
+    return text.mapInPandas(run, schema)
 
 
 def reachable(candidates: DataFrame) -> DataFrame:
@@ -174,29 +183,33 @@ def reachable(candidates: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives below ``path``; the columns of ``PARSED``."""
-    parts = fragments(spark, path)
+    parts = materialize(fragments(spark, path), "fragments")
     files = materialize(parts.select("file").distinct().withColumn("number", F.monotonically_increasing_id()), "files")
     splits = parts.groupBy("file", "block").agg(F.sum(F.col("octets") + len(MAGIC)).alias("length"))
     before = F.sum("length").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select("file", "block", F.coalesce(before, F.lit(0)).alias("base")).join(files, "file")
     splits = materialize(splits, "splits")
     start = F.col("base") + F.col("local") - len(MAGIC)
-    placed = parts.join(splits, ["file", "block"]).withColumn("start", start).drop("file").withColumnRenamed("number", "file").where("start >= 0")
+    fields = [x.split(" ")[0] for x in PARSED.split(", ")]
+    placed = parts.join(splits, ["file", "block"]).withColumn("start", start).where("start >= 0")
+    placed = placed.select(F.col("number").alias("file"), "start", "delta", "whole", F.struct("file", "block", "local").alias("place"), *fields)
     candidates = materialize(placed.select("file", "start", (F.col("start") + F.col("delta")).alias("next")), "candidates")
     reach = reachable(candidates)
 
+    # Records that hold a magic: their fragments run up to the next record, and are read again.
     real = placed.join(reach, ["file", "start"])
-    fields = [x.split(" ")[0] for x in PARSED.split(", ")]
-
-    # Records that hold a magic: their fragments run up to the next record.
     marked = candidates.select("file", "start").join(reach.withColumn("real", F.lit(True)), ["file", "start"], "left")
     order = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     owner = F.last(F.when(F.col("real"), F.col("start")), ignorenulls=True).over(order)
     owned = materialize(marked.withColumn("owner", owner).where("owner is not null"), "owned")
-    broken = owned.where("owner != start").select("file", "owner").distinct()
-    broken = broken.union(real.where("not whole").select("file", F.col("start").alias("owner"))).distinct()
-    pieces = owned.join(broken, ["file", "owner"], "left_semi").select("file", "owner", "start")
-    contents = placed.select("file", "start", "content").join(pieces, ["file", "start"])
+    broken = owned.where("owner != start").select("file", "owner")
+    broken = materialize(broken.union(real.where("not whole").select("file", F.col("start").alias("owner"))).distinct(), "broken")
+    plain = real.where("whole").join(broken.select("file", F.col("owner").alias("start")), ["file", "start"], "left_anti").select(*fields)
+    if broken.isEmpty():
+        return plain
+    pieces = owned.join(broken, ["file", "owner"]).join(placed.select("file", "start", "place"), ["file", "start"])
+    pieces = materialize(pieces.select("place.*", F.col("file").alias("number"), "owner", "start"), "pieces")
+    contents = fragments(spark, path, content=True).select("file", "block", "local", "content").join(pieces, ["file", "block", "local"])
 
     def mend(frames: pd.DataFrame) -> pd.DataFrame:
         whole = MAGIC.encode().join(bytes(x) for x in frames.sort_values("start")["content"])
@@ -206,10 +219,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             made[name] = made[name].astype("Int64")
         return made
 
-    mended = contents.groupBy("file", "owner").applyInPandas(mend, PARSED)
-    whole_broken = broken.select("file", F.col("owner").alias("start"))
-    plain = real.where("whole").join(whole_broken, ["file", "start"], "left_anti").select(*fields)
-    return plain.union(mended)
+    return plain.union(contents.groupBy("number", "owner").applyInPandas(mend, PARSED))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
