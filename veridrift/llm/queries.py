@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 OLD_SHARDS, NEW_SHARDS = 16, 24
 #: Tokenizer of the packing query; the path comes from the installed package.
 TOKENIZER = "word_bpe_49k.json"
+#: Key of the pseudonyms in the query and the pipeline; a deployment sets its own.
+PII_KEY = "veridrift-example-key"
 
 
 def op1_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +54,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with keyed pseudonyms, and what was found in each."""
+    from veridrift.llm.pii import report
+
+    return report(spark.read.parquet(f"{sf_dir}/documents.parquet"), PII_KEY)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of all documents, outliers by language and source."""
     from veridrift.llm.quality_rules import judge
@@ -74,6 +83,7 @@ def queries() -> dict:
         "op3_simhash": op3_simhash,
         "op4_decontamination": op4_decontamination,
         "op7_warc": op7_warc,
+        "op8_pii": op8_pii,
         "op9_quality_rules": op9_quality_rules,
         "op10_quality_classifier": op10_quality_classifier,
     }
