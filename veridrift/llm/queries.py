@@ -47,6 +47,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, items, window=10)
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    from veridrift.llm.html_extract import main_texts
+
+    return main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back."""
     from veridrift.llm.warc import round_trip
@@ -82,6 +89,7 @@ def queries() -> dict:
         "op2_packing": op2_packing,
         "op3_simhash": op3_simhash,
         "op4_decontamination": op4_decontamination,
+        "op5_html": op5_html,
         "op7_warc": op7_warc,
         "op8_pii": op8_pii,
         "op9_quality_rules": op9_quality_rules,
