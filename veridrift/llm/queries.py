@@ -54,6 +54,13 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that stand in an earlier document, removed from all documents."""
+    from veridrift.llm.suffix_dedup import deduplicate
+
+    return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back."""
     from veridrift.llm.warc import round_trip
@@ -90,6 +97,7 @@ def queries() -> dict:
         "op3_simhash": op3_simhash,
         "op4_decontamination": op4_decontamination,
         "op5_html": op5_html,
+        "op6_suffix_array": op6_suffix_array,
         "op7_warc": op7_warc,
         "op8_pii": op8_pii,
         "op9_quality_rules": op9_quality_rules,
