@@ -169,3 +169,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFra
             F.col("n_hit").isNotNull().alias("contaminated"),
         )
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """The documents without a hit, with all their columns; rows without an id are judged together."""
+    index, _, runs = occurrences(docs, benchmark, window)
+    hit = index.where("at = 0").select("row", "doc_id").join(runs.select("row").distinct(), "row", "left_semi")
+    found = materialize(hit.select(F.col("doc_id").alias("found_id")).distinct(), "contaminated")
+    return docs.join(near(found), docs["doc_id"].eqNullSafe(found["found_id"]), "left_anti")
