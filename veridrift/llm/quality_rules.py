@@ -70,12 +70,19 @@ def repeat_words(words: list[bytes], size: int = NGRAM) -> int:
     n = len(words)
     if n <= size:
         return 0
+    # windows with different hashes are different; only texts with equal ones are looked at again
+    one = np.fromiter(map(hash, words), dtype=np.int64, count=n).view(np.uint64)
+    mixed = one[: n - size + 1].copy()
+    for i in range(1, size):
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed += one[i : n - size + 1 + i]
+    mixed.sort()
+    if not (mixed[1:] == mixed[:-1]).any():
+        return 0
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))
     windows = [line[a:b] for a, b in zip(starts[: n - size + 1].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)]
-    if len(set(windows)) == len(windows):
-        return 0
     often = Counter(windows)
     found = np.array([often[w] > 1 for w in windows])
     edge = np.zeros(n + 1, dtype=np.int64)
@@ -98,7 +105,10 @@ def measure(text: str | None) -> tuple[int, ...]:
             seen.add(line)
     symbols = sum(text.count(c) for c in SYMBOLS)
     lower = text.lower()
-    upper = sum(a != b for a, b in zip(text, lower, strict=False)) if len(lower) == len(text) and lower != text else 0
+    upper = 0
+    if lower != text and len(lower) == len(text):
+        a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in (text, lower))
+        upper = int(np.count_nonzero(a != b))
     return len(words), len(text) - white, symbols, again, repeat_words(words), lines, len(text), upper
 
 
