@@ -105,5 +105,33 @@ def queries() -> dict:
     }
 
 
+_WORDS = (
+    "[x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') IF x <> '']"
+)
+#: The queries that SQL can express; tests hold the others against brute force.
+_SQL = {
+    "op4_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id::varchar AS item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, w[s:s + k - 1] AS win FROM (
+  SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)),
+k AS (SELECT DISTINCT len(win) AS k FROM win),
+grams AS (SELECT doc_id, s, k, w[s:s + k - 1] AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, k WHERE len(w) >= k)),
+hit AS (SELECT doc_id, s, k, item_id FROM grams JOIN win USING (win)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hit) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS h FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::bigint AS n_words, coalesce(covered.n, 0)::bigint AS n_hit, coalesce(found.n, 0)::bigint AS n_items,
+  coalesce(h, sha256('')) AS items_sha256, covered.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, ''))::bigint AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS least FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, url, payload_bytes, payload_digest, CASE WHEN page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> least THEN least END AS refers_to, true AS verified
+FROM p LEFT JOIN f USING (payload_digest)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
