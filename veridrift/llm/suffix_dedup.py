@@ -46,9 +46,13 @@ from veridrift.llm.scratch import materialize, release
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a block (a longer document is a block), and handled at once in it.
-BLOCK_BYTES, CHUNK = 2 << 20, 1 << 20
+BLOCK_BYTES, CHUNK = 4 << 20, 1 << 19
 #: Bytes of text whose hashes or segments one task handles.
 PART_BYTES = 16 << 20
+#: Bytes of segments that are sorted at once; a task takes its part in slices of the hash.
+SLICE_BYTES = 4 << 20
+#: Parts of bytes that are compared at once.
+COMPARED = 1 << 14
 NO_ID = np.iinfo(np.int64).max
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -141,15 +145,26 @@ def unpack40(blob: bytes) -> np.ndarray:
 def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Whether the parts at a and at b agree in ``length`` bytes."""
     out = np.ones(len(a), dtype=bool)
-    for low in range(0, len(a), 1 << 16):
-        x, y, n = a[low : low + (1 << 16)], b[low : low + (1 << 16)], length[low : low + (1 << 16)]
+    for low in range(0, len(a), COMPARED):
+        x, y, n = a[low : low + COMPARED], b[low : low + COMPARED], length[low : low + COMPARED]
         steps = np.arange(int(n.max(initial=0)))
         mask = steps < n[:, None]
         i, j = np.where(mask, x[:, None] + steps, 0), np.where(mask, y[:, None] + steps, 0)
-        out[low : low + (1 << 16)] = ((data[i] == data[j]) | ~mask).all(axis=1)
+        out[low : low + COMPARED] = ((data[i] == data[j]) | ~mask).all(axis=1)
     return out
 
 
+def gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The parts of ``data``, one after the other."""
+    out = [np.zeros(0, dtype=np.uint8)]
+    for low in range(0, len(start), COMPARED):
+        x, n = start[low : low + COMPARED], length[low : low + COMPARED]
+        steps = np.arange(int(n.max()))
+        mask = steps < n[:, None]
+        out.append(data[np.where(mask, x[:, None] + steps, 0)[mask]])
+    return np.concatenate(out)
+
+
 def common_extension(h: Hashes, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Length of the longest common extension of the suffixes at a and b, by binary search."""
     low, high = np.zeros(len(a), dtype=np.int64), most.copy()
@@ -412,35 +427,42 @@ def one_block(block: int, known: list[bytes], ids: np.ndarray, ends: np.ndarray,
     left = np.flatnonzero(stay)
     for p, i in _split((key[left] % np.uint64(parts)).astype(np.int64)):
         i = left[i]
-        steps = np.arange(int(nbytes[i].max()))
-        mask = steps < nbytes[i][:, None]
-        content = data[np.where(mask, start[i][:, None] + steps, 0)][mask]
+        content = gathered(data, start[i], nbytes[i])
         rows.append((p, block, pack40(key[i]), doc[i].astype("<i8").tobytes(), start[i].astype("<i4").tobytes(), strings[i].astype("u1").tobytes(), content.tobytes()))
     return rows
 
 
-def decide(sent: DataFrame) -> DataFrame:
+def decide(sent: DataFrame, parts: int) -> DataFrame:
     """(block, cuts): runs (start, strings) of strings to go, from all segments of a part."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [r for pdf in frames for r in pdf.itertuples(index=False)]
-        if not rows:
+        columns = ("keys", "docs", "places", "strings", "data")
+        held: dict[str, list[bytes]] = {c: [] for c in columns}
+        numbers: list[int] = []
+        for pdf in frames:
+            numbers += pdf["block"].tolist()
+            for c in columns:
+                held[c] += pdf[c].tolist()
+        if not numbers:
             return
-        join = lambda name, kind: np.frombuffer(b"".join(getattr(r, name) for r in rows), dtype=kind)
-        key = unpack40(b"".join(r.keys for r in rows))
-        doc, place, strings = join("docs", "<i8"), join("places", "<i4").astype(np.int64), join("strings", "u1").astype(np.int64)
-        data = join("data", np.uint8)
-        owner = np.repeat(np.arange(len(rows)), [len(r.strings) for r in rows])
-        numbers = [r.block for r in rows]
-        nbytes = strings + LENGTH - 1
+        owner = np.repeat(np.arange(len(numbers)), [len(x) for x in held["strings"]])
+        take = lambda c, kind: np.frombuffer(b"".join(held.pop(c)), dtype=kind)
+        key = unpack40(b"".join(held.pop("keys")))
+        doc, place, strings, data = take("docs", "<i8"), take("places", "<i4"), take("strings", "u1"), take("data", np.uint8)
+        nbytes = strings.astype(np.int64) + LENGTH - 1
         start = np.cumsum(nbytes) - nbytes
-        whole, cells = repeated(data, start, strings, key, doc)
-        w = np.flatnonzero(whole)
-        who = np.concatenate([owner[w], owner[cells[:, 0]]])
-        at = np.concatenate([place[w], place[cells[:, 0]] + cells[:, 1]])
-        count = np.concatenate([strings[w], np.ones(len(cells), dtype=np.int64)])
-        out = [(numbers[o], np.stack([at[i], count[i]], axis=1).astype("<i4").tobytes()) for o, i in _split(who)]
-        yield pd.DataFrame(out, columns=["block", "cuts"])
+        slices = -(-len(data) // SLICE_BYTES)
+        of_slice = (key // np.uint64(parts) % np.uint64(max(1, slices))).astype(np.int64)
+        for _, i in _split(of_slice):
+            mine = gathered(data, start[i], nbytes[i])
+            n = nbytes[i]
+            whole, cells = repeated(mine, np.cumsum(n) - n, strings[i].astype(np.int64), key[i], doc[i])
+            w = np.flatnonzero(whole)
+            who = np.concatenate([owner[i][w], owner[i][cells[:, 0]]])
+            at = np.concatenate([place[i][w], place[i][cells[:, 0]] + cells[:, 1]])
+            count = np.concatenate([strings[i][w], np.ones(len(cells), dtype=np.int64)])
+            out = [(numbers[o], np.stack([at[k], count[k]], axis=1).astype("<i4").tobytes()) for o, k in _split(who)]
+            yield pd.DataFrame(out, columns=["block", "cuts"])
 
     return sent.mapInPandas(run, "block long, cuts binary")
 
@@ -493,7 +515,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     sent = materialize(sent, "segments")
     release(spark)
     own = sent.where("part = -1").select("block", own_cuts("places", "strings").alias("cuts"))
-    met = decide(sent.where("part >= 0").repartition(parts, "part"))
+    met = decide(sent.where("part >= 0").repartition(parts, "part"), parts)
     cuts = materialize(met.union(own), "cuts")
     release(spark)
     return cut_out(blocks, cuts, parts, docs.schema["doc_id"].dataType.simpleString())
