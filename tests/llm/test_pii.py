@@ -1,0 +1,106 @@
+import datetime
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from veridrift.llm import pii
+
+KEY = "k"
+
+
+def keyed(*parts):
+    return int(hashlib.sha256(":".join([KEY, *map(str, parts)]).encode()).hexdigest()[:12], 16)
+
+
+def feistel(l, r, a, b, kind):  # noqa: E741
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            l = (l + keyed(kind, a, b, i, r)) % a  # noqa: E741
+        else:
+            r = (r + keyed(kind, a, b, i, l)) % b
+    return l, r
+
+
+def digits(d, kind):
+    h = len(d) // 2
+    l, r = feistel(int(d[:h]), int(d[h:]), 10**h, 10 ** (len(d) - h), kind)  # noqa: E741
+    return f"{l:0{h}d}{r:0{len(d) - h}d}"
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 * (int(c) > 4)) for i, c in enumerate(reversed(d))) % 10
+
+
+def hidden(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "text string")
+    return [r[0] for r in df.select(pii.hide(F.col("text"), KEY)).collect()]
+
+
+def test_numbers_keep_format_and_validity(spark):
+    r = random.Random(1)
+    values = ["".join(r.choice("0123456789") for _ in range(r.randint(13, 19))) for _ in range(150)]
+    values += [v[:-1] + str((-luhn(v[:-1] + "0")) % 10) for v in values]
+    spaced = ["4111 1111 1111 1111", "4111-1111-1111-1111"]
+    got = hidden(spark, values + spaced)
+    for v, g in zip(values, got, strict=False):
+        assert len(g) == len(v) and g.isdigit() and (luhn(v) == 0) == (luhn(g) == 0)
+        if luhn(v) == 0:
+            assert g[:-1] == digits(v[:-1], "card")
+    assert len(set(got)) == len(set(values)) + 2
+    assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", got[-2]) and got[-2].replace(" ", "") == got[-1].replace("-", "")
+
+
+def test_feistel_is_a_bijection(spark):
+    df = spark.range(pii.DAYS)
+    a, b = pii.DAY_MODULI
+    made = pii.feistel(F.floor(F.col("id") / b), F.col("id") % b, F.lit(a).cast("long"), F.lit(b).cast("long"), KEY, "date")
+    rows = df.select("id", (made["l"] * b + made["r"]).alias("x")).collect()
+    assert sorted(r["x"] for r in rows) == list(range(pii.DAYS))
+    assert all(r["x"] == (lambda p: p[0] * b + p[1])(feistel(r["id"] // b, r["id"] % b, a, b, "date")) for r in rows[::997])
+
+
+def test_dates_addresses_phones(spark):
+    start = datetime.date(1900, 1, 1)
+    got = hidden(spark, ["on 2024-02-29.", "on 29.02.2024,", "29/02/2024", "2023-02-29", "1900-01-01", "152.143.123.131", "256.1.1.1", "1.2.3.4.5", "+1 (499) 555-6503", "123-45-6789", "v 3.10.2"])
+    days = [re.search(r"\d{4}-\d\d-\d\d", got[0])[0], got[1][3:13], got[2]]
+    y, m, d = days[0].split("-")
+    assert days[1] == f"{d}.{m}.{y}" and days[2] == f"{d}/{m}/{y}"
+    assert 0 <= (datetime.date(int(y), int(m), int(d)) - start).days < pii.DAYS and days[0] != "2024-02-29"
+    assert got[3] == "2023-02-29"
+    l, r = feistel(152 * 256 + 143, 123 * 256 + 131, 65536, 65536, "ip")  # noqa: E741
+    assert got[5] == f"{l // 256}.{l % 256}.{r // 256}.{r % 256}"
+    assert got[6:8] == ["256.1.1.1", "1.2.3.4.5"] and got[10] == "v 3.10.2"
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[8]) and got[8] != "+1 (499) 555-6503"
+    assert re.fullmatch(r"\d{3}-\d{2}-\d{4}", got[9]) and got[9] != "123-45-6789"
+
+
+def test_equal_values_stay_linked_and_the_rest_stays(spark):
+    secret = '"24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
+    rows = [
+        (1, f"Mail a.b@mail2.example.com, token = {secret}!! and 152.143.123.131###", 1),
+        (2, f"TOKEN = {secret.upper()} A.B@MAIL2.EXAMPLE.COM 4785380592391139$$$", 1),
+        (3, "again token = " + secret + " a.b@mail2.example.com 4785380592391139", 1),
+        (4, "nothing here, é \r\n 12 of 2024; version 3.", 1), (5, "", 1), (6, None, 1), (None, "x@y.zz", 1), (None, "x@y.zz", 1),
+        (7, "a" * 300_000 + " end", 1),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kinds int")
+    got = {(r["doc_id"]): r for r in pii.report(df, KEY).collect()}
+    assert got[1]["n_found"] == 3 and got[2]["n_found"] == 3 and got[4]["n_found"] == 0 and got[6]["text"] is None
+    mail = lambda t: re.search(r"user-[0-9a-f]+@mail\.invalid", t)[0]
+    assert mail(got[1]["text"]) == mail(got[2]["text"]) == mail(got[3]["text"])
+    assert re.search(r'token = ("\w{40}")', got[1]["text"])[1] == re.search(r'token = ("\w{40}")', got[3]["text"])[1]
+    assert got[2]["text"].split("$$$")[0].split()[-1] == got[3]["text"].split()[-1]
+    assert got[4]["text"] == rows[3][1] and got[5]["text"] == "" and got[7]["text"] == rows[8][1]
+    whole = pii.pseudonymize(df, KEY)
+    assert whole.columns == df.columns and whole.count() == len(rows)
+    for value in ("a.b@mail2", secret.strip('"'), "152.143.123.131", "4785380592391139"):
+        assert not any(value.lower() in (r["text"] or "").lower() for r in whole.collect())
+    assert pii.report(df.limit(0), KEY).count() == 0
+
+
+def test_no_python_on_the_executors(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    plan = pii.report(df, KEY)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
