@@ -41,6 +41,8 @@ from veridrift.llm.scratch import materialize
 LABELLED = 20_000
 TRAINED = 12_000
 BUCKETS = 1 << 20
+#: Clean texts of which a labeller may take more for bad is none; what is beyond is a kind of its own.
+FALSE_VOTES = 0.003
 #: Texts of fewer words aren't held to repeat themselves.
 FEW_WORDS = 40
 #: Hashed features that a head keeps.
@@ -134,14 +136,14 @@ def fit_votes(patterns: dict[tuple[int, ...], int], prior: float, rounds: int =
     votes = np.array(list(patterns), dtype=np.float64)
     weight = np.array(list(patterns.values()), dtype=np.float64)
     m = votes.shape[1]
-    rates = np.vstack([np.full(m, 0.001), np.full((m, m), 0.1) + 0.7 * np.eye(m)])
+    rates = np.vstack([np.full(m, 0.001), np.full((m, m), 0.05) + 0.75 * np.eye(m)])
     model = Votes(np.array([1 - prior] + [prior / m] * m), rates)
     start, held = rates.copy(), np.array([50.0] + [4.0] * m)
     for _ in range(rounds):
         p = model.posterior(votes) * weight[:, None]
         share = ((p.sum(axis=0) + 1e-3) / (weight.sum() + 1e-3 * (m + 1))).clip(1e-6, 1)
         rates = (p.T @ votes + start * held[:, None]) / (p.sum(axis=0) + held)[:, None]
-        rates[0] = rates[0].clip(0, 0.02)  # a labeller that is wrong oftener than that is none
+        rates[0] = rates[0].clip(0, FALSE_VOTES)
         model = Votes(share / share.sum(), rates.clip(1e-4, 0.995))
     return model
 
@@ -198,7 +200,8 @@ def train(rows: list[np.ndarray], target: np.ndarray, rounds: int = 300) -> Head
     a, b = (with_pos + 0.5) / (pos + 1), (with_neg + 0.5) / (neg + 1)
     gain = np.abs(a - b) / np.sqrt((a + b) * (1 / pos + 1 / neg))
     keep = np.argsort(-gain, kind="stable")[:KEPT_FEATURES]
-    keep = keep[(gain[keep] > LEAST_GAIN) & ((with_pos + with_neg)[keep] >= LEAST_SEEN)]
+    least = min(LEAST_GAIN, 0.6 * math.sqrt(min(pos, neg)))  # a class of few texts can't show more
+    keep = keep[(gain[keep] > least) & ((with_pos + with_neg)[keep] >= LEAST_SEEN)]
     place = np.full(len(names), -1)
     place[keep] = np.arange(len(keep))
     cols = place[cols]
