@@ -39,7 +39,9 @@ from veridrift.llm.scratch import materialize
 
 #: Most labelled documents that word lists are learned from, and most that train the scorer.
 LABELLED = 20_000
-TRAINED = 12_000
+TRAINED = 6_000
+#: Texts whose words or votes a worker holds at once.
+HELD = 200
 BUCKETS = 1 << 20
 #: Clean texts of which a labeller may take more for bad is none; what is beyond is a kind of its own.
 FALSE_VOTES = 0.003
@@ -192,8 +194,9 @@ def train(rows: list[np.ndarray], target: np.ndarray, rounds: int = 300) -> Head
     if not rows or target.sum() < 1 or (1 - target).sum() < 1:
         return Head(constant=-10.0)
     length = np.array([len(r) for r in rows])
-    at, cols = np.repeat(np.arange(len(rows)), length), np.concatenate(rows)
+    at, cols = np.repeat(np.arange(len(rows), dtype=np.int32), length), np.concatenate(rows)
     names, cols = np.unique(cols, return_inverse=True)
+    cols = cols.astype(np.int32)
     with_pos = np.bincount(cols, target[at], len(names))
     with_neg = np.bincount(cols, (1 - target)[at], len(names))
     pos, neg = target.sum(), (1 - target).sum()
@@ -202,7 +205,7 @@ def train(rows: list[np.ndarray], target: np.ndarray, rounds: int = 300) -> Head
     keep = np.argsort(-gain, kind="stable")[:KEPT_FEATURES]
     least = min(LEAST_GAIN, 0.6 * math.sqrt(min(pos, neg)))  # a class of few texts can't show more
     keep = keep[(gain[keep] > least) & ((with_pos + with_neg)[keep] >= LEAST_SEEN)]
-    place = np.full(len(names), -1)
+    place = np.full(len(names), -1, dtype=np.int32)
     place[keep] = np.arange(len(keep))
     cols = place[cols]
     at, cols = at[cols >= 0], cols[cols >= 0]
@@ -236,8 +239,12 @@ def learn_lists(docs: DataFrame, labels: DataFrame | None) -> tuple[frozenset, f
 
     def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(w, d & 1, t) for text, d, t in zip(pdf["text"], pdf["digest"], pdf["toxic"], strict=True) for w in {x for v in set(_WORD.findall(text.lower())) for x in tokens(v)}]
-            yield pd.DataFrame(rows, columns=["word", "half", "toxic"])
+            for at in range(0, len(pdf), HELD):
+                part = pdf.iloc[at : at + HELD]
+                held = [sorted({x for v in set(_WORD.findall(t.lower())) for x in tokens(v)}) for t in part["text"]]
+                n = [len(h) for h in held]
+                columns = {"word": [w for h in held for w in h], "half": np.repeat((part["digest"] & 1).to_numpy(), n), "toxic": np.repeat(part["toxic"].to_numpy(), n)}
+                yield pd.DataFrame(columns)
 
     listed = texts.mapInPandas(words, "word string, half int, toxic int")
     counts = listed.groupBy("half", "word").agg(F.sum((F.col("toxic") > 0).cast("long")).alias("t"), F.sum((F.col("toxic") == 0).cast("long")).alias("c"))
@@ -261,17 +268,22 @@ def fit(docs: DataFrame, labels: DataFrame | None = None) -> Model:
 
     def vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = []
-            for text, wanted, digest in zip(pdf["text"], pdf["chosen"], pdf["digest"], strict=True):
-                s, words = features(text)
-                buckets = sorted({bucket(x) for w in words for x in tokens(w)} | {bucket(t) for t in stat_tokens(s)}) if wanted else None
-                out.append((",".join(map(str, junk_votes(s))), ",".join(map(str, toxic_votes(words, lists))), digest, buckets))
-            yield pd.DataFrame(out, columns=["junk", "toxic", "digest", "buckets"])
+            for at in range(0, len(pdf), HELD):
+                out = []
+                part = pdf.iloc[at : at + HELD]
+                for text, wanted, digest in zip(part["text"], part["chosen"], part["digest"], strict=True):
+                    s, words = features(text)
+                    packed = None
+                    if wanted:
+                        found = {bucket(x) for w in words for x in tokens(w)} | {bucket(t) for t in stat_tokens(s)}
+                        packed = np.array(sorted(found), dtype="<i4").tobytes()
+                    out.append((",".join(map(str, junk_votes(s))), ",".join(map(str, toxic_votes(words, lists))), digest, packed))
+                yield pd.DataFrame(out, columns=["junk", "toxic", "digest", "buckets"])
 
     voted = docs.select("text", F.coalesce(chosen, F.lit(False)).alias("chosen"), F.xxhash64("text").alias("digest"))
-    voted = materialize(voted.mapInPandas(vote, "junk string, toxic string, digest long, buckets array<int>"), "votes")
+    voted = materialize(voted.mapInPandas(vote, "junk string, toxic string, digest long, buckets binary"), "votes")
     sample = voted.where("buckets is not null").dropDuplicates(["digest"]).orderBy("digest").limit(2 * TRAINED).collect()
-    rows = [np.array(r["buckets"], dtype=np.int64) for r in sample]
+    rows = [np.frombuffer(r["buckets"], dtype="<i4") for r in sample]
     heads = {}
     for name, prior in (("junk", 0.15), ("toxic", 0.1)):
         counts = {tuple(map(int, r[name].split(","))): r["n"] for r in voted.groupBy(name).agg(F.count("*").alias("n")).collect()}
