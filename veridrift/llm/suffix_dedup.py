@@ -46,11 +46,11 @@ from veridrift.llm.scratch import materialize, release
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a block (a longer document is a block), and handled at once in it.
-BLOCK_BYTES, CHUNK = 4 << 20, 1 << 19
+BLOCK_BYTES, CHUNK = 2 << 20, 1 << 18
 #: Bytes of text whose hashes or segments one task handles.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: Bytes of segments that are sorted at once; a task takes its part in slices of the hash.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Parts of bytes that are compared at once.
 COMPARED = 1 << 14
 NO_ID = np.iinfo(np.int64).max
