@@ -32,7 +32,11 @@ KINDS = ("mail", "secret", "ip", "date", "phone", "ssn", "number")
 
 # Patterns of findings, in the order in which they are tried at a place
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,20}+"
-SECRET = r"(?i:\b(?:token|secret|password|passwd|api_?key|access_?key|auth)\b\"?'?\s{0,3}[=:]\s{0,3}[\"'][^\"'\s]{8,200}[\"'])"
+SECRET_NAME = r"(?i:\b(?:token|secret|password|passwd|api_?key|access_?key|auth)\b\"?'?\s{0,3}[=:]\s{0,3})"
+QUOTED = SECRET_NAME + r"[\"'][^\"'\s]{8,200}[\"']"
+BARE = SECRET_NAME + r"(?=[A-Za-z+/_-]{0,100}[0-9])[A-Za-z0-9+/_-]{8,200}"
+ACCESS = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
+SECRET = "|".join((QUOTED, BARE, ACCESS))
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9])(?:(?:19|20)[0-9]{2}-[0-1][0-9]-[0-3][0-9]|[0-3][0-9][./](?:0[1-9]|1[0-2])[./](?:19|20)[0-9]{2})(?![0-9])"
@@ -41,7 +45,7 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 NUMBER = r"(?<![0-9])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])"
 ANY = "|".join((MAIL, SECRET, IP, DATE, PHONE, SSN, NUMBER))
 #: What a text must hold for any of them: a cheap first test.
-HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|[=:]\s{0,3}[\"']"
+HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|[=:]\s{0,3}[\"'A-Za-z0-9+/_-]|AKIA"
 
 
 def keyed(key: str, *parts: Column) -> Column:
@@ -156,20 +160,26 @@ def hide_mail(value: Column, key: str) -> Column:
 
 
 def hide_secret(value: Column, key: str) -> Column:
-    """What stands between the quotes, as keyed characters: hex digits in its own case and length."""
-    quoted = F.regexp_extract(value, "[\"']([^\"'\\s]{8,200})[\"']$", 1)
-    head = F.substr(value, F.lit(1), F.length(value) - F.length(quoted) - 1)
-    blocks = F.concat(*[F.sha2(F.concat_ws(":", F.lit(key), F.lit(f"secret{i}"), quoted), 256) for i in range(4)])
-    new = F.substr(blocks, F.lit(1), F.length(quoted))
-    new = F.when(quoted == F.upper(quoted), F.upper(new)).otherwise(new)
-    return F.concat(head, new, F.substr(value, F.length(value)))
+    """The secret itself as keyed hex digits of its length, in capitals if it has capitals only."""
+    quoted = value.rlike("[\"']$")
+    body = (
+        F.when(quoted, F.regexp_extract(value, "[\"']([^\"'\\s]{8,200})[\"']$", 1))
+        .when(value.startswith("AKIA") & (F.length(value) == 20), F.substr(value, F.lit(5)))
+        .otherwise(F.regexp_extract(value, r"[=:]\s{0,3}([A-Za-z0-9+/_-]{8,200})$", 1))
+    )
+    tail = F.when(quoted, 1).otherwise(0)
+    head = F.substr(value, F.lit(1), F.length(value) - F.length(body) - tail)
+    blocks = F.concat(*[F.sha2(F.concat_ws(":", F.lit(key), F.lit(f"secret{i}"), body), 256) for i in range(4)])
+    new = F.substr(blocks, F.lit(1), F.length(body))
+    new = F.when(body == F.upper(body), F.upper(new)).otherwise(new)
+    return F.concat(head, new, F.substr(value, F.length(value) - tail + 1))
 
 
 def kind_of(value: Column) -> Column:
     whole = lambda p: value.rlike(f"^(?:{p})$")
     return (
         F.when(value.contains("@") & whole(MAIL), "mail")
-        .when(value.rlike("[\"']$"), "secret")
+        .when(value.rlike(f"[\"']$|^{SECRET_NAME}|^AKIA"), "secret")
         .when(whole(IP), "ip")
         .when(whole(DATE), "date")
         .when(value.startswith("+"), "phone")
