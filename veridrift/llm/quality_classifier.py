@@ -58,6 +58,9 @@ LEAST_HITS = 2
 #: Letters of a word's beginning that count as a token of their own.
 STEM = 5
 
+#: Scores above which a document is rejected.
+JUNK_LIMIT, TOXIC_LIMIT = 0.5, 0.3
+
 # Plain insults
 INSULTS = frozenset("clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
 
@@ -317,7 +320,7 @@ def score_texts(texts: list[str | None], model: Model) -> tuple[list[float], lis
     return junk, toxic
 
 
-def score(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model, limit: float = JUNK_LIMIT, toxic_limit: float = TOXIC_LIMIT) -> DataFrame:
     """(doc_id, junk_score, toxic_score, kept) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most KEPT_FEATURES weights a head
 
@@ -325,20 +328,20 @@ def score(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
         for pdf in frames:
             junk, toxic = score_texts(pdf["text"].tolist(), shared.value)
             made = pd.DataFrame({"doc_id": pdf["doc_id"], "junk_score": junk, "toxic_score": toxic})
-            made["kept"] = (made["junk_score"] <= limit) & (made["toxic_score"] <= limit)
+            made["kept"] = (made["junk_score"] <= limit) & (made["toxic_score"] <= toxic_limit)
             yield made
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, junk_score double, toxic_score double, kept boolean")
 
 
-def keep(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+def keep(docs: DataFrame, model: Model, limit: float = JUNK_LIMIT, toxic_limit: float = TOXIC_LIMIT) -> DataFrame:
     """The rows that are kept, with all their columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             junk, toxic = score_texts(batch.column("text").to_pylist(), shared.value)
-            yield batch.filter(pa.array([a <= limit and b <= limit for a, b in zip(junk, toxic, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([a <= limit and b <= toxic_limit for a, b in zip(junk, toxic, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
