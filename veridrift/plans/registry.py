@@ -103,7 +103,10 @@ def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT strategy, count(*) AS draws, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m GROUP BY strategy"""
 )
 def paired_bootstrap_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile bootstrap of paired differences, with an index that every engine has."""
+    """Percentile bootstrap of paired differences, with an index that every engine has.
+
+    Only of the ``BOOTSTRAP_GROUPS`` lowest ids, as its SQL says; ``paired_bootstrap_all`` has no cap.
+    """
     chosen = picks(spark, sf_dir)
     first = chosen.select("group_id").distinct().orderBy("group_id").limit(BOOTSTRAP_GROUPS)
     paired = metrics.paired_differences(chosen.join(F.broadcast(first), "group_id"), "direct")  # BOOTSTRAP_GROUPS rows
@@ -112,6 +115,25 @@ def paired_bootstrap_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.paired_bootstrap(paired, index).withColumns(_round("low", "high"))
 
 
+@_query(
+    SQL
+    + f""", n AS (SELECT count(*) AS n FROM best),
+    d AS (SELECT p.strategy, p.group_id, p.selected_quality - b.selected_quality AS diff,
+      row_number() OVER (PARTITION BY p.strategy ORDER BY p.group_id) - 1 AS pos
+      FROM picks p JOIN picks b ON p.group_id = b.group_id AND b.strategy = 'direct' WHERE p.strategy <> 'direct'),
+    i AS (SELECT draw, ('0x' || substr(md5('{fixture.SEED}:' || draw || ':' || slot), 1, 8))::bigint % (SELECT n FROM n) AS pos
+      FROM range({DRAWS}) a(draw), range((SELECT n FROM n)) b(slot)),
+    m AS (SELECT strategy, draw, avg(diff) AS m FROM i JOIN d USING (pos) GROUP BY 1, 2)
+    SELECT strategy, count(*) AS draws, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m GROUP BY strategy"""
+)
+def paired_bootstrap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentile bootstrap of the paired differences of all groups."""
+    chosen = picks(spark, sf_dir)
+    n = chosen.select("group_id").distinct().count()
+    index = bootstrap.md5_index(spark, n, DRAWS, fixture.SEED)
+    return bootstrap.paired_bootstrap(metrics.paired_differences(chosen, "direct"), index).withColumns(_round("low", "high"))
+
+
 @_query(
     """SELECT l_orderkey AS group_id, count(*) AS "rows", count(DISTINCT l_linenumber) AS distinct_groups
     FROM lineitem GROUP BY l_orderkey HAVING count(*) <> count(DISTINCT l_linenumber)"""
