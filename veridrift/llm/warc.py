@@ -21,6 +21,7 @@ other page.  A file that doesn't start with a record has none.  Empty tables giv
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,6 +34,8 @@ from veridrift.llm.scratch import materialize, scratch_path
 VERSION = "WARC/1.0"
 CRLF = "\r\n"
 MAGIC = VERSION + CRLF
+#: Ids as the writer makes them.
+URN = re.compile(r"<urn:page:(-?[0-9]{1,19})?>", re.ASCII)
 #: Payloads of fewer bytes are always stored.
 REVISIT_FROM = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -92,7 +95,8 @@ def parse_record(content: bytes) -> tuple[int | None, tuple | None]:
     """Bytes from the magic to the next record, and the record's fields.
 
     ``content`` follows a magic.  The first is None where no record head can be read; the fields
-    are None where the block isn't all there.
+    are None where the block isn't all there, or where ids and sizes aren't of the writer's form,
+    as in a record that a page quotes.
     """
     head, found, _ = content.partition(b"\r\n\r\n")
     if not found:
@@ -104,7 +108,7 @@ def parse_record(content: bytes) -> tuple[int | None, tuple | None]:
             return None, None
         fields[name.decode("utf-8", "replace").lower()] = value.decode("utf-8", "replace")
     length = fields.get("content-length", "")
-    if not (length.isascii() and length.isdigit()) or "warc-type" not in fields or "warc-record-id" not in fields:
+    if not re.fullmatch(r"[0-9]{1,18}", length, re.ASCII) or "warc-type" not in fields or "warc-record-id" not in fields:
         return None, None
     begin = len(head) + 4
     end = begin + int(length)
@@ -115,19 +119,21 @@ def parse_record(content: bytes) -> tuple[int | None, tuple | None]:
     http, _, payload = block.partition(b"\r\n\r\n")
     stated = next((x.split(b": ", 1)[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length: ")), b"")
     digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-    number = lambda x: int(x) if x else None
-    urn = lambda x: number(x.removeprefix("<urn:page:").removesuffix(">"))
+    ids = [URN.fullmatch(fields[name]) for name in ("warc-record-id", "warc-refers-to") if name in fields]
+    ids = [m and (int(m[1]) if m[1] else None, m) for m in ids]
+    if not all(ids) or any(x is not None and not -(1 << 63) <= x < 1 << 63 for x, _ in ids) or not re.fullmatch(rb"[0-9]{0,18}", stated):
+        return delta, None
     if fields["warc-type"] == "revisit":
         size, own = int(stated or 0), digest
     else:
         size, own = len(payload), hashlib.sha256(payload).hexdigest()
     return delta, (
-        urn(fields["warc-record-id"]),
+        ids[0][0],
         fields.get("warc-target-uri"),
         size,
         own,
         fields["warc-type"],
-        urn(fields["warc-refers-to"]) if "warc-refers-to" in fields else None,
+        ids[1][0] if len(ids) > 1 else None,
         own == digest,
     )
 
