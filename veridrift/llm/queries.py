@@ -14,12 +14,12 @@ PII_KEY = "veridrift-example-key"
 
 
 def op1_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 24 byte-balanced shards, from an old layout by source in 16."""
-    from veridrift.llm.sharding import reshard
+    """All documents rewritten to 24 byte-balanced shards, from an old layout by source in 16."""
+    from veridrift.llm.sharding import reshard_files
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     old = F.expr(f"pmod(crc32(cast(coalesce(source, '') as binary)), {OLD_SHARDS})")
-    return reshard(docs, old, NEW_SHARDS)
+    return reshard_files(docs, old, NEW_SHARDS)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ minimum-cost flow from old shard sizes to new capacities (staying is free, movin
 bytes) says how many bytes go from each old shard to each new one; the flow is then cut into
 blocks of rows, and only shards that lose or gain rows are rewritten.
 
-How it scales.  Text is read once, for its length and checksum.  Rows of an old shard form a
+How it scales.  Text is read once for its length, once for the rewriting, and once where the
+result is derived from what was written.  Rows of an old shard form a
 line, ordered by descending size class and by hash sub-bucket, and the sub-buckets are as many as
 keep each one small, however large a hot old shard is.  The driver sees one aggregate per
 sub-bucket (a few per shuffle partition), never rows, but for those rows that are larger than a
@@ -14,8 +15,8 @@ one by one, the largest first.
 
 Edge cases.  A null text has zero bytes and the checksum of the empty text.  Null or repeated ids
 are rows like any other.  Any row counts 8 bytes besides its text, so no shard line is
-degenerate.  An empty table gives an empty result.  Other columns are ignored, whatever their
-names.
+degenerate.  An empty table gives an empty result.  Other columns are written along, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veridrift.llm.scratch import materialize
+from veridrift.llm.scratch import materialize, scratch_path
 
 ROW_OVERHEAD = 8
 #: Rows above 1/FINE of a shard are placed singly.
 FINE = 64
+#: Rows up to which the plan is broadcast to the rewriting.
+SMALL = 500_000
 #: Sub-buckets per shuffle partition, over all old shards.
 BUCKETS_PER_PARTITION = 4
 
@@ -133,21 +136,24 @@ def plan_transfers(singles: list[tuple[int, int]], old_bytes: dict[int, int], sh
     return Plan(placed, cuts, flow)
 
 
-def assign(rows: DataFrame, shards: int) -> DataFrame:
+def assign(rows: DataFrame, shards: int, key: bool = False) -> DataFrame:
     """Give each row of (doc_id, size, text_crc32, old_shard) its new shard and slot.
 
     ``rows`` is read several times; pass a materialised table.  Slots of a shard run from 0
-    without gaps.  The result has the columns of ``RESULT``.
+    without gaps.  The result has the columns of ``RESULT``, and with ``key`` the rows' column
+    ``_row``, which identifies them.
     """
     spark = rows.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.select("doc_id", "size", "text_crc32", "old_shard")
+    own = ["_row"] if key else []
+    schema = RESULT.format(id=id_type) + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in own)
+    rows = rows.select("doc_id", "size", "text_crc32", "old_shard", *own)
     total = rows.agg(F.sum("size")).first()[0]
     if total is None:
-        return spark.createDataFrame([], RESULT.format(id=id_type))
+        return spark.createDataFrame([], schema)
     large = max(1, total // (shards * FINE))
-    singles = rows.where(F.col("size") > large).orderBy(F.desc("size"), "doc_id", "text_crc32", "old_shard").collect()
+    singles = rows.where(F.col("size") > large).orderBy(F.desc("size"), "doc_id", "text_crc32", "old_shard", *own).collect()
     small = rows.where(F.col("size") <= large).withColumn("size_class", F.floor(F.log2("size")).cast("int"))
 
     classes = small.groupBy("old_shard", "size_class").agg(F.count("*").alias("n")).collect()
@@ -179,7 +185,7 @@ def assign(rows: DataFrame, shards: int) -> DataFrame:
             low = end
         lines.append((b["old_shard"], b["size_class"], b["sub"], start, inside))
     known = spark.createDataFrame(lines, "old_shard int, size_class int, sub long, start long, cuts array<struct<until:long,target:int>>")
-    order = Window.partitionBy(*bucket).orderBy("doc_id", "size", "text_crc32")
+    order = Window.partitionBy(*bucket).orderBy("doc_id", "size", "text_crc32", *own)
     middle = F.col("start") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
     target = F.expr("coalesce(filter(cuts, c -> middle < c.until)[0].target, element_at(cuts, -1).target)")
     piece = [*bucket, "shard"]
@@ -187,15 +193,15 @@ def assign(rows: DataFrame, shards: int) -> DataFrame:
         small.join(F.broadcast(known), bucket)  # a few rows per shuffle partition
         .withColumn("middle", middle)
         .withColumn("shard", target)
-        .withColumn("at", F.row_number().over(Window.partitionBy(*piece).orderBy("doc_id", "size", "text_crc32")))
-        .select("doc_id", "size", "text_crc32", *piece, "at")
+        .withColumn("at", F.row_number().over(Window.partitionBy(*piece).orderBy("doc_id", "size", "text_crc32", *own)))
+        .select("doc_id", "size", "text_crc32", *piece, "at", *own)
     )
     cut = materialize(cut, "cut")
 
     next_slot = [0] * shards
     placed = []
     for r, (_, shard) in zip(singles, plan.single, strict=True):
-        placed.append((r["doc_id"], r["size"], r["text_crc32"], "bytes", shard, next_slot[shard], None, r["old_shard"], r["old_shard"] != shard))
+        placed.append((r["doc_id"], r["size"], r["text_crc32"], "bytes", shard, next_slot[shard], None, r["old_shard"], r["old_shard"] != shard, *(r[c] for c in own)))
         next_slot[shard] += 1
     pieces = cut.groupBy(*piece).agg(F.count("*").alias("n")).collect()
     pieces.sort(key=lambda p: (p["old_shard"], -p["size_class"], p["sub"], p["shard"]))
@@ -214,49 +220,78 @@ def assign(rows: DataFrame, shards: int) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "old_shard",
         (F.col("old_shard") != F.col("shard")).alias("moved"),
+        *own,
     )
-    return spark.createDataFrame(placed, RESULT.format(id=id_type)).union(rest)
+    return spark.createDataFrame(placed, schema).union(rest)
 
 
-def measure(docs: DataFrame, old_shard: Column) -> DataFrame:
-    """(doc_id, size, text_crc32, old_shard) of every row."""
+def measure(docs: DataFrame, old_shard: Column, *own: str) -> DataFrame:
+    """(doc_id, size, text_crc32, old_shard) of every row, and the columns ``own``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         "doc_id",
         (F.octet_length(text).cast("long") + ROW_OVERHEAD).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         old_shard.cast("int").alias("old_shard"),
+        *own,
     )
 
 
 def reshard(docs: DataFrame, old_shard: Column, shards: int) -> DataFrame:
-    """New shard and slot of every document, from its old shard."""
+    """New shard and slot of every document, from its old shard: the plan alone."""
     return assign(materialize(measure(docs, old_shard), "sizes"), shards)
 
 
+def rewrite_planned(docs: DataFrame, source: str, target: str, shards: int, stored_row: bool) -> tuple[DataFrame, list[tuple[int, str, bool]]]:
+    """The plan of the stored ``docs``, with ``_row``, and (shard, path, rewritten) once written."""
+    where = materialize(assign(materialize(measure(docs, F.col("shard"), "_row"), "sizes"), shards, key=True), "plan")
+    moved = where.where("moved").select("old_shard", "shard").distinct().collect()
+    affected = sorted({r["old_shard"] for r in moved} | {r["shard"] for r in moved})
+    old = {r["old_shard"] for r in where.select("old_shard").distinct().collect()}
+    gained = {r["shard"] for r in moved} | {r["shard"] for r in where.where("not moved").select("shard").distinct().collect()}
+    if affected:
+        new = where.select("_row", F.col("shard").alias("_new_shard"))
+        new = F.broadcast(new) if where.count() <= SMALL else new
+        stored = docs.where(F.col("shard").isin(affected)).join(new, "_row")
+        kept = [c for c in docs.columns if c != "shard" and (c != "_row" or stored_row)]
+        stored.select(*[F.col(f"`{c}`") for c in kept], F.col("_new_shard").alias("shard")).write.partitionBy("shard").parquet(target)
+    full = [s for s in range(shards) if s in gained]
+    return where, [(s, f"{target if s in affected else source}/shard={s}", s in affected) for s in full]
+
+
 def rewrite_shards(spark: SparkSession, source: str, target: str, shards: int) -> DataFrame:
     """Reshard a table stored as ``source/shard=K/``; write what changes below ``target``.
 
-    ``doc_id`` must identify rows.  Only old shards that lose rows and new shards that gain rows
-    are rewritten.  Returns (shard, path, rewritten): where each new shard now is.
+    Rows are told apart by their place in the files, so null and repeated ids are rows like any
+    other.  Only old shards that lose rows and new shards that gain rows are rewritten.  Returns
+    (shard, path, rewritten): where each new shard that has rows now is.
     """
     docs = spark.read.parquet(source)
-    if docs.where(F.col("doc_id").isNull()).limit(1).count():
-        raise ValueError("rewriting needs an id on every row")
-    where = materialize(assign(materialize(measure(docs, F.col("shard")), "sizes"), shards), "plan")
-    moved = where.where("moved").select("old_shard", "shard").distinct().collect()
-    affected = sorted({r["old_shard"] for r in moved} | {r["shard"] for r in moved})
-    old = {r["shard"] for r in docs.select("shard").distinct().collect()}
-    if affected:
-        new = where.select("doc_id", F.col("shard").alias("new_shard"))
-        (
-            docs.where(F.col("shard").isin(affected))
-            .join(new, "doc_id")
-            .drop("shard")
-            .withColumnRenamed("new_shard", "shard")
-            .repartition("shard", F.expr("pmod(xxhash64(doc_id), 16)"))
-            .write.partitionBy("shard")
-            .parquet(target)
-        )
-    manifest = [(s, f"{target if s in affected else source}/shard={s}", s in affected) for s in range(shards) if s in affected or s in old]
+    if "_row" in docs.columns:
+        raise ValueError("the column _row is taken by the rewriting")
+    place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+    _, manifest = rewrite_planned(docs.withColumn("_row", place), source, target, shards, False)
     return spark.createDataFrame(manifest, "shard int, path string, rewritten boolean")
+
+
+def reshard_files(docs: DataFrame, old_shard: Column, shards: int) -> DataFrame:
+    """Lay out the old shards as files, rewrite the affected ones, and read all new shards back.
+
+    The columns of ``RESULT``; ids, sizes, checksums and shards are those of the files.
+    """
+    spark = docs.sparkSession
+    if docs.isEmpty():
+        return reshard(docs, old_shard, shards)
+    source, target = scratch_path(spark, "old-shards"), scratch_path(spark, "new-shards")
+    free = [F.col(f"`{c}`").alias(f"document_{c}" if c.lower() in ("shard", "_row") else c) for c in docs.columns]
+    laid = docs.select(*free, F.monotonically_increasing_id().alias("_row"), old_shard.cast("int").alias("shard"))
+    laid.write.option("compression", "zstd").partitionBy("shard").parquet(source)
+    where, manifest = rewrite_planned(spark.read.parquet(source), source, target, shards, True)
+    found = None
+    for base in (source, target):
+        paths = [path for _, path, _ in manifest if path.startswith(base + "/")]
+        if paths:
+            read = measure(spark.read.option("basePath", base).parquet(*paths), F.col("shard"), "_row").withColumnRenamed("old_shard", "shard")
+            found = read if found is None else found.union(read)
+    where = where.drop("doc_id", "size", "text_crc32", "shard")
+    return found.join(where, "_row").select(*[c.split(" ")[0] for c in RESULT.split(", ")])
