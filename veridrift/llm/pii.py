@@ -16,8 +16,9 @@ search for a value in range: digits are split in the middle, an IPv4 address int
 How it scales.  A map over the documents without shuffle or state.
 
 Edge cases.  A null text stays null with no findings; an empty one stays empty.  Texts without
-findings come back as they were, byte for byte.  Repeated rows get the same result.  Impossible
-dates, octets above 255 and numbers of other lengths are left alone.  Other columns pass through.
+findings come back as they were, byte for byte.  Secrets are replaced to their end, however long.
+Repeated rows get the same result.  Impossible dates, octets above 255 and numbers of other
+lengths are left alone.  Other columns pass through.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ KINDS = ("mail", "secret", "ip", "date", "phone", "ssn", "number")
 # Patterns of findings, in the order in which they are tried at a place
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,20}+"
 SECRET_NAME = r"(?i:\b(?:token|secret|password|passwd|api_?key|access_?key|auth)\b\"?'?\s{0,3}[=:]\s{0,3})"
-QUOTED = SECRET_NAME + r"[\"'][^\"'\s]{8,200}[\"']"
-BARE = SECRET_NAME + r"(?=[A-Za-z+/_-]{0,100}[0-9])[A-Za-z0-9+/_-]{8,200}"
+QUOTED = SECRET_NAME + r"[\"'][^\"'\s]{8,}+[\"']"
+#: Parts joined by dots are one secret, as in signed tokens; a dot at the end isn't part of it.
+BODY = r"[A-Za-z0-9+/_-]{8,}+(?:\.[A-Za-z0-9+/_-]++)*+=*+"
+BARE = SECRET_NAME + r"(?=[A-Za-z+/_.-]*+[0-9])" + BODY
 ACCESS = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 SECRET = "|".join((QUOTED, BARE, ACCESS))
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -163,13 +166,18 @@ def hide_secret(value: Column, key: str) -> Column:
     """The secret itself as keyed hex digits of its length, in capitals if it has capitals only."""
     quoted = value.rlike("[\"']$")
     body = (
-        F.when(quoted, F.regexp_extract(value, "[\"']([^\"'\\s]{8,200})[\"']$", 1))
+        F.when(quoted, F.regexp_extract(value, "[\"']([^\"'\\s]{8,}+)[\"']$", 1))
         .when(value.startswith("AKIA") & (F.length(value) == 20), F.substr(value, F.lit(5)))
-        .otherwise(F.regexp_extract(value, r"[=:]\s{0,3}([A-Za-z0-9+/_-]{8,200})$", 1))
+        .otherwise(F.regexp_extract(value, rf"^{SECRET_NAME}({BODY})$", 1))
     )
     tail = F.when(quoted, 1).otherwise(0)
     head = F.substr(value, F.lit(1), F.length(value) - F.length(body) - tail)
     blocks = F.concat(*[F.sha2(F.concat_ws(":", F.lit(key), F.lit(f"secret{i}"), body), 256) for i in range(4)])
+    # beyond 256 characters from the digest of the secret, taken once, so that time grows with the length
+    last = F.ceil(F.length(body) / 64).cast("int") - 1
+    block = lambda i, d: F.sha2(F.concat_ws(":", F.lit(key), F.concat(F.lit("secret"), i.cast("string")), d), 256)
+    more = F.transform(F.array(F.sha2(body, 256)), lambda d: F.array_join(F.transform(F.sequence(F.lit(4), F.greatest(last, F.lit(4))), lambda i: block(i, d)), ""))
+    blocks = F.when(last < 4, blocks).otherwise(F.concat(blocks, more[0]))
     new = F.substr(blocks, F.lit(1), F.length(body))
     new = F.when(body == F.upper(body), F.upper(new)).otherwise(new)
     return F.concat(head, new, F.substr(value, F.length(value) - tail + 1))
