@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from veridrift.llm.html_pages import MARK, training_pages
+from veridrift.llm.html_pages import CLUTTER_MARK, MARK, training_pages
 
 TRAINING_PAGES, SEED = 400, 11
 TREES, DEPTH, RATE, CUTS = 60, 4, 0.2, 24
@@ -43,7 +43,7 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-GROUPS = ("article main", "section", "div", "p blockquote pre", "h1 h2 h3 h4 h5 h6", "nav menu", "footer", "header", "aside", "form fieldset label button input", "a", "ul ol dl", "li dt dd", "table tbody thead tr td th", "body html")
+GROUPS = ("article main", "section", "div", "p blockquote pre", "h1 h2 h3 h4 h5 h6", "nav menu", "footer", "header", "aside", "form fieldset label button input", "a", "ul ol dl", "li dt dd", "table tbody thead tr td th", "body html", "#run")
 GROUP = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 GOOD = frozenset("article content post entry story main text body".split())
 BAD = frozenset(
@@ -62,6 +62,10 @@ ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""
 NAME = re.compile(r"[A-Za-z]+")
 
 
+#: The element of a run of text, with what inline elements it has, that stands in the body itself.
+RUN = "#run"
+
+
 @dataclass
 class Tree:
     """Elements in page order, and the text and block ends between them."""
@@ -78,12 +82,21 @@ def parse(page: str | None) -> Tree:
     stack = [0]
     flow, tags = tree.flow, tree.tags
     page = page or ""
+
+    def add(text: str) -> None:
+        if len(stack) == 1 and html.unescape(text).strip():
+            tags.append(RUN)
+            tree.parents.append(0)
+            tree.attributes.append("")
+            stack.append(len(tags) - 1)
+        flow.append((stack[-1], text))
+
     at, unseen = 0, None
     for m in TOKEN.finditer(page):
         if m.start() < at:
             continue
         if m.start() > at and unseen is None:
-            flow.append((stack[-1], page[at : m.start()]))
+            add(page[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
         if name is None:
@@ -98,6 +111,8 @@ def parse(page: str | None) -> Tree:
             continue
         if tag not in INLINE and tag != "wbr":
             flow.append((-1, "") if tag != "br" else (stack[-1], " "))
+            if tag != "br" and len(stack) > 1 and tags[stack[1]] == RUN:
+                del stack[1:]
         if tag in ("html", "body"):
             tree.attributes[0] += m[3] or m[6] or ""
             continue
@@ -129,7 +144,7 @@ def parse(page: str | None) -> Tree:
         if not (m[3] or m[6] or "").endswith("/") or tag not in INLINE:
             stack.append(len(tags) - 1)
     if at < len(page) and unseen is None:
-        flow.append((stack[-1], page[at:]))
+        add(page[at:])
     return tree
 
 
@@ -284,7 +299,7 @@ def training_labels(tree: Tree) -> np.ndarray:
         y[i] = 1
         i = tree.parents[i]
     for i in range(main + 1, n):
-        clutter = tree.tags[i] in CLUTTER_TAGS or attribute_scores(tree.attributes[i])[1] > 0
+        clutter = tree.tags[i] in CLUTTER_TAGS or CLUTTER_MARK in tree.attributes[i] or attribute_scores(tree.attributes[i])[1] > 0
         y[i] = y[tree.parents[i]] if tree.parents[i] >= main and not clutter else 0
     return y
 
@@ -317,9 +332,9 @@ def decode(tree: Tree, chance: np.ndarray) -> list[bool]:
 
 
 def main_text(tree: Tree, keep: list[bool]) -> str:
-    """The kept text in blocks, one to a line; what stands in the body itself is clutter if there
-    is a kept element, as an article has one of its own."""
-    bare = not any(keep[1:])
+    """The kept text in blocks, one to a line; where no element is kept, what stands in the body."""
+    if not any(keep[1:]):
+        keep = [k or t == RUN for k, t in zip(keep, tree.tags, strict=True)]
     blocks: list[str] = []
     held: list[str] = []
 
@@ -332,7 +347,7 @@ def main_text(tree: Tree, keep: list[bool]) -> str:
     for e, text in tree.flow:
         if e < 0:
             close()
-        elif keep[e] and (e or bare):
+        elif keep[e]:
             held.append(text)
     close()
     return "\n".join(blocks)

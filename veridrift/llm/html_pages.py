@@ -9,6 +9,7 @@ follows from the seed.
 from __future__ import annotations
 
 import random
+import re
 
 _SYLLABLES = "an ba ce do el fi go hu in ja ko le mi no or pa qu re si to un ve wa xi yo za".split()
 
@@ -106,6 +107,21 @@ def _article(r: random.Random) -> str:
 
 #: Marks the main container of a training page; it isn't seen by the features.
 MARK = "data-main"
+#: Marks clutter beside an article that has no container; it isn't seen by the features either.
+CLUTTER_MARK = "data-clutter"
+
+
+def _loose(r: random.Random) -> str:
+    """An article without elements of its own: text in the body, with inline elements and breaks."""
+    parts = [f"<h1>{_sentence(r)}</h1>"] if r.random() < 0.5 else []
+    for _ in range(r.randint(1, 8)):
+        text = _text(r, r.randint(1, 8))
+        if r.random() < 0.5:
+            text += f" <{(t := r.choice(['b', 'em', 'i', 'strong', 'span']))}>{_sentence(r, 1, 3)}</{t}> {_text(r, r.randint(1, 4))}"
+        if r.random() < 0.2:
+            text += f' <a href="/{_word(r)}">{_sentence(r, 1, 3)}</a> {_sentence(r)}'
+        parts.append(f"<p>{text}</p>" if r.random() < 0.2 else text + r.choice(["<br>", "<br><br>", "<hr>", "<p>"]))
+    return "".join(parts)
 
 
 def make_page(r: random.Random) -> str:
@@ -119,7 +135,13 @@ def make_page(r: random.Random) -> str:
     before = [_clutter(r, k) for k in ("header", "menu", "notice", "ad", "form") if r.random() < 0.45]
     after = [_clutter(r, k) for k in ("sidebar", "comments", "ad", "share", "form", "footer") if r.random() < 0.45]
     r.shuffle(before)
-    return f"<!DOCTYPE html><html><head><title>{_sentence(r)}</title></head><body>{''.join(before)}{body}{''.join(after)}</body></html>"
+    whole = r.random() < 0.2
+    if whole:
+        body = _loose(r)
+        before, after = ([re.sub(r"^<([a-z0-9]+)", rf"<\1 {CLUTTER_MARK}", x) for x in xs] for xs in (before, after))
+    elif r.random() < 0.15:  # a loose line that is clutter
+        after.append(r.choice([f"&copy; {_word(r)}.example.com", f"{_word(r)} | {_word(r)} | {_word(r)}", f"<br>&copy; {_sentence(r, 1, 4)}"]))
+    return f"<!DOCTYPE html><html><head><title>{_sentence(r)}</title></head><body{f' {MARK}' if whole else ''}>{''.join(before)}{body}{''.join(after)}</body></html>"
 
 
 def training_pages(n: int, seed: int) -> list[str]:
