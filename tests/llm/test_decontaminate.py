@@ -72,3 +72,13 @@ def test_proximity(spark):
     a, _ = frames(spark, docs, [(1, "x")])
     got = {(x["doc_id"], x["start"], x["end"]) for x in d.proximity(a, ["red", "sky"], 4).collect()}
     assert got == {(1, 7, 8), (1, 4, 7), (4, 0, 1)}
+
+
+def test_rows_of_one_id_are_judged_apart(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(None, f"x {item} y"), (None, "clean words"), (None, None), (1, item), (1, "other words"), (1, item), (2, "fine"), (2, "fine"), ((1 << 53) + 1, "large")]
+    docs = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, row int")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = d.keep_clean(docs, items, 10)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, ""), (0, "clean words"), (1, "other words"), (2, "fine"), (2, "fine"), ((1 << 53) + 1, "large")]

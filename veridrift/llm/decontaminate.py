@@ -39,6 +39,11 @@ def pieces(text: Column) -> Column:
     return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN)
 
 
+def text_digest(text: Column) -> Column:
+    """64 bits of a text; a null one counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near(df: DataFrame) -> DataFrame:
     """``df``, to be broadcast if it has few rows; ``df`` is a stored table, so counting is cheap."""
     return F.broadcast(df) if df.count() <= SMALL else df
@@ -54,19 +59,20 @@ def item_words(items: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Postings (row, at, term) of the terms in ``vocabulary`` (word, term), and a row per document.
 
-    The document's row has ``at`` 0, its doc_id and n_words; its term is null unless the first
-    piece is a term itself.
+    The document's row has ``at`` 0, its doc_id, n_words and the digest of its text; its term is
+    null unless the first piece is a term itself.
     """
-    split = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", pieces(F.col("text")).alias("words"))
+    split = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_digest(F.col("text")).alias("digest"), pieces(F.col("text")).alias("words"))
     n = F.size("words") - F.when(F.col("words")[0] == "", 1).otherwise(0)
     n = n - F.when((F.size("words") > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)
-    split = split.select("row", "doc_id", n.cast("long").alias("n_words"), F.posexplode("words").alias("at", "word"))
+    split = split.select("row", "doc_id", "digest", n.cast("long").alias("n_words"), F.posexplode("words").alias("at", "word"))
     marked = split.join(near(vocabulary), "word", "left").where((F.col("at") == 0) | F.col("term").isNotNull())
     first = F.col("at") == 0
     stored = marked.select(
         "row",
         F.when(first, F.col("doc_id")).alias("doc_id"),
         F.when(first, F.col("n_words")).alias("n_words"),
+        F.when(first, F.col("digest")).alias("digest"),
         "at",
         "term",
     )
@@ -172,8 +178,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFra
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """The documents without a hit, with all their columns; rows without an id are judged together."""
+    """The rows without a hit, with all their columns.
+
+    A row's own text decides: rows with one id, or none, are judged apart by the digest of their text.
+    """
     index, _, runs = occurrences(docs, benchmark, window)
-    hit = index.where("at = 0").select("row", "doc_id").join(runs.select("row").distinct(), "row", "left_semi")
-    found = materialize(hit.select(F.col("doc_id").alias("found_id")).distinct(), "contaminated")
-    return docs.join(near(found), docs["doc_id"].eqNullSafe(found["found_id"]), "left_anti")
+    hit = index.where("at = 0").join(runs.select("row").distinct(), "row", "left_semi")
+    found = materialize(hit.select(F.col("doc_id").alias("found_id"), F.col("digest").alias("found")).distinct(), "contaminated")
+    same = docs["doc_id"].eqNullSafe(found["found_id"]) & (text_digest(docs["text"]) == found["found"])
+    return docs.join(near(found), same, "left_anti")

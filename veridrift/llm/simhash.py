@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veridrift.llm.batches import with_made
 from veridrift.llm.components import components
 from veridrift.llm.scratch import materialize
 
@@ -69,16 +70,8 @@ def fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
 
 def with_fingerprint(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, fp) of every row."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                made = pd.DataFrame({"doc_id": part["doc_id"], "fp": fingerprints(part["text"].tolist(), shingle)})
-                yield made
-
-    doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    return docs.select(doc_id, "text").mapInPandas(run, "doc_id long, fp long")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_made(ids, ["doc_id"], "text", "fp long", lambda texts: [fingerprints(texts, shingle)])
 
 
 def links_within(keys: np.ndarray, fps: np.ndarray, reps: np.ndarray, minimum: int, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -158,7 +151,7 @@ def link_edges(entries: DataFrame, distinct: int, distance: int) -> DataFrame:
     chosen = list(combinations(range(BYTES - minimum + width), width))
     spark = entries.sparkSession
     # The postings of a list meet in a task; lists are hashed over many tasks of bounded size.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), distinct * len(chosen) // 2_000_000)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), distinct * len(chosen) // 500_000)
     masks = [sum(0xFF << (8 * p) for p in c) for c in chosen]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
