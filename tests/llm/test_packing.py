@@ -68,3 +68,28 @@ def test_every_id_lies_in_one_piece(spark):
     assert max(loads.values()) <= packing.WINDOW
     assert sum(loads.values()) > 0.95 * packing.WINDOW * (len(loads) - 4)
     assert packing.tokenizer_pack(df.limit(0), path).count() == 0
+
+
+def test_memory_of_a_block_is_bounded():
+    """Documents of whole windows leave nothing behind, and long ones less than a window."""
+    packer = packing.Packer(0, 2048, False)
+    for i in range(50):
+        packer.add(i, np.zeros(20 * 2048, dtype="<u4"))
+        packer.add(i, np.zeros(20 * 2048 + 5, dtype="<u4"))
+    assert packer.tokens == 250 and sum(len(h[3]) for h in packer.held) == 250 and all(h[3].base is None for h in packer.held)
+    packer.settle()
+    assert len(packer.out) == 50 * 41 and not packer.held
+
+
+def test_other_tokenizers_go_to_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as file:
+        other = json.load(file)
+    other["normalizer"]["normalizers"].pop()  # no lower-casing
+    (tmp_path / "t.json").write_text(json.dumps(other))
+    coder = packing.WordEncoder(str(tmp_path / "t.json"))
+    want = Tokenizer.from_file(str(tmp_path / "t.json")).encode("One Two THREE", add_special_tokens=False).ids
+    assert coder.encode(["One Two THREE"])[0].tolist() == want and packing.WordEncoder(path).plain

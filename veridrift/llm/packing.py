@@ -7,8 +7,9 @@ partitions with the largest imbalance are merged with their loads opposed (the f
 one with the emptiest of the other), and so on until one is left, whose windows are near equal.
 If its fullest window is above the capacity, the block gets one window more and is packed again.
 
-How it scales.  There is no shuffle: a task packs the rows that it reads, block by block, and a
-block holds a bounded number of tokens, so memory doesn't grow with the input.  Only a block's
+How it scales.  There is no shuffle: a task packs the rows that it reads, block by block.  Full
+windows leave at once and a block holds a bounded number of tokens, so memory doesn't grow with
+the input.  Only a block's
 last window is not near full, that is one in about a hundred.  Sequence ids are unique over all
 tasks, and depend on how the input is split.
 
@@ -20,16 +21,19 @@ empty table gives an empty result.  Other columns are ignored, whatever their na
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from veridrift.llm.batches import arrow_schema, parts, release
+
 WINDOW = 2048
 END_ID = 1
 #: Tokens of a block: windows that are balanced together.
@@ -37,7 +41,7 @@ BLOCK_TOKENS = 96 * WINDOW
 #: Windows above the least number that a block may have before its pieces are cut smaller.
 SPARE = 0.005
 #: Known words of a tokenizer; the table starts anew beyond that.
-CACHE = 500_000
+CACHE = 200_000
 
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -48,18 +52,42 @@ class WordEncoder:
     That tokenizer normalises, splits a text into words and encodes each by itself.  For plain
     texts (Latin letters below U+0130, no controls, already composed) the normalised words are
     found here, and each distinct one is encoded once by the tokenizer's own model; any other
-    text goes to the tokenizer as it is.  The ids are the same either way.
+    text goes to the tokenizer as it is, and so does every text where the file names another
+    normaliser, split or kind of model.  The ids are the same either way.
     """
 
     ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\u0130-\U0010ffff]|<\\|")
     #: The tokenizer's own split, over plain texts.
     WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
 
+    # How the word tokenizer's file names its normaliser, its split and what follows
+    FORM = {
+        "truncation": None,
+        "padding": None,
+        "post_processor": None,
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    }
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as file:
+            written = json.load(file)
+        self.plain = (
+            all(written[k] == v for k, v in self.FORM.items())
+            and written["model"]["type"] == "BPE"
+            and not written["model"].get("dropout")
+            and all(t["content"].startswith("<|") for t in written["added_tokens"])
+        )
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
         # byte-level models write each byte as one printable character
@@ -71,7 +99,7 @@ class WordEncoder:
         return np.array([t.id for t in self.model.tokenize(written)], dtype="<u4").tobytes()
 
     def text(self, text: str) -> bytes:
-        if self.ODD.search(text) or not unicodedata.is_normalized("NFC", text):
+        if not self.plain or self.ODD.search(text) or not unicodedata.is_normalized("NFC", text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         words, known = self.WORDS.findall(text.lower()), self.known
         try:
@@ -174,73 +202,82 @@ def pack_block(rest: list[tuple[int, int, int]], window: int) -> tuple[list[tupl
         most //= 2
 
 
+class Packer:
+    """Packs the documents of a task; rows of pieces gather in ``out``.
+
+    Full windows of a document are out at once; only what remains of it is held until its block
+    is packed, so a document of any length costs the block less than a window.
+    """
+
+    def __init__(self, sequence: int, window: int, keep_ids: bool):
+        self.sequence, self.window, self.keep_ids = sequence, window, keep_ids
+        self.out: list[tuple] = []
+        #: (document id, ids in all, place of the remainder, its ids)
+        self.held: list[tuple[object, int, int, np.ndarray]] = []
+        self.tokens = 0
+
+    def put(self, doc_id: object, total: int, start: int, ids: np.ndarray, offset: int) -> None:
+        row = (doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, self.sequence, offset)
+        self.out.append((*row, ids.tolist()) if self.keep_ids else row)
+
+    def add(self, doc_id: object, ids: np.ndarray) -> None:
+        full = len(ids) // self.window * self.window
+        for start in range(0, full, self.window):
+            self.put(doc_id, len(ids), start, ids[start : start + self.window], 0)
+            self.sequence += 1
+        if full < len(ids):
+            self.held.append((doc_id, len(ids), full, ids[full:].copy()))
+            self.tokens += len(ids) - full
+        if self.tokens >= BLOCK_TOKENS:
+            self.settle()
+
+    def settle(self) -> None:
+        """Pack the block that is held."""
+        pieces, windows = pack_block([(i, 0, len(h[3])) for i, h in enumerate(self.held)], self.window)
+        for items in windows:
+            offset = 0
+            for i in sorted(items):
+                doc, start, length = pieces[i]
+                doc_id, total, full, ids = self.held[doc]
+                self.put(doc_id, total, full + start, ids[start : start + length], offset)
+                offset += length
+            self.sequence += 1
+        self.held.clear()
+        self.tokens = 0
+
+
 def pack(docs: DataFrame, encoder: Callable[[], object], window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents and their places in sequences of at most ``window`` ids.
 
     ``encoder`` makes an object with ``encode(list of texts) -> list of id arrays``; each
     document is followed by ``END_ID``.  With ``keep_ids`` the ids of a piece come with it.
     """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    ddl = PIECES.format(id=id_type) + (", ids array<long>" if keep_ids else "")
+    schema = arrow_schema(ddl)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        sequence = (context.partitionId() if context else 0) << 40
+        packer = Packer((context.partitionId() if context else 0) << 40, window, keep_ids)
         coder = encoder()
-        held: list[tuple[object, np.ndarray]] = []
-        rest: list[tuple[int, int, int]] = []
-        tokens = 0
-        out: list[tuple] = []
-
-        def put(doc: int, start: int, length: int, offset: int) -> None:
-            doc_id, ids = held[doc]
-            part = ids[start : start + length].tobytes()
-            row = (doc_id, start, length, zlib.crc32(part), len(ids), sequence, offset)
-            out.append((*row, ids[start : start + length].tolist()) if keep_ids else row)
-
-        def frame() -> pd.DataFrame:
-            names = [x.split(" ")[0] for x in PIECES.format(id="x").split(", ")] + ["ids"] * keep_ids
-            made = pd.DataFrame(out, columns=names)
-            out.clear()
-            if len(made) and made["doc_id"].isna().any():
-                made["doc_id"] = pd.array(made["doc_id"], dtype="object")
-            return made
-
-        def settle() -> None:
-            nonlocal sequence, tokens
-            pieces, windows = pack_block(rest, window)
-            for items in windows:
-                offset = 0
-                for i in sorted(items):
-                    put(*pieces[i], offset)
-                    offset += pieces[i][2]
-                sequence += 1
-            rest.clear()
-            held.clear()
-            tokens = 0
-
-        for pdf in frames:
-            doc_ids, texts = pdf["doc_id"].tolist(), ["" if t is None else t for t in pdf["text"]]
-            for at in range(0, len(texts), 64):
-                for doc_id, ids in zip(doc_ids[at : at + 64], coder.encode(texts[at : at + 64]), strict=True):
-                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                    held.append((None if doc_id is None or doc_id != doc_id else doc_id, ids))
-                    doc = len(held) - 1
-                    full = len(ids) // window * window
-                    for start in range(0, full, window):
-                        put(doc, start, window, 0)
-                        sequence += 1
-                    if full < len(ids):
-                        rest.append((doc, full, len(ids) - full))
-                        tokens += len(ids) - full
-                    if tokens >= BLOCK_TOKENS:
-                        settle()
-            if len(out) >= 2000:
-                yield frame()
-        settle()
-        yield frame()
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = PIECES.format(id=id_type) + (", ids array<long>" if keep_ids else "")
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+        def rows() -> pa.RecordBatch:
+            columns = list(zip(*packer.out, strict=True)) or [()] * len(schema)
+            packer.out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+        for batch in batches:
+            for part in parts(batch):
+                texts = ["" if t is None else t for t in part.column("text").to_pylist()]
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), coder.encode(texts), strict=True):
+                    packer.add(doc_id, np.append(ids, np.uint32(END_ID)).astype("<u4"))
+                    if len(packer.out) >= 2000:
+                        yield rows()
+        packer.settle()
+        yield rows()
+        release()
+
+    return docs.select("doc_id", "text").mapInArrow(run, ddl)
 
 
 def tokenizer_pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
