@@ -110,13 +110,89 @@ def test_held_out_accuracy(spark):
     odd = [(5000, None, None, None, None), (5001, "", "en", "s", 0), (None, rows[3][1], "en", "s", 1), (3, rows[3][1], "en", "s", 1)]
     df = spark.createDataFrame([(*x, 7) for x in rows + odd], "doc_id long, text string, lang string, source string, n_chars long, kept int")
     known = spark.createDataFrame([x for x in labels if x[0] % 3] + [(None, 1), (4, None)], "doc_id long, toxic int")
-    model = c.fit(df, known)
-    got = {r["doc_id"]: r["kept"] for r in c.score(df, model).collect()}
+    model, _ = c.fit(df, known)
+    got = {r["doc_id"]: r["kept"] for r in c.score_with(df, model).collect()}
     held = [x for x in labels if x[0] % 3 == 0]
     assert np.mean([got[i] == (i % 10 > 2) for i, _ in held]) > 0.97
     assert all(got[i] for i, _ in held if i % 10 > 2)
     assert got[5000] and got[5001]
-    kept = c.keep(df, model)
+    assert got == {r["doc_id"]: r["kept"] for r in c.score(df, known).collect()}
+    kept = c.keep(df, known)
     assert kept.schema == df.schema and {r["doc_id"] for r in kept.collect()} == {k for k, v in got.items() if v}
-    empty = c.fit(df.limit(0), known.limit(0))
-    assert all(r["kept"] for r in c.score(df, empty).collect())
+    empty, _ = c.fit(df.limit(0), known.limit(0))
+    assert all(r["kept"] for r in c.score_with(df, empty).collect())
+
+
+def noisy(r, n, rates, share):
+    """Vote patterns, their truth, and a known part, of labellers with such rates."""
+    patterns, truth, known = Counter(), Counter(), Counter()
+    for i in range(n):
+        bad = int(r.random() < share)
+        v = tuple(int(r.random() < p) for p in rates[bad])
+        patterns[v] += 1
+        truth[v] += bad
+        if i % 4 == 0:
+            known[v, (1,) * len(v), bad] += 1
+    return patterns, truth, known
+
+
+def test_noisy_labellers_are_found_out():
+    """One of three has five false votes in a hundred: a lone vote of it means little."""
+    r = random.Random(21)
+    rates = ((0.002, 0.05, 0.003), (0.7, 0.6, 0.65))
+    patterns, truth, known = noisy(r, 40_000, rates, 0.1)
+    for labels, off in ((known, 0.1), (None, 0.1)):
+        model = c.fit_votes(dict(patterns), 0.2, labels)
+        for v, n in patterns.items():
+            if n > 50:
+                assert model.positive(np.array([v]))[0] == pytest.approx(truth[v] / n, abs=off), (v, labels is None)
+    model = c.fit_votes(dict(patterns), 0.2, known)
+    assert model.rates == pytest.approx(np.array(rates), abs=0.06)
+    # known documents of one class tell nothing
+    one = {k: n for k, n in known.items() if k[2] == 0}
+    assert c.fit_votes(dict(patterns), 0.2, one).rates.tolist() == c.fit_votes(dict(patterns), 0.2).rates.tolist()
+
+
+def test_labellers_that_know_kinds_of_their_own():
+    r = random.Random(22)
+    patterns, truth = Counter(), Counter()
+    for _ in range(30_000):
+        kind = r.choices(range(8), [0.86] + [0.02] * 7)[0]
+        v = tuple(int(r.random() < (0.95 if j + 1 == kind else 0.001)) for j in range(7))
+        patterns[v] += 1
+        truth[v] += kind > 0
+    model = c.fit_votes(dict(patterns), 0.15)
+    assert all(model.positive(np.array([v]))[0] > 0.6 for v in patterns if sum(v) == 1)
+    assert model.positive(np.zeros((1, 7)))[0] < 0.1
+
+
+def test_samples_are_never_empty(spark):
+    for count in (0, 10, 6_000, 10**7, 6 * 10**9, 2 * 10**10, 10**13):
+        share = c.share_of(c.TRAINED, count)
+        assert share > 0 and share / c.HASHES == pytest.approx(min(1, c.TRAINED / max(1, count)))
+    rows = spark.range(200_000).where(c.some_of(c.F.xxhash64("id"), 6_000, 200_000)).count()
+    assert 5_500 < rows < 6_500
+
+
+def test_buckets_are_packed_without_loss():
+    r = random.Random(23)
+    for n in (0, 1, 5, 900):
+        held = np.array(sorted(r.sample(range(c.BUCKETS), n)), dtype=np.int64)
+        assert c.unpack_buckets(c.pack_buckets(held)).tolist() == held.tolist()
+    edge = np.array([0, 65535, 131070, 131071, c.BUCKETS - 1], dtype=np.int64)
+    assert c.unpack_buckets(c.pack_buckets(edge)).tolist() == edge.tolist()
+
+
+def test_capitals_are_counted_by_character():
+    assert q.measure("A" * 50 + "\u0130" + "b" * 50)[7] == 51 and q.measure("ABc")[7] == 2
+
+
+def test_very_long_and_odd_texts(spark):
+    r = random.Random(24)
+    rows, labels = corpus()
+    long = prose(r, 60_000)
+    large = (1 << 53) + 1
+    odd = [(large, long, "en", "s", 0), (None, "### $$$ %%%", "en", "s", 0), (large + 1, long.upper(), "en", "s", 0)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {x["doc_id"]: x["kept"] for x in c.score(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert got[large] and not got[large + 1] and not got[None]

@@ -2,18 +2,22 @@
 
 Heuristic labellers vote on each document or are silent; they overlap, each misses much, and none
 is always right.  Expectation-maximisation over the counts of all vote patterns estimates how
-often each labeller votes for either class, and with that the posterior label of each pattern.
-Documents with posterior labels then train a linear scorer over hashed words and hashed
+often each labeller votes on good and on bad documents, and with that the posterior label of each
+pattern.  Documents with posterior labels then train a linear scorer over hashed words and hashed
 statistics, which scores every document.  The model has two heads of this kind, junk and toxic.
 
-Among the labellers of the toxic head are word lists that are learned from labelled documents,
-each list from a half of them, so that they can disagree.
+Both rates of a labeller are estimated, on good and on bad documents; known labels, where there
+are some of both classes, weigh most in that.  Among the labellers
+of the toxic head are word lists that are learned from labelled documents by language, each list
+from a half of them, so that they can disagree; a list's rates are counted on the other half.
 
-How it scales.  Votes are counted as patterns, of which there are at most 128 however many
-documents; the counts cover all of them.  The labelled sample is at most about ``LABELLED``
-rows and the training sample ``TRAINED``, both chosen by a hash of the id, and what reaches the
-driver is word statistics, patterns and the hashed features of the training sample.  Scoring is a
-map over the documents.
+How it scales.  The texts are read once for features: the votes and the packed buckets of every
+document are stored, and the counts, the training sample and the scores come from that table.
+Votes are counted as patterns, of which there are at most 128 however many documents; the counts
+cover all of them.  The labelled sample is at most about ``LABELLED`` rows and the training
+sample ``TRAINED``, both chosen by a hash in 2**62 parts, so they are never empty for want of a
+share; what reaches the driver is word statistics, patterns and the buckets of the training
+sample.
 
 Edge cases.  A text without words (null and empty ones too) has no votes and scores zero, so it is
 kept.  Labels with nulls are left out.  Without labelled
@@ -29,30 +33,33 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridrift.llm.batches import arrow_schema, parts, release, with_made
 from veridrift.llm.quality_rules import measure
-from veridrift.llm.scratch import materialize
+from veridrift.llm.scratch import mark, materialize, sweep
 
-#: Most labelled documents that word lists are learned from, and most that train the scorer.
+#: Most labelled documents that word lists and rates are learned from, and most that train the scorer.
 LABELLED = 20_000
 TRAINED = 6_000
-#: Texts whose words or votes a worker holds at once.
-HELD = 200
 BUCKETS = 1 << 20
-#: Clean texts of which a labeller may take more for bad is none; what is beyond is a kind of its own.
-FALSE_VOTES = 0.003
+#: Parts of a hash that samples are chosen by.
+HASHES = 1 << 62
+#: What labellers are taken for beforehand: how often they vote on good and on bad texts.
+FALSE_VOTES, TRUE_VOTES = 0.002, 0.3
+#: Weight of the known labels against that of all votes, and rows that the prior counts there.
+KNOWN_WEIGHT, PRIOR_ROWS = 4.0, 20.0
 #: Texts of fewer words aren't held to repeat themselves.
 FEW_WORDS = 40
 #: Hashed features that a head keeps.
 KEPT_FEATURES = 4096
 #: Standard deviations by which its classes differ, and texts that hold it, at least.
 LEAST_GAIN, LEAST_SEEN = 4.0, 4.0
-#: A learned word stands in so many toxic texts at least, and so many times as often as in others.
-LEAST_TEXTS, LEAST_ODDS, LIST_SIZE = 4, 60.0, 600
+#: A learned word stands in so many toxic texts at least, so many times as often as in others of
+#: its language, and with so much evidence (a likelihood ratio); words of a list and language.
+LEAST_TEXTS, LEAST_ODDS, LEAST_EVIDENCE, LIST_SIZE = 3, 20.0, 18.0, 300
 #: Different words of a learned list that make a vote.
 LEAST_HITS = 2
 #: Letters of a word's beginning that count as a token of their own.
@@ -61,7 +68,8 @@ STEM = 5
 #: Scores above which a document is rejected.
 JUNK_LIMIT, TOXIC_LIMIT = 0.5, 0.3
 
-# Plain insults
+#: A short list of plain English insults to begin with, a parameter of ``fit``; what else marks
+#: toxic texts, in whatever language, is learned.
 INSULTS = frozenset("clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
 
 JUNK = ("symbols", "capitals", "repeats", "windows", "marks", "variety", "lines")
@@ -69,6 +77,15 @@ TOXIC = ("insults", "list_a", "list_b")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+@dataclass(frozen=True)
+class Lists:
+    """What the labellers of the toxic head know."""
+
+    insults: frozenset = INSULTS
+    a: frozenset = frozenset()
+    b: frozenset = frozenset()
+
+
 def features(text: str | None) -> tuple[dict[str, float], list[str]]:
     """Statistics that labellers look at, and the distinct words of a text."""
     text = text or ""
@@ -107,50 +124,104 @@ def junk_votes(s: dict[str, float]) -> tuple[int, ...]:
     )
 
 
-def toxic_votes(words: list[str], lists: tuple[frozenset, frozenset]) -> tuple[int, ...]:
+def toxic_votes(words: list[str], lists: Lists) -> tuple[int, ...]:
     """1 where an insult stands in the text, or several words of a learned list."""
-    learned = [int(sum(not known.isdisjoint(tokens(w)) for w in words) >= LEAST_HITS) if known else 0 for known in lists]
-    return int(not INSULTS.isdisjoint(words)), *learned
+    insult, in_a, in_b, _ = listed(words, lists)
+    return int(insult > 0), int(in_a >= LEAST_HITS), int(in_b >= LEAST_HITS)
+
+
+def listed(words: list[str], lists: Lists) -> tuple[int, int, int, int]:
+    """How many words each list has, and how many any learned list has."""
+    forms = [tokens(w) for w in words] if lists.a or lists.b else []
+    in_a, in_b = ([not known.isdisjoint(t) for t in forms] for known in (lists.a, lists.b))
+    return sum(w in lists.insults for w in words), sum(in_a), sum(in_b), sum(x or y for x, y in zip(in_a, in_b, strict=True))
 
 
 @dataclass
 class Votes:
-    """The label model: shares of the latent kinds, the first of them clean, and how often each
-    labeller votes in each kind."""
+    """The label model: shares of the latent kinds, the first of them good and the others bad, and
+    how often each labeller votes in each kind."""
 
     share: np.ndarray
     rates: np.ndarray
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Chance of each kind for each row of votes."""
-        logit = np.log(self.share) + votes @ np.log(self.rates).T + (1 - votes) @ np.log(1 - self.rates).T
-        p = np.exp(logit - logit.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+    def joint(self, votes: np.ndarray, heard: np.ndarray | float = 1.0) -> np.ndarray:
+        """Log chance of each kind together with each row of votes, of the labellers that were heard."""
+        return np.log(self.share) + (heard * votes) @ np.log(self.rates).T + (heard * (1 - votes)) @ np.log(1 - self.rates).T
 
     def positive(self, votes: np.ndarray) -> np.ndarray:
-        return 1 - self.posterior(votes)[:, 0]
+        """Chance to be bad for each row of votes."""
+        return 1 - chances(self.joint(votes))[:, 0]
+
+
+def chances(joint: np.ndarray) -> np.ndarray:
+    p = np.exp(joint - joint.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
 
+#: Counts of known documents by votes, which labellers were heard, and whether the document is bad.
+Known = dict[tuple[tuple[int, ...], tuple[int, ...], int], int]
 
-def fit_votes(patterns: dict[tuple[int, ...], int], prior: float, rounds: int = 200) -> Votes:
-    """Expectation-maximisation over the counts of all vote patterns.
 
-    The latent kinds are clean and one for each labeller, since what one labeller knows another
-    may not see at all; a kind starts with its labeller mostly voting and the others seldom, and
-    clean with all of them almost silent.  Rates are smoothed by a few rows.
+@dataclass
+class Evidence:
+    """Rows of votes with their counts; ``shut`` is -inf for the kinds that a row can't be."""
+
+    votes: np.ndarray
+    heard: np.ndarray
+    count: np.ndarray
+    weight: np.ndarray
+    bad: np.ndarray  # -1 where that isn't known
+
+    def joint(self, model: Votes) -> np.ndarray:
+        shut = np.zeros((len(self.votes), len(model.share)))
+        shut[self.bad == 0, 1:] = -np.inf
+        shut[self.bad == 1, 0] = -np.inf
+        return model.joint(self.votes, self.heard) + shut
+
+    def likelihood(self, model: Votes) -> float:
+        return float(self.count @ np.logaddexp.reduce(self.joint(model), axis=1))
+
+    def expect(self, model: Votes, hold: np.ndarray, rounds: int = 300) -> Votes:
+        """Expectation-maximisation from ``model``, whose rates are those of the prior too.
+
+        ``hold``: rows that the prior of each kind counts; its shares count as many as the first.
+        """
+        start, shares = model.rates, model.share * hold[0]
+        for _ in range(rounds):
+            p = chances(self.joint(model)) * self.weight[:, None]
+            share = p.sum(axis=0) + shares
+            rates = (p.T @ (self.heard * self.votes) + start * hold[:, None]) / (p.T @ self.heard + hold[:, None])
+            model = Votes((share / share.sum()).clip(1e-6, 1), rates.clip(1e-5, 0.995))
+        return model
+
+
+def fit_votes(patterns: dict[tuple[int, ...], int], prior: float, known: Known | None = None) -> Votes:
+    """The label model of the counts of all vote patterns; all rates are estimated.
+
+    Known labels, where both classes are there, weigh ``KNOWN_WEIGHT`` times all votes.  The model
+    has two classes whose labellers vote independently, unless bad documents of several kinds, each
+    mostly the matter of one labeller, explain the votes better by more than their further
+    parameters (Akaike's criterion).
     """
-    votes = np.array(list(patterns), dtype=np.float64)
-    weight = np.array(list(patterns.values()), dtype=np.float64)
-    m = votes.shape[1]
-    rates = np.vstack([np.full(m, 0.001), np.full((m, m), 0.05) + 0.75 * np.eye(m)])
-    model = Votes(np.array([1 - prior] + [prior / m] * m), rates)
-    start, held = rates.copy(), np.array([50.0] + [4.0] * m)
-    for _ in range(rounds):
-        p = model.posterior(votes) * weight[:, None]
-        share = ((p.sum(axis=0) + 1e-3) / (weight.sum() + 1e-3 * (m + 1))).clip(1e-6, 1)
-        rates = (p.T @ votes + start * held[:, None]) / (p.sum(axis=0) + held)[:, None]
-        rates[0] = rates[0].clip(0, FALSE_VOTES)
-        model = Votes(share / share.sum(), rates.clip(1e-4, 0.995))
-    return model
+    known = known if known and len({bad for _, _, bad in known}) == 2 else {}
+    rows = [(v, (1,) * len(v), -1, n) for v, n in patterns.items()] + [(v, heard, bad, n) for (v, heard, bad), n in known.items()]
+    votes, heard, bad, count = (np.array(x, dtype=np.float64) for x in zip(*rows, strict=True))
+    scale = KNOWN_WEIGHT * sum(patterns.values()) / max(1, sum(known.values()))
+    weight = count * np.where(bad < 0, 1.0, scale)
+    evidence, m = Evidence(votes, heard, count, weight, bad), votes.shape[1]
+    hold = (lambda k: np.full(k, PRIOR_ROWS * scale / k)) if known else lambda k: np.array([50.0] + [4.0] * (k - 1))
+    models = []
+    for starts in (np.full((1, m), TRUE_VOTES), np.full((m, m), 0.05) + 0.75 * np.eye(m)):
+        k = len(starts)
+        begin = Votes(np.array([1 - prior] + [prior / k] * k), np.vstack([np.full(m, FALSE_VOTES), starts]))
+        models.append(evidence.expect(begin, hold(k + 1)))
+    active = int((votes.sum(axis=0) > 0).sum())
+    further = active + (active + 1) * active - (1 + 2 * active)
+    two, kinds = models
+    if active < 3 and not known:  # votes of two can't tell which of them errs
+        return kinds
+    return kinds if evidence.likelihood(kinds) - evidence.likelihood(two) > max(0, further) else two
 
 
 def tokens(word: str) -> tuple[str, ...]:
@@ -166,7 +237,21 @@ def bucket(token: str) -> int:
 
 def stat_tokens(s: dict[str, float]) -> list[str]:
     """Statistics in steps, as tokens to be hashed like words."""
-    return [f"\0{k}:{min(12, int(10 * s[k]))}" for k in JUNK]
+    return [f"\0{k}:{min(12, int(10 * s[k]))}" for k in JUNK] + [f"\0listed:{min(4, int(s['listed']))}"]
+
+
+def pack_buckets(buckets: np.ndarray) -> bytes:
+    """Ascending numbers as steps of two bytes; 65535 is a step with more to come."""
+    steps = np.diff(buckets, prepend=0)
+    more = steps // 65535
+    out = np.full(len(steps) + int(more.sum()), 65535, dtype="<u2")
+    out[np.cumsum(more + 1) - 1] = steps % 65535
+    return out.tobytes()
+
+
+def unpack_buckets(packed: bytes) -> np.ndarray:
+    steps = np.frombuffer(packed, dtype="<u2")
+    return np.cumsum(steps, dtype=np.int64)[steps != 65535]
 
 
 @dataclass
@@ -177,16 +262,17 @@ class Head:
     weights: dict[int, float] = field(default_factory=dict)
     votes: Votes | None = None
 
-    def score(self, buckets: list[int]) -> float:
-        get = self.weights.get
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.constant + sum(get(b, 0.0) for b in buckets)))))
+    def dense(self) -> np.ndarray:
+        out = np.zeros(BUCKETS, dtype=np.float32)
+        out[list(self.weights)] = list(self.weights.values())
+        return out
 
 
 @dataclass
 class Model:
     junk: Head
     toxic: Head
-    lists: tuple[frozenset, frozenset]
+    lists: Lists
 
 
 def train(rows: list[np.ndarray], target: np.ndarray, rounds: int = 300) -> Head:
@@ -225,123 +311,200 @@ def train(rows: list[np.ndarray], target: np.ndarray, rounds: int = 300) -> Head
     return Head(float(c), {int(names[k]): float(x) for k, x in zip(keep, w, strict=True)})
 
 
-def learn_lists(docs: DataFrame, labels: DataFrame | None) -> tuple[frozenset, frozenset]:
-    """Words that mark toxic texts, from each half of a bounded sample of labelled documents."""
+def some_of(hashed: Column, wanted: int, count: int) -> Column:
+    """About ``wanted`` of ``count`` rows by a hash; all of them where there are no more."""
+    return F.pmod(hashed, F.lit(HASHES)) < F.lit(share_of(wanted, count))
+
+
+def share_of(wanted: int, count: int) -> int:
+    """``wanted`` of ``count`` in ``HASHES`` parts, at least one."""
+    return min(HASHES, max(1, HASHES * wanted // max(1, count)))
+
+
+def labelled_sample(labels: DataFrame | None) -> DataFrame | None:
+    """(doc_id, quality, toxic) of at most about ``LABELLED`` labelled ids; None without labels."""
     if labels is None:
-        return frozenset(), frozenset()
-    known = labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic")
+        return None
+    quality = F.col("quality") if "quality" in labels.columns else F.lit(None).cast("int")
+    known = labels.where("doc_id is not null and toxic is not null").select("doc_id", quality.alias("quality"), "toxic")
     n = known.count()
     if n == 0:
-        return frozenset(), frozenset()
-    share = min(1.0, LABELLED / n)
-    sample = known.where(F.expr(f"pmod(xxhash64(doc_id, 'labelled'), 1000000) < {int(share * 1_000_000)}")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # about LABELLED rows at most, whatever the number of labels
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    texts = texts.select("text", "toxic").where("text is not null")
-    texts = texts.withColumn("digest", F.xxhash64("text")).dropDuplicates(["digest"])
-
-    def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for at in range(0, len(pdf), HELD):
-                part = pdf.iloc[at : at + HELD]
-                held = [sorted({x for v in set(_WORD.findall(t.lower())) for x in tokens(v)}) for t in part["text"]]
-                n = [len(h) for h in held]
-                columns = {"word": [w for h in held for w in h], "half": np.repeat((part["digest"] & 1).to_numpy(), n), "toxic": np.repeat(part["toxic"].to_numpy(), n)}
-                yield pd.DataFrame(columns)
-
-    listed = texts.mapInPandas(words, "word string, half int, toxic int")
-    counts = listed.groupBy("half", "word").agg(F.sum((F.col("toxic") > 0).cast("long")).alias("t"), F.sum((F.col("toxic") == 0).cast("long")).alias("c"))
-    sizes = texts.groupBy((F.col("digest").bitwiseAND(F.lit(1))).cast("int").alias("half")).agg(F.sum((F.col("toxic") > 0).cast("long")).alias("nt"), F.count("*").alias("n"))
-    odds = (F.col("t") / F.greatest(F.col("nt"), F.lit(1))) / ((F.col("c") + 0.5) / F.greatest(F.col("n") - F.col("nt"), F.lit(1)))
-    chosen = counts.where(F.col("t") >= LEAST_TEXTS).join(F.broadcast(sizes), "half").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)  # two rows
-    lists: list[list[str]] = [[], []]
-    for r in chosen.orderBy(F.desc("t"), "word").limit(2 * LIST_SIZE).collect():
-        if len(lists[r["half"]]) < LIST_SIZE:
-            lists[r["half"]].append(r["word"])
-    return frozenset(lists[0]), frozenset(lists[1])
-
-
-def fit(docs: DataFrame, labels: DataFrame | None = None) -> Model:
-    """The model of a corpus; ``labels``: (doc_id, toxic) of some documents."""
-    lists = learn_lists(docs, labels)
-    total = docs.count()
-    share = min(1.0, TRAINED / max(1, total))
+        return None
+    chosen = known.where(some_of(F.xxhash64("doc_id", F.lit("labelled")), LABELLED, n))
+    return materialize(chosen.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")), "labelled")
+
+
+def language(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+
+
+def contexts(text: str) -> set[tuple[str, str]]:
+    """The words of a text, each with those before and after it where it first stands."""
+    words = _WORD.findall(text.lower())
+    first: dict[str, str] = {}
+    for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+        first.setdefault(word, f"{before}_{after}")
+    return set(first.items())
+
+
+def learn_lists(docs: DataFrame, sample: DataFrame | None, insults: frozenset = INSULTS) -> Lists:
+    """Words that mark toxic texts of a language, from each half of the labelled texts."""
+    if sample is None:
+        return Lists(insults)
+    # the sample has LABELLED rows or so, whatever the number of labels
+    texts = docs.select("doc_id", language(docs).alias("lang"), "text").join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id")
+    texts = texts.where("text is not null").withColumn("digest", F.xxhash64("text")).dropDuplicates(["digest"])
+    half = F.col("digest").bitwiseAND(F.lit(1)).cast("int").alias("half")
+    texts = materialize(texts.select(half, "lang", (F.col("toxic") > 0).cast("long").alias("bad"), "text"), "labelled-texts")
+
+    def words(held: list[str]) -> list[list]:
+        return [[sorted({f"{x} {around}" for v, around in contexts(t) for x in tokens(v)}) for t in held]]
+
+    found = with_made(texts, ["half", "lang", "bad"], "text", "words array<string>", words)
+    sizes = texts.groupBy("half", "lang").agg(F.sum("bad").alias("nt"), F.sum(1 - F.col("bad")).alias("nc"))
+    # a word counts once for each of its surroundings, so that near copies of a text count once
+    listed = found.select("half", "lang", "bad", F.explode("words").alias("word")).distinct()
+    counts = listed.withColumn("word", F.substring_index("word", " ", 1)).groupBy("half", "lang", "word")
+    counts = counts.agg(F.sum("bad").alias("t"), F.sum(1 - F.col("bad")).alias("c")).where(F.col("t") >= LEAST_TEXTS).join(sizes, ["half", "lang"])
+    odds = (F.col("t") / F.col("nt")) / ((F.col("c") + 0.5) / F.greatest(F.col("nc"), F.lit(1)))
+    n = F.col("t") + F.col("c")
+    of = lambda x, size: F.when(x > 0, x * F.log(x * (F.col("nt") + F.col("nc")) / (n * size))).otherwise(F.lit(0.0))
+    evidence = 2 * (of(F.col("t"), F.col("nt")) + of(F.col("c"), F.col("nc")))
+    chosen = counts.withColumn("evidence", evidence).where((odds >= LEAST_ODDS) & (F.col("evidence") >= LEAST_EVIDENCE))
+    place = F.row_number().over(Window.partitionBy("half", "lang").orderBy(F.desc("evidence"), "word"))
+    rows = chosen.withColumn("place", place).where(F.col("place") <= LIST_SIZE).select("half", "word").collect()
+    return Lists(insults, *(frozenset(r["word"] for r in rows if r["half"] == h) for h in (0, 1)))
+
+
+FEATURES = "worded boolean, junk int, toxic int, buckets binary"
+
+
+def bits(votes: tuple[int, ...]) -> int:
+    return sum(v << i for i, v in enumerate(votes))
+
+
+def votes_of(number: int, names: tuple[str, ...]) -> tuple[int, ...]:
+    return tuple(number >> i & 1 for i in range(len(names)))
+
+
+def featured(docs: DataFrame, lists: Lists, carried: list[str]) -> DataFrame:
+    """Votes, as bits, and buckets of every row; the columns ``carried`` as they are in ``doc``."""
+
+    def work(texts: list[str | None]) -> list[list]:
+        made: list[tuple] = []
+        known: dict[str, tuple[int, ...]] = {}
+        for text in texts:
+            s, words = features(text)
+            s["listed"] = listed(words, lists)[3]
+            found: set[int] = set()
+            for w in words:
+                held = known.get(w)
+                if held is None:
+                    known[w] = held = tuple(map(bucket, tokens(w)))
+                found.update(held)
+            found.update(map(bucket, stat_tokens(s)))
+            packed = pack_buckets(np.array(sorted(found), dtype=np.int64))
+            made.append((s["n"] > 0, bits(junk_votes(s)), bits(toxic_votes(words, lists)), packed))
+        return [list(c) for c in zip(*made, strict=True)]
+
+    whole = F.struct(*[F.col(f"`{c}`") for c in carried]).alias("doc")
+    df = docs.select(whole, F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text")
+    return with_made(df, ["doc", "digest"], "text", FEATURES, work)
+
+
+def known_votes(table: DataFrame, sample: DataFrame | None, label: str, head: str, names: tuple[str, ...]) -> Known:
+    """Votes on labelled documents; a learned list is heard on the half that it isn't learned from."""
+    if sample is None:
+        return {}
+    bad = (F.col("label") == 0) if label == "quality" else (F.col("label") > 0)
+    half = F.col("digest").bitwiseAND(F.lit(1)).alias("half")
+    cast = table.select(F.col("doc.doc_id").alias("doc_id"), half, F.col(head).alias("votes"))
+    cast = cast.join(F.broadcast(sample.select("doc_id", F.col(label).alias("label"))), "doc_id").where("label is not null")
+    known: Known = {}
+    for r in cast.groupBy(bad.cast("int").alias("bad"), "half", "votes").agg(F.count("*").alias("n")).collect():
+        heard = tuple(int(name != ("list_a", "list_b")[r["half"]]) for name in names)
+        key = (votes_of(r["votes"], names), heard, r["bad"])
+        known[key] = known.get(key, 0) + r["n"]
+    return known
+
+
+def fit(docs: DataFrame, labels: DataFrame | None = None, insults: frozenset = INSULTS, carried: list[str] | None = None) -> tuple[Model, DataFrame]:
+    """The model of a corpus, and the stored features of its documents.
+
+    ``labels``: (doc_id, toxic) of some documents, and ``quality`` (0 is junk) where there is such
+    a column.  ``carried``: columns of the documents that the features come with, all by default.
+    """
+    sample = labelled_sample(labels)
+    lists = learn_lists(docs, sample, insults)
+    carried = docs.columns if carried is None else list(dict.fromkeys(["doc_id", *carried]))
+    table = materialize(featured(docs, lists, carried), "features")
     # copies of a text train as one, and are counted as often as they stand there
-    chosen = F.expr(f"pmod(xxhash64(text), 1000000) < {int(share * 1_000_000)}")
-
-    def vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for at in range(0, len(pdf), HELD):
-                out = []
-                part = pdf.iloc[at : at + HELD]
-                for text, wanted, digest in zip(part["text"], part["chosen"], part["digest"], strict=True):
-                    s, words = features(text)
-                    packed = None
-                    if wanted:
-                        found = {bucket(x) for w in words for x in tokens(w)} | {bucket(t) for t in stat_tokens(s)}
-                        packed = np.array(sorted(found), dtype="<i4").tobytes()
-                    out.append((",".join(map(str, junk_votes(s))), ",".join(map(str, toxic_votes(words, lists))), digest, packed))
-                yield pd.DataFrame(out, columns=["junk", "toxic", "digest", "buckets"])
-
-    voted = docs.select("text", F.coalesce(chosen, F.lit(False)).alias("chosen"), F.xxhash64("text").alias("digest"))
-    voted = materialize(voted.mapInPandas(vote, "junk string, toxic string, digest long, buckets binary"), "votes")
-    sample = voted.where("buckets is not null").dropDuplicates(["digest"]).orderBy("digest").limit(2 * TRAINED).collect()
-    rows = [np.frombuffer(r["buckets"], dtype="<i4") for r in sample]
+    chosen = table.where(F.col("worded") & some_of(F.col("digest"), TRAINED, table.count()))
+    train_on = chosen.select("digest", "junk", "toxic", "buckets").dropDuplicates(["digest"]).orderBy("digest").limit(2 * TRAINED).collect()
+    rows = [unpack_buckets(r["buckets"]) for r in train_on]
     heads = {}
-    for name, prior in (("junk", 0.15), ("toxic", 0.1)):
-        counts = {tuple(map(int, r[name].split(","))): r["n"] for r in voted.groupBy(name).agg(F.count("*").alias("n")).collect()}
+    for name, names, label, prior in (("junk", JUNK, "quality", 0.15), ("toxic", TOXIC, "toxic", 0.1)):
+        counts = {votes_of(r[name], names): r["n"] for r in table.groupBy(name).agg(F.count("*").alias("n")).collect()}
         if not counts:
             heads[name] = Head()
             continue
-        votes = fit_votes(counts, prior)
-        cast = np.array([[int(x) for x in r[name].split(",")] for r in sample]).reshape(len(sample), -1)
-        heads[name] = train(rows, votes.positive(cast) if len(sample) else np.zeros(0))
+        votes = fit_votes(counts, prior, known_votes(table, sample, label, name, names))
+        cast = np.array([votes_of(r[name], names) for r in train_on], dtype=np.float64).reshape(-1, len(names))
+        heads[name] = train(rows, votes.positive(cast))
         heads[name].votes = votes
-    return Model(heads["junk"], heads["toxic"], lists)
-
-
-def score_texts(texts: list[str | None], model: Model) -> tuple[list[float], list[float]]:
-    junk, toxic = [], []
-    known: dict[str, tuple[int, ...]] = {}  # the buckets of a word that have a weight
-    live = model.junk.weights.keys() | model.toxic.weights.keys()
-    for text in texts:
-        s, words = features(text)
-        found: set[int] = set()
-        for w in words:
-            held = known.get(w)
-            if held is None:
-                known[w] = held = tuple(b for b in map(bucket, tokens(w)) if b in live)
-            found.update(held)
-        found.update(b for b in map(bucket, stat_tokens(s)) if b in live)
-        junk.append(model.junk.score(sorted(found)) if words else 0.0)
-        toxic.append(model.toxic.score(sorted(found)) if words else 0.0)
-        if len(known) > 300_000:
-            known.clear()
-    return junk, toxic
-
-
-def score(docs: DataFrame, model: Model, limit: float = JUNK_LIMIT, toxic_limit: float = TOXIC_LIMIT) -> DataFrame:
-    """(doc_id, junk_score, toxic_score, kept) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most KEPT_FEATURES weights a head
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            junk, toxic = score_texts(pdf["text"].tolist(), shared.value)
-            made = pd.DataFrame({"doc_id": pdf["doc_id"], "junk_score": junk, "toxic_score": toxic})
-            made["kept"] = (made["junk_score"] <= limit) & (made["toxic_score"] <= toxic_limit)
-            yield made
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, junk_score double, toxic_score double, kept boolean")
-
-
-def keep(docs: DataFrame, model: Model, limit: float = JUNK_LIMIT, toxic_limit: float = TOXIC_LIMIT) -> DataFrame:
-    """The rows that are kept, with all their columns as they were."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return Model(heads["junk"], heads["toxic"], lists), table
+
+
+def scores(table: DataFrame, model: Model) -> DataFrame:
+    """(doc, junk_score, toxic_score) of every row of features."""
+    sparse = [(h.constant, np.array(list(h.weights), dtype=np.int64), np.array(list(h.weights.values()))) for h in (model.junk, model.toxic)]
+    shared = table.sparkSession.sparkContext.broadcast(sparse)  # at most KEPT_FEATURES weights a head
+    ddl = "junk_score double, toxic_score double"
+    types = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = []
+        for constant, at, weights in shared.value:
+            dense = np.zeros(BUCKETS)
+            dense[at] = weights
+            heads.append((constant, dense))
         for batch in batches:
-            junk, toxic = score_texts(batch.column("text").to_pylist(), shared.value)
-            yield batch.filter(pa.array([a <= limit and b <= toxic_limit for a, b in zip(junk, toxic, strict=True)], pa.bool_()))
+            for part in parts(batch):
+                held = [unpack_buckets(b) for b in part.column("buckets").to_pylist()]
+                worded = np.array(part.column("worded").to_pylist())
+                ends = np.cumsum([len(h) for h in held])
+                flat = np.concatenate(held)
+                new = []
+                for constant, dense in heads:
+                    sums = np.diff(np.concatenate(([0.0], np.cumsum(dense[flat])))[np.concatenate(([0], ends))])
+                    score = np.where(worded, 1 / (1 + np.exp(-(constant + sums).clip(-500, 500))), 0.0)
+                    new.append(pa.array(score))
+                yield pa.RecordBatch.from_arrays([part.column("doc"), *new], ["doc", *types.names])
+        release()
+
+    kind = table.schema["doc"].dataType.simpleString()
+    return table.select("doc", "worded", "buckets").mapInArrow(run, f"doc {kind}, {ddl}")
+
 
-    return docs.mapInArrow(run, docs.schema)
+def judged(table: DataFrame, model: Model, limit: float = JUNK_LIMIT, toxic_limit: float = TOXIC_LIMIT) -> DataFrame:
+    good = (F.col("junk_score") <= limit) & (F.col("toxic_score") <= toxic_limit)
+    return scores(table, model).withColumn("kept", good)
+
+
+def score(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(doc_id, junk_score, toxic_score, kept) of every row, by a model that is fitted to them."""
+    model, table = fit(docs, labels, carried=["doc_id"])
+    return judged(table, model).select("doc.doc_id", "junk_score", "toxic_score", "kept")
+
+
+def score_with(docs: DataFrame, model: Model) -> DataFrame:
+    """The same by a model that is there already."""
+    return judged(featured(docs, model.lists, ["doc_id"]), model).select("doc.doc_id", "junk_score", "toxic_score", "kept")
+
+
+def keep(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """The rows that are kept, with all their columns as they were."""
+    since = mark()
+    model, table = fit(docs, labels)
+    sweep(docs.sparkSession, docs, table, since=since)
+    return judged(table, model).where("kept").select("doc.*")

@@ -109,6 +109,8 @@ def measure(text: str | None) -> tuple[int, ...]:
     if lower != text and len(lower) == len(text):
         a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in (text, lower))
         upper = int(np.count_nonzero(a != b))
+    elif lower != text:  # one that becomes two letters in lower case
+        upper = sum(c != c.lower() for c in text)
     return len(words), len(text) - white, symbols, again, repeat_words(words), lines, len(text), upper
 
 

@@ -84,10 +84,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Junk and toxicity scores of all documents, and which are kept."""
-    from veridrift.llm.quality_classifier import fit, score
+    from veridrift.llm.quality_classifier import score
 
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return score(docs, fit(docs, labels))
+    return score(docs, labels)
 
 
 def queries() -> dict:
