@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridrift.llm.scratch import materialize
+from veridrift.llm.scratch import mark, materialize, sweep
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,8 +40,10 @@ def components(edges: DataFrame) -> DataFrame:
     loops = edges.where("u = v")
     live = edges.where("u > v")
     before = None
+    since = mark()
     while True:
         live = materialize(_star(_star(live, True), False), "star")
+        sweep(live.sparkSession, live, since=since)  # the round before
         # both stars leave a forest of stars exactly when nothing changes any more
         now = live.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == tuple(now):

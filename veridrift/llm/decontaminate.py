@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridrift.llm.scratch import materialize
+from veridrift.llm.scratch import mark, materialize, sweep
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between words: ASCII but digits and lower-case letters.
@@ -182,8 +182,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
 
     A row's own text decides: rows with one id, or none, are judged apart by the digest of their text.
     """
+    since = mark()
     index, _, runs = occurrences(docs, benchmark, window)
     hit = index.where("at = 0").join(runs.select("row").distinct(), "row", "left_semi")
     found = materialize(hit.select(F.col("doc_id").alias("found_id"), F.col("digest").alias("found")).distinct(), "contaminated")
     same = docs["doc_id"].eqNullSafe(found["found_id"]) & (text_digest(docs["text"]) == found["found"])
-    return docs.join(near(found), same, "left_anti")
+    clean = docs.join(near(found), same, "left_anti")
+    sweep(docs.sparkSession, clean, since=since)
+    return clean

@@ -23,14 +23,13 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from veridrift.llm.batches import with_made
 from veridrift.llm.html_pages import CLUTTER_MARK, MARK, training_pages
 
 TRAINING_PAGES, SEED = 400, 11
@@ -364,12 +363,8 @@ def main_texts(pages: DataFrame, forest: Forest | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     forest = forest or trained()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for at in range(0, len(pdf), 200):
-                part = pdf.iloc[at : at + 200]
-                texts = extract(part["html"].tolist(), forest)
-                yield pd.DataFrame({"page_id": part["page_id"].to_numpy(), "url": part["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts]})
+    def work(pages: list[str | None]) -> list[list]:
+        texts = extract(pages, forest)
+        return [texts, [len(t) for t in texts]]
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    return with_made(pages, ["page_id", "url"], "html", "text string, n_chars long", work)

@@ -9,11 +9,15 @@ without that setting gets one of its own.
 from __future__ import annotations
 
 import atexit
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN = "/tmp/checkpoints/veridrift"
+#: The tables that are there, by path, with the order in which they were written.
+_TABLES: dict[str, int] = {}
+_ORDER = itertools.count()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,20 +49,36 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back with the same schema."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner drop the shuffle files of stages that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    df.write.option("compression", "zstd").parquet(path)
+    _TABLES[path] = next(_ORDER)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point in the order of tables, for ``sweep``."""
+    return next(_ORDER)
+
+
+def sweep(spark: SparkSession, *needed: DataFrame, since: int = 0) -> None:
+    """Remove the tables written after a ``mark`` (all by default) that no DataFrame in ``needed`` reads."""
+    read = {root for df in needed for root in roots(df)}
+    for path in [p for p, order in _TABLES.items() if order > since]:
+        if path.rsplit("/", 1)[1] not in read:
+            remove(spark, path)
+            del _TABLES[path]
+
+
+def roots(df: DataFrame) -> set[str]:
+    """Names of the folders and files that a DataFrame reads, however it was made from them."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found: set[str] = set()
+    for i in range(leaves.length()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths()
+            found |= {paths.apply(j).getName() for j in range(paths.length())}
+    return found
