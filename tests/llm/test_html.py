@@ -3,7 +3,7 @@ import random
 import pytest
 
 from veridrift.llm import html_extract as h
-from veridrift.llm.html_pages import MARK, training_pages
+from veridrift.llm.html_pages import training_pages
 
 PAGE = (
     '<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head><body>'
@@ -26,7 +26,7 @@ def test_held_out_pages():
     for page in pages:
         tree = h.parse(page)
         want = h.main_text(tree, h.training_labels(tree).astype(bool).tolist())
-        right += h.extract([page.replace(f" {MARK}", "")], h.trained())[0] == want
+        right += h.extract([h.unmarked(page)], h.trained())[0] == want
     assert right >= 0.95 * len(pages)
 
 

@@ -13,8 +13,8 @@ How it scales.  A map over the pages without shuffle or state; the model is a fe
 
 Edge cases.  A null or empty page has an empty text, and so has one without elements of text.
 Scripts, styles, comments, titles and other unseen parts never count.  Tags left open are closed
-where the next block, or the end, closes them; stray end tags are dropped, and a tag that never
-ends is dropped with what follows.  Text outside any element belongs to the page's body.  Repeated
+where the next block, or the end, closes them; stray end tags are dropped, and of a tag that never
+ends the name and its attributes.  Text outside any element belongs to the page's body.  Repeated
 rows come back as often.  An empty table gives an empty result.  Other columns are ignored.
 """
 
@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame
 from veridrift.llm.batches import with_made
 from veridrift.llm.html_pages import CLUTTER_MARK, MARK, training_pages
 
-TRAINING_PAGES, SEED = 400, 11
-TREES, DEPTH, RATE, CUTS = 60, 4, 0.2, 24
+TRAINING_PAGES, SEED = 900, 11
+TREES, DEPTH, RATE, CUTS = 90, 5, 0.2, 24
 
 # Elements by how HTML treats them
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style title noscript template iframe object svg math textarea select".split())
+RAW = frozenset("script style title textarea".split())
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var button".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -50,11 +52,12 @@ BAD = frozenset(
     "sidebar side related widget recommended trending cookie consent notice gdpr alert popup modal newsletter subscribe form login search signup contact "
     "share social tags pagination comment comments reply replies discussion disqus".split()
 )
-CLUTTER_TAGS = frozenset("nav menu footer header aside form fieldset".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+(?:>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<(?=[a-zA-Z/]).*\Z",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
+    # a tag that never ends: its name and whole attributes
+    r"|</?[a-zA-Z][^\s/><]*+(?:\s++[\w:-]++\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))*+",
     re.S,
 )
 ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -102,9 +105,10 @@ def parse(page: str | None) -> Tree:
             continue
         tag, closing = name.lower(), bool(m[1] or m[4])
         if tag in UNSEEN:
-            if not closing and not (m[3] or m[6] or "").endswith("/"):
+            # only foreign elements can close themselves; a script's unquoted address may end in a stroke
+            if not closing and not (tag in FOREIGN and (m[3] or m[6] or "").endswith("/")):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = end.end() if end else len(page) if tag in RAW else at
             continue
         if tag == "head" or tag in ("html", "body") and closing:
             continue
@@ -153,26 +157,46 @@ def attribute_scores(text: str) -> tuple[int, int]:
     return len(words & GOOD), len(words & BAD)
 
 
-FEATURES = len(GROUPS) + 18
+#: Elements of text whose inline elements aren't judged apart.
+HOLDS_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd #run".split()) | INLINE
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: How many numbers describe an element's text, and how many the element beside that.
+OF_TEXT, BESIDE = 9, 12
+FEATURES = len(GROUPS) + 3 * OF_TEXT + BESIDE
+
+
+#: Letters of its own that make any element one of text.
+SENTENCE = 40
+
+
+def tied(tree: Tree) -> list[bool]:
+    """Elements that go with their parent."""
+    holds = [t in HOLDS_TEXT for t in tree.tags]
+    for e, text in tree.flow:
+        if e >= 0 and len(text.strip()) >= SENTENCE:
+            holds[e] = True
+    return [i > 0 and t in INLINE and holds[tree.parents[i]] for i, t in enumerate(tree.tags)]
 
 
 def features(tree: Tree) -> np.ndarray:
-    """A row of features for each element."""
+    """A row of features for each element: its kind, its subtree's text and that of the two elements
+    around it, and its place."""
     n = len(tree.tags)
-    chars, marks, pieces, linked, elements = [0] * n, [0] * n, [0] * n, [0] * n, [1] * n
-    first = [0] * n
+    chars, marks, pieces, linked, elements, headings, prose = ([0] * n for _ in range(7))
+    elements = [1] * n
     total = 0
+    first = [0] * n
     in_link = [False] * n
-    depth, good_above, bad_above, clutter_above = [0] * n, [0] * n, [0] * n, [0] * n
+    depth, good_above, bad_above = [0] * n, [0] * n, [0] * n
     scores = [attribute_scores(a) if a else (0, 0) for a in tree.attributes]
-    siblings, alike, place, seen = [0] * n, [0] * n, [0] * n, {}
+    siblings, place, seen = [0] * n, [0] * n, {}
     for i in range(1, n):
         p = tree.parents[i]
         in_link[i] = in_link[p] or tree.tags[i] == "a"
         depth[i] = depth[p] + 1
         good_above[i] = good_above[p] + (scores[p][0] > 0 or tree.tags[p] in ("article", "main"))
         bad_above[i] = bad_above[p] + (scores[p][1] > 0)
-        clutter_above[i] = clutter_above[p] + (tree.tags[p] in CLUTTER_TAGS)
+        headings[i] = int(tree.tags[i] in HEADINGS)
         place[i] = siblings[p]
         siblings[p] += 1
         seen[p, tree.tags[i]] = seen.get((p, tree.tags[i]), 0) + 1
@@ -191,38 +215,55 @@ def features(tree: Tree) -> np.ndarray:
         marks[e] += text.count(".") + text.count(",") + text.count("?") + text.count("!")
         if in_link[e]:
             linked[e] += size
+        elif size >= SENTENCE:
+            prose[e] += size
     own = chars.copy()
     for i in range(n - 1, 0, -1):
         p = tree.parents[i]
-        for count in (chars, marks, pieces, linked, elements):
+        for count in (chars, marks, pieces, linked, elements, headings, prose):
             count[p] += count[i]
-    out = np.zeros((n, FEATURES))
+        if begun[i] and (not begun[p] or first[i] < first[p]):
+            begun[p], first[p] = True, first[i]
     g = len(GROUPS)
+    of_text = np.array(
+        [
+            (
+                math.log1p(c),
+                c / elements[i],
+                linked[i] / c if c else 0.0,
+                100 * marks[i] / c if c else 0.0,
+                c / pieces[i] if pieces[i] else 0.0,
+                c / total if total else 0.0,
+                math.log1p(prose[i]),
+                prose[i] / c if c else 0.0,
+                headings[i],
+            )
+            for i, c in enumerate(chars)
+        ]
+    )
+    parents = np.array(tree.parents).clip(0)
+    around = parents[parents]
+    out = np.zeros((n, FEATURES))
+    out[:, g : g + 3 * OF_TEXT] = np.hstack([of_text, of_text[parents], of_text[around]])
+    article = float("article" in tree.tags or "main" in tree.tags)
     for i in range(n):
         p = tree.parents[i]
         k = GROUP.get(tree.tags[i])
         if k is not None:
             out[i, k] = 1
-        c = chars[i]
-        out[i, g:] = (
-            math.log1p(c),
+        out[i, g + 3 * OF_TEXT :] = (
             math.log1p(own[i]),
-            c / elements[i],
-            linked[i] / c if c else 0.0,
-            100 * marks[i] / c if c else 0.0,
-            c / pieces[i] if pieces[i] else 0.0,
-            c / total if total else 0.0,
             first[i] / total if total else 0.0,
             depth[i],
             scores[i][0],
             scores[i][1],
             good_above[i],
             bad_above[i],
-            clutter_above[i],
             siblings[p] if p >= 0 else 0,
             seen[p, tree.tags[i]] if i else 0,
             place[i],
             GROUP.get(tree.tags[p], -1) if p >= 0 else -1,
+            article,
         )
     return out
 
@@ -289,7 +330,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Forest:
 
 
 def training_labels(tree: Tree) -> np.ndarray:
-    """1 for the main container, what holds it, and what it holds but clutter."""
+    """1 for the main container, what holds it, and what it holds but what is marked as clutter."""
     n = len(tree.tags)
     main = next(i for i in range(n) if MARK in tree.attributes[i])
     y = np.zeros(n)
@@ -298,35 +339,46 @@ def training_labels(tree: Tree) -> np.ndarray:
         y[i] = 1
         i = tree.parents[i]
     for i in range(main + 1, n):
-        clutter = tree.tags[i] in CLUTTER_TAGS or CLUTTER_MARK in tree.attributes[i] or attribute_scores(tree.attributes[i])[1] > 0
-        y[i] = y[tree.parents[i]] if tree.parents[i] >= main and not clutter else 0
+        y[i] = y[tree.parents[i]] if tree.parents[i] >= main and CLUTTER_MARK not in tree.attributes[i] else 0
     return y
 
 
+def unmarked(page: str) -> str:
+    return page.replace(f" {MARK}", "").replace(f" {CLUTTER_MARK}", "")
+
+
 @cache
 def trained(pages: int = TRAINING_PAGES, seed: int = SEED) -> Forest:
     xs, ys = [], []
     for page in training_pages(pages, seed):
         tree = parse(page)
         y = training_labels(tree)
-        tree.attributes = [a.replace(MARK, "") for a in tree.attributes]
-        xs.append(features(tree))
-        ys.append(y)
+        tree.attributes = [unmarked(a) for a in tree.attributes]
+        free = ~np.array(tied(tree))
+        free[0] = False
+        xs.append(features(tree)[free])
+        ys.append(y[free])
     return boost(np.concatenate(xs), np.concatenate(ys))
 
 
 def decode(tree: Tree, chance: np.ndarray) -> list[bool]:
-    """The likeliest labels in which clutter has no main text below; the body holds main text."""
+    """The likeliest labels in which clutter has no main text below; the body holds main text.
+
+    Inline elements of a text go with it.
+    """
     n = len(tree.tags)
     chance = chance.clip(1e-6, 1 - 1e-6)
     yes, no = np.log(chance).tolist(), np.log(1 - chance).tolist()
+    goes = tied(tree)
     for i in range(n - 1, 0, -1):
+        if goes[i]:
+            yes[i] = no[i] = 0.0
         p = tree.parents[i]
         yes[p] += max(yes[i], no[i])
         no[p] += no[i]
     keep = [True] * n
     for i in range(1, n):
-        keep[i] = keep[tree.parents[i]] and yes[i] >= no[i]
+        keep[i] = keep[tree.parents[i]] and (goes[i] or yes[i] >= no[i])
     return keep
 
 

@@ -2,7 +2,8 @@
 
 No page of the corpus is labelled, so the training pages are drawn from a grammar of layouts:
 menus, page headers, sidebars, notices, adverts, forms, comment threads and footers, by element
-or by attribute, around an article in one of several containers.  Text is invented.  Everything
+or by attribute, or told by nothing but their links and length, around an article in a named
+container, in a plain one, in a table cell or in the body itself.  Text is invented.  Everything
 follows from the seed.
 """
 
@@ -87,6 +88,9 @@ def _paragraph(r: random.Random) -> str:
 
 
 def _article(r: random.Random) -> str:
+    if r.random() < 0.06:  # hardly any text
+        line = _sentence(r, 1, 2)
+        return f"<h1>{line}</h1>" + r.choice(["", f"<p>{line}</p>", f"<p><b>{line}<br>", f"<p>{_sentence(r, 1, 3)}"])
     parts = [f"<h1>{_sentence(r)}</h1>"] if r.random() < 0.8 else []
     for _ in range(r.randint(1, 12)):
         kind = r.random()
@@ -107,7 +111,7 @@ def _article(r: random.Random) -> str:
 
 #: Marks the main container of a training page; it isn't seen by the features.
 MARK = "data-main"
-#: Marks clutter beside an article that has no container; it isn't seen by the features either.
+#: Marks what is clutter, and is all that the labels go by; it isn't seen by the features either.
 CLUTTER_MARK = "data-clutter"
 
 
@@ -124,24 +128,74 @@ def _loose(r: random.Random) -> str:
     return "".join(parts)
 
 
+def _marked(page: str, mark: str) -> str:
+    """The first element of a part with a mark; a part that begins with text gets one of its own."""
+    return re.sub(r"^<([a-z0-9]+)", rf"<\1 {mark}", page) if page.startswith("<") else f"<div {mark}>{page}</div>"
+
+
+def _plain(r: random.Random) -> str:
+    """Attributes that say nothing, or none."""
+    return r.choice(["", "", f' class="{r.choice("abcxyz")}{r.randint(1, 99)}"', f' class="col-{r.randint(1, 12)} {_word(r)}"', f' id="{_word(r)}"', ' style="margin:0"', f' class="{r.choice(["wrap", "inner", "row", "grid", "section", "block", "left", "center", "holder"])}"'])
+
+
+def _unnamed(r: random.Random) -> str:
+    """Clutter that neither its element nor a name tells: lines of links, short bits and imprints."""
+    inner = r.choice(
+        [
+            lambda: _links(r, 3, 9),
+            lambda: " ".join(f'<a href="/{_word(r)}">{_word(r)}</a>' for _ in range(r.randint(2, 7))),
+            lambda: f"&copy; {r.randint(1999, 2030)} {_word(r)}.example.com",
+            lambda: f"<p>{_links(r, 2, 5)}</p>",
+            lambda: f'<a href="/">{_word(r)}</a> <span>{_word(r)}</span>',
+        ]
+    )()
+    return f"<{(t := r.choice(['div', 'div', 'p', 'center']))}{_plain(r)}>{inner}</{t}>"
+
+
+def _headed(r: random.Random) -> str:
+    """The article's own header."""
+    more = r.choice(["", f"<p>{_sentence(r)}</p>", f"<h2>{_sentence(r, 2, 8)}</h2>", f"<div>{_sentence(r, 2, 6)}</div>"])
+    return f"<header{r.choice(['', _plain(r), ' class="entry-header"', ' class="post-header"'])}><h1>{_sentence(r)}</h1>{more}</header>"
+
+
 def make_page(r: random.Random) -> str:
-    tag, names = r.choice([("article", "post entry story"), ("article", "post entry"), ("main", "content main"), ("div", "content article post-body entry-content main-text story-body"), ("section", "content article story")])
-    inner = _article(r)
+    layout = r.choice(["named", "named", "named", "body", "plain", "table", "loose"])
+    if layout == "named":
+        tag, names = r.choice([("article", "post entry story"), ("article", "post entry"), ("main", "content main"), ("div", "content article post-body entry-content main-text story-body"), ("section", "content article story")])
+        open_ = f"<{tag}{_attr(r, names, always=tag in ('div', 'section'))}"
+    else:
+        tag = r.choice(["article", "main", "div", "div", "div", "section"]) if layout == "plain" else "td"
+        open_ = f"<{tag}{_plain(r)}"
+    inner = _loose(r) if layout == "loose" else _article(r)
+    if layout != "loose" and r.random() < 0.25:
+        inner = _headed(r) + inner.split("</h1>", 1)[-1]
+    if layout not in ("loose", "body") and r.random() < 0.12:  # paragraphs by breaks
+        inner = _loose(r)
     if r.random() < 0.25:  # clutter inside the article's container
-        inner += _clutter(r, r.choice(["ad", "share", "comments", "form", "sidebar", "notice"]))
-    body = f"<{tag}{_attr(r, names, always=tag in ('div', 'section'))} {MARK}>{inner}</{tag}>"
-    if r.random() < 0.25:
-        body = f"<div{_attr(r, 'wrapper container page layout row')}>{body}</div>"
-    before = [_clutter(r, k) for k in ("header", "menu", "notice", "ad", "form") if r.random() < 0.45]
-    after = [_clutter(r, k) for k in ("sidebar", "comments", "ad", "share", "form", "footer") if r.random() < 0.45]
+        inner += _marked(_clutter(r, r.choice(["ad", "share", "comments", "form", "sidebar", "notice"])), CLUTTER_MARK)
+    some = lambda kinds: [_marked(_clutter(r, k), CLUTTER_MARK) for k in kinds if r.random() < 0.45]
+    before = some(("header", "menu", "notice", "ad", "form"))
+    after = some(("sidebar", "comments", "ad", "share", "form", "footer"))
+    before += [_marked(_unnamed(r), CLUTTER_MARK) for _ in range(2) if r.random() < 0.2]
+    after += [_marked(_unnamed(r), CLUTTER_MARK) for _ in range(2) if r.random() < 0.2]
     r.shuffle(before)
-    whole = r.random() < 0.2
-    if whole:
-        body = _loose(r)
-        before, after = ([re.sub(r"^<([a-z0-9]+)", rf"<\1 {CLUTTER_MARK}", x) for x in xs] for xs in (before, after))
-    elif r.random() < 0.15:  # a loose line that is clutter
+    if layout in ("loose", "body"):
+        return _page(r, f" {MARK}", "".join(before) + inner + "".join(after))
+    if layout == "table":
+        cells = [f"<td{_plain(r)} {CLUTTER_MARK}>{''.join(x)}</td>" if x else "" for x in (before[:1], after[:1])]
+        body = f"<table{_plain(r)}><tr>{cells[0]}{open_} {MARK}>{inner}</td>{cells[1]}</tr></table>"
+        before, after = before[1:], after[1:]
+    else:
+        body = f"{open_} {MARK}>{inner}</{tag}>"
+    for _ in range(r.choice([0, 0, 0, 1, 1, 2])):
+        body = f"<div{r.choice([_plain(r), _attr(r, 'wrapper container page layout row')])}>{body}</div>"
+    if r.random() < 0.15:  # a loose line that is clutter
         after.append(r.choice([f"&copy; {_word(r)}.example.com", f"{_word(r)} | {_word(r)} | {_word(r)}", f"<br>&copy; {_sentence(r, 1, 4)}"]))
-    return f"<!DOCTYPE html><html><head><title>{_sentence(r)}</title></head><body{f' {MARK}' if whole else ''}>{''.join(before)}{body}{''.join(after)}</body></html>"
+    return _page(r, "", "".join(before) + body + "".join(after))
+
+
+def _page(r: random.Random, attributes: str, body: str) -> str:
+    return f"<!DOCTYPE html><html><head><title>{_sentence(r)}</title></head><body{attributes}>{body}</body></html>"
 
 
 def training_pages(n: int, seed: int) -> list[str]:
