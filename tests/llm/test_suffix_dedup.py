@@ -125,9 +125,28 @@ def test_suffix_order():
 def test_collisions_are_found(monkeypatch):
     """With a hash that says everything is equal, the bytes still decide."""
     data = np.frombuffer(("".join(f"{i:050d}" for i in (1, 2, 1, 3, 2))).encode(), dtype=np.uint8)
-    seg, string = np.arange(5), np.zeros(5, dtype=np.int64)
-    cells = np.concatenate(s.single_strings(data, seg, string, np.arange(5) * 50, np.zeros(5, dtype=np.uint64), np.arange(5), 50))
-    assert sorted(cells[:, 0].tolist()) == [2, 4]
+    monkeypatch.setattr(s.Hashes, "part", lambda self, start, length: np.zeros(len(start), dtype=np.uint64))
+    one = np.zeros(5, dtype=np.int64)
+    runs = s.equal_runs(data, np.arange(5) * 50, one + 50, one, s.Hashes(data))
+    assert np.flatnonzero(s.later(*runs, np.arange(5))).tolist() == [2, 4]
+
+
+def test_matches_come_from_the_suffix_order(monkeypatch):
+    """A wrong order loses them."""
+    rows = corpus(5)
+    assert local(rows, 900) == brute(rows)
+    monkeypatch.setattr(s, "suffix_order", lambda data, start, length, group, h=None: np.lexsort((np.arange(len(start)) * 7919 % 10007, group)))
+    assert local(rows, 900) != brute(rows)
+
+
+def test_minimizer_places():
+    r = random.Random(8)
+    data = np.frombuffer("".join(r.choice("ab ") for _ in range(3000)).encode(), dtype=np.uint8)
+    start, strings, key = s.segments(data, np.array([1200, 3000]))
+    h = s.Hashes(data)
+    place = s.minimizer_places(h, start, strings + 49, key)
+    assert (place >= strings - 1).all() and (place <= s.LENGTH - s.GRAM).all()
+    assert (s.mixed(h.part(start + place, s.GRAM)) >> np.uint64(24) == key).all()
 
 
 def test_empty_table(spark):

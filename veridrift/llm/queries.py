@@ -124,6 +124,20 @@ found AS (SELECT doc_id, count(*) AS n, sha256(string_agg(item_id, ',' ORDER BY
 SELECT d.doc_id, len(w)::bigint AS n_words, coalesce(covered.n, 0)::bigint AS n_hit, coalesce(found.n, 0)::bigint AS n_items,
   coalesce(h, sha256('')) AS items_sha256, covered.n IS NOT NULL AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op6_suffix_array": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, id, k, substr(h, 2 * k + 1, 100) AS w FROM (SELECT r, id, h, unnest(range(0, len(h) // 2 - 49)) AS k FROM d WHERE len(h) >= 100)),
+f AS (SELECT w, min(id) AS least FROM s GROUP BY w),
+g AS (SELECT r, k, lag(k) OVER (PARTITION BY r ORDER BY k) AS before FROM s JOIN f USING (w) WHERE id > least),
+u AS (SELECT r, min(k) AS a, max(k) + 50 AS b FROM (
+  SELECT r, k, sum(CASE WHEN k <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY k) AS run FROM g) GROUP BY r, run),
+p AS (SELECT r, a, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS low, a AS high FROM u
+  UNION ALL SELECT r, 9223372036854775807, coalesce(max(b), 0), max(len(h) // 2) FROM d LEFT JOIN u USING (r) GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, 2 * low + 1, 2 * (high - low)), '' ORDER BY a) AS x FROM p JOIN d USING (r) GROUP BY r),
+n AS (SELECT r, sum(b - a)::bigint AS n_removed, count(*) AS n_spans FROM u GROUP BY r)
+SELECT doc_id, (len(h) // 2)::bigint AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans,
+  sha256(unhex(x)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN n USING (r)""",
     "op7_warc": """
 WITH p AS (SELECT page_id, url, strlen(coalesce(html, ''))::bigint AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS least FROM p WHERE payload_bytes >= 100 GROUP BY 1)

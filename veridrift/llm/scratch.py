@@ -9,8 +9,10 @@ without that setting gets one of its own.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import itertools
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,14 +52,34 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back with the same schema."""
+    """Write ``df`` once to the shared folder and read it back with the same schema.
+
+    The table takes the place of the shuffle files of its query, which are removed.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _TABLES[path] = next(_ORDER)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Remove the shuffle files of the queries inside, unless others ran beside them.
+
+    Files that something still wants, such as a lost block of a cached table, are made again.
+    """
+    sc = spark.sparkContext
+    alone = lambda: not sc.statusTracker().getActiveJobsIds()
+    quiet, context = alone(), sc._jsc.sc()
+    before = context.newShuffleId()
+    yield
+    if quiet and alone() and context.cleaner().isDefined():
+        for i in range(before + 1, context.newShuffleId()):
+            context.cleaner().get().doCleanupShuffle(i, False)
+
+
 def mark() -> int:
     """A point in the order of tables, for ``sweep``."""
     return next(_ORDER)

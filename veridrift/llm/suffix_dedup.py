@@ -6,24 +6,26 @@ smaller id.  Strings are judged on the input, and never cross documents.
 Every string of ``length`` bytes has one minimizer: of the grams in it the one with the least
 hash.  Equal strings have equal minimizers at equal places, so strings meet by the hash of the
 minimizer, and neighbouring strings with one minimizer travel as one segment, a few dozen bytes.
-Where segments meet they are suffix-sorted: two are compared by prefix polynomial hashes, with a
-binary search for their longest common extension, in a merge sort that works on all groups at
-once.  Segments that the order puts together as equal are verified byte by byte; all but those of
-the smallest document go as a whole.  Of the others, single strings are compared by hash, and
-each that is found in a smaller document is verified as well.
+Where segments meet, the suffixes that start in them are sorted: two are compared by prefix
+polynomial hashes, with a binary search for their longest common extension, in a merge sort that
+works on all groups at once.  Neighbours in that order whose common extension is as long as a
+string (first: as whole segments of equal length) are one run, verified byte by byte, and what
+stands in a larger document than the smallest of its run goes.  Whole segments that go are out
+before single strings are sorted, so copies are cheap.
 
 Stages:
 1. Documents are packed into blocks as they are read, without a shuffle.
 2. Each block names its minimizer hashes, once each; those of two blocks or more come back.
-3. Each block sends segments of shared minimizers.  Of equal segments in a block only those of the
-   smallest document are sent: the others are decided there, so a line or a text that stands in
-   very many documents counts once for each block.
+3. Each block sorts and sends segments of shared minimizers.  Of equal segments in a block only
+   those of the smallest document are sent: the others are decided there, so a line or a text that
+   stands in very many documents counts once for each block.
 4. Where segments meet, the strings to go are named by block and place.
 5. Each block cuts them out.
 
 How it scales.  Hashes and segments move as packed arrays, split by hash over as many tasks as
 the input needs (``PART_BYTES`` of text for each); a task holds its own part only.  No pairs of
-documents are ever made.  Shuffle files of a stage are released before the next.
+documents are ever made.  Shuffle files go when the table of their stage is written, and tables
+when the next stages don't read them.
 
 Edge cases.  A null text has no bytes.  A null id is larger than every other, and equal ids (null
 or repeated) are never smaller than one another, so repeated rows of one id don't remove each
@@ -42,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridrift.llm.scratch import materialize, release
+from veridrift.llm.scratch import mark, materialize, sweep
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a block (a longer document is a block), and handled at once in it.
@@ -178,10 +180,10 @@ def common_extension(h: Hashes, a: np.ndarray, b: np.ndarray, most: np.ndarray)
         high = np.where(open_ & ~same, middle - 1, high)
 
 
-def suffix_order(data: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray) -> np.ndarray:
+def suffix_order(data: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray, h: Hashes | None = None) -> np.ndarray:
     """The order of suffixes (of bounded length) by group, then bytes: a merge sort of all groups at
     once, whose comparisons go by the longest common extension."""
-    h = Hashes(data)
+    h = h or Hashes(data)
     order = np.argsort(group, kind="stable")
     sorted_group = group[order]
     first = np.flatnonzero(np.concatenate(([True], sorted_group[1:] != sorted_group[:-1]))) if len(order) else np.zeros(0, int)
@@ -225,6 +227,56 @@ def suffix_order(data: np.ndarray, start: np.ndarray, length: np.ndarray, group:
     return order
 
 
+def equal_runs(data: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray, h: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(order, run): the suffix order, and along it the number of each run of equal ones.
+
+    Neighbours are equal if their longest common extension is all of both.  If the bytes say
+    otherwise, hashes have collided, and the bytes themselves are sorted.
+    """
+    order = suffix_order(data, start, length, group, h)
+    if not len(order):
+        return order, order
+    a, b = order[:-1], order[1:]
+    same = (group[a] == group[b]) & (length[a] == length[b])
+    x, y = a[same], b[same]
+    same[same] = common_extension(h, start[x], start[y], length[x]) == length[x]
+    x, y = a[same], b[same]
+    if not equal_bytes(data, start[x], start[y], length[x]).all():
+        texts = [data[i : i + n].tobytes() for i, n in zip(start.tolist(), length.tolist(), strict=True)]
+        order = np.array(sorted(range(len(start)), key=lambda i: (group[i], texts[i])))
+        same = np.array([group[i] == group[j] and texts[i] == texts[j] for i, j in zip(order[:-1], order[1:], strict=True)], dtype=bool)
+    return order, np.concatenate(([0], np.cumsum(~same)))
+
+
+def later(order: np.ndarray, run: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which ones stand in a larger document than the smallest of their run."""
+    out = np.zeros(len(doc), dtype=bool)
+    if len(order):
+        least = np.full(run[-1] + 1, NO_ID)
+        np.minimum.at(least, run, doc[order])
+        out[order] = doc[order] > least[run]
+    return out
+
+
+def minimizer_places(h: Hashes, start: np.ndarray, nbytes: np.ndarray, key: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Where in each segment its minimizer starts: the last of its grams with that hash."""
+    grams = nbytes - gram + 1
+    seg = np.repeat(np.arange(len(start)), grams)
+    first = np.cumsum(grams) - grams
+    place = np.arange(len(seg)) - first[seg]
+    values = mixed(h.part(start[seg] + place, gram)) >> np.uint64(24)
+    return np.maximum.reduceat(np.where(values == key[seg], place, -1), first)
+
+
+def numbered_groups(*columns: np.ndarray) -> np.ndarray:
+    """A number for each different row of the columns."""
+    out = np.zeros(len(columns[0]), dtype=np.int64)
+    for c in columns:
+        _, n = np.unique(c, return_inverse=True)
+        out = out * (int(n.max(initial=0)) + 1) + n
+    return out
+
+
 def repeated(data: np.ndarray, start: np.ndarray, strings: np.ndarray, key: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(whole, cells): segments to go as a whole, and (segment, string) of single strings to go.
 
@@ -235,16 +287,10 @@ def repeated(data: np.ndarray, start: np.ndarray, strings: np.ndarray, key: np.n
     none = np.zeros((0, 2), dtype=np.int64)
     if not n:
         return whole, none
+    h = Hashes(data)
     nbytes = strings + length - 1
-    order = suffix_order(data, start, nbytes, key)
-    a, b = order[:-1], order[1:]
-    same = (key[a] == key[b]) & (nbytes[a] == nbytes[b])
-    same[same] = equal_bytes(data, start[a[same]], start[b[same]], nbytes[a[same]])
-    label = np.zeros(n, dtype=np.int64)
-    label[1:] = np.cumsum(~same)
-    least = np.full(label[-1] + 1, NO_ID)
-    np.minimum.at(least, label, doc[order])
-    whole[order] = doc[order] > least[label]
+    place = minimizer_places(h, start, nbytes, key)
+    whole = later(*equal_runs(data, start, nbytes, numbered_groups(key, place), h), doc)
 
     # what is left, where a minimizer has it in two documents or more
     rest = np.flatnonzero(~whole)
@@ -257,30 +303,9 @@ def repeated(data: np.ndarray, start: np.ndarray, strings: np.ndarray, key: np.n
         return whole, none
     seg = np.repeat(rest, strings[rest])
     string = np.arange(len(seg)) - np.repeat(np.cumsum(strings[rest]) - strings[rest], strings[rest])
-    at = start[seg] + string
-    values = Hashes(data).part(at, length)
-    return whole, np.concatenate([none, *single_strings(data, seg, string, at, values, doc, length)])
-
-
-def single_strings(data, seg, string, at, values, doc, length) -> list[np.ndarray]:
-    """Strings that an equal one in a smaller document makes go.
-
-    Strings with equal hashes are held against that of the smallest document, byte by byte;
-    those that differ from it, if ever, are judged again among themselves.
-    """
-    out = []
-    while len(at):
-        order = np.lexsort((doc[seg], values))
-        v = values[order]
-        first = np.concatenate(([True], v[1:] != v[:-1]))
-        head = order[np.maximum.accumulate(np.where(first, np.arange(len(v)), 0))]
-        later = doc[seg[order]] > doc[seg[head]]
-        mine, source = order[later], head[later]
-        same = equal_bytes(data, at[mine], at[source], np.full(len(mine), length))
-        out.append(np.stack([seg[mine[same]], string[mine[same]]], axis=1))
-        again = mine[~same]
-        seg, string, at, values = seg[again], string[again], at[again], values[again]
-    return out
+    group = numbered_groups(key[seg], place[seg] - string)
+    goes = later(*equal_runs(data, start[seg] + string, np.full(len(seg), length), group, h), doc[seg])
+    return whole, np.stack([seg[goes], string[goes]], axis=1)
 
 
 BLOCKS = "block long, ids binary, sizes binary, data binary"
@@ -410,15 +435,9 @@ def one_block(block: int, known: list[bytes], ids: np.ndarray, ends: np.ndarray,
         return []
     # equal segments in the block: all but those of the smallest document are decided here
     nbytes = strings + LENGTH - 1
-    value = Hashes(data).part(start, nbytes)
-    order = np.lexsort((doc, nbytes, value, key))
-    first = np.ones(len(order), dtype=bool)
-    a, b = order[:-1], order[1:]
-    first[1:] = (value[a] != value[b]) | (key[a] != key[b]) | (nbytes[a] != nbytes[b])
-    head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-    later = doc[order] > doc[head]
-    mine, source = order[later], head[later]
-    gone = mine[equal_bytes(data, start[mine], start[source], nbytes[mine])]
+    h = Hashes(data)
+    group = numbered_groups(key, minimizer_places(h, start, nbytes, key))
+    gone = np.flatnonzero(later(*equal_runs(data, start, nbytes, group, h), doc))
     rows: list[tuple] = []
     if len(gone):
         rows.append((-1, block, None, None, start[gone].astype("<i4").tobytes(), strings[gone].astype("<i4").tobytes(), None))
@@ -505,19 +524,17 @@ def cut_out(blocks: DataFrame, cuts: DataFrame, parts: int, id_type: str) -> Dat
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Bytes removed and kept of every row of (doc_id, text); the columns of ``RESULT``."""
     spark = docs.sparkSession
+    since = mark()
     blocks = materialize(make_blocks(docs), "blocks")
     total = blocks.agg(F.sum(F.length("data"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     keys = materialize(shared_keys(blocks, parts), "keys")
-    release(spark)
-    sent = send_segments(blocks, keys, parts)
     # Part -1, which a block decided by itself, goes on as it is.
-    sent = materialize(sent, "segments")
-    release(spark)
+    sent = materialize(send_segments(blocks, keys, parts), "segments")
     own = sent.where("part = -1").select("block", own_cuts("places", "strings").alias("cuts"))
     met = decide(sent.where("part >= 0").repartition(parts, "part"), parts)
     cuts = materialize(met.union(own), "cuts")
-    release(spark)
+    sweep(spark, docs, blocks, cuts, since=since)
     return cut_out(blocks, cuts, parts, docs.schema["doc_id"].dataType.simpleString())
 
 
