@@ -70,11 +70,11 @@ MUTATIONS = {
     "mean_quality": lambda d: d["strategies"]["ready_v3_top1"].update(mean_quality=d["strategies"]["ready_v3_top1"]["mean_quality"] + 0.1),
     "quality range": _row(selected_quality=float("nan")),
     "regret": _row(regret=0.9),
-    "inconsistent group count": lambda d: d["strategies"]["direct"].update(groups=4),
-    "different prompt groups": _other_group,
-    "same asset quality": _drift,
+    "declared number of groups": lambda d: d["strategies"]["direct"].update(groups=4),
+    "not every strategy covers": _other_group,
+    "several qualities": _drift,
     "exactly the known strategies": lambda d: d["strategies"].pop("direct"),
-    "missing strategy records": lambda d: d.update(group_results=d["group_results"][3:]),
+    "rows of strategies that": lambda d: d.update(group_results=d["group_results"][3:]),
 }
 
 
@@ -104,8 +104,8 @@ def _base_rate(d):
 
 FINAL = {
     "final mean difference": lambda d: d["lora_summary"].update(mean_q=0.725),
-    "invalid final confidence interval": lambda d: d["paired_bootstrap"].update(ci95_low=0.3),
-    "frozen final decision changed": lambda d: d.update(decision="deploy"),
+    "interval of the final difference": lambda d: d["paired_bootstrap"].update(ci95_low=0.3),
+    "final decision": lambda d: d.update(decision="deploy"),
     "invalid final pass_rate": _base_rate,
     "64 groups": lambda d: d["base_summary"].update(groups=63),
 }
@@ -152,7 +152,7 @@ def test_audit_end_to_end(spark, tmp_path, capsys):
     assert list(said) == ["status", "scope", "stage1_groups", "stage1_recomputed_mean_quality", "final_decision", "final_bootstrap_recomputed", "final_raw_group_records_in_repository", "showcase_assets_verified"]
 
 
-@pytest.mark.parametrize(("change", "message"), [({"glb_sha256": "0" * 64}, "checksum mismatch"), ({"glb": "../x"}, "escapes repository"), ({"preview": "none.png"}, "missing")])
+@pytest.mark.parametrize(("change", "message"), [({"glb_sha256": "0" * 64}, "checksum mismatch"), ({"glb": "../x"}, "leaves the root"), ({"preview": "none.png"}, "missing")])
 def test_asset_failures(spark, tmp_path, capsys, change, message):
     root, asset = files(tmp_path)
     assert run(spark, tmp_path, root, [asset | change]) == 1
@@ -173,12 +173,28 @@ def test_containment(spark, tmp_path, path, out):
     assert df.select(manifest.escapes(df.path)).first()[0] is out
     if not path.startswith("C:"):
         if out:
-            with pytest.raises(ValueError, match="escapes"):
+            with pytest.raises(ValueError, match="leaves"):
                 manifest.resolve_inside(tmp_path, path)
         else:
             assert manifest.resolve_inside(tmp_path, path).is_relative_to(tmp_path.resolve())
 
 
+def test_links_out_of_the_root_are_found(spark, tmp_path, capsys):
+    root, asset = files(tmp_path)
+    (tmp_path / "outside").mkdir()
+    (tmp_path / "outside" / "a.glb").write_bytes(b"model")
+    (root / "link").symlink_to(tmp_path / "outside")
+    assert run(spark, tmp_path, root, [asset | {"glb": "link/a.glb"}]) == 1
+    assert "leaves the root" in capsys.readouterr().err
+
+
+def test_other_errors_are_not_swallowed(spark, tmp_path, monkeypatch):
+    root, asset = files(tmp_path)
+    monkeypatch.setattr(report, "assemble", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        run(spark, tmp_path, root, [asset])
+
+
 def test_hash_list(spark, tmp_path):
     root, asset = files(tmp_path)
     (tmp_path / "SUMS").write_text(f"{asset['glb_sha256']}  a.glb\n{'0' * 64}  a.png\n{'1' * 64}  gone\n")

@@ -28,6 +28,9 @@ METRICS = (
     ("qualified_rate", "qualified"),
     ("technical_valid_rate", "technically_valid"),
 )
+# Message parts that tests of such records look for
+DUPLICATES, RANGE, MEAN_DIFFERENCE = "duplicate or missing", "quality range", "final mean difference"
+
 ORDER = ("phase", "strategy_pos", "step", "row_pos", "item")
 VIOLATION = (*ORDER, "check", "subject", "message")
 
@@ -106,27 +109,34 @@ def declared_against_recomputed(rows: DataFrame, aggregates: DataFrame, metrics=
 
 def check_evaluation(doc: DataFrame, strategies=STRATEGIES, exact_assets: bool = True) -> DataFrame:
     """Every violation of a strategy evaluation."""
-    spark = doc.sparkSession
-    expected = spark.createDataFrame([(s,) for s in strategies], "strategy string")
-    named, rows = declared(doc), group_rows(doc)
+    return check_rows(declared(doc), group_rows(doc), strategies, exact_assets)
+
+
+def check_rows(named: DataFrame, rows: DataFrame, strategies=STRATEGIES, exact_assets: bool = True, metrics=METRICS) -> DataFrame:
+    """Every violation of an evaluation in two tables, of any size.
+
+    ``named``: (groups, strategy_pos, strategy, d) with the declared aggregates in ``d``; ``rows``:
+    the group results with ``row_pos``.
+    """
+    expected = named.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in strategies])).alias("strategy"))
     placed = rows.join(named.select("strategy", "strategy_pos"), "strategy")
     say = F.concat
     found = [
         _violation(set_difference(named, expected, "strategy"), 1, "key_set", say(F.lit("expected exactly the known strategies: "), "strategy", F.lit(" is "), "side"), subject=F.col("strategy")),
-        _violation(set_difference(rows, expected, "strategy"), 2, "row_set", say(F.lit("unexpected or missing strategy records: "), "strategy", F.lit(" is "), "side"), subject=F.col("strategy")),
+        _violation(set_difference(rows, expected, "strategy"), 2, "row_set", say(F.lit("rows of strategies that aren't as expected: "), "strategy", F.lit(" is "), "side"), subject=F.col("strategy")),
     ]
     counts = rows.groupBy("strategy").agg(F.count("*").alias("rows"), F.count_distinct(F.col("group_id")).alias("found"))
     held = named.join(counts, "strategy", "left").fillna(0, ["rows", "found"])
     at = {"strategy": F.col("strategy_pos"), "subject": F.col("strategy")}
     found += [
-        _violation(held.where((F.col("rows") != F.col("found")) | ~holds(F.col("found") == F.col("groups"))), 3, "uniqueness", say("strategy", F.lit(": duplicate or missing groups")), step=1, **at),
-        _violation(held.where(~holds(F.col("d.groups") == F.col("found"))), 3, "declared_count", say("strategy", F.lit(": inconsistent group count")), step=2, **at),
+        _violation(held.where((F.col("rows") != F.col("found")) | ~holds(F.col("found") == F.col("groups"))), 3, "uniqueness", say("strategy", F.lit(f": {DUPLICATES} groups")), step=1, **at),
+        _violation(held.where(~holds(F.col("d.groups") == F.col("found"))), 3, "declared_count", say("strategy", F.lit(": declared number of groups differs")), step=2, **at),
     ]
     q, best = number(F.col("selected_quality")), number(F.col("optimal_quality"))
     in_range = within(q) & within(best) & dominated(q, best)
     inside = {"step": 3, "row": F.col("row_pos"), **at}
     found += [
-        _violation(placed.where(~in_range), 3, "quality_range", say("strategy", F.lit(": invalid quality range")), item=1, **inside),
+        _violation(placed.where(~in_range), 3, "quality_range", say("strategy", F.lit(f": invalid {RANGE}")), item=1, **inside),
         _violation(placed.where(~close(number(F.col("regret")), best - q)), 3, "regret", say("strategy", F.lit(" regret: isn't the optimal less the selected quality")), item=2, **inside),
     ]
     assets = placed.select(
@@ -137,19 +147,24 @@ def check_evaluation(doc: DataFrame, strategies=STRATEGIES, exact_assets: bool =
         drift = asset_drift(assets, ["group_id", "sample_id"], "value", ["strategy_pos", "row_pos", "item"])
     else:
         drift = assets.join(asset_drift(assets, ["group_id", "sample_id"], "value").select("group_id", "sample_id"), ["group_id", "sample_id"], "left_semi")
-    found.append(_violation(drift, 3, "same_asset", say(F.lit("same asset quality: "), "sample_id", F.lit(" differs")), item=F.col("item"), **inside))
+    found.append(_violation(drift, 3, "same_asset", say(F.lit("asset with several qualities: "), "sample_id"), item=F.col("item"), **inside))
     aggregates = named.select("strategy", "strategy_pos", "d.*")
-    cells = declared_against_recomputed(rows, aggregates).where("strategy_pos is not null")
+    cells = declared_against_recomputed(rows, aggregates, metrics).where("strategy_pos is not null")
     wrong = cells.where(~close(F.col("declared"), F.col("recomputed")))
     found.append(_violation(wrong, 3, "declared_mean", say("strategy", F.lit(" "), "metric", F.lit(": isn't the mean of its rows")), step=4, item=F.col("item"), **at))
     cover = different_cover(rows.join(named.select("strategy"), "strategy", "left_semi"), "strategy", "group_id")
-    found.append(_violation(cover, 4, "coverage", say(F.lit("strategies use different prompt groups: "), "group_id"), subject=F.col("group_id")))
+    found.append(_violation(cover, 4, "coverage", say(F.lit("not every strategy covers group "), "group_id"), subject=F.col("group_id")))
     return reduce(DataFrame.unionByName, found)
 
 
 def recomputed_means(doc: DataFrame) -> DataFrame:
     """One row: map of strategy to mean selected quality, from the group rows."""
-    means = group_rows(doc).groupBy("strategy").agg(F.avg("selected_quality").alias("mean"))
+    return means_of(group_rows(doc))
+
+
+def means_of(rows: DataFrame) -> DataFrame:
+    """One row: map of strategy to mean selected quality."""
+    means = rows.groupBy("strategy").agg(F.avg("selected_quality").alias("mean"))
     return means.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("strategy", "mean")))).alias("means"))
 
 
@@ -167,9 +182,9 @@ def check_final(doc: DataFrame, groups: int = FINAL_GROUPS, decision: str = FINA
         [
             _violation(doc.where(~sized), 1, "final_groups", F.lit(f"expected {groups} groups in both arms")),
             _violation(rates.where(~within(F.col("value"))), 2, "final_rate", F.concat(F.lit("invalid final "), "metric"), item=F.col("item"), subject=F.col("metric")),
-            _violation(doc.where(~difference), 3, "final_difference", F.lit("final mean difference: isn't the difference of the means")),
-            _violation(doc.where(~interval), 4, "final_interval", F.lit("invalid final confidence interval")),
-            _violation(doc.where(~holds(F.col("decision") == decision)), 5, "final_decision", F.lit("frozen final decision changed")),
+            _violation(doc.where(~difference), 3, "final_difference", F.lit(f"{MEAN_DIFFERENCE}: isn't that of the means")),
+            _violation(doc.where(~interval), 4, "final_interval", F.lit("interval of the final difference is invalid")),
+            _violation(doc.where(~holds(F.col("decision") == decision)), 5, "final_decision", F.lit("final decision isn't the recorded one")),
         ],
     )
 

@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 
 KINDS = ("glb", "preview")
 
+# Fixed value: a message part that tests of such manifests look for
+MISMATCH = "checksum mismatch"
+
 
 def flatten_assets(doc: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """(asset, kind, path, sha256): a row for each file of each asset."""
-    assets = doc.select(F.posexplode("assets").alias("asset", "a"))
-    cells = [F.struct(F.lit(k).alias("kind"), F.col(f"a.{k}").alias("path"), F.lower(F.col(f"a.{k}_sha256")).alias("sha256")) for k in kinds]
+    return files_of(doc.select(F.posexplode("assets").alias("asset", "a")).select("asset", "a.*"), kinds)
+
+
+def files_of(assets: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """(asset, kind, path, sha256) of assets in a table, of any size."""
+    cells = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("path"), F.lower(F.col(f"{k}_sha256")).alias("sha256")) for k in kinds]
     return assets.select("asset", F.inline(F.array(*cells)))
 
 
@@ -33,7 +40,7 @@ def resolve_inside(root: Path, relative: str) -> Path:
     """The path with its links resolved; raises where that isn't below ``root``."""
     path = (root / relative).resolve()
     if not path.is_relative_to(root.resolve()):
-        raise ValueError(f"asset path escapes repository: {relative}")
+        raise ValueError(f"asset path leaves the root: {relative}")
     return path
 
 
@@ -52,9 +59,9 @@ def file_status(manifest: DataFrame, digests: DataFrame) -> DataFrame:
 def manifest_violations(statuses: DataFrame) -> DataFrame:
     """Messages for what isn't ok."""
     said = (
-        F.when(F.col("status") == "escapes", F.lit("asset path escapes repository"))
+        F.when(F.col("status") == "escapes", F.concat(F.lit("asset path leaves the root: "), F.coalesce("path", F.lit("none"))))
         .when(F.col("status") == "missing", F.concat(F.lit("asset is missing: "), "path"))
-        .otherwise(F.concat(F.lit("asset checksum mismatch: "), "path"))
+        .otherwise(F.concat(F.lit(f"asset {MISMATCH}: "), "path"))
     )
     return statuses.where("status != 'ok'").select("path", "status", said.alias("message"))
 

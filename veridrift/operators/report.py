@@ -7,6 +7,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors.exceptions.captured import CapturedException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +21,15 @@ class AuditFailure(ValueError):
 
 
 def assemble(evaluation: DataFrame, final: DataFrame, n_assets: int) -> DataFrame:
-    """One row with the status, scope, recomputed means and what was not redone."""
-    return evaluation.select("groups").crossJoin(checks.recomputed_means(evaluation)).crossJoin(final.select("decision")).select(
-        F.lit("passed").alias("status"),
+    """The report of records whose checks have all passed."""
+    passed = evaluation.select(F.lit("passed").alias("status"))
+    return summary(evaluation.select("groups"), checks.recomputed_means(evaluation), final.select("decision"), n_assets, passed)
+
+
+def summary(groups: DataFrame, means: DataFrame, final: DataFrame, n_assets: int, status: DataFrame) -> DataFrame:
+    """One row with the status, scope, recomputed means and what was not redone, from one-row tables."""
+    return groups.crossJoin(means).crossJoin(final).crossJoin(status).select(
+        F.col("status"),
         F.lit("consistency of records and checksums of assets; no model inference").alias("scope"),
         F.col("groups").alias("stage1_groups"),
         F.col("means").alias("stage1_recomputed_mean_quality"),
@@ -42,7 +50,11 @@ def audit(spark: SparkSession, evaluation: str, final: str, assets: str | None =
     n = 0
     if assets:
         doc = read_record(spark, assets, "asset_manifest")
-        status = manifest.file_status(manifest.flatten_assets(doc), read_digests(spark, root))
+        listed = manifest.flatten_assets(doc)
+        if not root or "://" not in root:  # links can be followed where the files are local
+            for r in listed.select("path").where("path is not null").distinct().toLocalIterator():
+                contained(Path(root or "."), r["path"])
+        status = manifest.file_status(listed, read_digests(spark, root))
         row = manifest.manifest_violations(status).orderBy("path").first()
         if row:
             raise AuditFailure(row["message"])
@@ -50,17 +62,29 @@ def audit(spark: SparkSession, evaluation: str, final: str, assets: str | None =
     return assemble(first, last, n)
 
 
+def contained(root: Path, path: str) -> None:
+    """Raise where a path, its links followed, isn't below ``root``."""
+    try:
+        manifest.resolve_inside(root, path)
+    except ValueError as error:
+        raise AuditFailure(str(error)) from None
+
+
 def pretty(report: DataFrame) -> str:
     """Indented JSON of a one-row report, other scripts kept."""
     return json.dumps(json.loads(report.toJSON().first()), indent=2, ensure_ascii=False)
 
 
 def run_audit(spark: SparkSession, **paths: str) -> int:
-    """Print the report and return 0, or the failure on standard error and 1."""
+    """Print the report and return 0, or the failure on standard error and 1.
+
+    Failures are violations, records that can't be read or don't fit their schema, and files that
+    aren't there; any other error goes on to the caller.
+    """
     try:
         print(pretty(audit(spark, **paths)))
-    except Exception as error:
-        print(f"Evidence check failed: {error}", file=sys.stderr)
+    except (ValueError, OSError, KeyError, CapturedException, Py4JJavaError) as error:
+        print(f"Audit failed: {error}", file=sys.stderr)
         return 1
     return 0
 

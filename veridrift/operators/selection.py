@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridrift.functions.numeric import holds, ratio
@@ -63,12 +63,12 @@ def lexicographic(candidates: DataFrame, priorities: list[tuple[str, bool]], tie
     return candidates.orderBy(*keys, F.asc(tie)).limit(1)
 
 
-def grid(**choices: DataFrame) -> DataFrame:
-    """All combinations of a few literal tables."""
-    out = None
-    for df in choices.values():
-        out = df if out is None else out.crossJoin(df)
-    return out
+def grid(spark: SparkSession, **choices: list) -> DataFrame:
+    """All combinations of a few literal choices: one row, exploded along each axis in turn."""
+    out = spark.range(0, 1, 1, 1)
+    for name, values in choices.items():
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return out.select(*choices)
 
 
 def fused_score(scores: dict[str, float]) -> Column:

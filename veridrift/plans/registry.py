@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from veridrift.functions import identifiers
 from veridrift.functions.numeric import close, dominated, within
-from veridrift.operators import bootstrap, calibration, checks, manifest, metrics, selection
+from veridrift.operators import bootstrap, calibration, checks, manifest, metrics, report, selection
 from veridrift.plans import fixture
 from veridrift.plans.fixture import SQL, candidates, picks, table
+from veridrift.sources import records
 
+#: Resamples of the bootstrap.
 DRAWS = 200
-#: Groups of the bootstrap query: few, as in the experiments, so that its index stays small.
-BOOTSTRAP_GROUPS = 64
 
 _QUERIES: dict = {}
 _ORACLES: dict[str, str] = {}
@@ -90,31 +90,6 @@ def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.paired_delta(picks(spark, sf_dir), "direct").withColumns(_round("mean_delta"))
 
 
-@_query(
-    SQL
-    + f""", few AS (SELECT group_id FROM best ORDER BY group_id LIMIT {BOOTSTRAP_GROUPS}), n AS (SELECT count(*) AS n FROM few),
-    d AS (SELECT p.strategy, p.group_id, p.selected_quality - b.selected_quality AS diff,
-      row_number() OVER (PARTITION BY p.strategy ORDER BY p.group_id) - 1 AS pos
-      FROM picks p JOIN picks b ON p.group_id = b.group_id AND b.strategy = 'direct'
-      WHERE p.strategy <> 'direct' AND p.group_id IN (SELECT group_id FROM few)),
-    i AS (SELECT draw, ('0x' || substr(md5('{fixture.SEED}:' || draw || ':' || slot), 1, 8))::bigint % (SELECT n FROM n) AS pos
-      FROM range({DRAWS}) a(draw), range((SELECT n FROM n)) b(slot)),
-    m AS (SELECT strategy, draw, avg(diff) AS m FROM i JOIN d USING (pos) GROUP BY 1, 2)
-    SELECT strategy, count(*) AS draws, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m GROUP BY strategy"""
-)
-def paired_bootstrap_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile bootstrap of paired differences, with an index that every engine has.
-
-    Only of the ``BOOTSTRAP_GROUPS`` lowest ids, as its SQL says; ``paired_bootstrap_all`` has no cap.
-    """
-    chosen = picks(spark, sf_dir)
-    first = chosen.select("group_id").distinct().orderBy("group_id").limit(BOOTSTRAP_GROUPS)
-    paired = metrics.paired_differences(chosen.join(F.broadcast(first), "group_id"), "direct")  # BOOTSTRAP_GROUPS rows
-    n = first.count()
-    index = bootstrap.md5_index(spark, n, DRAWS, fixture.SEED)
-    return bootstrap.paired_bootstrap(paired, index).withColumns(_round("low", "high"))
-
-
 @_query(
     SQL
     + f""", n AS (SELECT count(*) AS n FROM best),
@@ -126,8 +101,8 @@ def paired_bootstrap_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT strategy, draw, avg(diff) AS m FROM i JOIN d USING (pos) GROUP BY 1, 2)
     SELECT strategy, count(*) AS draws, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m GROUP BY strategy"""
 )
-def paired_bootstrap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile bootstrap of the paired differences of all groups."""
+def paired_bootstrap_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentile bootstrap of the paired differences of all groups, with an index that every engine has."""
     chosen = picks(spark, sf_dir)
     n = chosen.select("group_id").distinct().count()
     index = bootstrap.md5_index(spark, n, DRAWS, fixture.SEED)
@@ -150,20 +125,19 @@ def uniqueness_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE l.l_orderkey IS NULL OR o.o_orderkey IS NULL"""
 )
 def key_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys on one side only."""
+    """Keys on one side only."""
     found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"))
     return checks.set_difference(found, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")), "key")
 
 
 @_query(
-    """WITH p AS (SELECT DISTINCT l_shipmode_like AS strategy, g AS group_id FROM (
-      SELECT l_returnflag AS l_shipmode_like, l_suppkey AS g FROM lineitem)),
+    """WITH p AS (SELECT DISTINCT l_returnflag AS strategy, l_orderkey AS group_id FROM lineitem),
     t AS (SELECT count(DISTINCT strategy) AS n_strategies FROM p)
     SELECT group_id, count(*) AS n, any_value(n_strategies) AS n_strategies FROM p, t GROUP BY group_id HAVING count(*) <> any_value(n_strategies)"""
 )
 def coverage_set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers that not every return flag has."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("strategy"), F.col("l_suppkey").alias("group_id"))
+    """Orders that not every return flag has."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("strategy"), F.col("l_orderkey").alias("group_id"))
     return checks.different_cover(rows, "strategy", "group_id")
 
 
@@ -205,7 +179,7 @@ def metric_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     HAVING NOT abs(max(l_discount) - min(l_discount)) <= greatest(1e-9 * greatest(abs(max(l_discount)), abs(min(l_discount))), 1e-9)"""
 )
 def asset_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One value per asset, wherever it stands."""
+    """One value per asset, wherever it stands."""
     return checks.asset_drift(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"], "l_discount")
 
 
@@ -252,11 +226,13 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""SELECT l_orderkey, count(DISTINCT split) AS splits FROM (SELECT l_orderkey, {_SPLIT_SQL} AS split FROM lineitem) GROUP BY 1 HAVING count(DISTINCT split) > 1"""
+    f"""SELECT l_orderkey, count(DISTINCT split) AS splits FROM (
+    SELECT l_orderkey, CASE WHEN l_linenumber = 7 THEN 'test' ELSE {_SPLIT_SQL} END AS split FROM lineitem) GROUP BY 1 HAVING count(DISTINCT split) > 1"""
 )
 def split_leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups in two splits (none)."""
-    return selection.leaked_groups(_split(spark, sf_dir), "l_orderkey", "split")
+    """Groups in two splits, here those whose seventh line was put into the test split."""
+    spoilt = F.when(F.col("l_linenumber") == 7, "test").otherwise(F.col("split"))
+    return selection.leaked_groups(_split(spark, sf_dir).withColumn("split", spoilt), "l_orderkey", "split")
 
 
 @_query(
@@ -276,8 +252,8 @@ def lexicographic_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def candidate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 27 combinations of three choices of three."""
-    one = lambda c, p: spark.createDataFrame([(f"{p}{i}",) for i in (1, 2, 3)], f"{c} string")
-    return selection.grid(a=one("a", "r"), b=one("b", "m"), c=one("c", "q")).select(F.concat_ws("/", "a", "b", "c").alias("name"))
+    three = lambda p: [f"{p}{i}" for i in (1, 2, 3)]
+    return selection.grid(spark, a=three("r"), b=three("m"), c=three("q")).select(F.concat_ws("/", "a", "b", "c").alias("name"))
 
 
 @_query(
@@ -326,12 +302,18 @@ def calibrated_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg(calibration.composite({"q": 3.0, "t": 1.0})), 9).alias("score"))
 
 
-@_query("SELECT 'constant' AS metric, 0.0::double AS low, 0.0::double AS high, 0.0::double AS score, count(*) AS n FROM lineitem")
+@_query(
+    """WITH v AS (SELECT 'constant' AS metric, 0.0::double AS value FROM lineitem UNION ALL SELECT 'l_linenumber', l_linenumber::double FROM lineitem),
+    b AS (SELECT metric, quantile_cont(value, 0.05) AS low, quantile_cont(value, 0.95) AS high FROM v GROUP BY metric)
+    SELECT metric, low, high, CASE WHEN low = high THEN 0.0::double ELSE round(least(1.0, greatest(0.0, (value - low) / (high - low))), 9) END AS score, count(*) AS n
+    FROM v JOIN b USING (metric) GROUP BY ALL"""
+)
 def degenerate_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal bounds give a defined score."""
-    rows = table(spark, sf_dir, "lineitem").select(F.lit(0.0).alias("constant"))
-    b = calibration.bounds(rows, ["constant"])
-    scored = rows.crossJoin(F.broadcast(b)).withColumn("score", calibration.normalized(F.col("constant"), F.col("low"), F.col("high")))  # one row
+    """Equal bounds give a defined score, beside a metric whose bounds differ."""
+    rows = table(spark, sf_dir, "lineitem").select(F.lit(0.0).alias("constant"), F.col("l_linenumber").cast("double").alias("l_linenumber"))
+    b = calibration.bounds(rows, ["constant", "l_linenumber"])
+    values = rows.unpivot([], ["constant", "l_linenumber"], "metric", "value").join(F.broadcast(b), "metric")  # two rows
+    scored = values.withColumn("score", F.round(calibration.normalized(F.col("value"), F.col("low"), F.col("high")), 9))
     return scored.groupBy("metric", "low", "high", "score").agg(F.count("*").alias("n"))
 
 
@@ -376,10 +358,11 @@ def coverage_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.coverage(docs, F.col("labelled").isNotNull(), ["lang"]).withColumns(_round("rate"))
 
 
-@_query("SELECT l.doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)")
+@_query("SELECT l.doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.source <> 'src1')")
 def orphan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of no document (none)."""
-    return table(spark, sf_dir, "labels").select("doc_id").join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_anti")
+    """Labels without a document, here after the documents of a source were withdrawn."""
+    left = table(spark, sf_dir, "documents").where("source != 'src1'").select("doc_id")
+    return table(spark, sf_dir, "labels").select("doc_id").join(left, "doc_id", "left_anti")
 
 
 @_query("SELECT lang || ':' || source AS key, count(*) AS n FROM documents GROUP BY 1")
@@ -422,7 +405,7 @@ def guarded_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(SQL + """SELECT sample_id, regexp_extract(sample_id || '_s' || (1000 + 10 * group_id + k), '^(.+)_c(\\d+)_s(\\d+)$', 1) AS "group", k::int AS candidate, (1000 + 10 * group_id + k)::bigint AS seed, true AS seed_ok FROM candidates""")
 def parsed_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids taken apart, and their seeds checked against the rule."""
+    """Ids taken apart, and their seeds checked against the rule."""
     rows = candidates(spark, sf_dir)
     seed = 1000 + 10 * F.col("group_id") + F.col("k")
     rows = rows.withColumn("p", identifiers.parse_sample(F.concat("sample_id", F.lit("_s"), seed.cast("string"))))
@@ -441,7 +424,7 @@ def checksum_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT CASE WHEN doc_id % 7 = 3 THEN 'escapes' WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 3 = 0 THEN 'mismatch' ELSE 'ok' END AS status FROM documents) GROUP BY status"""
 )
 def manifest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest of the documents held against their digests, some of them spoilt."""
+    """A manifest of the documents held against their digests, some of them spoilt."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
     name = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"))
     path = F.when(F.expr("doc_id % 7 = 3"), F.concat(F.lit("docs/../../"), name)).otherwise(name)
@@ -450,31 +433,170 @@ def manifest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.file_status(listed, there).groupBy("status").agg(F.count("*").alias("n"))
 
 
+_CLOSE_SQL = "abs({a} - {b}) <= greatest(1e-9 * greatest(abs({a}), abs({b})), 1e-9)"
+_DECLARED = (("mean_quality", "selected_quality"), ("mean_regret", "regret"), ("top1_accuracy", "top1_correct"))
+
+
+def _declared(rows: DataFrame) -> DataFrame:
+    """What a record would declare of its rows: a row per strategy."""
+    place = F.array_position(F.array(*[F.lit(s) for s in fixture.STRATEGIES]), F.col("strategy")) - 1
+    by = rows.groupBy("strategy").agg(F.count_distinct(F.col("group_id")).alias("groups"), *[F.avg(F.col(c).cast("double")).alias(m) for m, c in _DECLARED])
+    return by.select("groups", place.cast("int").alias("strategy_pos"), "strategy", F.struct("groups", *[m for m, _ in _DECLARED]).alias("d"))
+
+
+def _results(rows: DataFrame) -> DataFrame:
+    """Picks in the form of the group results of a record."""
+    return rows.withColumnsRenamed({"selected_id": "selected_sample_id", "optimal_id": "optimal_sample_id"}).withColumn("row_pos", F.col("group_id"))
+
+
+def _spoilt(rows: DataFrame) -> DataFrame:
+    """Picks with a violation of each kind."""
+    at = lambda s, k: (F.col("strategy") == s) & (F.col("group_id") % 1000 == k)
+    kept = rows.where(~at("oracle", 4)).unionByName(rows.where(at("direct", 5)))
+    return kept.withColumns(
+        {
+            "selected_quality": F.when(at("random", 2), 1.5).otherwise(F.col("selected_quality")),
+            "regret": F.when(at("rule", 3), F.col("regret") + 0.25).otherwise(F.col("regret")),
+        }
+    )
+
+
+_SPOILT_SQL = """, r AS (SELECT strategy, group_id, selected_id, optimal_id, CASE WHEN strategy = 'random' AND group_id % 1000 = 2 THEN 1.5 ELSE selected_quality END AS q,
+      optimal_quality AS o, CASE WHEN strategy = 'rule' AND group_id % 1000 = 3 THEN regret + 0.25 ELSE regret END AS regret, top1_correct::int::double AS t
+      FROM (SELECT * FROM picks WHERE NOT (strategy = 'oracle' AND group_id % 1000 = 4) UNION ALL SELECT * FROM picks WHERE strategy = 'direct' AND group_id % 1000 = 5))"""
+
+
 @_query(
     SQL
-    + """SELECT 'passed' AS status, count(DISTINCT group_id) AS groups, round(avg(selected_quality) FILTER (WHERE strategy = 'oracle'), 9) AS oracle_mean,
-    count(DISTINCT strategy) AS strategies FROM picks"""
+    + _SPOILT_SQL
+    + f""", n AS (SELECT count(*) AS n FROM best), c AS (SELECT strategy, count(*) AS n_rows, count(DISTINCT group_id) AS found FROM r GROUP BY 1),
+    d AS (SELECT strategy, avg(selected_quality) AS q, avg(regret) AS g, avg(top1_correct::int::double) AS t FROM picks GROUP BY 1),
+    m AS (SELECT strategy, avg(q) AS q, avg(regret) AS g, avg(t) AS t FROM r GROUP BY 1),
+    a AS (SELECT group_id, selected_id AS id, q AS v FROM r UNION ALL SELECT group_id, optimal_id, o FROM r),
+    s AS (SELECT count(*) AS n, min(v) AS low, max(v) AS high FROM a GROUP BY group_id, id),
+    v AS (SELECT 'key_set' AS "check", 1 AS n UNION ALL SELECT 'row_set', 1
+      UNION ALL SELECT 'uniqueness', count(*) FROM c, n WHERE n_rows <> found OR found <> n.n
+      UNION ALL SELECT 'declared_count', count(*) FROM c, n WHERE found <> n.n
+      UNION ALL SELECT 'quality_range', count(*) FROM r WHERE NOT (q BETWEEN 0 AND 1 AND o BETWEEN 0 AND 1 AND q <= o + 1e-9)
+      UNION ALL SELECT 'regret', count(*) FROM r WHERE NOT {_CLOSE_SQL.format(a='regret', b='(o - q)')}
+      UNION ALL SELECT 'same_asset', coalesce(sum(n), 0) FROM s WHERE NOT {_CLOSE_SQL.format(a='low', b='high')}
+      UNION ALL SELECT 'declared_mean', count(*) FROM (SELECT d.q AS x, m.q AS y FROM d JOIN m USING (strategy) UNION ALL SELECT d.g, m.g FROM d JOIN m USING (strategy)
+        UNION ALL SELECT d.t, m.t FROM d JOIN m USING (strategy)) WHERE NOT {_CLOSE_SQL.format(a='x', b='y')}
+      UNION ALL SELECT 'coverage', count(*) FROM (SELECT group_id FROM (SELECT DISTINCT strategy, group_id FROM r) GROUP BY 1 HAVING count(*) <> 4))
+    SELECT "check", n::bigint AS n FROM v WHERE n > 0"""
 )
-def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit of a record whose aggregates were declared from its own rows.
-
-    The picks become a record of the shape of an evaluation, are checked with every check, and
-    reported.  The check of single assets is by spread, as ids here are unique.
-    """
+def evaluation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checks of an evaluation over spoilt picks, violations by check."""
     rows = picks(spark, sf_dir)
-    board = metrics.leaderboard(rows)
-    bad = checks.declared_against_recomputed(
-        rows, board, (("mean_quality", "selected_quality"), ("mean_regret", "regret"), ("top1_accuracy", "top1_correct"))
-    ).where(~close(F.col("declared"), F.col("recomputed")))
-    outside = rows.where(~(within(F.col("selected_quality")) & dominated(F.col("selected_quality"), F.col("optimal_quality"))))
-    n_bad = bad.agg(F.count("*").alias("bad")).crossJoin(outside.agg(F.count("*").alias("outside")))
-    summary = rows.agg(
-        F.count_distinct(F.col("group_id")).alias("groups"),
-        F.round(F.avg(F.when(F.col("strategy") == "oracle", F.col("selected_quality"))), 9).alias("oracle_mean"),
-        F.count_distinct(F.col("strategy")).alias("strategies"),
+    found = checks.check_rows(_declared(rows), _results(_spoilt(rows)), (*fixture.STRATEGIES, "absent"), exact_assets=False, metrics=_DECLARED)
+    return found.groupBy("check").agg(F.count("*").alias("n"))
+
+
+@_query(
+    SQL
+    + """, a AS (SELECT strategy, count(*) AS groups, avg(selected_quality) AS q, avg(top1_correct::int::double) AS t FROM picks GROUP BY 1),
+    b AS (SELECT * FROM a WHERE strategy = 'direct'), l AS (SELECT * FROM a WHERE strategy = 'rule')
+    SELECT 'final_groups' AS "check", NULL AS subject FROM b, l WHERE b.groups <> 64 OR l.groups <> 64
+    UNION ALL SELECT 'final_rate', 'adherence_rate' FROM l WHERE NOT (t + 1 BETWEEN 0 AND 1)
+    UNION ALL SELECT 'final_difference', NULL FROM b, l WHERE NOT abs((l.q - b.q) - (l.q - b.q + 0.1)) <= 1e-9
+    UNION ALL SELECT 'final_interval', NULL FROM b, l WHERE NOT l.q - b.q + 0.1 <= l.q - b.q - 0.1
+    UNION ALL SELECT 'final_decision', NULL WHERE 'keep' <> 'other'"""
+)
+def final_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A comparison of two arms in which each declared value is spoilt."""
+    by = {r: F.max(F.when(F.col("strategy") == r, F.struct(F.col("groups").cast("long").alias("groups"), F.col("mean_quality").alias("q"), F.col("top1_accuracy").alias("t")))) for r in ("direct", "rule")}
+    arms = metrics.leaderboard(picks(spark, sf_dir)).agg(by["direct"].alias("b"), by["rule"].alias("l"))
+    arm = lambda x, more: F.struct(F.col(f"{x}.groups").alias("groups"), F.col(f"{x}.q").alias("mean_q"), F.col(f"{x}.t").alias("pass_rate"), (F.col(f"{x}.t") + more).alias("adherence_rate"), F.lit(1.0).alias("technical_valid_rate"))
+    off = F.col("l.q") - F.col("b.q")
+    boot = F.struct((off + 0.1).alias("mean_q_difference_lora_minus_base"), (off + 0.1).alias("ci95_low"), (off - 0.1).alias("ci95_high"))
+    doc = arms.select(arm("b", 0.0).alias("base_summary"), arm("l", 1.0).alias("lora_summary"), boot.alias("paired_bootstrap"), F.lit("other").alias("decision"))
+    return checks.check_final(doc, decision="keep").select("check", "subject")
+
+
+@_query(
+    SQL
+    + """SELECT item, count(*) AS n, count(DISTINCT id) AS assets, round(avg(v), 9) AS mean_value FROM (
+      SELECT 'selected' AS item, selected_id AS id, selected_quality AS v FROM picks UNION ALL SELECT 'optimal', optimal_id, optimal_quality FROM picks) GROUP BY item"""
+)
+def asset_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row as its selected and its optimal asset."""
+    of = lambda x: F.struct(F.lit(x).alias("item"), F.col(f"{x}_id").alias("id"), F.col(f"{x}_quality").alias("v"))
+    cells = picks(spark, sf_dir).select(F.inline(F.array(of("selected"), of("optimal"))))
+    return cells.groupBy("item").agg(F.count("*").alias("n"), F.count_distinct(F.col("id")).alias("assets"), F.round(F.avg("v"), 9).alias("mean_value"))
+
+
+@_query(SQL + "SELECT strategy, round(avg(selected_quality), 9) AS mean FROM picks GROUP BY strategy")
+def recomputed_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map of strategies to recomputed means, entry by entry."""
+    return checks.means_of(picks(spark, sf_dir)).select(F.explode("means").alias("strategy", "mean")).withColumns(_round("mean"))
+
+
+@_query(
+    """WITH f AS (SELECT doc_id, 'glb' AS kind, doc_id % 11 = 4 AS out FROM documents UNION ALL SELECT doc_id, 'preview', false FROM documents)
+    SELECT kind, CASE WHEN out THEN 'escapes' WHEN kind = 'preview' AND doc_id % 5 = 0 THEN 'missing' WHEN kind = 'glb' AND doc_id % 3 = 0 THEN 'mismatch' ELSE 'ok' END AS status,
+    count(*) AS n FROM f GROUP BY ALL"""
+)
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files of each asset, flattened and held against what is there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    name = lambda k: F.concat(F.lit(f"{k}/"), F.col("doc_id").cast("string"))
+    assets = docs.select(
+        F.col("doc_id").alias("asset"),
+        F.when(F.expr("doc_id % 11 = 4"), F.concat(F.lit("../"), name("glb"))).otherwise(name("glb")).alias("glb"),
+        F.when(F.expr("doc_id % 3 = 0"), F.sha2("digest", 256)).otherwise(F.upper("digest")).alias("glb_sha256"),
+        name("preview").alias("preview"),
+        F.col("digest").alias("preview_sha256"),
     )
-    status = F.when((F.col("bad") == 0) & (F.col("outside") == 0), "passed").otherwise("failed")
-    return summary.crossJoin(n_bad).select(status.alias("status"), "groups", "oracle_mean", "strategies")
+    there = docs.select(name("glb").alias("path"), F.col("digest").alias("sha256"))
+    there = there.union(docs.where("doc_id % 5 != 0").select(name("preview"), "digest"))
+    return manifest.file_status(manifest.files_of(assets), there).groupBy("kind", "status").agg(F.count("*").alias("n"))
+
+
+_SPLIT_ID_SQL = "CASE WHEN k = 3 THEN 'plain_' ELSE 'lora_' || CASE k WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'dev_test' END || '_' END || 'v2_' || group_id || '_c' || k || '_s' || (2000 + 4 * group_id + k)"
+
+
+@_query(
+    SQL
+    + f""", i AS (SELECT {_SPLIT_ID_SQL} AS id FROM candidates), p AS (SELECT id, '^([^_]+)_(train|validation|dev_test)_(.+)_c(\\d+)_s(\\d+)$' AS x FROM i)
+    SELECT id, nullif(regexp_extract(id, x, 1), '') AS prefix, nullif(regexp_extract(id, x, 2), '') AS split, nullif(regexp_extract(id, x, 3), '') AS "group",
+    nullif(regexp_extract(id, x, 4), '')::int AS candidate, nullif(regexp_extract(id, x, 5), '')::bigint AS seed FROM p"""
+)
+def split_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that name their split, taken apart; others give nulls."""
+    rows = candidates(spark, sf_dir)
+    split = F.when(F.col("k") == 0, "train").when(F.col("k") == 1, "validation").otherwise("dev_test")
+    front = F.when(F.col("k") == 3, "plain_").otherwise(F.concat(F.lit("lora_"), split, F.lit("_")))
+    seed = 2000 + 4 * F.col("group_id") + F.col("k")
+    name = F.concat(front, F.lit("v2_"), F.col("group_id").cast("string"), F.lit("_c"), F.col("k").cast("string"), F.lit("_s"), seed.cast("string"))
+    return rows.select(name.alias("id")).select("id", identifiers.parse_split_sample(F.col("id")).alias("p")).select("id", "p.*")
+
+
+@_query(
+    """SELECT CASE WHEN doc_id % 4 <> 1 THEN 'docs/' || doc_id END AS path, CASE WHEN doc_id % 4 <> 1 THEN sha256(text) END AS sha256
+    FROM documents WHERE doc_id % 9 <> 0"""
+)
+def hash_list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of digests and paths, with empty and malformed ones among them."""
+    docs = table(spark, sf_dir, "documents")
+    gap = F.when(F.expr("doc_id % 4 = 1"), " ").otherwise("  ")
+    line = F.concat(F.upper(F.sha2("text", 256)), gap, F.lit("docs/"), F.col("doc_id").cast("string"))
+    return records.hash_lines(docs.select(F.when(F.expr("doc_id % 9 = 0"), "").otherwise(line).alias("value")))
+
+
+@_query(
+    SQL
+    + """SELECT 'passed' AS status, 'failed' AS spoilt_status, (SELECT count(*) FROM best) AS groups, strategy, round(avg(selected_quality), 9) AS mean FROM picks GROUP BY strategy"""
+)
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of the picks, and of the same when spoilt, and what the report says."""
+    rows = picks(spark, sf_dir)
+    named = _declared(rows)
+    status = lambda r: checks.check_rows(named, _results(r), fixture.STRATEGIES, exact_assets=False, metrics=_DECLARED).agg(F.when(F.count("*") == 0, "passed").otherwise("failed").alias("status"))
+    final = status(rows).select(F.col("status").alias("decision"))
+    made = report.summary(named.select("groups").limit(1), checks.means_of(rows), final, 0, status(rows))
+    spoilt = status(_spoilt(rows)).select(F.col("status").alias("spoilt_status"))
+    told = made.crossJoin(spoilt).select("status", "spoilt_status", F.col("stage1_groups").alias("groups"), F.explode("stage1_recomputed_mean_quality").alias("strategy", "mean"))  # one row
+    return told.withColumns(_round("mean"))
 
 
 @_query(

@@ -72,7 +72,12 @@ def read_group_rows(spark: SparkSession, path: str, kind: str = "json") -> DataF
 
 def read_hash_list(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of each line ``digest  path``; a malformed line gives NULLs."""
-    lines = spark.read.text(path).where(F.length("value") > 0)
+    return hash_lines(spark.read.text(path))
+
+
+def hash_lines(lines: DataFrame) -> DataFrame:
+    """(path, sha256) of the lines in ``value``, empty ones left out."""
+    lines = lines.where(F.length("value") > 0)
     part = lambda i: F.nullif(F.regexp_extract("value", HASH_LINE, i), F.lit(""))
     return lines.select(part(2).alias("path"), F.lower(part(1)).alias("sha256"))
 
