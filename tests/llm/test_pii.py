@@ -113,3 +113,88 @@ def test_no_python_on_the_executors(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = pii.report(df, KEY)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def fill(form, new):
+    it = iter(new)
+    return "".join(next(it) if c.isdigit() else c for c in form)
+
+
+def reference(value, kind):
+    """The replacement of one value of a kind, in plain Python."""
+    only = re.sub("[^0-9]", "", value)
+    sha = lambda *parts: hashlib.sha256(":".join([KEY, *parts]).encode()).hexdigest()
+    if kind == "mail":
+        return f"user-{sha('mail', value.lower())[:16]}@mail.invalid"
+    if kind == "secret":
+        new = "".join(sha(f"secret{i}", value) for i in range(4))[: len(value)]
+        return new.upper() if value == value.upper() else new
+    if kind == "card":
+        new = digits(only[:-1], "card")
+        return fill(value, new + str(-luhn(new + "0") % 10))
+    if kind == "home":
+        l, r = feistel(int(only[:3]) - 200, int(only[3:]) - 2_000_000, 800, 8_000_000, "home")  # noqa: E741
+        return fill(value, f"{l + 200}{r + 2_000_000}")
+    if kind == "phone":
+        return fill(value, digits(only, "phone"))
+    if kind == "ssn":
+        area, group, serial = (int(x) for x in value.split("-"))
+        l, r = feistel((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, 898 * 99, 9999, "ssn")  # noqa: E741
+        area = l // 99 + 1
+        return f"{area + (area >= 666):03d}-{l % 99 + 1:02d}-{r + 1:04d}"
+    if kind == "iban":
+        number = lambda t: int("".join(str(int(c, 36)) for c in t))
+        body = fill(value[4:], digits(re.sub("[^0-9]", "", value[4:]), "iban"))
+        check = 98 - number(body.replace(" ", "") + value[:2] + "00") % 97
+        return f"{value[:2]}{check:02d}{body}"
+    if kind == "ip6":
+        import ipaddress
+
+        x = int(ipaddress.IPv6Address(value))
+        a, b, c, d = (x >> s & 0xFFFFFFFF for s in (96, 64, 32, 0))
+        a, b = feistel(a, b, 1 << 32, 1 << 32, "ip6")
+        c, d = feistel((c + keyed(a, b)) % (1 << 32), d, 1 << 32, 1 << 32, "ip6b")
+        return ipaddress.IPv6Address(a << 96 | b << 64 | c << 32 | d).exploded
+    raise AssertionError(kind)
+
+
+def test_every_kind_equals_its_reference(spark):
+    values = [
+        ("a.b+c@mail.example.org", "mail"), ("A@b.co", "mail"), ("4111 1111 1111 1111", "card"), ("378282246310005", "card"),
+        ("(415) 555-2671", "home"), ("415-555-2671", "home"), ("415.555.2671", "home"), ("123-45-6789", "ssn"), ("899-99-9999", "ssn"), ("667-01-0001", "ssn"),
+        ("GB82 WEST 1234 5698 7654 32", "iban"), ("DE89370400440532013000", "iban"), ("2001:0db8:85a3:0000:0000:8a2e:0370:7334", "ip6"), ("2001:db8::8a2e:370:7334", "ip6"),
+    ]
+    got = hidden(spark, [f"see {v}, then" for v, _ in values])
+    assert got == [f"see {reference(v, k)}, then" for v, k in values]
+    more = [("+1 (499) 555-6503", "+1 ", "(499) 555-6503", "home"), ("+44 20 7946 0958", "+44", " 20 7946 0958", "phone"), ("password=b7db7aa4a5fcc78305", "password=", "b7db7aa4a5fcc78305", "secret")]
+    assert hidden(spark, [m[0] for m in more]) == [front + reference(v, k) for _, front, v, k in more]
+    # the same value in two notations stays one value
+    assert reference(values[4][0], "home").translate(str.maketrans("", "", "() -")) == reference(values[5][0], "home").replace("-", "")
+    numbers = {reference(f"{a}-{g:02d}-{n:04d}", "ssn") for a in (1, 665, 667, 899) for g in (1, 99) for n in (1, 9999)}
+    assert len(numbers) == 16 and not any(re.match("000|666|9", n) or "-00-" in n or n.endswith("-0000") for n in numbers)
+
+
+def test_what_fails_its_check_is_left_alone(spark):
+    values = ["000-00-0000", "666-12-1234", "912-12-1234", "123-00-1234", "123-12-0000", "1700000000001", "4111 1111 1111 1112", "GB82 WEST 1234 5698 7654 33", "31/02/2024", "2024-13-01", "February 30, 2021", "99/99/2021", "115-555-2671", "415-155-2671", "std::map", "12:30:45", "1:2:3:4:5:6:7", "::1", "a::b"]
+    assert hidden(spark, values) == values
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string")
+    assert {r["n_found"] for r in pii.report(df, KEY).collect()} == {0}
+
+
+def test_notations_of_dates(spark):
+    got = hidden(spark, ["5/3/2021", "05/03/2021", "2021-03-05", "March 5, 2021", "5 March 2021", "05.03.2021", "3/25/2021", "2021-03-25"])
+    read = lambda v, f: datetime.datetime.strptime(v, f).date()
+    days = {read(got[0], "%d/%m/%Y"), read(got[1], "%d/%m/%Y"), read(got[2], "%Y-%m-%d"), read(got[3], "%B %d, %Y"), read(got[4], "%d %B %Y"), read(got[5], "%d.%m.%Y")}
+    assert len(days) == 1 and days != {datetime.date(2021, 3, 5)}
+    assert read(got[6], "%m/%d/%Y") == read(got[7], "%Y-%m-%d")
+
+
+def test_texts_with_the_mark_and_large_ids(spark):
+    large = (1 << 53) + 1
+    text = "a\u0001b x@y.zz \u0001 4111111111111111"
+    rows = [(large, text), (None, text.replace("\u0001", "")), (None, None)]
+    got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(rows[:2], "doc_id long, text string"), KEY).collect()}
+    assert got[large]["text"].replace("\u0001", "") == got[None]["text"] and got[large]["n_found"] == 2
+    assert got[large]["text"].count("\u0001") == 2
+    none = pii.report(spark.createDataFrame(rows[2:], "doc_id long, text string"), KEY).first()
+    assert none["text"] is None and none["n_found"] == 0
