@@ -64,14 +64,73 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert q.judge(df.limit(0)).count() == 0
 
 
-def test_estimates_equal_numpy(spark):
-    r = np.random.default_rng(1)
-    x = (r.multivariate_normal(np.zeros(q.P), np.eye(q.P) + 0.3, 500) * 3000).round().astype(int)
-    df = spark.createDataFrame([("g", *map(int, row)) for row in x], "grp string, " + ", ".join(f"x{i} long" for i in range(q.P)))
-    got = q.estimate(df, 1.0).first()
-    assert got["mu"] == pytest.approx((x / q.SCALE).mean(axis=0).tolist())
-    want = np.linalg.inv(np.cov((x / q.SCALE).T, bias=True) + np.diag([f[3] ** 2 for f in q.FEATURES]))
-    assert got["pr"] == pytest.approx(want.ravel().tolist(), rel=1e-6)
+def fast_mcd(x, groups):
+    """Distances by the same rules in NumPy: x in whole multiples, groups as (language, source)."""
+    langs = [g[0] for g in groups]
+    keys, every = sorted(set(groups)), np.arange(len(x))
+    of = {g: np.array([i for i, h in enumerate(groups) if h == g]) for g in keys}
+    least = np.diag([f[3] ** 2 for f in q.FEATURES])
+    n_of = lambda rows: {g: [i for i in rows if groups[i] == g] for g in keys}
+
+    def shrunk(stat, rows):
+        """``stat`` (of row numbers) of each group with its language's and that of all."""
+        out = {}
+        for g, own in n_of(rows).items():
+            if own:
+                lang = [i for i in rows if langs[i] == g[0]]
+                w = lambda n, a, b: (n * a + q.SHARED_ROWS * b) / (n + q.SHARED_ROWS)
+                out[g] = [w(len(own), a, w(len(lang), b, c)) for a, b, c in zip(stat(own), stat(lang), stat(list(rows)), strict=True)]
+        return out
+
+    def quartiles(rows):
+        low, mid, high = np.percentile(x[rows] / q.SCALE, [25, 50, 75], axis=0)
+        return mid, np.diag(((high - low) / 1.349) ** 2)
+
+    def d2(estimates):
+        out = np.zeros(len(x))
+        for g, rows in of.items():
+            mu, s = estimates[g]
+            off = x[rows] / q.SCALE - mu
+            out[rows] = np.einsum("ij,jk,ik->i", off, np.linalg.inv(s + least), off)
+        return out
+
+    def both(factor):
+        return lambda rows: (x[rows].mean(axis=0) / q.SCALE, np.cov(x[rows].T / q.SCALE, bias=True) * factor if len(rows) > 1 else np.zeros((q.P, q.P)))
+
+    estimates, before = shrunk(quartiles, every), None
+    for _ in range(q.STEPS):
+        far, core = d2(estimates), []
+        bins = np.floor(np.log2(far + 1e-6) * q.BINS)
+        for rows in of.values():
+            last = np.sort(bins[rows])[int(np.ceil(len(rows) * q.CORE)) - 1]
+            core += [i for i in rows if bins[i] <= last]
+        if sorted(core) == before:
+            break
+        before = sorted(core)
+        estimates = shrunk(both(q.consistency(q.CORE)), before)
+    inside = [i for i in every if d2(estimates)[i] <= q.chi2_quantile(0.975, q.P)]
+    return np.sqrt(d2(estimates | shrunk(both(q.consistency(0.975)), inside)))
+
+
+def test_verdicts_equal_numpy(spark):
+    """Groups of all sizes, down to one row, with outliers in them."""
+    r = random.Random(11)
+    rows = []
+    for lang, source, n in (("en", "a", 300), ("en", "b", 40), ("en", "c", 1), ("de", "a", 90), ("de", "b", 3), ("fr", "a", 2)):
+        for _ in range(n):
+            text = prose(r, r.randint(20, 120))
+            if r.random() < 0.06:
+                text = r.choice([text.upper(), text.replace(" ", " ### "), text.replace(" ", "longer")[:400] + " " + prose(r, 12)])
+            rows.append((len(rows), text, lang, source))
+    got = {x["doc_id"]: x for x in q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)).collect()}
+    judged = [x for x in rows if not got[x[0]]["base_failed"]]
+    x = np.array([q.statistics(q.measure(t)) for _, t, _, _ in judged])
+    want = fast_mcd(x, [(lang, source) for *_, lang, source in judged])
+    assert len(judged) > 400
+    for (i, *_), d in zip(judged, want, strict=True):
+        assert got[i]["distance"] == pytest.approx(d, rel=1e-6), i
+        assert got[i]["kept"] == (d * d <= q.CUTOFF)
+    assert 10 < sum(not x["kept"] for x in got.values()) < 60
 
 
 def test_label_model_finds_the_classes():

@@ -4,8 +4,12 @@ Each text gives counts, and a vector of transformed statistics that are smoothed
 priors, so that short texts are not outliers for being short.  For each language and source the
 minimum covariance determinant estimates centre and scatter: from medians and quartile ranges,
 concentration steps keep the ``CORE`` share of rows nearest by Mahalanobis distance and estimate
-again, and a last step estimates from all rows within the usual 97.5 % bound.  A document whose
-squared distance exceeds ``cutoff`` is rejected.
+again, until that changes nothing (at most ``STEPS`` times), and a last step estimates from all rows
+within the usual 97.5 % bound.  A document whose squared distance exceeds ``cutoff`` is rejected.
+
+Every estimate of a group, of whatever size, is weighed with that of its language as if that were
+``SHARED_ROWS`` more rows, and that of a language with that of all rows alike.  So a group of many
+rows stands for itself, one of a few is held against its language, and none goes unjudged.
 
 How it scales.  Texts are read once, where they lie; the steps run over a narrow stored table.
 Every estimate is a sum of whole numbers, and every rank a histogram, both with partial sums
@@ -13,9 +17,6 @@ before the shuffle, so a source with a third of all rows costs no more than anot
 result doesn't depend on the order of rows.  The estimates are a row per group, and broadcast
 only when counted and below ``SMALL``.
 
-Groups of fewer than ``MIN_GROUP`` rows are pooled by language, pools still smaller over all
-languages; if that pool is too small, its documents are judged by the base rules alone.
-
 Edge cases.  A null text has no words and fails the base rules.  A null language or source is
 the same group as an empty one.  Documents that fail the base rules take no part in the
 estimates.  Repeated rows count as often as they stand there.  An empty table gives an empty
@@ -34,6 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridrift.llm.batches import with_made
 from veridrift.llm.scratch import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -42,8 +44,9 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Share of rows that a concentration step keeps.
 CORE = 0.75
-STEPS = 3
-MIN_GROUP = 100
+STEPS = 12
+#: Rows that the estimate of the language counts beside a group's own.
+SHARED_ROWS = 100.0
 #: Statistics are whole multiples of 1/SCALE, for sums that don't depend on their order.
 SCALE = 10_000
 #: Squared distances fall into bins of 1/BINS of a power of two.
@@ -125,20 +128,14 @@ def statistics(m: tuple[int, ...]) -> list[int]:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    names = [*COUNTS, *(f"x{i}" for i in range(P))]
-    kinds = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kinds}, lang string, source string, " + ", ".join(f"{c} long" for c in names)
+    """(doc_id, lang, source), the counts and the transformed vector of every row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [(*m[:5], *statistics(m)) for m in map(measure, pdf["text"])]
-            made = pd.DataFrame(rows, columns=names, dtype="int64")
-            for c in ("doc_id", "lang", "source"):
-                made[c] = pdf[c].to_numpy()
-            yield made[["doc_id", "lang", "source", *names]]
+    def work(texts: list[str | None]) -> list[list]:
+        return [list(c) for c in zip(*((*m[:5], *statistics(m)) for m in map(measure, texts)), strict=True)]
 
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
-    return docs.select("doc_id", *keys, "text").mapInPandas(run, schema)
+    made = ", ".join(f"{c} long" for c in [*COUNTS, *(f"x{i}" for i in range(P))])
+    return with_made(docs.select("doc_id", *keys, "text"), ["doc_id", "lang", "source"], "text", made, work)
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -172,35 +169,47 @@ def near(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def grouped(stats: DataFrame) -> DataFrame:
-    """Rows that pass the base rules, with the group whose estimate they are held against."""
-    sizes = stats.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    own = F.col("n") >= MIN_GROUP
-    pooled = F.sum(F.when(own, 0).otherwise(F.col("n"))).over(Window.partitionBy("lang"))
-    group = F.when(own, F.to_json(F.struct("lang", "source"))).when(pooled >= MIN_GROUP, F.to_json(F.struct("lang"))).otherwise(F.lit(""))
-    groups = materialize(sizes.select("lang", "source", group.alias("grp")), "groups")
-    return stats.where("not base_failed").join(near(groups), ["lang", "source"])
+#: Languages and all rows, beside the groups.
+LEVELS = ("own", "lang", "all")
+
+
+def weighed(n: float, own: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """What ``n`` rows say, with what is shared as ``SHARED_ROWS`` more."""
+    return (n * own + SHARED_ROWS * shared) / (n + SHARED_ROWS)
+
+
+def leveled(groups: DataFrame, columns: list[str], summed) -> DataFrame:
+    """Per group its columns as ``own_``, those of its language as ``lang_`` and of all as ``all_``.
+
+    ``summed`` makes the columns of (grp, lang), of (lang) or of nothing.
+    """
+    named = lambda df, level: df.withColumnsRenamed({c: f"{level}_{c}" for c in columns})
+    own, lang, every = (named(summed(keys), level) for keys, level in zip((["grp", "lang"], ["lang"], []), LEVELS, strict=True))
+    return own.join(near(materialize(lang, "languages")), "lang").crossJoin(F.broadcast(every))  # one row
 
 
 def start(rows: DataFrame) -> DataFrame:
     """Estimates from medians and quartile ranges of each statistic, by exact histograms."""
-    cells = rows.select("grp", F.posexplode(F.array(*[F.col(f"x{i}") for i in range(P)])).alias("i", "x"))
-    cells = cells.groupBy("grp", "i", "x").agg(F.count("*").alias("n"))
-    along = Window.partitionBy("grp", "i").orderBy("x")
-    cells = cells.withColumn("upto", F.sum("n").over(along)).withColumn("all", F.sum("n").over(Window.partitionBy("grp", "i")))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("x")))
-    marks = cells.groupBy("grp", "i").agg(at(0.25).alias("low"), at(0.5).alias("mid"), at(0.75).alias("high"))
-    marks = marks.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("i", "low", "mid", "high"))).alias("m"))
+    cells = rows.select("grp", "lang", F.posexplode(F.array(*[F.col(f"x{i}") for i in range(P)])).alias("i", "x"))
+    cells = materialize(cells.groupBy("grp", "lang", "i", "x").agg(F.count("*").alias("n")), "cells")
+
+    def marks(keys: list[str]) -> DataFrame:
+        # values are whole multiples of 1/SCALE, so a histogram has few cells however many rows
+        each = cells.groupBy(*keys, "i").agg(F.percentile("x", F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)]), F.col("n")).alias("q"), F.sum("n").alias("n"))
+        return each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("m"), F.max("n").alias("n"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
-            for group, m in zip(pdf["grp"], pdf["m"], strict=True):
-                deviation = np.array([(x["high"] - x["low"]) / 1.349 / SCALE for x in m])
-                out.append((group, [x["mid"] / SCALE for x in m], inverse(np.diag(deviation**2))))
+            for r in pdf.to_dict("records"):
+                q = {level: np.array([list(x["q"]) for x in r[f"{level}_m"]]) / SCALE for level in LEVELS}
+                middle = {k: v[:, 1] for k, v in q.items()}
+                spread = {k: ((v[:, 2] - v[:, 0]) / 1.349) ** 2 for k, v in q.items()}
+                mu, scatter = (weighed(r["own_n"], x["own"], weighed(r["lang_n"], x["lang"], x["all"])) for x in (middle, spread))
+                out.append((r["grp"], mu.tolist(), inverse(np.diag(scatter))))
             yield pd.DataFrame(out, columns=["grp", "mu", "pr"])
 
-    return marks.mapInPandas(run, "grp string, mu array<double>, pr array<double>")
+    return leveled(rows, ["m", "n"], marks).mapInPandas(run, "grp string, mu array<double>, pr array<double>")
 
 
 def inverse(scatter: np.ndarray) -> list[float]:
@@ -209,66 +218,89 @@ def inverse(scatter: np.ndarray) -> list[float]:
 
 
 def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """``rows`` with ``d2``, the squared Mahalanobis distance in their group."""
+    """``rows`` with ``d2``, the squared Mahalanobis distance in their group; ``estimates`` have a row
+    for each group, and are stored first, as they are counted."""
     joined = rows.join(near(materialize(estimates, "estimates")), "grp")
     off = [F.col(f"x{i}") / F.lit(float(SCALE)) - F.col("mu")[i] for i in range(P)]
     d2 = sum((F.col("pr")[i * P + j] * off[i] * off[j] for i in range(P) for j in range(P)), F.lit(0.0))
     return joined.withColumn("d2", d2).drop("mu", "pr")
 
 
-def estimate(rows: DataFrame, factor: float) -> DataFrame:
-    """Centre and inverse scatter of each group from exact sums."""
-    pairs = [(i, j) for i in range(P) for j in range(i, P)]
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+SUMS = ["n", *(f"s{i}" for i in range(P)), *(f"s{i}_{j}" for i, j in PAIRS)]
+
+
+def sums(rows: DataFrame) -> DataFrame:
+    """Per group the exact sums that centre and scatter follow from."""
     wide = lambda c: F.sum(c.cast("decimal(38,0)"))
-    sums = [wide(F.col(f"x{i}")).alias(f"s{i}") for i in range(P)]
-    sums += [wide(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs]
-    totals = rows.groupBy("grp").agg(F.count("*").alias("n"), *sums)
+    made = [wide(F.col(f"x{i}")).alias(f"s{i}") for i in range(P)]
+    made += [wide(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in PAIRS]
+    return materialize(rows.groupBy("grp", "lang").agg(F.count("*").cast("decimal(38,0)").alias("n"), *made), "sums")
+
+
+def moments(r: dict, level: str, factor: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Rows, centre and scatter of a group, its language or all."""
+    n = int(r[f"{level}_n"])
+    scatter = np.zeros((P, P))
+    for i, j in PAIRS:
+        exact = n * int(r[f"{level}_s{i}_{j}"]) - int(r[f"{level}_s{i}"]) * int(r[f"{level}_s{j}"])
+        scatter[i, j] = scatter[j, i] = exact / (n * n * SCALE * SCALE)
+    return n, np.array([int(r[f"{level}_s{i}"]) / (n * SCALE) for i in range(P)]), scatter * factor
+
+
+def estimate(totals: DataFrame, factor: float) -> DataFrame:
+    """Centre and inverse scatter of each group from ``sums``."""
+
+    def summed(keys: list[str]) -> DataFrame:
+        return totals.groupBy(*keys).agg(*[F.sum(c).cast("decimal(38,0)").alias(c) for c in SUMS])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
             for r in pdf.to_dict("records"):
-                n = int(r["n"])
-                scatter = np.zeros((P, P))
-                for i, j in pairs:
-                    exact = n * int(r[f"s{i}_{j}"]) - int(r[f"s{i}"]) * int(r[f"s{j}"])
-                    scatter[i, j] = scatter[j, i] = exact / (n * n * SCALE * SCALE)
-                out.append((r["grp"], [int(r[f"s{i}"]) / (n * SCALE) for i in range(P)], inverse(scatter * factor)))
+                (n, *own), (m, *lang), (_, *every) = (moments(r, level, factor) for level in LEVELS)
+                mu, scatter = (weighed(n, a, weighed(m, b, c)) for a, b, c in zip(own, lang, every, strict=True))
+                out.append((r["grp"], mu.tolist(), inverse(scatter)))
             yield pd.DataFrame(out, columns=["grp", "mu", "pr"])
 
-    return totals.mapInPandas(run, "grp string, mu array<double>, pr array<double>")
+    return leveled(totals, SUMS, summed).mapInPandas(run, "grp string, mu array<double>, pr array<double>")
 
 
-def concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Estimates from the ``CORE`` share of each group that is nearest under ``estimates``."""
+def core_of(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """The ``CORE`` share of each group that is nearest under ``estimates``."""
     binned = distances(rows, estimates).withColumn("bin", F.floor(F.log2(F.col("d2") + F.lit(1e-6)) * BINS).cast("int"))
     cells = binned.groupBy("grp", "bin").agg(F.count("*").alias("n"))
     cells = cells.withColumn("upto", F.sum("n").over(Window.partitionBy("grp").orderBy("bin")))
     cells = cells.withColumn("all", F.sum("n").over(Window.partitionBy("grp")))
     last = cells.where(F.col("upto") >= F.ceil(F.col("all") * CORE)).groupBy("grp").agg(F.min("bin").alias("last"))
-    core = binned.join(near(materialize(last, "last")), "grp").where("bin <= last")
-    return estimate(core, consistency(CORE))
+    return binned.join(near(materialize(last, "last")), "grp").where("bin <= last")
+
+
+def concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Estimates after concentration steps."""
+    before = None
+    for _ in range(STEPS):
+        totals = sums(core_of(rows, estimates))
+        now = totals.agg(F.count("*"), F.sum(F.xxhash64("grp", *SUMS).cast("decimal(38,0)"))).first()
+        if before == tuple(now):
+            break
+        before = tuple(now)
+        estimates = materialize(estimate(totals, consistency(CORE)), "estimates")
+    return estimates
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Counts, base verdict, distance and final verdict of every row of documents."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    stats = with_statistics(docs).withColumn("base_failed", failed).withColumn("row", F.monotonically_increasing_id())
-    stats = materialize(stats, "statistics")
+    stats = materialize(with_statistics(docs).withColumn("base_failed", failed), "statistics")
     result = ["doc_id", *COUNTS, "base_failed"]
-    rows = grouped(stats).where("grp != ''")
-    pool = grouped(stats).where("grp = ''")
-    if pool.count() >= MIN_GROUP:
-        rows = rows.union(pool)
-        pool = pool.limit(0)
-    unjudged = pool.select(*result, F.lit(None).cast("double").alias("distance"), F.lit(True).alias("kept"))
-    rows = materialize(rows.select("row", "grp", *result, *[f"x{i}" for i in range(P)]), "rows")
-    estimates = start(rows)
-    for _ in range(STEPS):
-        estimates = concentrate(rows, estimates)
+    rows = stats.where("not base_failed").withColumn("grp", F.to_json(F.struct("lang", "source")))
+    estimates = concentrated(rows, start(rows))
     inside = distances(rows, estimates).where(F.col("d2") <= chi2_quantile(0.975, P))
-    final = estimate(inside, consistency(0.975))
+    final = estimate(sums(inside), consistency(0.975))
+    # a group none of whose rows is inside keeps the estimate that it had
+    final = final.unionByName(estimates.join(final.select("grp"), "grp", "left_anti"))
     judged = distances(rows, final).withColumn("distance", F.sqrt("d2"))
     judged = judged.select(*result, "distance", (F.col("d2") <= cutoff).alias("kept"))
     lost = stats.where("base_failed").select(*result, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
-    return judged.union(unjudged).union(lost)
+    return judged.union(lost)
