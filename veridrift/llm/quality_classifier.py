@@ -45,6 +45,8 @@ from veridrift.llm.scratch import mark, materialize, sweep
 LABELLED = 20_000
 TRAINED = 6_000
 BUCKETS = 1 << 20
+#: Words that a task remembers the buckets of.
+KNOWN_WORDS = 200_000
 #: Parts of a hash that samples are chosen by.
 HASHES = 1 << 62
 #: What labellers are taken for beforehand: how often they vote on good and on bad texts.
@@ -86,7 +88,7 @@ class Lists:
     b: frozenset = frozenset()
 
 
-def features(text: str | None) -> tuple[dict[str, float], list[str]]:
+def features(text: str | None) -> tuple[dict[str, float], set[str]]:
     """Statistics that labellers look at, and the distinct words of a text."""
     text = text or ""
     n, _, symbols, again, windows, lines, length, upper = measure(text)
@@ -104,7 +106,7 @@ def features(text: str | None) -> tuple[dict[str, float], list[str]]:
         "variety": len(found) / math.sqrt(n1),
         "lines": again / max(1, lines) if n >= FEW_WORDS else 0.0,
     }
-    return stats, sorted(found)
+    return stats, found
 
 
 def junk_votes(s: dict[str, float]) -> tuple[int, ...]:
@@ -124,19 +126,6 @@ def junk_votes(s: dict[str, float]) -> tuple[int, ...]:
     )
 
 
-def toxic_votes(words: list[str], lists: Lists) -> tuple[int, ...]:
-    """1 where an insult stands in the text, or several words of a learned list."""
-    insult, in_a, in_b, _ = listed(words, lists)
-    return int(insult > 0), int(in_a >= LEAST_HITS), int(in_b >= LEAST_HITS)
-
-
-def listed(words: list[str], lists: Lists) -> tuple[int, int, int, int]:
-    """How many words each list has, and how many any learned list has."""
-    forms = [tokens(w) for w in words] if lists.a or lists.b else []
-    in_a, in_b = ([not known.isdisjoint(t) for t in forms] for known in (lists.a, lists.b))
-    return sum(w in lists.insults for w in words), sum(in_a), sum(in_b), sum(x or y for x, y in zip(in_a, in_b, strict=True))
-
-
 @dataclass
 class Votes:
     """The label model: shares of the latent kinds, the first of them good and the others bad, and
@@ -387,29 +376,52 @@ def votes_of(number: int, names: tuple[str, ...]) -> tuple[int, ...]:
     return tuple(number >> i & 1 for i in range(len(names)))
 
 
-def featured(docs: DataFrame, lists: Lists, carried: list[str]) -> DataFrame:
-    """Votes, as bits, and buckets of every row; the columns ``carried`` as they are in ``doc``."""
+def feature_work(lists: Lists):
+    """What makes the columns of ``FEATURES`` of a list of texts; it remembers words from call to call."""
+    known: dict[str, tuple[tuple[int, ...], int]] = {}
+    #: by which lists a form is known, as bits
+    by: dict[str, int] = {}
+    for i, forms in enumerate((lists.insults, lists.a, lists.b)):
+        for form in forms:
+            by[form] = by.get(form, 0) | 1 << i
+
+    def look(word: str) -> tuple[tuple[int, ...], int]:
+        stem = word[:STEM] + "*"
+        held = by.get(word, 0) | (by.get(stem, 0) if len(word) > STEM else 0)
+        known[word] = made = (tuple(map(bucket, tokens(word))), held)
+        return made
+
+    def one(text: str | None) -> tuple[bool, int, int, bytes]:
+        s, words = features(text)
+        found: list[int] = []
+        held: list[int] = []  # for words of any list
+        for w in words:
+            buckets, lists_of = known.get(w) or look(w)
+            found += buckets
+            if lists_of:
+                held.append(lists_of)
+        s["listed"] = sum(x > 1 for x in held)
+        many = [sum(x >> i & 1 for x in held) for i in range(3)] if held else (0, 0, 0)
+        votes = (int(many[0] > 0), int(many[1] >= LEAST_HITS), int(many[2] >= LEAST_HITS))
+        found += map(bucket, stat_tokens(s))
+        at = np.array(found, dtype=np.int64)
+        at.sort()
+        packed = pack_buckets(at[np.concatenate(([True], at[1:] != at[:-1]))])
+        return s["n"] > 0, bits(junk_votes(s)), bits(votes), packed
 
     def work(texts: list[str | None]) -> list[list]:
-        made: list[tuple] = []
-        known: dict[str, tuple[int, ...]] = {}
-        for text in texts:
-            s, words = features(text)
-            s["listed"] = listed(words, lists)[3]
-            found: set[int] = set()
-            for w in words:
-                held = known.get(w)
-                if held is None:
-                    known[w] = held = tuple(map(bucket, tokens(w)))
-                found.update(held)
-            found.update(map(bucket, stat_tokens(s)))
-            packed = pack_buckets(np.array(sorted(found), dtype=np.int64))
-            made.append((s["n"] > 0, bits(junk_votes(s)), bits(toxic_votes(words, lists)), packed))
-        return [list(c) for c in zip(*made, strict=True)]
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        return [list(c) for c in zip(*map(one, texts), strict=True)]
+
+    return work
+
 
+def featured(docs: DataFrame, lists: Lists, carried: list[str]) -> DataFrame:
+    """Votes, as bits, and buckets of every row; the columns ``carried`` as they are in ``doc``."""
     whole = F.struct(*[F.col(f"`{c}`") for c in carried]).alias("doc")
     df = docs.select(whole, F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text")
-    return with_made(df, ["doc", "digest"], "text", FEATURES, work)
+    return with_made(df, ["doc", "digest"], "text", FEATURES, feature_work(lists))
 
 
 def known_votes(table: DataFrame, sample: DataFrame | None, label: str, head: str, names: tuple[str, ...]) -> Known:
