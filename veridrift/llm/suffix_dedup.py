@@ -168,25 +168,42 @@ def gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndar
 
 
 def common_extension(h: Hashes, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Length of the longest common extension of the suffixes at a and b, by binary search."""
-    low, high = np.zeros(len(a), dtype=np.int64), most.copy()
+    """Length of the longest common extension of the suffixes at a and b, by binary search where
+    they differ at all."""
+    out = most.copy()
+    differ = np.flatnonzero(h.part(a, most) != h.part(b, most))
+    a, b, high = a[differ], b[differ], most[differ] - 1
+    low = np.zeros(len(differ), dtype=np.int64)
     while True:
-        open_ = low < high
-        if not open_.any():
-            return low
-        middle = (low + high + 1) >> 1
-        same = h.part(a, middle) == h.part(b, middle)
-        low = np.where(open_ & same, middle, low)
-        high = np.where(open_ & ~same, middle - 1, high)
+        at = np.flatnonzero(low < high)
+        if not len(at):
+            break
+        middle = (low[at] + high[at] + 1) >> 1
+        same = h.part(a[at], middle) == h.part(b[at], middle)
+        low[at] = np.where(same, middle, low[at])
+        high[at] = np.where(same, high[at], middle - 1)
+    out[differ] = low
+    return out
+
+
+def first_bytes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each suffix as a number in their order, shorter ones with zeros."""
+    out = np.zeros(len(start), dtype=np.uint64)
+    for k in range(8):
+        out = (out << np.uint64(8)) | np.where(k < length, data[np.minimum(start + k, len(data) - 1)], 0).astype(np.uint64)
+    return out
 
 
 def suffix_order(data: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray, h: Hashes | None = None) -> np.ndarray:
-    """The order of suffixes (of bounded length) by group, then bytes: a merge sort of all groups at
-    once, whose comparisons go by the longest common extension."""
+    """The order of suffixes (of bounded length) by group, then bytes: a merge sort, of all that agree
+    in group and first bytes at once, whose comparisons go by the longest common extension."""
     h = h or Hashes(data)
-    order = np.argsort(group, kind="stable")
-    sorted_group = group[order]
-    first = np.flatnonzero(np.concatenate(([True], sorted_group[1:] != sorted_group[:-1]))) if len(order) else np.zeros(0, int)
+    if not len(start):
+        return np.zeros(0, dtype=np.int64)
+    prefix = first_bytes(data, start, length)
+    order = np.lexsort((prefix, group))
+    g, p = group[order], prefix[order]
+    first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (p[1:] != p[:-1]))))
     size = np.diff(np.append(first, len(order)))
     base, total = np.repeat(first, size), np.repeat(size, size)
     width = 1
