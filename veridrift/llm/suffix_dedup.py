@@ -519,7 +519,7 @@ def cut_out(blocks: DataFrame, cuts: DataFrame, parts: int, id_type: str) -> Dat
             n = int(mask.sum())
             spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()) if n else 0
             kept = data[low:end][~mask] if n else data[low:end]
-            out.append((None if doc_id == NO_ID else doc_id, end - low, n, spans, hashlib.sha256(kept.tobytes()).hexdigest()))
+            out.append((doc_id, end - low, n, spans, hashlib.sha256(kept.tobytes()).hexdigest()))
             low = end
         return out
 
@@ -531,11 +531,10 @@ def cut_out(blocks: DataFrame, cuts: DataFrame, parts: int, id_type: str) -> Dat
                     known.append(ids)
                     continue
                 made = pd.DataFrame(rows_of(*_opened(ids, sizes, data), known), columns=names)
-                made["doc_id"] = made["doc_id"].astype("Int64")
                 known = []
                 yield made
 
-    return with_side(blocks, cuts, "cuts", parts).mapInPandas(run, RESULT.format(id="long")).withColumn("doc_id", F.col("doc_id").cast(id_type))
+    return with_side(blocks, cuts, "cuts", parts).mapInPandas(run, RESULT.format(id="long")).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)).cast(id_type))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
