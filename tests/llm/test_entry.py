@@ -17,7 +17,7 @@ def test_names():
     import __spark_entry__ as entry
 
     numbers = {int(n[2:].split("_")[0]) for n in queries.queries()}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
     assert {*queries.queries(), "pipeline"} <= set(entry.queries())
     assert len(corpus_pipeline.STAGES) == 5
 

@@ -20,10 +20,15 @@ ROWS, BYTES = 128, 1 << 21
 
 def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in parts, in order; none of an empty batch."""
+    return slices(batch, ROWS, BYTES)
+
+
+def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows, and of so many bytes or one row."""
     n = batch.num_rows
-    if n > ROWS or n > 1 and batch.nbytes > BYTES:
-        yield from parts(batch.slice(0, n // 2))
-        yield from parts(batch.slice(n // 2))
+    if n > rows or n > 1 and batch.nbytes > size:
+        yield from slices(batch.slice(0, n // 2), rows, size)
+        yield from slices(batch.slice(n // 2), rows, size)
     elif n:
         yield batch
 

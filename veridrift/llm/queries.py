@@ -90,6 +90,30 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, labels)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of all documents drawn by their likeness to the benchmark, with every document's weight."""
+    from veridrift.llm.importance import resample
+
+    docs, target = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return resample(docs, target)
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    from veridrift.llm.ngram_join import similar_groups
+
+    return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4, percent=85)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector against all, from labels of which a seventh is moved on by one."""
+    from veridrift.llm.hard_negatives import hard_negatives
+
+    vectors, label = spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(vectors, F.col("vec_id"), moved, F.col("embedding"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
     return {
         "op1_resharding": op1_resharding,
@@ -102,6 +126,9 @@ def queries() -> dict:
         "op8_pii": op8_pii,
         "op9_quality_rules": op9_quality_rules,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_importance": op11_importance,
+        "op12_ngram_join": op12_ngram_join,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -144,6 +171,35 @@ f AS (SELECT payload_digest, min(page_id) AS least FROM p WHERE payload_bytes >=
 SELECT page_id, url, payload_bytes, payload_digest, CASE WHEN page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id <> least THEN least END AS refers_to, true AS verified
 FROM p LEFT JOIN f USING (payload_digest)""",
+    "op11_importance": f"""
+WITH k AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS k),
+x AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT -row_number() OVER () AS r, {_WORDS} AS w FROM benchmark),
+g AS (SELECT r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM (SELECT r, w FROM x UNION ALL SELECT r, w FROM b)),
+h AS (SELECT gram, xor(list_reduce(list_transform(range(1, strlen(gram) + 1), lambda i: ('0x' || substr(hex(encode(gram)), 2 * i - 1, 2))::bigint),
+    lambda c, y: xor(c >> 8, k[(xor(c, y) & 255) + 1]), 4294967295::bigint), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT gram FROM g), k),
+f AS (SELECT r, bucket, count(*) AS n FROM g JOIN h USING (gram) GROUP BY ALL),
+a AS (SELECT sum(n) FILTER (WHERE r > 0) AS big_s, coalesce(sum(n) FILTER (WHERE r < 0), 0) AS big_t FROM f),
+q AS (SELECT bucket, floor(1000 * ln((coalesce(sum(n) FILTER (WHERE r < 0), 0)::double + 1) * (big_s::double + 10000)
+    / ((coalesce(sum(n) FILTER (WHERE r > 0), 0)::double + 1) * (big_t::double + 10000))))::bigint AS gain FROM f, a GROUP BY bucket, big_s, big_t),
+v AS (SELECT r, sum(n)::bigint AS n_features, sum(n * gain)::bigint AS total FROM f JOIN q USING (bucket) WHERE r > 0 GROUP BY r),
+z AS (SELECT x.r, doc_id, len(w)::bigint AS n_words, coalesce(n_features, 0) AS n_features,
+    coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::bigint AS weight,
+    ('0x' || substr(sha256('7:' || doc_id), 1, 8))::bigint::double AS h FROM x LEFT JOIN v USING (r)),
+s AS (SELECT * EXCLUDE h, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296.0::double)))::bigint AS score FROM z),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM s WHERE n_words >= 20 AND score IS NOT NULL)
+SELECT doc_id, n_words, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM s LEFT JOIN o USING (r)""",
+    "op13_hard_negatives": """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::bigint + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::double) FOR x IN embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, b.r AS other, b.vec_id AS id, a.label = b.label AS alike, list_dot_product(a.v, b.v)::bigint AS score
+  FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, (row_number() OVER (PARTITION BY p.r, p.other ORDER BY s.score DESC, s.id))::int AS rank, s.id AS negative_id,
+  p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.r = p.r AND NOT s.alike AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY rank <= 5""",
 }
 
 
