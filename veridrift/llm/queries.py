@@ -189,6 +189,16 @@ z AS (SELECT x.r, doc_id, len(w)::bigint AS n_words, coalesce(n_features, 0) AS
 s AS (SELECT * EXCLUDE h, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296.0::double)))::bigint AS score FROM z),
 o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM s WHERE n_words >= 20 AND score IS NOT NULL)
 SELECT doc_id, n_words, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM s LEFT JOIN o USING (r)""",
+    "op12_ngram_join": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+    [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(w[s:s + 3], ' ') AS gram FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.r <> b.r GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, l.y FROM reach JOIN l ON l.x = reach.y),
+c AS (SELECT reach.x AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.y GROUP BY reach.x)
+SELECT doc_id, coalesce(n, 0)::bigint AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN c USING (r)""",
     "op13_hard_negatives": """
 WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::bigint + 1) % 10 ELSE label END AS label,
     [floor(256 * x::double) FOR x IN embedding] AS v FROM embeddings
