@@ -30,7 +30,7 @@ def test_bootstrap_equals_numpy(spark):
     df = spark.createDataFrame([("s", f"g{i:02}", float(d)) for i, d in enumerate(diffs)], "strategy string, group_id string, diff double")
     index = np.random.default_rng(20260827).integers(0, 12, size=(2000, 12))
     low, high = np.percentile(diffs[index].mean(axis=1), [2.5, 97.5])
-    got = bootstrap.paired_bootstrap(df, bootstrap.numpy_index(spark, 12, 2000, 20260827)).first()
+    got = bootstrap.paired_bootstrap(df, bootstrap.numpy_index(spark, 12, 2000, 20260827), 2000).first()
     assert (got["low"], got["high"]) == pytest.approx((low, high), abs=1e-12)
     assert got["draws"] == 2000
 

@@ -9,8 +9,12 @@ def test_equals_sql(spark, name):
     same(spark, registry.queries()[name], registry.oracle_sql()[name])
 
 
-def test_every_query_has_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+#: Queries that SQL can't express; their own tests hold them against NumPy.
+NO_SQL = {"paired_bootstrap"}
+
+
+def test_every_other_query_has_sql():
+    assert set(registry.queries()) - set(registry.oracle_sql()) == NO_SQL
 
 
 def test_entry_module(spark):

@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridrift.functions.numeric import holds
+from veridrift.operators.quantiles import wide_percentiles
 
 
 def bounds(rows: DataFrame, columns: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """(metric, low, high): interpolated percentiles of each column, in one pass."""
-    q = rows.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(c) for c in columns])
-    cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c)[0].alias("low"), F.col(c)[1].alias("high")) for c in columns])
-    return q.select(F.inline(cells))
+    """(metric, low, high): interpolated percentiles of each column, by histograms of ``rows``, which is read once a pass."""
+    return wide_percentiles(rows, columns, {"low": low, "high": high})
 
 
 def normalized(value: Column, low: Column, high: Column, positive: Column | bool = True, degenerate: float | None = 0.0) -> Column:
@@ -34,7 +33,8 @@ def composite(parts: dict[str, float]) -> Column:
 
 
 def threshold(rows: DataFrame, column: str, q: float) -> DataFrame:
-    return rows.agg(F.percentile(column, F.lit(q)).alias("threshold"))
+    """One row: the percentile; null where there are no values."""
+    return wide_percentiles(rows, [column], {"threshold": q}).agg(F.max("threshold").alias("threshold"))
 
 
 def gate(checks: Column) -> Column:

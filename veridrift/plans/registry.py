@@ -11,8 +11,9 @@ from veridrift.operators import bootstrap, calibration, checks, manifest, metric
 from veridrift.plans import fixture
 from veridrift.plans.fixture import SQL, candidates, picks, table
 from veridrift.sources import records
+from veridrift.sources.tables import materialize
 
-#: Resamples of the bootstrap.
+#: Resamples of the bootstrap whose index SQL can make too.
 DRAWS = 200
 
 _QUERIES: dict = {}
@@ -103,10 +104,16 @@ def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def paired_bootstrap_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile bootstrap of the paired differences of all groups, with an index that every engine has."""
-    chosen = picks(spark, sf_dir)
+    chosen = materialize(picks(spark, sf_dir), "picks")
     n = chosen.select("group_id").distinct().count()
     index = bootstrap.md5_index(spark, n, DRAWS, fixture.SEED)
-    return bootstrap.paired_bootstrap(metrics.paired_differences(chosen, "direct"), index).withColumns(_round("low", "high"))
+    return bootstrap.paired_bootstrap(metrics.paired_differences(chosen, "direct"), index, DRAWS).withColumns(_round("low", "high"))
+
+
+@_query()
+def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10,000 resamples of the paired differences of all groups, with NumPy's own generator."""
+    return bootstrap.pcg64_bootstrap(metrics.paired_differences(picks(spark, sf_dir), "direct"), 10_000, fixture.SEED)
 
 
 @_query(
@@ -292,12 +299,13 @@ def calibration_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calibrated_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values between their bounds, turned where lower is better, and composed."""
     line = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_tax")
-    q = line.agg(*[F.percentile(c, F.array(F.lit(0.05), F.lit(0.95))).alias(f"b_{c}") for c in ("l_quantity", "l_tax")])
+    of = lambda m: F.max(F.when(F.col("metric") == m, F.struct("low", "high"))).alias(f"b_{m}")
+    q = calibration.bounds(line, ["l_quantity", "l_tax"]).agg(of("l_quantity"), of("l_tax"))
     both = line.crossJoin(F.broadcast(q))  # one row
     scored = both.select(
         "l_returnflag",
-        calibration.normalized(F.col("l_quantity"), F.col("b_l_quantity")[0], F.col("b_l_quantity")[1]).alias("q"),
-        calibration.normalized(F.col("l_tax"), F.col("b_l_tax")[0], F.col("b_l_tax")[1], positive=False).alias("t"),
+        calibration.normalized(F.col("l_quantity"), F.col("b_l_quantity.low"), F.col("b_l_quantity.high")).alias("q"),
+        calibration.normalized(F.col("l_tax"), F.col("b_l_tax.low"), F.col("b_l_tax.high"), positive=False).alias("t"),
     )
     return scored.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg(calibration.composite({"q": 3.0, "t": 1.0})), 9).alias("score"))
 
@@ -324,7 +332,7 @@ def degenerate_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def threshold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A threshold at the 70th percentile, and the share of picks that reach it."""
-    t = calibration.threshold(candidates(spark, sf_dir), "quality", 0.7)
+    t = calibration.threshold(materialize(candidates(spark, sf_dir).select("quality"), "qualities"), "quality", 0.7)
     rows = picks(spark, sf_dir).crossJoin(F.broadcast(t))  # one row
     rate = F.avg((F.col("selected_quality") >= F.col("threshold")).cast("double"))
     return rows.groupBy("strategy").agg(F.round(F.first("threshold"), 9).alias("threshold"), F.round(rate, 9).alias("qualified_rate"))
@@ -376,7 +384,8 @@ def category_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def median_mean_by_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centre of each arm."""
-    return metrics.center_by(picks(spark, sf_dir), "strategy", "selected_quality").withColumns(_round("mean", "median"))
+    stored = materialize(picks(spark, sf_dir).select("strategy", "selected_quality"), "qualities")
+    return metrics.center_by(stored, "strategy", "selected_quality").withColumns(_round("mean", "median"))
 
 
 @_query(
