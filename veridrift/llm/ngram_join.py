@@ -15,7 +15,8 @@ Candidates pass three filters before any set is fetched:
   side has there;
 * suffix: pivots of the hash cut both sets into ``PARTS``, and the counts of the parts must not
   differ by more than the sets may differ.  (Fixed pivots take the place of recursive ones, so a
-  set is described once by a byte for each part; saturated counts only differ by less.)
+  set is described once by half a byte for each part; counts are kept up to 15, and saturated ones
+  only differ by less.)
 
 What is left is verified by whole sets, once for each pair: pairs are distinct, and later rounds
 leave out what was tested before.
@@ -50,43 +51,55 @@ from veridrift.llm.components import components
 from veridrift.llm.scratch import materialize
 
 #: Buckets of the n-gram counts, in ranges that are added up apart; parts of the suffix filter.
-BUCKETS, RANGES, PARTS = 1 << 20, 64, 64
-#: Entries of a block of a list.
-BLOCK = 2048
-SEED, KNOWN = 42, 1 << 19
+BUCKETS, RANGES, PARTS = 1 << 20, 64, 512
+#: Entries of a block of a list; entries, and pairs, that a task compares at once.
+BLOCK, TOGETHER, COMPARED = 2048, 4096, 4096
+SEED = 42
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _Hashes(dict):
-    """Hashes of words, made when first asked for; at most ``KNOWN`` are kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= KNOWN:
-            self.clear()
-        made = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return made
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_set(text: str | None, size: int, known: _Hashes) -> np.ndarray:
+def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Hashes of the distinct n-grams of a text, in order: words are hashed, and joined by their places."""
+    import xxhash
+
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    w = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    w = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype="<u8")
     width = min(size, len(w))
     n = len(w) - width + 1
     total = np.full(n, width, dtype=np.uint64)
     for i in range(width):
-        total += mixed(w[i : i + n] * FACTORS[i])
-    return np.unique(mixed(total))
+        total += w[i : i + n] * FACTORS[i]
+    h = np.sort(mixed(total))
+    return h[np.append(True, h[1:] != h[:-1])]
+
+
+def parts_of(h: np.ndarray) -> bytes:
+    """How many of the hashes lie in each part, half a byte each."""
+    count = np.minimum(np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=PARTS), 15).astype(np.uint8)
+    return (count[::2] | count[1::2] << 4).tobytes()
+
+
+def opened(cut: list[bytes]) -> np.ndarray:
+    """The counts of parts, a row for each set."""
+    packed = np.frombuffer(b"".join(cut), dtype=np.uint8).reshape(-1, PARTS // 2)
+    return np.concatenate([packed & 15, packed >> 4], axis=1)
+
+
+def differing(cut: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By how much the counts of the rows ``x`` and ``y`` differ."""
+    out = np.zeros(len(x), dtype=np.int64)
+    for low in range(0, len(x), COMPARED):
+        a, b = (cut[i[low : low + COMPARED]] for i in (x, y))
+        out[low : low + COMPARED] = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -107,12 +120,12 @@ def described(stored: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known, counts = _Hashes(), np.zeros(BUCKETS, dtype=np.uint64)
+        counts = np.zeros(BUCKETS, dtype=np.uint64)
         for batch in batches:
             for piece in parts(batch):
                 sizes, digests = [], []
                 for text in piece.column("text"):
-                    h = shingle_set(text.as_py(), size, known)
+                    h = shingle_set(text.as_py(), size)
                     sizes.append(len(h))
                     digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                     np.add.at(counts, bucket(h), np.uint64(1))
@@ -153,16 +166,14 @@ def prefix_length(n: int, percent: int) -> int:
 def prefixed(stored: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
     """(row, keys, parts): the n-grams of each set's prefix in order, and the counts of its parts."""
     sent = stored.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers
-    state: dict = {}
 
     def work(texts: list[str | None]) -> list[list]:
-        known = state.setdefault("known", _Hashes())
         keys, cut = [], []
         for text in texts:
-            h = shingle_set(text, size, known)
+            h = shingle_set(text, size)
             order = np.lexsort((h, sent.value[bucket(h)]))
             keys.append(h[order[: prefix_length(len(h), percent)]].view(np.int64) if len(h) else np.zeros(0, dtype=np.int64))
-            cut.append(np.minimum(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
+            cut.append(parts_of(h))
         return [keys, cut]
 
     return with_made(stored.select("row", "text"), ["row"], "text", "keys array<long>, parts binary", work)
@@ -204,9 +215,10 @@ def suffixed(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, PARTS).astype(np.int64) for c in ("p_u", "p_v"))
+                cut = opened(batch.column("p_u").to_pylist() + batch.column("p_v").to_pylist())
                 n = batch.column("n_u").to_numpy().astype(np.int64) + batch.column("n_v").to_numpy()
-                keep = np.abs(a - b).sum(axis=1) <= may_differ(n, percent)
+                at = np.arange(batch.num_rows)
+                keep = differing(cut, at, at + batch.num_rows) <= may_differ(n, percent)
                 yield batch.select(["u", "v"]).filter(pa.array(keep))
 
     return sides.select("u", "v", "n_u", "n_v", "p_u", "p_v").mapInArrow(judge, "u long, v long")
@@ -234,40 +246,52 @@ def apart_pairs(listed: DataFrame, index: DataFrame, percent: int, every: bool)
     unit = ("key", "low", "high")
 
     def pairs_of(t: pa.Table) -> pa.RecordBatch:
-        rep, n, pos, component, mine = (t.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "pos", "component", "mine"))
-        cut = np.frombuffer(b"".join(t.column("parts").to_pylist()), dtype=np.uint8).reshape(-1, PARTS).astype(np.int16)
-        two = t.column("low")[0].as_py() != t.column("high")[0].as_py()
-        u, v = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for x in range(len(rep)):
-            low = 0 if not every else x + 1
-            y = low + np.flatnonzero((component[low:] != component[x]) & (100 * np.minimum(n[low:], n[x]) >= percent * np.maximum(n[low:], n[x])))
-            if two:
-                y = y[mine[y] != mine[x]]
-            most = np.minimum(pos[y], pos[x]) + 1 + np.minimum(n[y] - pos[y], n[x] - pos[x]) - 1
-            y = y[most >= -(-percent * (n[y] + n[x]) // (100 + percent))]
-            differ = np.abs(cut[y] - cut[x]).sum(axis=1)
-            passed = differ <= may_differ(n[y] + n[x], percent)
-            y, differ = y[passed], differ[passed]
-            if not every and len(y):
-                y = y[[differ.argmin()]]
-            u.append(np.minimum(rep[y], rep[x]))
-            v.append(np.maximum(rep[y], rep[x]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+        """The pairs of whole units: each entry with the one a step further on, for all units at once."""
+        rep, n, pos, component, mine, low, high, key = (t.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "pos", "component", "mine", "low", "high", "key"))
+        begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+        size = np.diff(np.append(begin, len(key)))
+        ends = np.repeat(begin + size, size)
+        cut = opened(t.column("parts").to_pylist())
+        at, found, others = np.arange(len(key)), [], []
+        for step in range(1, int(size.max())):
+            at = at[at + step < ends[at]]
+            x, y = at, at + step
+            may = (component[x] != component[y]) & ((low[x] == high[x]) | (mine[x] != mine[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            x, y = x[may], y[may]
+            most = np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1
+            may = most >= -(-percent * (n[x] + n[y]) // (100 + percent))
+            found.append(x[may])
+            others.append(y[may])
+        x, y = (np.concatenate([np.zeros(0, dtype=np.int64), *z]) for z in (found, others))
+        differ = differing(cut, x, y)
+        passed = differ <= may_differ(n[x] + n[y], percent)
+        x, y, differ = x[passed], y[passed], differ[passed]
+        if not every:
+            x, y, differ = np.concatenate([x, y]), np.concatenate([y, x]), np.tile(differ, 2)
+            order = np.lexsort((rep[y], differ, x))
+            x, y = x[order], y[order]
+            likeliest = np.append(True, x[1:] != x[:-1])[: len(x)]
+            x, y = x[likeliest], y[likeliest]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y]))], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        at = None
         for batch in batches:
             if not batch.num_rows:
                 continue
+            # units end where the next begins; what is held is whole units up to the last beginning
             units = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in unit])
-            begin = np.flatnonzero(np.append(True, (units[:, 1:] != units[:, :-1]).any(axis=0)))
-            for b, e in zip(begin.tolist(), np.append(begin[1:], batch.num_rows).tolist(), strict=True):
-                if held and tuple(units[:, b]) != at:
+            begin = np.flatnonzero((units[:, 1:] != units[:, :-1]).any(axis=0)) + 1
+            if held and tuple(units[:, 0]) != tuple(held[-1].column(c)[-1].as_py() for c in unit):
+                begin = np.append(0, begin)
+            low = 0
+            for b in begin.tolist():
+                held.append(batch.slice(low, b - low))
+                low = b
+                if sum(h.num_rows for h in held) >= TOGETHER:
                     yield pairs_of(pa.Table.from_batches(held).combine_chunks())
                     held = []
-                at = tuple(units[:, b])
-                held.append(batch.slice(b, e - b))
+            held.append(batch.slice(low))
         if held:
             yield pairs_of(pa.Table.from_batches(held).combine_chunks())
         release()
@@ -279,8 +303,7 @@ def verified(stored: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
     """The pairs whose sets link."""
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
     texts = stored.select("row", "text").join(nodes, "row", "left_semi")
-    state: dict = {}
-    sets = materialize(with_made(texts, ["row"], "text", "s binary", lambda held: [[shingle_set(t, size, state.setdefault("known", _Hashes())).tobytes() for t in held]]), "sets")
+    sets = materialize(with_made(texts, ["row"], "text", "s binary", lambda held: [[shingle_set(t, size).tobytes() for t in held]]), "sets")
 
     def links(a: pa.Scalar, b: pa.Scalar) -> bool:
         x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (a, b))
