@@ -24,6 +24,7 @@ gives an empty result.  Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +38,9 @@ from veridrift.llm.scratch import materialize
 
 BUCKETS, LONGEST, SEED = 10_000, 2, 7
 #: Rows and bytes that DuckDB counts at once; a longer text is counted alone.
-ROWS, BYTES = 2048, 4 << 20
+ROWS, BYTES = 512, 1 << 20
+#: Parts after which a task takes a new DuckDB, as one keeps what it has allocated.
+FRESH = 4
 #: Words of a text, lower-cased in ASCII only: whatever lies between these bytes.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,7 +67,7 @@ def connection(buckets: int):
     """A DuckDB in memory, on one thread and without files, that knows ``bucket_of``."""
     import duckdb
 
-    db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
+    db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
 
     def bucket_of(grams):
         grams = grams.combine_chunks() if isinstance(grams, pa.ChunkedArray) else grams
@@ -80,7 +83,7 @@ def counted(rows: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST) ->
     sql = counting_sql(longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        db = connection(buckets)
+        db, counts = connection(buckets), itertools.count(1)
         names = ["id", "words", "features", "buckets", "counts", "total"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.bool_()]
         sums = np.zeros(buckets, dtype=np.int64)
@@ -91,6 +94,10 @@ def counted(rows: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST) ->
                 db.register("part", part)
                 made = db.sql(sql).to_arrow_table().combine_chunks()
                 db.unregister("part")
+                if next(counts) % FRESH == 0:
+                    db.close()
+                    release()
+                    db = connection(buckets)
                 columns = [made.column(c).combine_chunks().cast(k) for c, k in zip(names[1:5], kinds[1:5], strict=True)]
                 np.add.at(sums, columns[2].flatten().to_numpy(zero_copy_only=False), columns[3].flatten().to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([piece.column("id"), *columns, pa.array([False] * len(texts))], names)
