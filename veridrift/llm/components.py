@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridrift.llm.scratch import mark, materialize, sweep
+from veridrift.llm.scratch import materialize, owned
+from veridrift.sources.tables import Tables
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,6 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nodes are non-null integers; loops and repeated edges do no harm.
     """
+    with owned() as mine:
+        return _components(edges, mine)
+
+
+def _components(edges: DataFrame, mine: Tables) -> DataFrame:
     edges = materialize(
         edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct(),
         "edges",
@@ -40,10 +46,9 @@ def components(edges: DataFrame) -> DataFrame:
     loops = edges.where("u = v")
     live = edges.where("u > v")
     before = None
-    since = mark()
     while True:
         live = materialize(_star(_star(live, True), False), "star")
-        sweep(live.sparkSession, live, since=since)  # the round before
+        mine.sweep(live.sparkSession, edges, live)  # not the round before
         # both stars leave a forest of stars exactly when nothing changes any more
         now = live.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == tuple(now):

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridrift.llm.scratch import mark, materialize, sweep
+from veridrift.llm.scratch import materialize, owned
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between words: ASCII but digits and lower-case letters.
@@ -159,7 +159,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFra
     covered = runs.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at")).distinct()
     hits = covered.groupBy("row").agg(F.count("*").alias("n_hit"))
     named = runs.select("row", "item").distinct().join(near(places.select("item", "item_id").distinct()), "item")
-    found = named.groupBy("row").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_set("item_id")).alias("ids"))
+    found = named.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("ids")).withColumn("n_items", F.size("ids").cast("long"))
     known = hits.join(found, "row")
     zero = F.lit(0).cast("long")
     return (
@@ -182,11 +182,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
 
     A row's own text decides: rows with one id, or none, are judged apart by the digest of their text.
     """
-    since = mark()
-    index, _, runs = occurrences(docs, benchmark, window)
-    hit = index.where("at = 0").join(runs.select("row").distinct(), "row", "left_semi")
-    found = materialize(hit.select(F.col("doc_id").alias("found_id"), F.col("digest").alias("found")).distinct(), "contaminated")
-    same = docs["doc_id"].eqNullSafe(found["found_id"]) & (text_digest(docs["text"]) == found["found"])
-    clean = docs.join(near(found), same, "left_anti")
-    sweep(docs.sparkSession, clean, since=since)
+    with owned() as mine:
+        index, _, runs = occurrences(docs, benchmark, window)
+        hit = index.where("at = 0").join(runs.select("row").distinct(), "row", "left_semi")
+        found = materialize(hit.select(F.col("doc_id").alias("found_id"), F.col("digest").alias("found")).distinct(), "contaminated")
+        same = docs["doc_id"].eqNullSafe(found["found_id"]) & (text_digest(docs["text"]) == found["found"])
+        clean = docs.join(near(found), same, "left_anti")
+        mine.sweep(docs.sparkSession, clean)
     return clean

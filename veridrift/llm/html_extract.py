@@ -11,7 +11,9 @@ labels; training takes seconds, on the driver, and its size is a parameter.
 
 How it scales.  A map over the pages without shuffle or state; the model is a few kilobytes.
 
-Edge cases.  A null or empty page has an empty text, and so has one without elements of text.
+Edge cases.  A null or empty page has an empty text, and so has one whose text is all clutter.  A page on
+which the model keeps nothing gives what stands outside clutter, so titles alone and short pages
+aren't lost.  Captions go with what holds their figure.
 Scripts, styles, comments, titles and other unseen parts never count.  Tags left open are closed
 where the next block, or the end, closes them; stray end tags are dropped, and of a tag that never
 ends the name and its attributes.  Text outside any element belongs to the page's body.  Repeated
@@ -56,8 +58,8 @@ BAD = frozenset(
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+(?:>|$)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
-    # a tag that never ends: its name and whole attributes
-    r"|</?[a-zA-Z][^\s/><]*+(?:\s++[\w:-]++\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))*+",
+    # a tag that never ends: its name and whole attributes, and one that the end of the page cuts off
+    r"|</?[a-zA-Z][^\s/><]*+(?:\s++[\w:-]++\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))*+(?:\s++[\w:-]++\s*+=\s*+(?:\"[^\"<>]*+|'[^'<>]*+)$)?+",
     re.S,
 )
 ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -160,6 +162,8 @@ def attribute_scores(text: str) -> tuple[int, int]:
 #: Elements of text whose inline elements aren't judged apart.
 HOLDS_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd #run".split()) | INLINE
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that never hold main text.
+CLUTTER = frozenset("nav menu aside form fieldset button label input".split())
 #: How many numbers describe an element's text, and how many the element beside that.
 OF_TEXT, BESIDE = 9, 12
 FEATURES = len(GROUPS) + 3 * OF_TEXT + BESIDE
@@ -175,7 +179,8 @@ def tied(tree: Tree) -> list[bool]:
     for e, text in tree.flow:
         if e >= 0 and len(text.strip()) >= SENTENCE:
             holds[e] = True
-    return [i > 0 and t in INLINE and holds[tree.parents[i]] for i, t in enumerate(tree.tags)]
+    captions = [t == "figcaption" or t == "figure" and not attribute_scores(tree.attributes[i])[1] for i, t in enumerate(tree.tags)]
+    return [i > 0 and (captions[i] or t in INLINE and holds[tree.parents[i]]) for i, t in enumerate(tree.tags)]
 
 
 def features(tree: Tree) -> np.ndarray:
@@ -382,10 +387,28 @@ def decode(tree: Tree, chance: np.ndarray) -> list[bool]:
     return keep
 
 
+def unclear(tree: Tree) -> list[bool]:
+    """Elements that nothing but their model's chance speaks against: no clutter by its kind or name,
+    nor below such.  Headers and footers of an article are none."""
+    keep, inside = [True] * len(tree.tags), [False] * len(tree.tags)
+    for i in range(1, len(keep)):
+        p, tag = tree.parents[i], tree.tags[i]
+        inside[i] = inside[p] or tag in ("article", "main")
+        named = attribute_scores(tree.attributes[i])
+        clutter = tag in CLUTTER or tag in ("header", "footer") and not inside[p] or named[1] > 0 and not named[0]
+        keep[i] = keep[p] and not clutter
+    return keep
+
+
 def main_text(tree: Tree, keep: list[bool]) -> str:
-    """The kept text in blocks, one to a line; where no element is kept, what stands in the body."""
-    if not any(keep[1:]):
-        keep = [k or t == RUN for k, t in zip(keep, tree.tags, strict=True)]
+    """The kept text in blocks, one to a line; where none is, what stands outside clutter.
+
+    So a page of a title or a few words, on which the model finds no article, isn't empty.
+    """
+    return joined_text(tree, keep) or joined_text(tree, unclear(tree))
+
+
+def joined_text(tree: Tree, keep: list[bool]) -> str:
     blocks: list[str] = []
     held: list[str] = []
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from veridrift.llm.batches import arrow_schema, parts, release, with_made
 from veridrift.llm.quality_rules import measure
-from veridrift.llm.scratch import mark, materialize, sweep
+from veridrift.llm.scratch import materialize, owned
 
 #: Most labelled documents that word lists and rates are learned from, and most that train the scorer.
 LABELLED = 20_000
@@ -516,7 +516,7 @@ def score_with(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The rows that are kept, with all their columns as they were."""
-    since = mark()
-    model, table = fit(docs, labels)
-    sweep(docs.sparkSession, docs, table, since=since)
+    with owned() as mine:
+        model, table = fit(docs, labels)
+        mine.sweep(docs.sparkSession, table)
     return judged(table, model).where("kept").select("doc.*")

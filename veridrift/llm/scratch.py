@@ -1,106 +1,5 @@
-"""Intermediate tables in the shared folder of the cluster.
+"""Intermediate tables of the corpus operators; see ``veridrift.sources.tables``."""
 
-Iterative operators cut lineage by writing a Parquet table and reading it back.  The table
-survives the loss of any executor, its size is known to the planner, and its columns are pruned
-by later reads.  The folder is the one named in ``spark.checkpoint.dir``; only a local session
-without that setting gets one of its own.
-"""
+from veridrift.sources.tables import materialize, owned, roots, scratch_path, shared_dir
 
-from __future__ import annotations
-
-import atexit
-import contextlib
-import itertools
-import uuid
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN = "/tmp/checkpoints/veridrift"
-#: The tables that are there, by path, with the order in which they were written.
-_TABLES: dict[str, int] = {}
-_ORDER = itertools.count()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Raises on a cluster that names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _OWN
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/veridrift-{uuid.uuid4().hex[:12]}-{name}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete ``path`` through Hadoop's file system API, if the session still runs."""
-    try:
-        jvm = spark.sparkContext._jvm
-        if jvm is None or spark.sparkContext._jsc is None:
-            return
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended; nothing more can be done
-        return
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back with the same schema.
-
-    The table takes the place of the shuffle files of its query, which are removed.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    with shuffles_removed(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    _TABLES[path] = next(_ORDER)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextlib.contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Remove the shuffle files of the queries inside, unless others ran beside them.
-
-    Files that something still wants, such as a lost block of a cached table, are made again.
-    """
-    sc = spark.sparkContext
-    alone = lambda: not sc.statusTracker().getActiveJobsIds()
-    quiet, context = alone(), sc._jsc.sc()
-    before = context.newShuffleId()
-    yield
-    if quiet and alone() and context.cleaner().isDefined():
-        for i in range(before + 1, context.newShuffleId()):
-            context.cleaner().get().doCleanupShuffle(i, False)
-
-
-def mark() -> int:
-    """A point in the order of tables, for ``sweep``."""
-    return next(_ORDER)
-
-
-def sweep(spark: SparkSession, *needed: DataFrame, since: int = 0) -> None:
-    """Remove the tables written after a ``mark`` (all by default) that no DataFrame in ``needed`` reads."""
-    read = {root for df in needed for root in roots(df)}
-    for path in [p for p, order in _TABLES.items() if order > since]:
-        if path.rsplit("/", 1)[1] not in read:
-            remove(spark, path)
-            del _TABLES[path]
-
-
-def roots(df: DataFrame) -> set[str]:
-    """Names of the folders and files that a DataFrame reads, however it was made from them."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    found: set[str] = set()
-    for i in range(leaves.length()):
-        leaf = leaves.apply(i)
-        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
-            paths = leaf.relation().location().rootPaths()
-            found |= {paths.apply(j).getName() for j in range(paths.length())}
-    return found
+__all__ = ["materialize", "owned", "roots", "scratch_path", "shared_dir"]

@@ -242,8 +242,11 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int) -> DataFrame:
     return assign(materialize(measure(docs, old_shard), "sizes"), shards)
 
 
-def rewrite_planned(docs: DataFrame, source: str, target: str, shards: int, stored_row: bool) -> tuple[DataFrame, list[tuple[int, str, bool]]]:
-    """The plan of the stored ``docs``, with ``_row``, and (shard, path, rewritten) once written."""
+def rewrite_planned(docs: DataFrame, source: str, target: str, shards: int, stored_row: bool, names: dict[str, str] | None = None) -> tuple[DataFrame, list[tuple[int, str, bool]]]:
+    """The plan of the stored ``docs``, with ``_row``, and (shard, path, rewritten) once written.
+
+    ``names``: columns that are written by another name than they have here.
+    """
     where = materialize(assign(materialize(measure(docs, F.col("shard"), "_row"), "sizes"), shards, key=True), "plan")
     moved = where.where("moved").select("old_shard", "shard").distinct().collect()
     affected = sorted({r["old_shard"] for r in moved} | {r["shard"] for r in moved})
@@ -254,7 +257,7 @@ def rewrite_planned(docs: DataFrame, source: str, target: str, shards: int, stor
         new = F.broadcast(new) if where.count() <= SMALL else new
         stored = docs.where(F.col("shard").isin(affected)).join(new, "_row")
         kept = [c for c in docs.columns if c != "shard" and (c != "_row" or stored_row)]
-        stored.select(*[F.col(f"`{c}`") for c in kept], F.col("_new_shard").alias("shard")).write.partitionBy("shard").parquet(target)
+        stored.select(*[F.col(f"`{c}`").alias((names or {}).get(c, c)) for c in kept], F.col("_new_shard").alias("shard")).write.partitionBy("shard").parquet(target)
     full = [s for s in range(shards) if s in gained]
     return where, [(s, f"{target if s in affected else source}/shard={s}", s in affected) for s in full]
 
@@ -267,13 +270,21 @@ def rewrite_shards(spark: SparkSession, source: str, target: str, shards: int) -
     (shard, path, rewritten): where each new shard that has rows now is.
     """
     docs = spark.read.parquet(source)
-    if "_row" in docs.columns:
-        raise ValueError("the column _row is taken by the rewriting")
     place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
-    _, manifest = rewrite_planned(docs.withColumn("_row", place), source, target, shards, False)
+    own = {c: unused("document_row", docs.columns) for c in docs.columns if c.lower() == "_row"}
+    named = docs.select(*docs.columns, place.alias("_place")) if not own else docs.select(*docs.columns, place.alias("_place")).withColumnsRenamed(own)
+    _, manifest = rewrite_planned(named.withColumnRenamed("_place", "_row"), source, target, shards, False, {new: old for old, new in own.items()})
     return spark.createDataFrame(manifest, "shard int, path string, rewritten boolean")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores as make it differ from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def reshard_files(docs: DataFrame, old_shard: Column, shards: int) -> DataFrame:
     """Lay out the old shards as files, rewrite the affected ones, and read all new shards back.
 
@@ -283,7 +294,7 @@ def reshard_files(docs: DataFrame, old_shard: Column, shards: int) -> DataFrame:
     if docs.isEmpty():
         return reshard(docs, old_shard, shards)
     source, target = scratch_path(spark, "old-shards"), scratch_path(spark, "new-shards")
-    free = [F.col(f"`{c}`").alias(f"document_{c}" if c.lower() in ("shard", "_row") else c) for c in docs.columns]
+    free = [F.col(f"`{c}`").alias(c if c.lower() not in ("shard", "_row") else unused(f"document_{c}", docs.columns)) for c in docs.columns]
     laid = docs.select(*free, F.monotonically_increasing_id().alias("_row"), old_shard.cast("int").alias("shard"))
     laid.write.option("compression", "zstd").partitionBy("shard").parquet(source)
     where, manifest = rewrite_planned(spark.read.parquet(source), source, target, shards, True)

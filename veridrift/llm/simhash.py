@@ -16,9 +16,10 @@ one edge for each entry but the first.  Short lists are compared pair by pair; i
 entry that was linked needs no second comparison, so a group of near copies costs one pass.
 
 Edge cases.  A null or empty text has no words and fingerprint zero, linked like any other.
-Fewer words than a shingle make one shingle of them all.  Null ids get a component of their own
-only through a fingerprint's smallest id; a fingerprint all of whose ids are null has a null
-component.  Repeated rows come back as often.  An empty table gives an empty result.
+Fewer words than a shingle make one shingle of them all.  Fingerprints link by numbers of their
+own, whatever the ids of their documents, so a document without an id connects others like any
+other; a component is named by its smallest id, and is null only where all its ids are.  Ids are
+whole numbers.  Repeated rows come back as often.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -172,10 +173,12 @@ def link_edges(entries: DataFrame, distinct: int, distance: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int, distance: int) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of (doc_id, text)."""
     prints = materialize(with_fingerprint(docs, shingle), "fingerprints")
-    entries = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "entries")
-    known = entries.where(F.col("rep").isNotNull())
-    edges = link_edges(known, known.count(), distance)
-    joined = components(edges).withColumnRenamed("node", "rep")
-    whole = entries.join(joined, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    entries = materialize(least.withColumn("rep", F.monotonically_increasing_id()), "entries")
+    edges = link_edges(entries.select("fp", "rep"), entries.count(), distance)
+    joined = entries.join(components(edges).withColumnRenamed("node", "rep"), "rep", "left")
+    grouped = joined.select("fp", "least", F.coalesce("component", "rep").alias("component"))
+    named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    whole = grouped.join(named, "component").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(whole, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridrift.llm.scratch import mark, materialize, sweep
+from veridrift.llm.scratch import materialize, owned
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a block (a longer document is a block), and handled at once in it.
@@ -330,23 +330,27 @@ SENT = "part int, block long, keys binary, docs binary, places binary, strings b
 
 
 def make_blocks(docs: DataFrame) -> DataFrame:
-    """Documents in blocks: ids, sizes and the bytes of their texts one after the other."""
+    """Documents in blocks: ids, sizes (the complement for a null id) and the bytes of their texts one after the other."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 32
         ids: list[int] = []
         texts: list[bytes] = []
+        none: list[bool] = []
         held = 0
 
         def block() -> pd.DataFrame:
-            row = (number, np.array(ids, dtype="<i8").tobytes(), np.array([len(t) for t in texts], dtype="<i8").tobytes(), b"".join(texts))
+            size = np.array([len(t) for t in texts], dtype="<i8")
+            row = (number, np.array(ids, dtype="<i8").tobytes(), np.where(none, ~size, size).tobytes(), b"".join(texts))
+            none.clear()
             ids.clear()
             texts.clear()
             return pd.DataFrame([row], columns=["block", "ids", "sizes", "data"])
 
         for pdf in frames:
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for doc_id, without, text in zip(pdf["doc_id"], pdf["without"], pdf["text"], strict=True):
                 ids.append(int(doc_id))
+                none.append(bool(without))
                 texts.append((text or "").encode("utf-8", "surrogatepass"))
                 held += len(texts[-1])
                 if held >= BLOCK_BYTES:
@@ -356,11 +360,12 @@ def make_blocks(docs: DataFrame) -> DataFrame:
             yield block()
 
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
-    return docs.select(id_, "text").mapInPandas(run, BLOCKS)
+    return docs.select(id_, F.col("doc_id").isNull().alias("without"), "text").mapInPandas(run, BLOCKS)
 
 
 def _opened(ids: bytes, sizes: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, dtype="<i8"), np.cumsum(np.frombuffer(sizes, dtype="<i8")), np.frombuffer(data, dtype=np.uint8)
+    size = np.frombuffer(sizes, dtype="<i8")
+    return np.frombuffer(ids, dtype="<i8"), np.cumsum(np.where(size < 0, ~size, size)), np.frombuffer(data, dtype=np.uint8)
 
 
 def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -532,25 +537,27 @@ def cut_out(blocks: DataFrame, cuts: DataFrame, parts: int, id_type: str) -> Dat
                     continue
                 made = pd.DataFrame(rows_of(*_opened(ids, sizes, data), known), columns=names)
                 known = []
+                made["without"] = np.frombuffer(sizes, dtype="<i8") < 0
                 yield made
 
-    return with_side(blocks, cuts, "cuts", parts).mapInPandas(run, RESULT.format(id="long")).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)).cast(id_type))
+    made = with_side(blocks, cuts, "cuts", parts).mapInPandas(run, RESULT.format(id="long") + ", without boolean")
+    return made.withColumn("doc_id", F.when(~F.col("without"), F.col("doc_id")).cast(id_type)).drop("without")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Bytes removed and kept of every row of (doc_id, text); the columns of ``RESULT``."""
     spark = docs.sparkSession
-    since = mark()
-    blocks = materialize(make_blocks(docs), "blocks")
-    total = blocks.agg(F.sum(F.length("data"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
-    keys = materialize(shared_keys(blocks, parts), "keys")
-    # Part -1, which a block decided by itself, goes on as it is.
-    sent = materialize(send_segments(blocks, keys, parts), "segments")
-    own = sent.where("part = -1").select("block", own_cuts("places", "strings").alias("cuts"))
-    met = decide(sent.where("part >= 0").repartition(parts, "part"), parts)
-    cuts = materialize(met.union(own), "cuts")
-    sweep(spark, docs, blocks, cuts, since=since)
+    with owned() as mine:
+        blocks = materialize(make_blocks(docs), "blocks")
+        total = blocks.agg(F.sum(F.length("data"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+        keys = materialize(shared_keys(blocks, parts), "keys")
+        # Part -1, which a block decided by itself, goes on as it is.
+        sent = materialize(send_segments(blocks, keys, parts), "segments")
+        own = sent.where("part = -1").select("block", own_cuts("places", "strings").alias("cuts"))
+        met = decide(sent.where("part >= 0").repartition(parts, "part"), parts)
+        cuts = materialize(met.union(own), "cuts")
+        mine.sweep(spark, blocks, cuts)
     return cut_out(blocks, cuts, parts, docs.schema["doc_id"].dataType.simpleString())
 
 
