@@ -10,7 +10,7 @@ def test_equals_sql(spark, name):
 
 
 #: Queries that SQL can't express; their own tests hold them against NumPy.
-NO_SQL = {"paired_bootstrap"}
+NO_SQL = {"paired_bootstrap", "learned_selection"}
 
 
 def test_every_other_query_has_sql():

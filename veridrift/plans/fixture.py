@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(group_id, k, sample_id, quality, l_discount, l_tax) of the first four of each order."""
+    """(group_id, k, sample_id, quality, l_discount, l_tax, l_extendedprice) of the first four of each order."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", *UNIQUE_ORDER, "l_quantity", "l_discount", "l_tax")
     first = selection.first_k(line, ["l_orderkey"], [F.col(c) for c in UNIQUE_ORDER], N)
     named = first.select(
@@ -34,6 +34,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") / 50).alias("quality"),
         "l_discount",
         "l_tax",
+        "l_extendedprice",
     )
     return selection.complete_groups(named, "group_id", N)
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from veridrift.functions import identifiers
 from veridrift.functions.numeric import close, dominated, within
-from veridrift.operators import bootstrap, calibration, checks, manifest, metrics, report, selection
+from veridrift.operators import bootstrap, calibration, checks, manifest, metrics, ranker, report, resumable, selection
 from veridrift.plans import fixture
 from veridrift.plans.fixture import SQL, candidates, picks, table
 from veridrift.sources import records
-from veridrift.sources.tables import materialize
+from veridrift.sources.tables import materialize, scratch_path
 
 #: Resamples of the bootstrap whose index SQL can make too.
 DRAWS = 200
@@ -278,6 +278,59 @@ def score_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(F.inline(cells)).groupBy("weight").agg(F.round(F.avg("q"), 9).alias("mean_quality"))
 
 
+#: Sets of features, ridges, and weights of the ranker against a given score: 27 models.
+RANKING = {"price": ["l_extendedprice"], "terms": ["l_discount", "l_tax"], "all": ["l_extendedprice", "l_discount", "l_tax", "k"]}
+RIDGES, FUSIONS = {"weak": 0.01, "middle": 1.0, "strong": 100.0}, {"w3": 0.3, "w7": 0.7, "w10": 1.0}
+SHARES = {"train": 0.7, "validation": 0.15, "test": 0.15}
+
+
+@_query()
+def learned_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rankers fitted on train groups, one chosen on validation groups and held against test groups."""
+    rows = candidates(spark, sf_dir)
+    found = ranker.learn(rows, "group_id", "sample_id", "quality", "k", RANKING, RIDGES, FUSIONS, F.col("l_discount") * 10, SHARES, 7)
+    board = found.validation.withColumnsRenamed({"strategy": "model"}).withColumn("chosen", F.col("model") == found.chosen)
+    tested = found.test.select(F.col("strategy").alias("model"), *[F.col(c).alias(f"test_{c}") for c in found.test.columns if c != "strategy"])
+    joined = board.join(F.broadcast(tested), "model", "left")  # one row
+    return joined.withColumns({c: F.round(c, 9) for c, t in joined.dtypes if t == "double"})
+
+
+_UNIT = "lpad((l_orderkey % 16)::varchar, 2, '0')"
+
+
+@_query(
+    f"""WITH s AS (SELECT {_UNIT} AS p, l_orderkey, l_quantity / 50 AS q, l_linenumber AS n FROM lineitem),
+    g AS (SELECT p, l_orderkey, max(q) AS best, count(*) AS n FROM s WHERE NOT (p = '07' AND n > 4) AND NOT (p = '02' AND n > 2) GROUP BY ALL)
+    SELECT p, CASE WHEN p = '02' THEN 'changed' WHEN p < '04' THEN 'begun' ELSE 'resumed' END AS made, count(*) AS groups, sum(n)::bigint AS "rows", round(avg(best), 9) AS mean_best
+    FROM g GROUP BY p"""
+)
+def resumable_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over 16 files that is stopped after four, resumed, and run again as a file changes.
+
+    Before it is resumed a file that wasn't read yet changes too; each unit tells which call made it.
+    """
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    base = scratch_path(spark, "resumable")
+    placed = line.withColumn("p", F.lpad((F.col("l_orderkey") % 16).cast("string"), 2, "0"))
+    placed.repartition(16, "p").write.partitionBy("p").parquet(f"{base}/in")
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("unit", "l_orderkey").agg(F.max(F.col("l_quantity") / 50).alias("best"), F.count("*").alias("n"))
+
+    def change(p: str, upto: int) -> None:
+        few = placed.where((F.col("p") == p) & (F.col("l_linenumber") <= upto)).drop("p").coalesce(1)
+        few.write.mode("overwrite").parquet(f"{base}/in/p={p}")
+
+    run = resumable.Run(spark, f"{base}/in", f"{base}/out", best, {"best": 1}, wave_units=2)
+    run.resume(waves=2, label="begun")
+    change("07", 4)
+    run.resume(label="resumed")
+    change("02", 2)
+    run.resume(label="changed")
+    p = F.regexp_extract("unit", "p=([0-9]+)", 1).alias("p")
+    return run.result().groupBy(p, F.col("label").alias("made")).agg(F.count("*").alias("groups"), F.sum("n").alias("rows"), F.round(F.avg("best"), 9).alias("mean_best"))
+
+
 _METRICS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
