@@ -24,7 +24,8 @@ leave out what was tested before.
 How it scales.  Equal sets are one entry.  A list (the entries with one prefix n-gram) gives its
 pairs in three rounds.  First its smallest entry is paired with the others.  Then, in lists that
 links don't connect, each entry is paired with the likeliest of another component.  Last, in lists
-that are still apart, come all pairs of different components that pass the filters.  So a group of
+that are still apart, come all pairs of different components that pass the filters, of entries that
+had such a pair in the second round (components only grow, so no others can have one).  So a group of
 near copies gives pairs in proportion to its members, and no link between components is lost.
 Rounds two and three compare in the tasks, by blocks of ``BLOCK`` entries, a pair of blocks being a
 unit of work of its own; joins on the n-gram are equi-joins that adaptive execution can split.
@@ -51,7 +52,7 @@ from veridrift.llm.components import components
 from veridrift.llm.scratch import materialize
 
 #: Buckets of the n-gram counts, in ranges that are added up apart; parts of the suffix filter.
-BUCKETS, RANGES, PARTS = 1 << 20, 64, 512
+BUCKETS, RANGES, PARTS = 1 << 22, 64, 512
 #: Entries of a block of a list; entries, and pairs, that a task compares at once.
 BLOCK, TOGETHER, COMPARED = 2048, 4096, 4096
 SEED = 42
@@ -103,8 +104,8 @@ def differing(cut: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
-    """The bucket of each hash: its first 20 bits."""
-    return (h >> np.uint64(44)).astype(np.int64)
+    """The bucket of each hash: its first 22 bits."""
+    return (h >> np.uint64(42)).astype(np.int64)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def described(stored: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        counts = np.zeros(BUCKETS, dtype=np.uint64)
+        counts = np.zeros(BUCKETS, dtype=np.uint32)  # a task has fewer documents than that holds
         for batch in batches:
             for piece in parts(batch):
                 sizes, digests = [], []
@@ -128,7 +129,7 @@ def described(stored: DataFrame, size: int) -> DataFrame:
                     h = shingle_set(text.as_py(), size)
                     sizes.append(len(h))
                     digests.append(xxhash.xxh3_128_digest(h.tobytes()))
-                    np.add.at(counts, bucket(h), np.uint64(1))
+                    np.add.at(counts, bucket(h), np.uint32(1))
                 none = pa.nulls(piece.num_rows)
                 columns = [piece.column("row"), piece.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -142,20 +143,20 @@ def described(stored: DataFrame, size: int) -> DataFrame:
 
 
 def bucket_counts(made: DataFrame) -> np.ndarray:
-    """The counts of all tasks added up: ``BUCKETS`` numbers, on the driver."""
+    """The counts of all tasks added up: ``BUCKETS`` numbers of four bytes, on the driver; larger ones are the largest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
-                new = np.frombuffer(counts.as_py(), dtype=np.uint64)
+                new = np.frombuffer(counts.as_py(), dtype=np.uint32).astype(np.uint64)
                 sums[part] = sums[part] + new if part in sums else new
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
 
     added = made.where("part is not null").select("part", "counts").repartition(RANGES, "part").mapInArrow(run, "part int, counts binary")
-    out = np.zeros((RANGES, BUCKETS // RANGES), dtype=np.uint64)
+    out = np.zeros((RANGES, BUCKETS // RANGES), dtype=np.uint32)
     for row in added.collect():  # RANGES rows, BUCKETS counts in all
-        out[row["part"]] = np.frombuffer(row["counts"], dtype=np.uint64)
+        out[row["part"]] = np.frombuffer(row["counts"], dtype=np.uint32)
     return out.reshape(-1)
 
 
@@ -336,8 +337,11 @@ def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     links = verified(stored, tested, size, percent)
     joined = _joined(index, links)
     for every in (False, True):
-        found = apart_pairs(listed, joined, percent, every).join(tested, ["u", "v"], "left_anti")
-        pairs = materialize(found, "pairs")
+        likely = materialize(apart_pairs(listed, joined, percent, every), "likely")
+        if likely.isEmpty():
+            break
+        listed = listed.join(likely.select(F.explode(F.array("u", "v")).alias("rep")).distinct(), "rep", "left_semi")
+        pairs = materialize(likely.join(tested, ["u", "v"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
         more = verified(stored, pairs, size, percent)
