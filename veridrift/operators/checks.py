@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridrift.functions.numeric import close, dominated, finite, holds, number, within
+from veridrift.sources.tables import materialize
 
 # The strategies that an evaluation must hold, the size of the final comparison,
 # and its recorded decision.
@@ -20,7 +21,9 @@ FINAL_GROUPS = 64
 FINAL_DECISION = "keep_base_sana"
 FINAL_RATES = ("mean_q", "pass_rate", "adherence_rate", "technical_valid_rate")
 
-#: Declared metric, and the column of the group rows whose mean it must be.
+#: Declared strategies that are sent to all tasks at most.
+SMALL = 10_000
+# Declared metric, and the column of the group rows whose mean it must be
 METRICS = (
     ("mean_quality", "selected_quality"),
     ("mean_regret", "regret"),
@@ -87,13 +90,13 @@ def asset_drift(values: DataFrame, key: list[str], value: str, order: list[str]
     return spread.where(~close(F.col("low"), F.col("high")))
 
 
-def different_cover(rows: DataFrame, strategy: str, group: str) -> DataFrame:
+def different_cover(rows: DataFrame, strategy: str, group: str, distinct: bool = False) -> DataFrame:
     """Groups that some strategies have and others don't.
 
     Equal sets have every (group, strategy) pair, so counts by group find what differs without
-    gathering any set.
+    gathering any set.  ``distinct``: each pair stands there once already.
     """
-    pairs = rows.select(strategy, group).distinct()
+    pairs = rows.select(strategy, group) if distinct else rows.select(strategy, group).distinct()
     total = pairs.agg(F.count_distinct(F.col(strategy)).alias("n_strategies"))
     return pairs.groupBy(group).agg(F.count("*").alias("n")).join(F.broadcast(total)).where("n != n_strategies")  # one row
 
@@ -116,17 +119,26 @@ def check_rows(named: DataFrame, rows: DataFrame, strategies=STRATEGIES, exact_a
     """Every violation of an evaluation in two tables, of any size.
 
     ``named``: (groups, strategy_pos, strategy, d) with the declared aggregates in ``d``; ``rows``:
-    the group results with ``row_pos``.
+    the group results with ``row_pos``.  Both are stored once, whatever they come from.
     """
-    expected = named.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in strategies])).alias("strategy"))
-    placed = rows.join(named.select("strategy", "strategy_pos"), "strategy")
+    spark = named.sparkSession
+    expected = spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in strategies])).alias("strategy"))
+    used = dict.fromkeys(["strategy", "group_id", "row_pos", "selected_sample_id", "selected_quality", "optimal_sample_id", "optimal_quality", "regret", *[c for _, c in metrics]])
+    # what is read more than once is stored: the declared strategies, the rows, and the rows' sums by strategy and group
+    named, rows = materialize(named, "declared"), materialize(rows.select(*used), "group-rows")
+    value = {m: number(F.col(c)) for m, c in metrics}
+    sums = [x for m, v in value.items() for x in (F.sum(v).alias(f"sum_{m}"), F.count(v).alias(f"n_{m}"))]
+    cells = materialize(rows.groupBy("strategy", "group_id").agg(F.count("*").alias("rows"), *sums), "cells")
+    means = [(F.sum(f"sum_{m}") / F.nullif(F.sum(f"n_{m}"), F.lit(0))).alias(f"avg_{m}") for m, _ in metrics]
+    counts = materialize(cells.groupBy("strategy").agg(F.sum("rows").alias("rows"), F.count("group_id").alias("found"), *means), "counts")
+    near = F.broadcast(named) if named.count() <= SMALL else named
+    placed = rows.join(near.select("strategy", "strategy_pos"), "strategy")
     say = F.concat
     found = [
         _violation(set_difference(named, expected, "strategy"), 1, "key_set", say(F.lit("expected exactly the known strategies: "), "strategy", F.lit(" is "), "side"), subject=F.col("strategy")),
-        _violation(set_difference(rows, expected, "strategy"), 2, "row_set", say(F.lit("rows of strategies that aren't as expected: "), "strategy", F.lit(" is "), "side"), subject=F.col("strategy")),
+        _violation(set_difference(counts, expected, "strategy"), 2, "row_set", say(F.lit("rows of strategies that aren't as expected: "), "strategy", F.lit(" is "), "side"), subject=F.col("strategy")),
     ]
-    counts = rows.groupBy("strategy").agg(F.count("*").alias("rows"), F.count_distinct(F.col("group_id")).alias("found"))
-    held = named.join(counts, "strategy", "left").fillna(0, ["rows", "found"])
+    held = named.join(counts.select("strategy", "rows", "found"), "strategy", "left").fillna(0, ["rows", "found"])
     at = {"strategy": F.col("strategy_pos"), "subject": F.col("strategy")}
     found += [
         _violation(held.where((F.col("rows") != F.col("found")) | ~holds(F.col("found") == F.col("groups"))), 3, "uniqueness", say("strategy", F.lit(f": {DUPLICATES} groups")), step=1, **at),
@@ -148,11 +160,12 @@ def check_rows(named: DataFrame, rows: DataFrame, strategies=STRATEGIES, exact_a
     else:
         drift = assets.join(asset_drift(assets, ["group_id", "sample_id"], "value").select("group_id", "sample_id"), ["group_id", "sample_id"], "left_semi")
     found.append(_violation(drift, 3, "same_asset", say(F.lit("asset with several qualities: "), "sample_id"), item=F.col("item"), **inside))
-    aggregates = named.select("strategy", "strategy_pos", "d.*")
-    cells = declared_against_recomputed(rows, aggregates, metrics).where("strategy_pos is not null")
-    wrong = cells.where(~close(F.col("declared"), F.col("recomputed")))
+    both = counts.join(named.select("strategy", "strategy_pos", "d.*").drop("rows", "found"), "strategy")
+    cells_ = F.inline(F.array(*[F.struct(F.lit(i).alias("item"), F.lit(m).alias("metric"), number(F.col(m)).alias("declared"), F.col(f"avg_{m}").alias("recomputed")) for i, (m, _) in enumerate(metrics)]))
+    lost = named.join(counts.select("strategy"), "strategy", "left_anti").select("strategy", "strategy_pos", "d.*").withColumns({f"avg_{m}": F.lit(None).cast("double") for m, _ in metrics})
+    wrong = both.select("strategy", "strategy_pos", cells_).unionByName(lost.select("strategy", "strategy_pos", cells_)).where(~close(F.col("declared"), F.col("recomputed")))
     found.append(_violation(wrong, 3, "declared_mean", say("strategy", F.lit(" "), "metric", F.lit(": isn't the mean of its rows")), step=4, item=F.col("item"), **at))
-    cover = different_cover(rows.join(named.select("strategy"), "strategy", "left_semi"), "strategy", "group_id")
+    cover = different_cover(cells.join(near.select("strategy"), "strategy", "left_semi"), "strategy", "group_id", distinct=True)
     found.append(_violation(cover, 4, "coverage", say(F.lit("not every strategy covers group "), "group_id"), subject=F.col("group_id")))
     return reduce(DataFrame.unionByName, found)
 

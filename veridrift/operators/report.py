@@ -23,12 +23,16 @@ class AuditFailure(ValueError):
 def assemble(evaluation: DataFrame, final: DataFrame, n_assets: int) -> DataFrame:
     """The report of records whose checks have all passed."""
     passed = evaluation.select(F.lit("passed").alias("status"))
-    return summary(evaluation.select("groups"), checks.recomputed_means(evaluation), final.select("decision"), n_assets, passed)
+    return summary(evaluation.select("groups"), checks.recomputed_means(evaluation), final.select("decision"), evaluation.select(F.lit(n_assets).alias("n_assets")), passed)
 
 
-def summary(groups: DataFrame, means: DataFrame, final: DataFrame, n_assets: int, status: DataFrame) -> DataFrame:
-    """One row with the status, scope, recomputed means and what was not redone, from one-row tables."""
-    return groups.crossJoin(means).crossJoin(final).crossJoin(status).select(
+def summary(groups: DataFrame, means: DataFrame, final: DataFrame, assets: DataFrame, status: DataFrame) -> DataFrame:
+    """One row with the status, scope, recomputed means and what was not redone, from one-row tables.
+
+    ``assets`` has the number of assets that were verified as ``n_assets``.
+    """
+    # fixed values: the names of the report's fields
+    return groups.crossJoin(means).crossJoin(final).crossJoin(status).crossJoin(assets).select(
         F.col("status"),
         F.lit("consistency of records and checksums of assets; no model inference").alias("scope"),
         F.col("groups").alias("stage1_groups"),
@@ -36,7 +40,7 @@ def summary(groups: DataFrame, means: DataFrame, final: DataFrame, n_assets: int
         F.col("decision").alias("final_decision"),
         F.lit(False).alias("final_bootstrap_recomputed"),
         F.lit(False).alias("final_raw_group_records_in_repository"),
-        F.lit(n_assets).alias("showcase_assets_verified"),
+        F.col("n_assets").alias("showcase_assets_verified"),
     )
 
 

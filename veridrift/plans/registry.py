@@ -645,22 +645,89 @@ def hash_list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.hash_lines(docs.select(F.when(F.expr("doc_id % 9 = 0"), "").otherwise(line).alias("value")))
 
 
+_WRONG_SQL = f"""(SELECT count(*) FILTER (WHERE NOT (q BETWEEN 0 AND 1 AND o BETWEEN 0 AND 1 AND q <= o + 1e-9)) + count(*) FILTER (WHERE NOT {_CLOSE_SQL.format(a='regret', b='(o - q)')})
+      + abs(count(*) - count(DISTINCT strategy || ':' || group_id)) + abs(count(*) - 4 * count(DISTINCT group_id)) FROM {{}})"""
+
+
 @_query(
     SQL
-    + """SELECT 'passed' AS status, 'failed' AS spoilt_status, (SELECT count(*) FROM best) AS groups, strategy, round(avg(selected_quality), 9) AS mean FROM picks GROUP BY strategy"""
+    + _SPOILT_SQL
+    + f""", clean AS (SELECT strategy, group_id, selected_quality AS q, optimal_quality AS o, regret FROM picks),
+    m AS (SELECT strategy, avg(selected_quality) AS mean FROM picks GROUP BY 1),
+    a AS (SELECT count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0)::bigint AS n FROM documents)
+    SELECT CASE WHEN {_WRONG_SQL.format('clean')} = 0 THEN 'passed' ELSE 'failed' END AS status, CASE WHEN {_WRONG_SQL.format('r')} = 0 THEN 'passed' ELSE 'failed' END AS spoilt_status,
+    (SELECT count(*) FROM best) AS groups, (SELECT n FROM a) AS assets,
+    CASE WHEN (SELECT mean FROM m WHERE strategy = 'rule') > (SELECT mean FROM m WHERE strategy = 'direct') THEN 'take_rule' ELSE 'keep_direct' END AS decision,
+    strategy, round(mean, 9) AS mean FROM m"""
 )
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit of the picks, and of the same when spoilt, and what the report says."""
-    rows = picks(spark, sf_dir)
-    named = _declared(rows)
+    """The audit of the picks, and of the same when spoilt, with a decision, and the assets whose files are as listed."""
+    rows = materialize(picks(spark, sf_dir), "picks")
+    named = materialize(_declared(rows), "declared")
     status = lambda r: checks.check_rows(named, _results(r), fixture.STRATEGIES, exact_assets=False, metrics=_DECLARED).agg(F.when(F.count("*") == 0, "passed").otherwise("failed").alias("status"))
-    final = status(rows).select(F.col("status").alias("decision"))
-    made = report.summary(named.select("groups").limit(1), checks.means_of(rows), final, 0, status(rows))
+    of = lambda s: F.max(F.when(F.col("strategy") == s, F.col("d.mean_quality")))
+    decision = named.agg(F.when(of("rule") > of("direct"), "take_rule").otherwise("keep_direct").alias("decision"))
+    bad = _asset_files(spark, sf_dir, ("glb", "preview")).groupBy("asset").agg(F.bool_and(F.col("status") == "ok").alias("ok"))
+    made = report.summary(named.select("groups").limit(1), checks.means_of(rows), decision, bad.agg(F.count_if("ok").alias("n_assets")), status(rows))
     spoilt = status(_spoilt(rows)).select(F.col("status").alias("spoilt_status"))
-    told = made.crossJoin(spoilt).select("status", "spoilt_status", F.col("stage1_groups").alias("groups"), F.explode("stage1_recomputed_mean_quality").alias("strategy", "mean"))  # one row
+    means = F.explode("stage1_recomputed_mean_quality").alias("strategy", "mean")
+    told = made.crossJoin(spoilt).select("status", "spoilt_status", F.col("stage1_groups").alias("groups"), F.col("showcase_assets_verified").alias("assets"), F.col("final_decision").alias("decision"), means)  # one row
     return told.withColumns(_round("mean"))
 
 
+def _asset_files(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> DataFrame:
+    """A manifest of two files for each document, held against what is there: every third has another digest, every fifth lacks one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    name = lambda k: F.concat(F.lit(f"{k}/"), F.col("doc_id").cast("string"))
+    columns = [c for k in kinds for c in (name(k).alias(k), F.when(F.expr("doc_id % 3 = 0"), F.sha2("digest", 256)).otherwise(F.col("digest")).alias(f"{k}_sha256"))]
+    there = docs.where("doc_id % 5 != 0").select(F.explode(F.array(*[name(k) for k in kinds])).alias("path"), F.col("digest").alias("sha256"))
+    return manifest.file_status(manifest.files_of(docs.select(F.col("doc_id").alias("asset"), *columns), kinds), there)
+
+
+@_query(
+    """WITH s AS (SELECT lang, source, count(*) AS n, count(text) AS texts, avg(n_chars::double) AS mean, bool_and(n_chars > 0) AS filled FROM documents WHERE source IS NOT NULL GROUP BY ALL)
+    SELECT lang || '/' || source AS name, filled AND texts = n AS allowed, (filled IS NOT TRUE)::int + (texts <> n)::int AS failed, round(mean, 6) AS threshold, n AS training_records FROM s"""
+)
+def record_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON documents of gates and calibrations, a file for each language and source, read back by their schemas.
+
+    Numbers are written as strings, and flags as 0 and 1.
+    """
+    docs = table(spark, sf_dir, "documents").where("source is not null")
+    by = docs.groupBy("lang", "source").agg(F.count("*").alias("n"), F.count("text").alias("texts"), F.avg("n_chars").alias("mean"), F.bool_and(F.col("n_chars") > 0).alias("filled"))
+    name = F.concat_ws("/", "lang", "source")
+    base = scratch_path(spark, "records")
+    gate = F.struct(name.alias("schema_version"), F.create_map(F.lit("filled"), F.col("filled").cast("int"), F.lit("whole"), (F.col("texts") == F.col("n")).cast("int")).alias("checks"), F.lit("false").alias("test_used_for_selection"))
+    bounds = F.struct(name.alias("scoring_version"), F.col("mean").cast("string").alias("quality_threshold"), F.struct(F.col("n").cast("string").alias("training_records")).alias("normalization"))
+    # a document for each key: as many small files as there are languages and sources
+    for kind, value in (("gate", gate), ("calibration", bounds)):
+        by.repartition("lang", "source").select(F.to_json(value).alias("value"), F.concat_ws("-", "lang", "source").alias("key")).write.partitionBy("key").text(f"{base}/{kind}")
+    gates = records.read_record(spark, f"{base}/gate/*", "gate")
+    calibrations = records.read_record(spark, f"{base}/calibration/*", "calibration")
+    ok = gates.select(F.col("schema_version").alias("name"), calibration.gate(F.col("checks")).alias("allowed"), F.size(F.map_filter("checks", lambda _, v: ~v)).alias("failed"))
+    return ok.join(calibrations.select(F.col("scoring_version").alias("name"), F.round("quality_threshold", 6).alias("threshold"), "normalization.training_records"), "name")
+
+
+@_query(
+    """WITH s AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1)
+    SELECT source, sha256(source || ' has ' || n || chr(10)) AS actual, CASE WHEN n % 3 = 0 THEN 'mismatch' WHEN n % 3 = 1 THEN 'unlisted' ELSE 'ok' END AS status,
+      strlen(source || ' has ' || n || chr(10))::bigint AS length FROM s"""
+)
+def hash_list_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as bytes, their digests, and a hash list of them that is read as text; some lines are wrong, some lack."""
+    by = table(spark, sf_dir, "documents").where("source is not null").groupBy("source").agg(F.count("*").alias("n"))
+    line = F.concat(F.col("source"), F.lit(" has "), F.col("n").cast("string"))
+    base = scratch_path(spark, "hashes")
+    by.repartition("source").select(line.alias("value"), F.col("source").alias("key")).write.partitionBy("key").text(f"{base}/files")
+    there = materialize(records.read_digests(spark, f"{base}/files", "*.txt"), "digests")
+    key = F.regexp_extract("path", "^key=([^/]*)/", 1)
+    known = there.withColumn("source", key).join(by, "source")
+    listed = known.where("n % 3 != 1").select(F.concat(F.when(F.col("n") % 3 == 0, F.sha2("sha256", 256)).otherwise(F.upper("sha256")), F.lit("  "), F.col("path")).alias("value"))
+    listed.write.text(f"{base}/lists")
+    status = manifest.file_status(records.read_hash_list(spark, f"{base}/lists"), there).select("path", "status")
+    return there.join(status, "path", "left").select(key.alias("source"), F.col("sha256").alias("actual"), F.coalesce("status", F.lit("unlisted")).alias("status"), "length")
+
+
 @_query(
     """SELECT label, count(*) AS n, round(avg(list_dot_product(embedding::double[], embedding::double[])), 6) AS mean_square FROM embeddings GROUP BY label"""
 )

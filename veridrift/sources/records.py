@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, MapType, StringType, StructField, StructType
 
 GROUP_ROW = (
     "group_id string, strategy string, selected_sample_id string, selected_quality double, qualified boolean, "
@@ -60,8 +61,42 @@ HASH_LINE = r"^([0-9a-fA-F]{64})  (.+)$"
 
 
 def read_record(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """One row of a JSON document; raises when it isn't UTF-8 JSON of the declared types."""
-    return spark.read.schema(SCHEMAS[kind]).option("multiLine", True).option("mode", "FAILFAST").option("encoding", "UTF-8").json(path)
+    """A row for each JSON document; raises when it isn't UTF-8 JSON of the declared types.
+
+    Numbers may be written as strings or as booleans, and flags as 0 and 1, as long as they are
+    numbers; they are read as they are written, and cast.
+    """
+    schema = StructType.fromDDL(SCHEMAS[kind])
+    reader = spark.read.schema(as_written(schema)).option("multiLine", True).option("mode", "FAILFAST").option("encoding", "UTF-8")
+    return reader.json(path).select(*[typed(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields])
+
+
+def as_written(kind: DataType) -> DataType:
+    """The type with strings in place of numbers and flags."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, as_written(f.dataType)) for f in kind.fields])
+    if isinstance(kind, ArrayType):
+        return ArrayType(as_written(kind.elementType))
+    if isinstance(kind, MapType):
+        return MapType(kind.keyType, as_written(kind.valueType))
+    return StringType()
+
+
+def typed(value: Column, kind: DataType) -> Column:
+    """The value as written, cast to ``kind``; what isn't a number there raises in ANSI mode."""
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[typed(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: typed(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: typed(x, kind.valueType))
+    if isinstance(kind, StringType):
+        return value
+    plain = F.regexp_replace(F.trim(value), '^"(NaN|-?Infinity)"$', "$1")  # bare ones come back in quotes
+    told = F.when(plain == "true", F.lit("1")).when(plain == "false", F.lit("0")).otherwise(plain)
+    if isinstance(kind, BooleanType):
+        return told.cast("double") != 0
+    return told.cast(kind) if isinstance(kind, DoubleType) else F.when(told.rlike("^[+-]?[0-9]+$"), told.cast(kind)).otherwise(told.cast("double").cast(kind))
 
 
 def read_group_rows(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
