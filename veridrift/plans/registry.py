@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from veridrift.functions import identifiers
 from veridrift.functions.numeric import close, dominated, within
-from veridrift.operators import bootstrap, calibration, checks, manifest, metrics, ranker, report, resumable, selection
+from veridrift.operators import bootstrap, calibration, checks, cubes, manifest, metrics, ranker, reconcile, report, resumable, selection, sketches, temporal
 from veridrift.plans import fixture
 from veridrift.plans.fixture import SQL, candidates, picks, table
 from veridrift.sources import records
 from veridrift.sources.tables import materialize, scratch_path
+from veridrift.streaming import events as events_stream
 
 #: Resamples of the bootstrap whose index SQL can make too.
 DRAWS = 200
@@ -728,6 +729,147 @@ def hash_list_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return there.join(status, "path", "left").select(key.alias("source"), F.col("sha256").alias("actual"), F.coalesce("status", F.lit("unlisted")).alias("status"), "length")
 
 
+@_query(
+    """WITH l AS (SELECT 'docs/' || doc_id AS path, sha256(text) AS h, doc_id FROM documents),
+    f AS (SELECT path, CASE WHEN doc_id % 89 = 5 THEN sha256(h) ELSE h END AS h FROM l WHERE doc_id % 97 <> 3 UNION ALL SELECT 'extra/' || path, h FROM l WHERE doc_id % 83 = 7)
+    SELECT coalesce(l.path, f.path) AS path, CASE WHEN f.path IS NULL THEN 'missing' WHEN l.path IS NULL THEN 'unexpected' ELSE 'different' END AS status,
+    (l.path IS NOT NULL)::bigint AS listed_rows, (f.path IS NOT NULL)::bigint AS found_rows
+    FROM l FULL JOIN f ON l.path = f.path WHERE l.path IS NULL OR f.path IS NULL OR l.h IS DISTINCT FROM f.h"""
+)
+def manifest_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of all documents against what is there, by hash trees; some are missing, changed or too many."""
+    listed = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("h"))
+    found = listed.where("doc_id % 97 != 3").select("path", F.when(F.expr("doc_id % 89 = 5"), F.sha2("h", 256)).otherwise(F.col("h")).alias("h"))
+    found = found.union(listed.where("doc_id % 83 = 7").select(F.concat(F.lit("extra/"), F.col("path")), "h"))
+    return reconcile.reconcile(listed, found, ["path"], ["h"]).differences
+
+
+#: Microseconds of a day.
+DAY = 86_400_000_000
+
+
+@_query(
+    """WITH o AS (SELECT o_custkey, o_orderdate, max(o_orderkey) AS k FROM orders GROUP BY ALL),
+    e AS (SELECT event_id, user_id, ts - INTERVAL 9131 DAY AS t FROM events),
+    j AS (SELECT event_id, o_custkey, o.o_orderdate, k FROM e ASOF LEFT JOIN o ON user_id = o_custkey AND t >= o_orderdate)
+    SELECT event_id, k AS asof_o_orderkey, round(o_totalprice, 9) AS asof_o_totalprice FROM j LEFT JOIN orders p ON p.o_orderkey = k AND p.o_custkey = j.o_custkey AND p.o_orderdate = j.o_orderdate"""
+)
+def asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: each event with the last order of its user before it, 25 years back, where the orders are."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("ts") - F.expr("INTERVAL 9131 DAY")).alias("t"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    found = temporal.asof_join(events, orders, "user_id", "t", "o_custkey", "o_orderdate", ["o_orderkey", "o_totalprice"], ["o_orderkey"], 90 * DAY)
+    return found.select("event_id", "asof_o_orderkey", F.round("asof_o_totalprice", 9).alias("asof_o_totalprice"))
+
+
+@_query(
+    """SELECT c.event_id AS click_id, v.event_id AS view_id FROM events c JOIN events v ON c.user_id = v.user_id AND c.event_type = 'click' AND v.event_type = 'view'
+    AND v.ts BETWEEN c.ts - INTERVAL 1 HOUR AND c.ts + INTERVAL 6 HOUR"""
+)
+def clicks_near_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: views from an hour before to six hours after each click of a user."""
+    events = table(spark, sf_dir, "events")
+    of = lambda kind: events.where(F.col("event_type") == kind).select(F.col("event_id").alias(f"{kind}_id"), F.col("user_id").alias(f"{kind}_user"), F.col("ts").alias(f"{kind}_ts"))
+    pairs = temporal.interval_join(of("click"), of("view"), "click_user", "click_ts", "view_user", "view_ts", -DAY // 24, DAY // 4)
+    return pairs.select("click_id", "view_id")
+
+
+@_query(
+    """SELECT event_id, count(*) OVER w AS events_of_day, round(sum(value) OVER w, 6) AS value_of_day FROM events
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)"""
+)
+def sums_of_a_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: events and their values of a user in the day up to each event, by blocks of two days with halo rows."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    summed = temporal.range_sums(events, "user_id", "ts", {"events_of_day": F.lit(1), "value_of_day": F.col("value")}, DAY, 2 * DAY)
+    return summed.select("event_id", "events_of_day", F.round("value_of_day", 6).alias("value_of_day"))
+
+
+@_query(
+    """SELECT event_type, part, day, grouping_id(event_type, part, day)::bigint AS level, count(*) AS "rows", count(value) AS value_n, sum(value::decimal(28,4))::double AS value_sum,
+    round(sum(value::decimal(28,4))::double / nullif(count(value), 0), 9) AS value_mean, min(value) AS value_least, max(value) AS value_most
+    FROM (SELECT *, user_id % 5 AS part, dayofmonth(ts) // 10 AS day FROM events) GROUP BY CUBE (event_type, part, day)"""
+)
+def merged_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: a cube from a stored state of ten days, merged with those of two later parts, each read once."""
+    events = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 5).alias("part"), F.floor(F.dayofmonth("ts") / 10).alias("day"), "value", F.dayofmonth("ts").alias("d"))
+    dims = ["event_type", "part", "day"]
+    stored = None
+    for part in ("d < 10", "d between 10 and 19", "d > 19"):
+        new = cubes.state(events.where(part), dims, ["value"])
+        stored = materialize(new if stored is None else cubes.merged([stored, new], dims, ["value"]), "cube-state")
+    return cubes.cube(stored, dims, ["value"]).withColumns({**_round("value_mean"), "level": F.col("level").cast("long")})
+
+
+@_query(
+    """WITH c AS (SELECT event_type, count(*) AS "rows", count(DISTINCT user_id) AS users FROM events GROUP BY 1)
+    SELECT event_type, "rows", users, true AS users_within, true AS median_within, true AS shared_within FROM c"""
+)
+def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: users and values by event type from stored sketches of each day, held against exact ones within the stated bounds.
+
+    Shared users are those of a type that views have too, from the states alone.
+    """
+    events = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), "user_id", "value")
+    stored = materialize(sketches.states(events, ["event_type", "day"], "user_id", "value"), "sketches")
+    by = materialize(sketches.merged(stored, ["event_type"]), "merged-sketches")
+    views = F.broadcast(by.where("event_type = 'view'").select(F.col("theta").alias("view_theta")))  # one row
+    told = by.crossJoin(views).select("event_type", "rows", sketches.distinct(F.col("hll")).alias("about"), sketches.quantile(F.col("kll"), 0.5).alias("median"), sketches.overlap(F.col("theta"), F.col("view_theta")).alias("shared"))
+    seen = events.where("event_type = 'view'").select("user_id").distinct().withColumn("views", F.lit(1))
+    users = events.groupBy("event_type", "user_id").agg(F.count("*").alias("n")).join(seen, "user_id", "left")
+    exact = users.groupBy("event_type").agg(F.count("user_id").alias("users"), F.count("views").alias("both"))
+    ranks = events.join(F.broadcast(told.select("event_type", "median")), "event_type").groupBy("event_type").agg(F.avg((F.col("value") < F.col("median")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("median")).cast("double")).alias("upto"))
+    all_ = told.join(exact, "event_type").join(ranks, "event_type")
+    within = lambda about, exact, bound: F.abs(F.col(about) - F.col(exact)) <= bound
+    return all_.select(
+        "event_type", "rows", "users",
+        within("about", "users", sketches.HLL_ERROR * F.col("users")).alias("users_within"),
+        ((F.col("below") <= 0.5 + sketches.RANK_ERROR) & (F.col("upto") >= 0.5 - sketches.RANK_ERROR)).alias("median_within"),
+        within("shared", "both", sketches.THETA_ERROR * (F.col("users") + F.lit(1))).alias("shared_within"),
+    )
+
+
+#: Batches in which events arrive, and minutes that the watermark stays behind.
+BATCHES, DELAY = 6, 60
+_ARRIVAL = "CASE WHEN event_id % 50 = 0 THEN 5 ELSE least(4, dayofmonth(ts) // 6) END"
+
+
+@_query(
+    f"""WITH a AS (SELECT *, {_ARRIVAL} AS batch, time_bucket(INTERVAL 6 HOUR, ts) AS start FROM events),
+    w AS (SELECT b AS batch, (SELECT max(ts) - INTERVAL {DELAY} MINUTE FROM a WHERE batch < b - 1) AS mark FROM range({BATCHES}) t(b)),
+    k AS (SELECT a.*, mark IS NOT NULL AND start + INTERVAL 6 HOUR <= date_trunc('milliseconds', mark) AS late FROM a JOIN w USING (batch))
+    SELECT start, start + INTERVAL 6 HOUR AS "end", event_type, count(*) AS n, sum(value::decimal(28,4))::double AS total, (SELECT count(*) FROM k WHERE late) AS late FROM k WHERE NOT late GROUP BY ALL"""
+)
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: windows of six hours over events that arrive in six batches, read as a stream until exhausted; every fiftieth comes last, most of them late."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", F.expr(_ARRIVAL.replace("dayofmonth(ts) // 6", "dayofmonth(ts) div 6")).cast("int").alias("batch"))
+    base = scratch_path(spark, "arrivals")
+    for b in range(BATCHES):
+        rows.where(F.col("batch") == b).drop("batch").coalesce(1).write.mode("append").parquet(base)
+    last = rows.agg(F.max("ts").alias("ts")).where("ts is not null")
+    last.select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 10 DAY")).alias("ts"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value")).coalesce(1).write.mode("append").parquet(base)
+    stream = events_stream.arrivals(spark, base, rows.drop("batch").schema)
+    found = events_stream.exhausted(events_stream.counts(stream, events_stream.tumbling(F.col("ts"), "6 hours"), ["event_type"], "value", delay=f"{DELAY} minutes"))
+    found = found.where("event_type != 'end'")
+    timed = found.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", "total")
+    return timed.crossJoin(F.broadcast(events_stream.late_rows(rows, found)))  # one row
+
+
+@_query(
+    f"""WITH a AS (SELECT event_id, user_id, value, {_ARRIVAL} AS batch FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL),
+    o AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY batch, event_id) AS before FROM a)
+    SELECT user_id AS key, event_id AS at, value, before FROM o WHERE NOT abs(value - before) <= greatest(1e-9 * greatest(abs(value), abs(before)), 1e-9)"""
+)
+def streamed_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension, A20: each value of a user against the one before, by state that is kept from batch to batch."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value", F.expr(_ARRIVAL.replace("dayofmonth(ts) // 6", "dayofmonth(ts) div 6")).cast("int").alias("batch"))
+    base = scratch_path(spark, "arrivals")
+    for b in range(BATCHES):
+        rows.where(F.col("batch") == b).drop("batch").coalesce(1).write.mode("append").parquet(base)
+    stream = events_stream.arrivals(spark, base, rows.drop("batch").schema)
+    return events_stream.exhausted(events_stream.drifts(stream, "user_id", "value", "event_id"))
+
+
 @_query(
     """SELECT label, count(*) AS n, round(avg(list_dot_product(embedding::double[], embedding::double[])), 6) AS mean_square FROM embeddings GROUP BY label"""
 )
