@@ -212,6 +212,28 @@ def test_noisy_labellers_are_found_out():
     assert c.fit_votes(dict(patterns), 0.2, one).rates.tolist() == c.fit_votes(dict(patterns), 0.2).rates.tolist()
 
 
+def test_labels_leave_the_estimate_to_the_votes():
+    """Few labels beside many votes: the rates with them are as good as without, and far better than those of the labels alone."""
+    rates = ((0.002, 0.05, 0.003), (0.6, 0.5, 0.4))
+    with_, without, alone = [], [], []
+    for seed in range(8):
+        r = random.Random(seed)
+        patterns, _, _ = noisy(r, 20_000, rates, 0.1)
+        known = Counter()
+        for _ in range(400):
+            bad = int(r.random() < 0.1)
+            known[tuple(int(r.random() < p) for p in rates[bad]), (1, 1, 1), bad] += 1
+        of_bad = {v: n for (v, _, bad), n in known.items() if bad}
+        share = [sum(n for v, n in of_bad.items() if v[i]) / sum(of_bad.values()) for i in range(3)]
+        alone.append(float(np.abs(np.array(share) - np.array(rates[1])).max()))
+        for labels, off in ((dict(known), with_), (None, without)):
+            model = c.fit_votes(dict(patterns), 0.2, labels)
+            off.append(float(np.abs(model.rates[1] - np.array(rates[1])).max()) if len(model.rates) == 2 else 1.0)
+    assert np.mean(with_) <= np.mean(without) + 5e-3, (with_, without)
+    assert np.mean(with_) < 0.5 * np.mean(alone), (with_, alone)
+    assert max(with_) < 0.06
+
+
 def test_labellers_that_know_kinds_of_their_own():
     r = random.Random(22)
     patterns, truth = Counter(), Counter()

@@ -3,9 +3,9 @@
 Two sets link when 100 * intersection >= ``percent`` * union.  All sets are put in one order of
 their n-grams, rare ones first; then sets that link share an n-gram among the first
 n - ceil(percent * n / 100) + 1 of each (n: the size), so joining those prefixes finds every pair.
-The order is by the number of documents in which the *bucket* of an n-gram's hash occurs, then by
-the hash: the table of ``BUCKETS`` counts has one size whatever the corpus, so it can be sent to
-every task, and any order that all sets share is right.  What is common stands out in its bucket
+The order is by how many n-grams of documents fall into the *bucket* of an n-gram's hash (in eighths
+of powers of two), then by the hash: the table of ``BUCKETS`` bytes has one size whatever the corpus,
+so it can be sent to every task, and any order that all sets share is right.  What is common stands out in its bucket
 and comes last, so passages that many documents share don't make candidates.
 
 Candidates pass three filters before any set is fetched:
@@ -52,10 +52,11 @@ from veridrift.llm.components import components
 from veridrift.llm.scratch import materialize
 
 #: Buckets of the n-gram counts, in ranges that are added up apart; parts of the suffix filter.
-BUCKETS, RANGES, PARTS = 1 << 22, 64, 512
+BUCKETS, RANGES, PARTS = 1 << 25, 64, 512
 #: Entries of a block of a list; entries, and pairs, that a task compares at once.
 BLOCK, TOGETHER, COMPARED = 2048, 4096, 4096
 SEED = 42
+CODEC = pa.Codec("zstd")
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -104,8 +105,8 @@ def differing(cut: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
-    """The bucket of each hash: its first 22 bits."""
-    return (h >> np.uint64(42)).astype(np.int64)
+    """The bucket of each hash: its first 25 bits."""
+    return (h >> np.uint64(39)).astype(np.int64)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def described(stored: DataFrame, size: int) -> DataFrame:
                 columns = [piece.column("row"), piece.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
         none = pa.nulls(RANGES)
-        ranges = [x.tobytes() for x in np.split(counts, RANGES)]
+        ranges = [CODEC.compress(x.tobytes(), asbytes=True) for x in np.split(counts, RANGES)]
         columns = [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array(range(RANGES), pa.int32()), pa.array(ranges, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names)
         release()
@@ -143,20 +144,22 @@ def described(stored: DataFrame, size: int) -> DataFrame:
 
 
 def bucket_counts(made: DataFrame) -> np.ndarray:
-    """The counts of all tasks added up: ``BUCKETS`` numbers of four bytes, on the driver; larger ones are the largest."""
+    """The counts of all tasks added up, in eighths of powers of two: ``BUCKETS`` bytes, on the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
-                new = np.frombuffer(counts.as_py(), dtype=np.uint32).astype(np.uint64)
-                sums[part] = sums[part] + new if part in sums else new
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
+                new = np.frombuffer(CODEC.decompress(counts.as_py(), decompressed_size=4 * BUCKETS // RANGES, asbytes=True), dtype=np.uint32)
+                sums.setdefault(part, np.zeros(BUCKETS // RANGES, dtype=np.uint64))
+                sums[part] += new
+        steps = [np.minimum(np.log2(x + 1.0) * 8, 255).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(steps, pa.binary())], ["part", "counts"])
 
     added = made.where("part is not null").select("part", "counts").repartition(RANGES, "part").mapInArrow(run, "part int, counts binary")
-    out = np.zeros((RANGES, BUCKETS // RANGES), dtype=np.uint32)
-    for row in added.collect():  # RANGES rows, BUCKETS counts in all
-        out[row["part"]] = np.frombuffer(row["counts"], dtype=np.uint32)
+    out = np.zeros((RANGES, BUCKETS // RANGES), dtype=np.uint8)
+    for row in added.collect():  # RANGES rows, BUCKETS bytes in all
+        out[row["part"]] = np.frombuffer(row["counts"], dtype=np.uint8)
     return out.reshape(-1)
 
 
@@ -166,7 +169,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 def prefixed(stored: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
     """(row, keys, parts): the n-grams of each set's prefix in order, and the counts of its parts."""
-    sent = stored.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers
+    sent = stored.sparkSession.sparkContext.broadcast(counts)  # BUCKETS bytes
 
     def work(texts: list[str | None]) -> list[list]:
         keys, cut = [], []

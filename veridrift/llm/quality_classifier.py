@@ -51,8 +51,8 @@ KNOWN_WORDS = 200_000
 HASHES = 1 << 62
 #: What labellers are taken for beforehand: how often they vote on good and on bad texts.
 FALSE_VOTES, TRUE_VOTES = 0.002, 0.3
-#: Weight of the known labels against that of all votes, and rows that the prior counts there.
-KNOWN_WEIGHT, PRIOR_ROWS = 4.0, 20.0
+#: Rows that the prior counts where labels are known.  A known row is one row, like any other.
+PRIOR_ROWS = 20.0
 #: Texts of fewer words aren't held to repeat themselves.
 FEW_WORDS = 40
 #: Hashed features that a head keeps.
@@ -159,7 +159,6 @@ class Evidence:
     votes: np.ndarray
     heard: np.ndarray
     count: np.ndarray
-    weight: np.ndarray
     bad: np.ndarray  # -1 where that isn't known
 
     def joint(self, model: Votes) -> np.ndarray:
@@ -178,7 +177,7 @@ class Evidence:
         """
         start, shares = model.rates, model.share * hold[0]
         for _ in range(rounds):
-            p = chances(self.joint(model)) * self.weight[:, None]
+            p = chances(self.joint(model)) * self.count[:, None]
             share = p.sum(axis=0) + shares
             rates = (p.T @ (self.heard * self.votes) + start * hold[:, None]) / (p.T @ self.heard + hold[:, None])
             model = Votes((share / share.sum()).clip(1e-6, 1), rates.clip(1e-5, 0.995))
@@ -188,7 +187,8 @@ class Evidence:
 def fit_votes(patterns: dict[tuple[int, ...], int], prior: float, known: Known | None = None) -> Votes:
     """The label model of the counts of all vote patterns; all rates are estimated.
 
-    Known labels, where both classes are there, weigh ``KNOWN_WEIGHT`` times all votes.  The model
+    Rows with a known label, where both classes are there, count as they are: they tell their class
+    and weigh no more than others, so few labels leave the estimate to the votes.  The model
     has two classes whose labellers vote independently, unless bad documents of several kinds, each
     mostly the matter of one labeller, explain the votes better by more than their further
     parameters (Akaike's criterion).
@@ -196,10 +196,8 @@ def fit_votes(patterns: dict[tuple[int, ...], int], prior: float, known: Known |
     known = known if known and len({bad for _, _, bad in known}) == 2 else {}
     rows = [(v, (1,) * len(v), -1, n) for v, n in patterns.items()] + [(v, heard, bad, n) for (v, heard, bad), n in known.items()]
     votes, heard, bad, count = (np.array(x, dtype=np.float64) for x in zip(*rows, strict=True))
-    scale = KNOWN_WEIGHT * sum(patterns.values()) / max(1, sum(known.values()))
-    weight = count * np.where(bad < 0, 1.0, scale)
-    evidence, m = Evidence(votes, heard, count, weight, bad), votes.shape[1]
-    hold = (lambda k: np.full(k, PRIOR_ROWS * scale / k)) if known else lambda k: np.array([50.0] + [4.0] * (k - 1))
+    evidence, m = Evidence(votes, heard, count, bad), votes.shape[1]
+    hold = (lambda k: np.full(k, PRIOR_ROWS / k)) if known else lambda k: np.array([50.0] + [4.0] * (k - 1))
     models = []
     for starts in (np.full((1, m), TRUE_VOTES), np.full((m, m), 0.05) + 0.75 * np.eye(m)):
         k = len(starts)
