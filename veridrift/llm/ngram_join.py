@@ -56,7 +56,6 @@ BUCKETS, RANGES, PARTS = 1 << 25, 64, 512
 #: Entries of a block of a list; entries, and pairs, that a task compares at once.
 BLOCK, TOGETHER, COMPARED = 2048, 4096, 4096
 SEED = 42
-CODEC = pa.Codec("zstd")
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -135,7 +134,7 @@ def described(stored: DataFrame, size: int) -> DataFrame:
                 columns = [piece.column("row"), piece.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
         none = pa.nulls(RANGES)
-        ranges = [CODEC.compress(x.tobytes(), asbytes=True) for x in np.split(counts, RANGES)]
+        ranges = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in np.split(counts, RANGES)]
         columns = [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array(range(RANGES), pa.int32()), pa.array(ranges, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names)
         release()
@@ -150,7 +149,7 @@ def bucket_counts(made: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
-                new = np.frombuffer(CODEC.decompress(counts.as_py(), decompressed_size=4 * BUCKETS // RANGES, asbytes=True), dtype=np.uint32)
+                new = np.frombuffer(pa.decompress(counts.as_py(), 4 * BUCKETS // RANGES, "zstd", asbytes=True), dtype=np.uint32)
                 sums.setdefault(part, np.zeros(BUCKETS // RANGES, dtype=np.uint64))
                 sums[part] += new
         steps = [np.minimum(np.log2(x + 1.0) * 8, 255).astype(np.uint8).tobytes() for x in sums.values()]
