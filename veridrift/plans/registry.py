@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from veridrift.functions.numeric import close, dominated, within
 from veridrift.operators import bootstrap, calibration, checks, cubes, manifest, metrics, ranker, reconcile, report, resumable, selection, sketches, temporal
 from veridrift.plans import fixture
 from veridrift.plans.fixture import SQL, candidates, picks, table
-from veridrift.sources import records
+from veridrift.sources import plugins, records
 from veridrift.sources.tables import materialize, scratch_path
 from veridrift.streaming import events as events_stream
 
@@ -870,6 +872,39 @@ def streamed_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_stream.exhausted(events_stream.drifts(stream, "user_id", "value", "event_id"))
 
 
+@_query(
+    """SELECT lang || '.txt' AS list, count(*) AS files, count(DISTINCT sha256(text)) AS digests FROM documents
+    WHERE lang IN ('de', 'fr') AND ('docs/' || doc_id) LIKE 'docs/1%' AND text IS NOT NULL GROUP BY lang"""
+)
+def hash_list_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension, B32: hash lists of each language, read in SQL by a data source that is known by its name; other lists aren't opened."""
+    docs = table(spark, sf_dir, "documents").where("text is not null and lang is not null")
+    base = scratch_path(spark, "hash-lists")
+    line = F.concat(F.sha2("text", 256), F.lit("  docs/"), F.col("doc_id").cast("string"))
+    docs.select(line.alias("value"), "lang").write.partitionBy("lang").text(base)
+    plugins.register(spark)
+    view = f"hash_lists_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TEMPORARY VIEW {view} USING hash_list OPTIONS (path '{base}')")
+    names = [r[0] for r in spark.sql(f"SELECT DISTINCT list FROM {view} WHERE list LIKE 'lang=de/%' OR list LIKE 'lang=fr/%'").collect()]  # a name for each file
+    told = ", ".join(f"'{n}'" for n in names) or "''"
+    return spark.sql(
+        f"""SELECT regexp_extract(list, 'lang=([a-z]+)/', 1) || '.txt' AS list, count(*) AS files, count(DISTINCT sha256) AS digests
+        FROM {view} WHERE list IN ({told}) AND path LIKE 'docs/1%' GROUP BY 1"""
+    )
+
+
+@_query(
+    """WITH o AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events WHERE value IS NOT NULL)
+    SELECT user_id AS key, event_id AS at, value, before FROM o WHERE NOT abs(value - before) <= greatest(1e-9 * greatest(abs(value), abs(before)), 1e-9)"""
+)
+def last_seen_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension, A20: the last-seen rule as a function that takes a table, in SQL."""
+    plugins.register(spark)
+    view = f"seen_{uuid.uuid4().hex}"
+    table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("k"), F.col("event_id").cast("long").alias("at"), F.col("value").cast("double").alias("v")).createTempView(view)
+    return spark.sql(f"SELECT * FROM last_seen(TABLE(SELECT k, at, v FROM {view}) PARTITION BY k ORDER BY at)")
+
+
 @_query(
     """SELECT label, count(*) AS n, round(avg(list_dot_product(embedding::double[], embedding::double[])), 6) AS mean_square FROM embeddings GROUP BY label"""
 )
