@@ -50,7 +50,8 @@ def arrow_schema(ddl: str) -> pa.Schema:
 def with_made(df: DataFrame, kept: list[str], text: str, made: str, work: Callable[[list], list]) -> DataFrame:
     """The columns ``kept`` as they are, then those of the DDL ``made``.
 
-    ``work`` takes the values of the column ``text`` in a list and gives a list for each column.
+    ``work`` takes the values of the column ``text`` in a list and gives a list for each column; what
+    it remembers from part to part it forgets by its attribute ``done``, when a task ends.
     """
     schema, extra = StructType([df.schema[c] for c in kept]), StructType.fromDDL(made)
     types = arrow_schema(made)
@@ -60,6 +61,8 @@ def with_made(df: DataFrame, kept: list[str], text: str, made: str, work: Callab
             for part in parts(batch):
                 new = [pa.array(v, t) for v, t in zip(work(part.column(text).to_pylist()), types.types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + new, [*kept, *types.names])
+        if hasattr(work, "done"):
+            work.done()
         release()
 
     return df.select(*dict.fromkeys([*kept, text])).mapInArrow(run, StructType(schema.fields + extra.fields))

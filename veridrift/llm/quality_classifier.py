@@ -412,6 +412,7 @@ def feature_work(lists: Lists):
             known.clear()
         return [list(c) for c in zip(*map(one, texts), strict=True)]
 
+    work.done = known.clear
     return work
 
 
