@@ -97,21 +97,70 @@ def fast_mcd(x, groups):
     def both(factor):
         return lambda rows: (x[rows].mean(axis=0) / q.SCALE, np.cov(x[rows].T / q.SCALE, bias=True) * factor if len(rows) > 1 else np.zeros((q.P, q.P)))
 
-    estimates, before = shrunk(quartiles, every), None
-    for _ in range(q.STEPS):
-        far, core = d2(estimates), []
-        bins = np.floor(np.log2(far + 1e-6) * q.BINS)
-        for rows in of.values():
-            last = np.sort(bins[rows])[int(np.ceil(len(rows) * q.CORE)) - 1]
-            core += [i for i in rows if bins[i] <= last]
-        if sorted(core) == before:
-            break
-        before = sorted(core)
-        estimates = shrunk(both(q.consistency(q.CORE)), before)
+    def bent(first, kind):
+        y = np.zeros(x.shape)
+        for g, rows in of.items():
+            z = (x[rows] / q.SCALE - first[g][0]) / np.sqrt(np.diag(first[g][1] + least))
+            y[rows] = np.tanh(z) if kind == "tanh" else z / np.maximum(np.sqrt((z**2).sum(axis=1)), 1e-300)[:, None]
+        y = np.round(y * q.SCALE) / q.SCALE
+        out = {}
+        for g, (shape,) in shrunk(lambda rows: (y[rows].T @ y[rows] / len(rows),), every).items():
+            size = np.sqrt(np.diag(shape))
+            r = shape / np.where(np.outer(size, size) > 0, np.outer(size, size), 1)
+            np.fill_diagonal(r, 1)
+            spread = np.sqrt(np.diag(first[g][1]))
+            out[g] = [first[g][0], r * np.outer(spread, spread)]
+        return out
+
+    def concentrate(estimates, steps):
+        before = None
+        for _ in range(steps):
+            far, core = d2(estimates), []
+            bins = np.floor(np.log2(far + 1e-6) * q.BINS)
+            for rows in of.values():
+                last = np.sort(bins[rows])[int(np.ceil(len(rows) * q.CORE)) - 1]
+                core += [i for i in rows if bins[i] <= last]
+            if sorted(core) == before:
+                break
+            before = sorted(core)
+            estimates = shrunk(both(q.consistency(q.CORE)), before)
+        return estimates
+
+    first = shrunk(quartiles, every)
+    begun = [concentrate(s, q.SHORT) for s in (first, bent(first, "tanh"), bent(first, "sign"))]
+    size = lambda s: round(np.linalg.slogdet(s + least)[1], 6)
+    estimates = concentrate({g: min((b[g] for b in begun), key=lambda e: size(e[1])) for g in keys}, q.STEPS)
     inside = [i for i in every if d2(estimates)[i] <= q.chi2_quantile(0.975, q.P)]
     return np.sqrt(d2(estimates | shrunk(both(q.consistency(0.975)), inside)))
 
 
+def test_the_least_determinant_is_taken(spark):
+    """Correlated statistics and a cluster of outliers: no start alone does better in any group."""
+    r = np.random.default_rng(5)
+    rows = []
+    for g in range(3):
+        n = 400
+        t = r.normal(size=n)
+        x = np.column_stack([6 + 0.3 * t, 0.2 + 0.06 * t, 0.1 + 0.01 * r.normal(size=n), 0.1 + 0.01 * r.normal(size=n), 0.2 - 0.05 * t + 0.01 * r.normal(size=n)])
+        x[: 20 * (g + 1)] += [0.8, -0.2, 0.1, 0.0, 0.3]
+        rows += [(f"g{g}", "en", *map(int, np.round(q.SCALE * v))) for v in x]
+    df = spark.createDataFrame(rows, "grp string, lang string, " + ", ".join(f"x{i} long" for i in range(q.P))).repartition(3)
+    size = lambda e: {k["grp"]: np.linalg.slogdet(np.array(k["pr"]).reshape(q.P, q.P))[1] for k in e.collect()}
+    first = q.start(df)
+    starts = [q.concentrated(df, s, q.SHORT)[0] for s in (first, q.directions(df, first, "tanh"), q.directions(df, first, "sign"))]
+    sizes, best = [size(s) for s in starts], size(q.least_determinant(starts))
+    assert all(best[g] == pytest.approx(max(s[g] for s in sizes), abs=1e-6) for g in best) and len(best) == 3
+    _, taken = q.concentrated(df, q.least_determinant(starts))
+    assert 0 < taken < q.STEPS
+    assert set(size(q.robust(df))) == set(best)
+
+
+def test_tables_without_languages_and_sources(spark):
+    r = random.Random(6)
+    df = spark.createDataFrame([(i, prose(r, 40)) for i in range(50)], "doc_id long, text string")
+    assert q.judge(df).where("kept").count() == 50
+
+
 def test_verdicts_equal_numpy(spark):
     """Groups of all sizes, down to one row, with outliers in them."""
     r = random.Random(11)

@@ -2,10 +2,14 @@
 
 Each text gives counts, and a vector of transformed statistics that are smoothed towards fixed
 priors, so that short texts are not outliers for being short.  For each language and source the
-minimum covariance determinant estimates centre and scatter: from medians and quartile ranges,
-concentration steps keep the ``CORE`` share of rows nearest by Mahalanobis distance and estimate
-again, until that changes nothing (at most ``STEPS`` times), and a last step estimates from all rows
-within the usual 97.5 % bound.  A document whose squared distance exceeds ``cutoff`` is rejected.
+minimum covariance determinant estimates centre and scatter, deterministically, from three starts:
+medians and quartile ranges alone, and with the correlations of hyperbolic tangents, or of spatial
+signs, of the values so standardised.  Concentration steps keep the ``CORE`` share of rows nearest by
+Mahalanobis distance and estimate again.  After ``SHORT`` of them from each start, each group goes on
+from the start with the least determinant, until a step changes nothing; the number of steps is
+logged (``STEPS`` at most: as groups are weighed with others, steps could go in circles).  A last step
+estimates from all rows within the usual 97.5 % bound.  A document whose squared distance exceeds
+``cutoff`` is rejected.
 
 Every estimate of a group, of whatever size, is weighed with that of its language as if that were
 ``SHARED_ROWS`` more rows, and that of a language with that of all rows alike.  So a group of many
@@ -19,12 +23,13 @@ only when counted and below ``SMALL``.
 
 Edge cases.  A null text has no words and fails the base rules.  A null language or source is
 the same group as an empty one.  Documents that fail the base rules take no part in the
-estimates.  Repeated rows count as often as they stand there.  An empty table gives an empty
+estimates.  A table without languages or sources is one of empty ones.  Repeated rows count as often as they stand there.  An empty table gives an empty
 result.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 from collections import Counter
@@ -38,13 +43,17 @@ from pyspark.sql import functions as F
 from veridrift.llm.batches import with_made
 from veridrift.llm.scratch import materialize
 
+log = logging.getLogger(__name__)
+
 SYMBOLS = "#*$%&|<>"
 NGRAM = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Share of rows that a concentration step keeps.
 CORE = 0.75
-STEPS = 12
+STEPS = 60
+#: Steps from each start before the least determinant decides.
+SHORT = 2
 #: Rows that the estimate of the language counts beside a group's own.
 SHARED_ROWS = 100.0
 #: Statistics are whole multiples of 1/SCALE, for sums that don't depend on their order.
@@ -133,7 +142,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     def work(texts: list[str | None]) -> list[list]:
         return [list(c) for c in zip(*((*m[:5], *statistics(m)) for m in map(measure, texts)), strict=True)]
 
-    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
+    keys = [(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")).alias(c) for c in ("lang", "source")]
     made = ", ".join(f"{c} long" for c in [*COUNTS, *(f"x{i}" for i in range(P))])
     return with_made(docs.select("doc_id", *keys, "text"), ["doc_id", "lang", "source"], "text", made, work)
 
@@ -276,16 +285,90 @@ def core_of(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return binned.join(near(materialize(last, "last")), "grp").where("bin <= last")
 
 
-def concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Estimates after concentration steps."""
-    before = None
-    for _ in range(STEPS):
+def directions(rows: DataFrame, first: DataFrame, kind: str) -> DataFrame:
+    """Estimates with the centres and spreads of ``first``, and correlations of standardised values.
+
+    These are hyperbolic tangents (``tanh``) or divided by their length (``sign``), in whole
+    multiples of 1/SCALE, so that their sums are exact.
+    """
+    z = [(F.col(f"x{i}") / F.lit(float(SCALE)) - F.col("mu")[i]) * F.sqrt(F.col("pr")[i * P + i]) for i in range(P)]
+    if kind == "tanh":
+        y = [F.tanh(v) for v in z]
+    else:
+        length = F.sqrt(sum((v * v for v in z), F.lit(0.0)))
+        y = [F.when(length > 0, v / length).otherwise(F.lit(0.0)) for v in z]
+    bent = rows.join(near(first), "grp").select("grp", "lang", *[F.round(v * SCALE).cast("long").alias(f"y{i}") for i, v in enumerate(y)])
+    names = ["n", *(f"s{i}_{j}" for i, j in PAIRS)]
+    made = [F.sum((F.col(f"y{i}") * F.col(f"y{j}")).cast("decimal(38,0)")).alias(f"s{i}_{j}") for i, j in PAIRS]
+    totals = materialize(bent.groupBy("grp", "lang").agg(F.count("*").cast("decimal(38,0)").alias("n"), *made), "bent")
+
+    def summed(keys: list[str]) -> DataFrame:
+        return totals.groupBy(*keys).agg(*[F.sum(c).cast("decimal(38,0)").alias(c) for c in names])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for r in pdf.to_dict("records"):
+                shape = {}
+                for level in LEVELS:
+                    shape[level] = m = np.zeros((P, P))
+                    for i, j in PAIRS:
+                        m[i, j] = m[j, i] = int(r[f"{level}_s{i}_{j}"]) / (int(r[f"{level}_n"]) * SCALE * SCALE)
+                both = weighed(int(r["own_n"]), shape["own"], weighed(int(r["lang_n"]), shape["lang"], shape["all"]))
+                out.append((r["grp"], list(r["mu"]), correlated(both, np.array(r["pr"]).reshape(P, P))))
+            yield pd.DataFrame(out, columns=["grp", "mu", "pr"])
+
+    return leveled(totals, names, summed).join(near(first), "grp").mapInPandas(run, "grp string, mu array<double>, pr array<double>")
+
+
+def correlated(shape: np.ndarray, inverse_diagonal: np.ndarray) -> list[float]:
+    """The inverse scatter with the spreads of ``inverse_diagonal`` and the correlations of ``shape``."""
+    size = np.sqrt(np.diag(shape))
+    wide = np.outer(size, size)
+    r = np.divide(shape, wide, out=np.zeros((P, P)), where=wide > 0)
+    np.fill_diagonal(r, 1.0)
+    spread = np.sqrt((1 / np.diag(inverse_diagonal) - [f[3] ** 2 for f in FEATURES]).clip(0))
+    return inverse(r * np.outer(spread, spread))
+
+
+def least_determinant(candidates: list[DataFrame]) -> DataFrame:
+    """Of the estimates of each group those whose scatter has the least determinant; the first of equal ones."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            # the scatter's inverse is stored: its determinant is the largest
+            pdf["size"] = [round(float(np.linalg.slogdet(np.array(x).reshape(P, P))[1]), 6) for x in pdf["pr"]]
+            yield pdf[["grp", "mu", "pr", "start", "size"]]
+
+    every = None
+    for i, c in enumerate(candidates):
+        c = c.select("grp", "mu", "pr", F.lit(i).alias("start"))
+        every = c if every is None else every.unionByName(c)
+    sized = every.mapInPandas(run, "grp string, mu array<double>, pr array<double>, start int, size double")
+    best = sized.groupBy("grp").agg(F.max_by(F.struct("mu", "pr"), F.struct("size", -F.col("start"))).alias("best"))
+    return best.select("grp", "best.*")
+
+
+def concentrated(rows: DataFrame, estimates: DataFrame, steps: int = STEPS) -> tuple[DataFrame, int]:
+    """Estimates after concentration steps, and how many changed something."""
+    before, taken = None, 0
+    for _ in range(steps):
         totals = sums(core_of(rows, estimates))
         now = totals.agg(F.count("*"), F.sum(F.xxhash64("grp", *SUMS).cast("decimal(38,0)"))).first()
         if before == tuple(now):
             break
-        before = tuple(now)
+        before, taken = tuple(now), taken + 1
         estimates = materialize(estimate(totals, consistency(CORE)), "estimates")
+    return estimates, taken
+
+
+def robust(rows: DataFrame) -> DataFrame:
+    """The estimates of all groups after concentration from the best start."""
+    first = materialize(start(rows), "estimates")
+    starts = [first, *[materialize(directions(rows, first, kind), "estimates") for kind in ("tanh", "sign")]]
+    best = materialize(least_determinant([concentrated(rows, s, SHORT)[0] for s in starts]), "estimates")
+    estimates, taken = concentrated(rows, best)
+    log.info("concentration ended after %d steps", taken)
     return estimates
 
 
@@ -295,7 +378,7 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     stats = materialize(with_statistics(docs).withColumn("base_failed", failed), "statistics")
     result = ["doc_id", *COUNTS, "base_failed"]
     rows = stats.where("not base_failed").withColumn("grp", F.to_json(F.struct("lang", "source")))
-    estimates = concentrated(rows, start(rows))
+    estimates = robust(rows)
     inside = distances(rows, estimates).where(F.col("d2") <= chi2_quantile(0.975, P))
     final = estimate(sums(inside), consistency(0.975))
     # a group none of whose rows is inside keeps the estimate that it had
