@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import threading
 import uuid
 from collections.abc import Iterator
 from contextvars import ContextVar
@@ -88,6 +89,27 @@ def owned() -> Iterator[Tables]:
             outer.paths += mine.paths
 
 
+#: Writers at work in all threads, and the setting as it was before the first of them.
+_writers, _before, _lock = [0], ["false"], threading.Lock()
+
+
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when their query ends, for as long as any thread writes a table."""
+    with _lock:
+        if not _writers[0]:
+            _before[0] = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _writers[0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers[0] -= 1
+            if not _writers[0]:
+                spark.conf.set(_CLEANUP, _before[0])
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back with the same schema.
 
@@ -95,12 +117,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaned(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     if (owner := _owner.get()) is not None:
         owner.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
