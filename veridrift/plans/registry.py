@@ -258,12 +258,17 @@ def lexicographic_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """SELECT a || '/' || b || '/' || c AS name FROM (VALUES ('r1'), ('r2'), ('r3')) x(a), (VALUES ('m1'), ('m2'), ('m3')) y(b), (VALUES ('q1'), ('q2'), ('q3')) z(c)"""
+    """SELECT a || '/' || b || '/' || c AS name, count(l_orderkey) AS "rows" FROM (SELECT DISTINCT l_returnflag AS a FROM lineitem), (SELECT DISTINCT l_linestatus AS b FROM lineitem),
+    (SELECT DISTINCT l_linenumber AS c FROM lineitem) LEFT JOIN lineitem ON l_returnflag = a AND l_linestatus = b AND l_linenumber = c GROUP BY ALL"""
 )
 def candidate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 27 combinations of three choices of three."""
-    three = lambda p: [f"{p}{i}" for i in (1, 2, 3)]
-    return selection.grid(spark, a=three("r"), b=three("m"), c=three("q")).select(F.concat_ws("/", "a", "b", "c").alias("name"))
+    """All combinations of the choices that the lines know, and how many lines each has."""
+    line = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
+    row = line.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in line.columns]).first()  # a few flags and numbers
+    name = lambda: F.concat_ws("/", *[F.col(c).cast("string") for c in line.columns])
+    counts = line.groupBy(name().alias("name")).agg(F.count("*").alias("rows"))
+    grid = selection.grid(spark, **{c: row[c] for c in line.columns}).select(name().alias("name"))
+    return grid.join(counts, "name", "left").fillna(0, ["rows"])
 
 
 @_query(
