@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from veridrift.llm.batches import parts, release, with_made
 from veridrift.llm.components import components
-from veridrift.llm.scratch import materialize
+from veridrift.llm.scratch import materialize, owned
 
 #: Buckets of the n-gram counts, in ranges that are added up apart; parts of the suffix filter.
 BUCKETS, RANGES, PARTS = 1 << 25, 64, 512
@@ -108,13 +108,19 @@ def bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(39)).astype(np.int64)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """The buckets that have counts, as steps, and the counts."""
+    at = np.flatnonzero(counts)
+    return np.stack([np.diff(at, prepend=0).astype(np.uint32), counts[at]]).tobytes()
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text), stored: rows keep their numbers."""
     return materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "numbered")
 
 
 def described(stored: DataFrame, size: int) -> DataFrame:
-    """Rows (row, doc_id, n, same) of the texts, and rows (part, counts) with each task's counts of a range of buckets."""
+    """Rows (row, doc_id, n, same) of the texts, and rows (part, counts) with each task's counts of a range of buckets, in a table."""
     schema = "row long, doc_id long, n int, same binary, part int, counts binary"
     names = ["row", "doc_id", "n", "same", "part", "counts"]
 
@@ -134,7 +140,7 @@ def described(stored: DataFrame, size: int) -> DataFrame:
                 columns = [piece.column("row"), piece.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
         none = pa.nulls(RANGES)
-        ranges = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in np.split(counts, RANGES)]
+        ranges = [packed(x) for x in np.split(counts, RANGES)]
         columns = [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array(range(RANGES), pa.int32()), pa.array(ranges, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names)
         release()
@@ -149,9 +155,9 @@ def bucket_counts(made: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
-                new = np.frombuffer(pa.decompress(counts.as_py(), 4 * BUCKETS // RANGES, "zstd", asbytes=True), dtype=np.uint32)
                 sums.setdefault(part, np.zeros(BUCKETS // RANGES, dtype=np.uint64))
-                sums[part] += new
+                at, new = np.frombuffer(counts.as_py(), dtype=np.uint32).reshape(2, -1)
+                sums[part][np.cumsum(at, dtype=np.int64)] += new
         steps = [np.minimum(np.log2(x + 1.0) * 8, 255).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(steps, pa.binary())], ["part", "counts"])
 
@@ -326,10 +332,14 @@ def verified(stored: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
 
 def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of (doc_id, text)."""
-    stored = numbered(docs)
-    made = described(stored, size)
+    with owned() as mine:
+        stored = numbered(docs)
+        both = described(stored, size)
+        made = materialize(both.where("row is not null").select("row", "doc_id", "n", "same"), "sizes")
+        counts = bucket_counts(both)
+        mine.sweep(docs.sparkSession, stored, made)
     entries = entries_of(made)
-    index = prefixed(stored, bucket_counts(made), size, percent).join(entries, F.col("row") == F.col("rep")).select("rep", "n", "keys", "parts")
+    index = prefixed(stored, counts, size, percent).join(entries, F.col("row") == F.col("rep")).select("rep", "n", "keys", "parts")
     index = materialize(index, "index")
     postings = index.select(F.posexplode("keys").alias("pos", "key"), "rep", "n")
     shared = postings.groupBy("key").count().where("count > 1").select("key")
@@ -352,7 +362,7 @@ def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     heads = entries.join(joined.select("rep", "component"), "rep")
     least = heads.groupBy("component").agg(F.min("head")["doc_id"].alias("component_id"))
     whole = heads.select("same", "component").join(least, "component").select("same", "component_id", F.lit(True).alias("worded"))
-    rows = made.where("row is not null").join(whole, "same", "left")
+    rows = made.join(whole, "same", "left")
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("worded"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
