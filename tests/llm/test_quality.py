@@ -113,17 +113,17 @@ def fast_mcd(x, groups):
         return out
 
     def concentrate(estimates, steps):
-        before = None
+        seen = set()
         for _ in range(steps):
             far, core = d2(estimates), []
             bins = np.floor(np.log2(far + 1e-6) * q.BINS)
             for rows in of.values():
                 last = np.sort(bins[rows])[int(np.ceil(len(rows) * q.CORE)) - 1]
                 core += [i for i in rows if bins[i] <= last]
-            if sorted(core) == before:
+            if tuple(sorted(core)) in seen:
                 break
-            before = sorted(core)
-            estimates = shrunk(both(q.consistency(q.CORE)), before)
+            seen.add(tuple(sorted(core)))
+            estimates = shrunk(both(q.consistency(q.CORE)), sorted(core))
         return estimates
 
     first = shrunk(quartiles, every)

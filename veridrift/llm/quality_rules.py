@@ -6,8 +6,9 @@ minimum covariance determinant estimates centre and scatter, deterministically,
 medians and quartile ranges alone, and with the correlations of hyperbolic tangents, or of spatial
 signs, of the values so standardised.  Concentration steps keep the ``CORE`` share of rows nearest by
 Mahalanobis distance and estimate again.  After ``SHORT`` of them from each start, each group goes on
-from the start with the least determinant, until a step changes nothing; the number of steps is
-logged (``STEPS`` at most: as groups are weighed with others, steps could go in circles).  A last step
+from the start with the least determinant, until a step brings back rows that an earlier one kept
+(as groups are weighed with others, steps can go in circles); the number of steps is logged, and
+``STEPS`` are the most.  A last step
 estimates from all rows within the usual 97.5 % bound.  A document whose squared distance exceeds
 ``cutoff`` is rejected.
 
@@ -350,14 +351,15 @@ def least_determinant(candidates: list[DataFrame]) -> DataFrame:
 
 
 def concentrated(rows: DataFrame, estimates: DataFrame, steps: int = STEPS) -> tuple[DataFrame, int]:
-    """Estimates after concentration steps, and how many changed something."""
-    before, taken = None, 0
+    """Estimates after concentration steps, and how many kept rows that none before had kept."""
+    seen, taken = set(), 0
     for _ in range(steps):
         totals = sums(core_of(rows, estimates))
         now = totals.agg(F.count("*"), F.sum(F.xxhash64("grp", *SUMS).cast("decimal(38,0)"))).first()
-        if before == tuple(now):
+        if tuple(now) in seen:
             break
-        before, taken = tuple(now), taken + 1
+        seen.add(tuple(now))
+        taken += 1
         estimates = materialize(estimate(totals, consistency(CORE)), "estimates")
     return estimates, taken
 
