@@ -52,7 +52,7 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Share of rows that a concentration step keeps.
 CORE = 0.75
-STEPS = 60
+STEPS = 20
 #: Steps from each start before the least determinant decides.
 SHORT = 2
 #: Rows that the estimate of the language counts beside a group's own.
