@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridrift.functions import identifiers
@@ -303,6 +303,16 @@ def learned_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumns({c: F.round(c, 9) for c, t in joined.dtypes if t == "double"})
 
 
+def in_parts(rows: DataFrame, part: Column, n: int) -> DataFrame:
+    """A task for each part from 0 to n - 1: hashes of few values meet in some tasks and leave others empty."""
+    return rows.repartitionById(n, part.cast("int"))
+
+
+def one_file(rows: DataFrame) -> DataFrame:
+    """For a file that has to be one: what it has is chosen in all tasks, and only that goes to the one that writes (``coalesce`` reads everything there)."""
+    return rows.repartition(1)
+
+
 _UNIT = "lpad((l_orderkey % 16)::varchar, 2, '0')"
 
 
@@ -320,14 +330,14 @@ def resumable_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     base = scratch_path(spark, "resumable")
     placed = line.withColumn("p", F.lpad((F.col("l_orderkey") % 16).cast("string"), 2, "0"))
-    placed.repartition(16, "p").write.partitionBy("p").parquet(f"{base}/in")
+    in_parts(placed, F.pmod("l_orderkey", F.lit(16)), 16).write.partitionBy("p").parquet(f"{base}/in")
 
     def best(rows: DataFrame) -> DataFrame:
         return rows.groupBy("unit", "l_orderkey").agg(F.max(F.col("l_quantity") / 50).alias("best"), F.count("*").alias("n"))
 
     def change(p: str, upto: int) -> None:
-        few = placed.where((F.col("p") == p) & (F.col("l_linenumber") <= upto)).drop("p").coalesce(1)
-        few.write.mode("overwrite").parquet(f"{base}/in/p={p}")
+        few = placed.where((F.col("p") == p) & (F.col("l_linenumber") <= upto)).drop("p")
+        one_file(few).write.mode("overwrite").parquet(f"{base}/in/p={p}")
 
     run = resumable.Run(spark, f"{base}/in", f"{base}/out", best, {"best": 1}, wave_units=2)
     run.resume(waves=2, label="begun")
@@ -852,7 +862,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", F.expr(_ARRIVAL.replace("dayofmonth(ts) // 6", "dayofmonth(ts) div 6")).cast("int").alias("batch"))
     base = scratch_path(spark, "arrivals")
     for b in range(BATCHES):
-        rows.where(F.col("batch") == b).drop("batch").coalesce(1).write.mode("append").parquet(base)
+        one_file(rows.where(F.col("batch") == b).drop("batch")).write.mode("append").parquet(base)
     last = rows.agg(F.max("ts").alias("ts")).where("ts is not null")
     last.select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 10 DAY")).alias("ts"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value")).coalesce(1).write.mode("append").parquet(base)
     stream = events_stream.arrivals(spark, base, rows.drop("batch").schema)
@@ -872,7 +882,7 @@ def streamed_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value", F.expr(_ARRIVAL.replace("dayofmonth(ts) // 6", "dayofmonth(ts) div 6")).cast("int").alias("batch"))
     base = scratch_path(spark, "arrivals")
     for b in range(BATCHES):
-        rows.where(F.col("batch") == b).drop("batch").coalesce(1).write.mode("append").parquet(base)
+        one_file(rows.where(F.col("batch") == b).drop("batch")).write.mode("append").parquet(base)
     stream = events_stream.arrivals(spark, base, rows.drop("batch").schema)
     return events_stream.exhausted(events_stream.drifts(stream, "user_id", "value", "event_id"))
 
