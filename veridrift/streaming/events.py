@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from veridrift.sources.tables import scratch_path
 
 #: Values further apart than this have drifted.
 TOLERANCE = 1e-9
+#: Groups of keys whose last values are one state.
+BUCKETS = 1024
 
 
 def tumbling(time: Column, width: str) -> Column:
@@ -42,22 +45,29 @@ def counts(events: DataFrame, window: Column, keys: list[str], value: str, time:
 
 
 def drifts(events: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """(key, at, value, before): values that differ from the one before of their key, in order within a batch."""
-
-    def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else None
-        out = []
-        rows = pd.concat(list(frames)).sort_values("at")
-        for at, x in zip(rows["at"].tolist(), rows["value"].tolist(), strict=True):
-            if before is not None and not abs(x - before) <= max(TOLERANCE * max(abs(x), abs(before)), TOLERANCE):
-                out.append((group[0], at, x, before))
-            before = x
-        state.update((before,))
-        yield pd.DataFrame(out, columns=["key", "at", "value", "before"])
+    """(key, at, value, before): values that differ from the one before of their key, in order within a batch.
+
+    A state holds the last values of all keys of a bucket, as a state for each key costs milliseconds a batch.
+    """
+
+    def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = dict(zip(*state.get, strict=True)) if state.exists else {}
+        rows = pd.concat(list(frames)).sort_values(["key", "at"])
+        key, value = rows["key"], rows["value"].to_numpy()
+        first, end = ~key.duplicated().to_numpy(), ~key.duplicated("last").to_numpy()
+        before, known = np.append(value[:1], value[:-1]), ~first
+        names = key[first].tolist()
+        before[first] = [last.get(k, 0.0) for k in names]
+        known[first] = [k in last for k in names]
+        near = np.abs(value - before) <= np.maximum(TOLERANCE * np.maximum(np.abs(value), np.abs(before)), TOLERANCE)
+        last.update(zip(names, value[end].tolist(), strict=True))
+        state.update((list(last), list(last.values())))
+        yield pd.DataFrame({"key": key, "at": rows["at"], "value": value, "before": before})[known & ~near]
 
     kind = events.schema[key].dataType.simpleString()
     rows = events.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(order).cast("long").alias("at"), F.col(value).cast("double").alias("value"))
-    return rows.groupBy("key").applyInPandasWithState(run, f"key {kind}, at long, value double, before double", "before double", "append", GroupStateTimeout.NoTimeout)
+    buckets = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS))).groupBy("bucket")
+    return buckets.applyInPandasWithState(run, f"key {kind}, at long, value double, before double", f"keys array<{kind}>, before array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def arrivals(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
