@@ -20,11 +20,16 @@ Stages:
    those of the smallest document are sent: the others are decided there, so a line or a text that
    stands in very many documents counts once for each block.
 4. Where segments meet, the strings to go are named by block and place.
-5. Each block cuts them out.
+5. What is left of minimizers with very many segments meets once more, by strings.
+6. Each block cuts them out.
 
 How it scales.  Hashes and segments move as packed arrays, split by hash over as many tasks as
-the input needs (``PART_BYTES`` of text for each); a task holds its own part only.  No pairs of
-documents are ever made.  Shuffle files go when the table of their stage is written, and tables
+the input needs (``PART_BYTES`` of text for each); a task holds its own part only.  A minimizer of
+more than ``HOT`` segments (of a passage that very many documents share, in contexts of their own)
+is dealt over as many parts, by the bytes of its segments: equal ones meet, each part keeps the
+strings of the smallest document of its runs, and these are dealt by their own hash.  So no task
+sorts more than a bounded number of suffixes of one minimizer.  Equal strings have equal hashes, so
+what has a hash of its own is left out of the sorting.  No pairs of documents are ever made.  Shuffle files go when the table of their stage is written, and tables
 when the next stages don't read them.
 
 Edge cases.  A null text has no bytes.  A null id is larger than every other, and equal ids (null
@@ -36,7 +41,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -53,6 +58,8 @@ BLOCK_BYTES, CHUNK = 2 << 20, 1 << 18
 PART_BYTES = 8 << 20
 #: Bytes of segments that are sorted at once; a task takes its part in slices of the hash.
 SLICE_BYTES = 2 << 20
+#: Segments of one minimizer that are sorted in one place.
+HOT = 1 << 13
 #: Parts of bytes that are compared at once.
 COMPARED = 1 << 14
 NO_ID = np.iinfo(np.int64).max
@@ -277,6 +284,8 @@ def later(order: np.ndarray, run: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def minimizer_places(h: Hashes, start: np.ndarray, nbytes: np.ndarray, key: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """Where in each segment its minimizer starts: the last of its grams with that hash."""
+    if not len(start):
+        return np.zeros(0, dtype=np.int64)
     grams = nbytes - gram + 1
     seg = np.repeat(np.arange(len(start)), grams)
     first = np.cumsum(grams) - grams
@@ -294,6 +303,15 @@ def numbered_groups(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def repeats(values: np.ndarray) -> np.ndarray:
+    """Which values there are twice or more."""
+    order = np.argsort(values, kind="stable")
+    same = values[order[1:]] == values[order[:-1]]
+    out = np.zeros(len(values), dtype=bool)
+    out[order] = np.append(same, False) | np.append(False, same) if len(values) else False
+    return out
+
+
 def repeated(data: np.ndarray, start: np.ndarray, strings: np.ndarray, key: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(whole, cells): segments to go as a whole, and (segment, string) of single strings to go.
 
@@ -306,8 +324,8 @@ def repeated(data: np.ndarray, start: np.ndarray, strings: np.ndarray, key: np.n
         return whole, none
     h = Hashes(data)
     nbytes = strings + length - 1
-    place = minimizer_places(h, start, nbytes, key)
-    whole = later(*equal_runs(data, start, nbytes, numbered_groups(key, place), h), doc)
+    at = np.flatnonzero(repeats(h.part(start, nbytes)))
+    whole[at] = later(*equal_runs(data, start[at], nbytes[at], numbered_groups(key[at]), h), doc[at])
 
     # what is left, where a minimizer has it in two documents or more
     rest = np.flatnonzero(~whole)
@@ -320,13 +338,19 @@ def repeated(data: np.ndarray, start: np.ndarray, strings: np.ndarray, key: np.n
         return whole, none
     seg = np.repeat(rest, strings[rest])
     string = np.arange(len(seg)) - np.repeat(np.cumsum(strings[rest]) - strings[rest], strings[rest])
+    at = np.flatnonzero(repeats(h.part(start[seg] + string, length)))
+    seg, string = seg[at], string[at]
+    place = np.zeros(n, dtype=np.int64)
+    used = np.unique(seg)
+    place[used] = minimizer_places(h, start[used], nbytes[used], key[used])
     group = numbered_groups(key[seg], place[seg] - string)
     goes = later(*equal_runs(data, start[seg] + string, np.full(len(seg), length), group, h), doc[seg])
     return whole, np.stack([seg[goes], string[goes]], axis=1)
 
 
 BLOCKS = "block long, ids binary, sizes binary, data binary"
-SENT = "part int, block long, keys binary, docs binary, places binary, strings binary, data binary"
+SENT = "part int, block long, keys binary, docs binary, places binary, strings binary, data binary, hot boolean"
+MET = "block long, cuts binary, part int, owners binary, docs binary, places binary, data binary"
 
 
 def make_blocks(docs: DataFrame) -> DataFrame:
@@ -377,44 +401,62 @@ def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(part[places[0]]), places
 
 
+def _edges(values: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal values begins and ends."""
+    edge = np.flatnonzero(np.append(np.append(True, values[1:] != values[:-1]), True)).tolist() if len(values) else []
+    return list(zip(edge[:-1], edge[1:], strict=True))
+
+
 def shared_keys(blocks: DataFrame, parts: int) -> DataFrame:
-    """(block, keys): minimizer hashes of each block that another block has too."""
+    """(block, keys, hot): minimizer hashes of each block that another block has too, and of those with
+    more than ``HOT`` segments in all the number of parts to deal them over."""
 
     def name(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for block, ids, sizes, data in zip(pdf["block"], pdf["ids"], pdf["sizes"], pdf["data"], strict=True):
                 _, ends, array = _opened(ids, sizes, data)
-                keys = np.unique(segments(array, ends)[2])
-                rows = [(p, block, pack40(keys[i])) for p, i in _split((keys % np.uint64(parts)).astype(np.int64))]
-                yield pd.DataFrame(rows, columns=["part", "block", "keys"])
+                keys, count = np.unique(segments(array, ends)[2], return_counts=True)
+                count = np.minimum(count, 65535).astype("<u2")
+                part = (keys % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                # packed once and cut: there are as many rows as parts
+                part, k, c = part[order], pack40(keys[order]), count[order].tobytes()
+                rows = [(int(part[a]), block, k[5 * a : 5 * b], c[2 * a : 2 * b]) for a, b in _edges(part)]
+                yield pd.DataFrame(rows, columns=["part", "block", "keys", "counts"])
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blocks, blobs = [], []
+        blocks, blobs, counts = [], [], []
         for pdf in frames:
             blocks += pdf["block"].tolist()
             blobs += pdf["keys"].tolist()
+            counts += pdf["counts"].tolist()
         if not blobs:
             return
-        keys = unpack40(b"".join(blobs))
+        keys, count = unpack40(b"".join(blobs)), np.frombuffer(b"".join(counts), dtype="<u2").astype(np.int64)
         owner = np.repeat(np.arange(len(blobs)), [len(b) // 5 for b in blobs])
         order = np.argsort(keys, kind="stable")
         k = keys[order]
-        twice = np.zeros(len(k), dtype=bool)
-        twice[1:] = k[1:] == k[:-1]
-        twice[:-1] |= k[1:] == k[:-1]
-        found = np.zeros(len(keys), dtype=bool)
-        found[order] = twice
-        rows = [(blocks[o], pack40(keys[i])) for o, i in ((owner[i[0]], i) for i in np.split(np.flatnonzero(found), np.flatnonzero(np.diff(owner[found])) + 1) if len(i))]
-        yield pd.DataFrame(rows, columns=["block", "keys"])
-
-    named = blocks.mapInPandas(name, "part int, block long, keys binary")
-    return named.repartition(parts, "part").mapInPandas(meet, "block long, keys binary")
-
-
-def with_side(blocks: DataFrame, side: DataFrame, column: str, parts: int) -> DataFrame:
-    """Blocks and what else is known of them, together: the rows of ``side`` come before a block's own."""
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        size = np.diff(np.append(first, len(k)))
+        found, ways = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
+        found[order] = np.repeat(size > 1, size)
+        ways[order] = np.repeat(-(-np.add.reduceat(count[order], first) // HOT), size)
+        owner, keys, ways = owner[found], keys[found], ways[found]
+        k, at_hot = pack40(keys), np.flatnonzero(ways > 1)
+        hot = np.stack([keys[at_hot].astype("<i8"), ways[at_hot]], axis=1).tobytes()
+        upto = np.append(0, np.cumsum(ways > 1))
+        rows = [(blocks[owner[a]], k[5 * a : 5 * b], hot[16 * upto[a] : 16 * upto[b]]) for a, b in _edges(owner)]
+        yield pd.DataFrame(rows, columns=["block", "keys", "hot"])
+
+    named = blocks.mapInPandas(name, "part int, block long, keys binary, counts binary")
+    return named.repartition(parts, "part").mapInPandas(meet, "block long, keys binary, hot binary")
+
+
+def with_side(blocks: DataFrame, side: DataFrame, columns: tuple[str, ...], parts: int) -> DataFrame:
+    """Blocks and what else is known of them (in the first columns), together: the rows of ``side`` come before a block's own."""
     empty = F.lit(None).cast("binary")
-    a = side.select("block", F.lit(0).alias("kind"), F.col(column).alias("ids"), empty.alias("sizes"), empty.alias("data"))
+    held = [F.col(c) for c in columns] + [empty] * (3 - len(columns))
+    a = side.select("block", F.lit(0).alias("kind"), *[x.alias(c) for x, c in zip(held, ("ids", "sizes", "data"), strict=True)])
     b = blocks.select("block", F.lit(1).alias("kind"), "ids", "sizes", "data")
     return a.union(b).repartition(parts, "block").sortWithinPartitions("block", "kind")
 
@@ -425,19 +467,21 @@ def send_segments(blocks: DataFrame, keys: DataFrame, parts: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split(" ")[0] for x in SENT.split(", ")]
         known: list[bytes] = []
+        hot: list[bytes] = []
         for pdf in frames:
             for block, kind, ids, sizes, data in zip(pdf["block"], pdf["kind"], pdf["ids"], pdf["sizes"], pdf["data"], strict=True):
                 if kind == 0:
                     known.append(ids)
+                    hot.append(sizes)
                     continue
-                rows = one_block(block, known, *_opened(ids, sizes, data), parts)
-                known = []
+                rows = one_block(block, known, *_opened(ids, sizes, data), parts, hot)
+                known, hot = [], []
                 yield pd.DataFrame(rows, columns=names)
 
-    return with_side(blocks, keys, "keys", parts).mapInPandas(run, SENT)
+    return with_side(blocks, keys, ("keys", "hot"), parts).mapInPandas(run, SENT)
 
 
-def one_block(block: int, known: list[bytes], ids: np.ndarray, ends: np.ndarray, data: np.ndarray, parts: int) -> list[tuple]:
+def one_block(block: int, known: list[bytes], ids: np.ndarray, ends: np.ndarray, data: np.ndarray, parts: int, hot: Sequence[bytes] = ()) -> list[tuple]:
     start, strings, key = segments(data, ends)
     if not len(start):
         return []
@@ -458,54 +502,116 @@ def one_block(block: int, known: list[bytes], ids: np.ndarray, ends: np.ndarray,
     # equal segments in the block: all but those of the smallest document are decided here
     nbytes = strings + LENGTH - 1
     h = Hashes(data)
-    group = numbered_groups(key, minimizer_places(h, start, nbytes, key))
-    gone = np.flatnonzero(later(*equal_runs(data, start, nbytes, group, h), doc))
+    digest = h.part(start, nbytes)
+    at = np.flatnonzero(repeats(digest))
+    gone = at[later(*equal_runs(data, start[at], nbytes[at], numbered_groups(key[at]), h), doc[at])]
     rows: list[tuple] = []
     if len(gone):
-        rows.append((-1, block, None, None, start[gone].astype("<i4").tobytes(), strings[gone].astype("<i4").tobytes(), None))
+        rows.append((-1, block, None, None, start[gone].astype("<i4").tobytes(), strings[gone].astype("<i4").tobytes(), None, False))
     stay = np.ones(len(start), dtype=bool)
     stay[gone] = False
     left = np.flatnonzero(stay)
-    for p, i in _split((key[left] % np.uint64(parts)).astype(np.int64)):
-        i = left[i]
-        content = gathered(data, start[i], nbytes[i])
-        rows.append((p, block, pack40(key[i]), doc[i].astype("<i8").tobytes(), start[i].astype("<i4").tobytes(), strings[i].astype("u1").tobytes(), content.tobytes()))
+    # a hot minimizer is dealt over several parts, by the bytes of its segments
+    pairs = np.frombuffer(b"".join(hot), dtype="<i8").reshape(-1, 2)
+    pairs = pairs[np.argsort(pairs[:, 0])]
+    names = pairs[:, 0].astype(np.uint64)
+    place = np.minimum(np.searchsorted(names, key[left]), max(0, len(names) - 1))
+    is_hot = names[place] == key[left] if len(names) else np.zeros(len(left), dtype=bool)
+    dealt = key[left].copy()
+    dealt[is_hot] += mixed(digest[left][is_hot]) % pairs[place[is_hot], 1].astype(np.uint64)
+    code = (dealt % np.uint64(parts)).astype(np.int64) * 2 + is_hot
+    order = np.argsort(code, kind="stable")
+    code, i = code[order], left[order]
+    k, d, at, n = pack40(key[i]), doc[i].astype("<i8").tobytes(), start[i].astype("<i4").tobytes(), strings[i].astype("u1").tobytes()
+    content, upto = gathered(data, start[i], nbytes[i]).tobytes(), np.append(0, np.cumsum(nbytes[i])).tolist()
+    for a, b in _edges(code):
+        rows.append((int(code[a] // 2), block, k[5 * a : 5 * b], d[8 * a : 8 * b], at[4 * a : 4 * b], n[a:b], content[upto[a] : upto[b]], bool(code[a] % 2)))
     return rows
 
 
+def _held(frames: Iterator[pd.DataFrame], columns: tuple[str, ...]) -> dict[str, list]:
+    """All values of the columns."""
+    held: dict[str, list] = {c: [] for c in columns}
+    for pdf in frames:
+        for c in columns:
+            held[c] += pdf[c].tolist()
+    return held
+
+
+def _cuts(block: np.ndarray, at: np.ndarray, count: np.ndarray) -> list[tuple[int, bytes]]:
+    """(block, cuts) of runs (start, strings)."""
+    return [(int(block[k[0]]), np.stack([at[k], count[k]], axis=1).astype("<i4").tobytes()) for _, k in _split(block)]
+
+
 def decide(sent: DataFrame, parts: int) -> DataFrame:
-    """(block, cuts): runs (start, strings) of strings to go, from all segments of a part."""
+    """The columns of ``MET``: in ``cuts`` runs (start, strings) of strings to go, from all segments of a
+    part; and, with another ``part`` by their hash, the other strings of hot minimizers."""
+    names = [x.split(" ")[0] for x in MET.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ("keys", "docs", "places", "strings", "data")
-        held: dict[str, list[bytes]] = {c: [] for c in columns}
-        numbers: list[int] = []
-        for pdf in frames:
-            numbers += pdf["block"].tolist()
-            for c in columns:
-                held[c] += pdf[c].tolist()
-        if not numbers:
+        held = _held(frames, ("block", "keys", "docs", "places", "strings", "data", "hot"))
+        if not held["block"]:
             return
-        owner = np.repeat(np.arange(len(numbers)), [len(x) for x in held["strings"]])
+        count = [len(x) for x in held["strings"]]
+        owner, hot = np.repeat(np.array(held["block"], dtype=np.int64), count), np.repeat(np.array(held["hot"], dtype=bool), count)
         take = lambda c, kind: np.frombuffer(b"".join(held.pop(c)), dtype=kind)
         key = unpack40(b"".join(held.pop("keys")))
         doc, place, strings, data = take("docs", "<i8"), take("places", "<i4"), take("strings", "u1"), take("data", np.uint8)
         nbytes = strings.astype(np.int64) + LENGTH - 1
         start = np.cumsum(nbytes) - nbytes
         slices = -(-len(data) // SLICE_BYTES)
-        of_slice = (key // np.uint64(parts) % np.uint64(max(1, slices))).astype(np.int64)
-        for _, i in _split(of_slice):
+        of_slice = (mixed(key) % np.uint64(max(1, slices))).astype(np.int64) * 2 + hot
+        for number, i in _split(of_slice):
             mine = gathered(data, start[i], nbytes[i])
             n = nbytes[i]
-            whole, cells = repeated(mine, np.cumsum(n) - n, strings[i].astype(np.int64), key[i], doc[i])
+            begin, s = np.cumsum(n) - n, strings[i].astype(np.int64)
+            whole, cells = repeated(mine, begin, s, key[i], doc[i])
             w = np.flatnonzero(whole)
             who = np.concatenate([owner[i][w], owner[i][cells[:, 0]]])
             at = np.concatenate([place[i][w], place[i][cells[:, 0]] + cells[:, 1]])
-            count = np.concatenate([strings[i][w], np.ones(len(cells), dtype=np.int64)])
-            out = [(numbers[o], np.stack([at[k], count[k]], axis=1).astype("<i4").tobytes()) for o, k in _split(who)]
-            yield pd.DataFrame(out, columns=["block", "cuts"])
+            many = np.concatenate([s[w], np.ones(len(cells), dtype=np.int64)])
+            yield pd.DataFrame([(*x, None, None, None, None, None) for x in _cuts(who, at, many)], columns=names)
+            if number % 2 == 0:
+                continue
+            # the strings that stay here, each by itself
+            first = np.cumsum(s) - s
+            stay = np.repeat(~whole, s)
+            stay[first[cells[:, 0]] + cells[:, 1]] = False
+            seg = np.repeat(np.arange(len(s)), s)
+            x = np.flatnonzero(stay)
+            string, seg = x - first[seg[x]], seg[x]
+            digest = mixed(Hashes(mine).part(begin[seg] + string, LENGTH))
+            out = []
+            for p, k in _split((digest % np.uint64(parts)).astype(np.int64)):
+                o, t = i[seg[k]], string[k]
+                texts = gathered(mine, begin[seg[k]] + t, np.full(len(k), LENGTH)).tobytes()
+                out.append((None, None, p, owner[o].astype("<i8").tobytes(), doc[o].astype("<i8").tobytes(), (place[o] + t).astype("<i4").tobytes(), texts))
+            yield pd.DataFrame(out, columns=names).astype({"part": "Int32"})
+
+    return sent.mapInPandas(run, MET)
+
+
+def decide_strings(met: DataFrame) -> DataFrame:
+    """(block, cuts): runs of strings to go, from the single strings of a part."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = _held(frames, ("owners", "docs", "places", "data"))
+        if not held["docs"]:
+            return
+        take = lambda c, kind: np.frombuffer(b"".join(held.pop(c)), dtype=kind)
+        owner, doc, place, data = take("owners", "<i8"), take("docs", "<i8"), take("places", "<i4"), take("data", np.uint8)
+        eight = data.reshape(-1, LENGTH)[:, :48].copy().view("<u8")
+        of_slice = np.bitwise_xor.reduce(mixed(eight.ravel()).reshape(eight.shape), axis=1) % np.uint64(-(-len(data) // SLICE_BYTES))
+        for _, i in _split(of_slice.astype(np.int64)):
+            size = np.full(len(i), LENGTH)
+            mine, begin = gathered(data, i * LENGTH, size), np.arange(len(i)) * LENGTH
+            h = Hashes(mine)
+            digest = h.part(begin, LENGTH)
+            at = np.flatnonzero(repeats(digest))
+            goes = i[at[later(*equal_runs(mine, begin[at], size[at], numbered_groups(digest[at]), h), doc[i[at]])]]
+            yield pd.DataFrame(_cuts(owner[goes], place[goes], np.ones(len(goes), dtype=np.int64)), columns=["block", "cuts"])
 
-    return sent.mapInPandas(run, "block long, cuts binary")
+    return met.mapInPandas(run, "block long, cuts binary")
 
 
 def cut_out(blocks: DataFrame, cuts: DataFrame, parts: int, id_type: str) -> DataFrame:
@@ -540,7 +646,7 @@ def cut_out(blocks: DataFrame, cuts: DataFrame, parts: int, id_type: str) -> Dat
                 made["without"] = np.frombuffer(sizes, dtype="<i8") < 0
                 yield made
 
-    made = with_side(blocks, cuts, "cuts", parts).mapInPandas(run, RESULT.format(id="long") + ", without boolean")
+    made = with_side(blocks, cuts, ("cuts",), parts).mapInPandas(run, RESULT.format(id="long") + ", without boolean")
     return made.withColumn("doc_id", F.when(~F.col("without"), F.col("doc_id")).cast(id_type)).drop("without")
 
 
@@ -555,8 +661,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         # Part -1, which a block decided by itself, goes on as it is.
         sent = materialize(send_segments(blocks, keys, parts), "segments")
         own = sent.where("part = -1").select("block", own_cuts("places", "strings").alias("cuts"))
-        met = decide(sent.where("part >= 0").repartition(parts, "part"), parts)
-        cuts = materialize(met.union(own), "cuts")
+        met = materialize(decide(sent.where("part >= 0").repartition(parts, "part"), parts), "met")
+        left = decide_strings(met.where("part is not null").select("part", "owners", "docs", "places", "data").repartition(parts, "part"))
+        cuts = materialize(met.where("part is null").select("block", "cuts").union(own).union(left), "cuts")
         mine.sweep(spark, blocks, cuts)
     return cut_out(blocks, cuts, parts, docs.schema["doc_id"].dataType.simpleString())
 
