@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -51,14 +52,14 @@ class WordEncoder:
 
     That tokenizer normalises, splits a text into words and encodes each by itself.  For plain
     texts (Latin letters below U+0130, no controls, already composed) the normalised words are
-    found here, and each distinct one is encoded once by the tokenizer's own model; any other
+    found here, and each distinct one is encoded once, by the tokenizer's own model; any other
     text goes to the tokenizer as it is, and so does every text where the file names another
     normaliser, split or kind of model.  The ids are the same either way.
     """
 
     ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\u0130-\U0010ffff]|<\\|")
-    #: The tokenizer's own split, over plain texts.
-    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
+    #: The tokenizer's own split, over plain texts; letters come first, as no other kind begins with one.
+    WORDS = re.compile(r"[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+")
 
     # How the word tokenizer's file names its normaliser, its split and what follows
     FORM = {
@@ -95,25 +96,29 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
-        written = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(written)], dtype="<u4").tobytes()
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(written)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def text(self, text: str) -> bytes:
+    def words(self, text: str) -> list[str] | None:
+        """The normalised words of a plain text."""
         if not self.plain or self.ODD.search(text) or not unicodedata.is_normalized("NFC", text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words, known = self.WORDS.findall(text.lower()), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = self.word(w)
-            return b"".join([known[w] for w in words])
+            return None
+        return self.WORDS.findall(text.lower())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE:
             self.known.clear()
-        return [np.frombuffer(self.text(t), dtype="<u4") for t in texts]
+        split = [self.words(t) for t in texts]
+        new = set().union(*[w for w in split if w is not None]).difference(self.known)
+        self.known |= {w: self.word(w) for w in new}
+        out = []
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4"))
+            else:
+                out.append(np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4"))
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
