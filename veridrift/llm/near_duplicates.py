@@ -1,15 +1,20 @@
-"""Groups of near-duplicates by shingle similarity, with bands of MinHash values as the index.
+"""Groups of near-duplicates by shingle similarity: SimHash by byte positions, then bands of MinHash values.
 
-A posting list is keyed by a band: ``ROWS`` of the least values of the distinct word shingles of a
+First the index of ``simhash`` on byte positions, with count filtering, links SimHash fingerprints
+of the sets that differ in at most ``DISTANCE`` of 64 bits, and what it links is verified by the
+similarity of the sets of 64-bit shingle hashes.  It misses none within that distance, but texts
+at the edge of the similarity lie further apart (at 0.8 some 10 of 64 bits differ).  So what these
+links leave apart is sought by a second index, whose posting lists are keyed by a band: ``ROWS`` of the least values of the distinct word shingles of a
 text under as many hash functions.  Texts whose shingle sets have a Jaccard similarity s share a
 given band with a chance of s**ROWS, so at 0.8 none of ``BANDS`` with one of 0.59**24, 3 in a
 million, whatever the lengths; others rarely meet, and unrelated ones never.  In a list, pairs
 whose SimHash fingerprints of 128 bits differ in more than ``FAR`` are passed over (19 of them
 differ on average at 0.8, 24 for the shortest texts, with deviations of 4), and what remains is
-verified by the similarity of the sets of 64-bit shingle hashes.
+verified in the same way.
 
-How it scales.  Equal shingle sets are one entry, with partial minima before the shuffle.  First
-each list, whatever its length, pairs its entries with that of the smallest number, so a large
+How it scales.  Equal shingle sets are one entry, with partial minima before the shuffle.  The first
+index returns a forest for each of its lists.  In the second, first
+each list, whatever its length, pairs its entries with that of the smallest number, where links don't connect them yet, so a large
 group of near copies gives pairs in proportion to its members; this is an equi-join on the key,
 which adaptive execution splits where a list has very many entries.  Then, in the lists whose
 entries verified links don't connect, the pairs between different components follow, each in the
@@ -40,9 +45,12 @@ from pyspark.sql import functions as F
 
 from veridrift.llm.batches import parts, release, with_made
 from veridrift.llm.components import components
+from veridrift.llm.simhash import link_edges
 from veridrift.llm.scratch import materialize, owned
 
 SEED, WORDS = 42, 5
+#: Bits of 64 in which fingerprints that the index on byte positions links may differ.
+DISTANCE = 4
 #: Bands and values in each; bits of 128 in which the fingerprints of a candidate pair may differ.
 BANDS, ROWS, FAR = 24, 4, 48
 #: Bits of the sketches of entries that aren't connected; bits that may differ; entries of a block.
@@ -150,13 +158,21 @@ def lists_of(postings: DataFrame, *more: Column) -> DataFrame:
     return postings.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("size"), *more).where("size > 1")
 
 
+def indexed_pairs(entries: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) that the index on byte positions links: a forest of each of its lists."""
+    prints = materialize(entries.select(F.col("a").alias("fp"), "rep"), "fingerprints")
+    edges = link_edges(prints, prints.count(), DISTANCE)
+    return edges.select(*ordered("u", "v")).distinct()
+
+
 def first_pairs(entries: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (u, v) of the first entry of each list with the others."""
+    """Distinct pairs (u, v) of the first entry of each list with those of another component."""
     postings = entries.select(F.explode("bands").alias("key"), "rep")
     met = postings.join(lists_of(postings).select("key", "first"), "key").where("rep != first").select("first", "rep").distinct()
-    prints = entries.select("rep", "a", "b", "n")
+    prints = entries.select("rep", "a", "b", "n", "component")
     sides = met.join(prints.alias("x"), F.col("first") == F.col("x.rep")).join(prints.alias("y"), met["rep"] == F.col("y.rep"))
-    return sides.where(close("x", "y", similarity)).select(*ordered("x.rep", "y.rep"))
+    apart = F.col("x.component") != F.col("y.component")
+    return sides.where(apart & close("x", "y", similarity)).select(*ordered("x.rep", "y.rep"))
 
 
 def other_links(stored: DataFrame, entries: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -262,15 +278,19 @@ def grouped(stored: DataFrame, size: int, similarity: float) -> tuple[DataFrame,
     """The prints of all rows, and the entries with ``component``, the smallest row of their group."""
     prints = materialize(with_prints(stored, size), "prints")
     entries = entries_of(prints)
-    worded = entries.where("n > 0")
-    pairs = materialize(first_pairs(worded, similarity), "pairs")
-    links = materialize(verified(stored, pairs, size, similarity), "links")
+    links = entries.select(F.col("rep").alias("u"), F.col("rep").alias("v")).limit(0)
 
     def joined(to: DataFrame) -> DataFrame:
         found = to.join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
         return found.withColumn("component", F.coalesce("component", "rep"))
 
-    connected = materialize(joined(entries), "connected")
+    connected = entries.withColumn("component", F.col("rep"))
+    for step in (indexed_pairs, lambda e: first_pairs(e, similarity)):
+        pairs = materialize(step(connected.where("n > 0")), "pairs")
+        more = materialize(verified(stored, pairs, size, similarity), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            connected = materialize(joined(entries), "connected")
     more = materialize(other_links(stored, connected.where("n > 0"), size, similarity), "links")
     if not more.isEmpty():
         links = links.union(more)
