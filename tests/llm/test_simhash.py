@@ -97,3 +97,24 @@ def test_similar_groups_equal_brute_force(spark):
     got = [x["doc_id"] for x in kept.collect()]
     assert sorted(got) == sorted(want) and kept.columns == df.columns
     assert near_duplicates.keep_one(df.limit(0)).count() == 0
+
+
+def test_components_in_one_pass_and_by_rounds(spark):
+    import random
+
+    dice = random.Random(3)
+    pairs = [(dice.randrange(400), dice.randrange(400)) for _ in range(230)] + [(i, i + 1) for i in range(1000, 1100)] + [(7000, 7000)]
+    above = {x: x for p in pairs for x in p}
+    for _ in above:
+        for u, v in pairs:
+            above[u] = above[v] = min(above[u], above[v])
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    for held in (7, 100, 1 << 18):
+        assert {tuple(r) for r in components(edges, held).collect()} == set(above.items())
+
+    def jobs(group: str, **held: int) -> int:
+        spark.sparkContext.setJobGroup(group, group)
+        components(edges, **held).count()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert 2 * jobs("components-once") < jobs("components-rounds", held=7)  # what fits a task takes no rounds
