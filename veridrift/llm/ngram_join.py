@@ -163,7 +163,7 @@ def bucket_counts(made: DataFrame) -> np.ndarray:
 
     added = made.where("part is not null").select("part", "counts").repartition(RANGES, "part").mapInArrow(run, "part int, counts binary")
     out = np.zeros((RANGES, BUCKETS // RANGES), dtype=np.uint8)
-    for row in added.collect():  # RANGES rows, BUCKETS bytes in all
+    for row in materialize(added, "counts").collect():  # RANGES rows, BUCKETS bytes in all
         out[row["part"]] = np.frombuffer(row["counts"], dtype=np.uint8)
     return out.reshape(-1)
 
@@ -173,19 +173,20 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def prefixed(stored: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(row, keys, parts): the n-grams of each set's prefix in order, and the counts of its parts."""
+    """(row, n, keys, parts): the size of each set, the n-grams of its prefix in order, and the counts of its parts."""
     sent = stored.sparkSession.sparkContext.broadcast(counts)  # BUCKETS bytes
 
     def work(texts: list[str | None]) -> list[list]:
-        keys, cut = [], []
+        sizes, keys, cut = [], [], []
         for text in texts:
             h = shingle_set(text, size)
             order = np.lexsort((h, sent.value[bucket(h)]))
             keys.append(h[order[: prefix_length(len(h), percent)]].view(np.int64) if len(h) else np.zeros(0, dtype=np.int64))
             cut.append(parts_of(h))
-        return [keys, cut]
+            sizes.append(len(h))
+        return [sizes, keys, cut]
 
-    return with_made(stored.select("row", "text"), ["row"], "text", "keys array<long>, parts binary", work)
+    return with_made(stored.select("row", "text"), ["row"], "text", "n int, keys array<long>, parts binary", work)
 
 
 def entries_of(made: DataFrame) -> DataFrame:
@@ -195,6 +196,19 @@ def entries_of(made: DataFrame) -> DataFrame:
     return materialize(rows.select(F.col("head.row").alias("rep"), "head", "same", "n"), "entries")
 
 
+def texts_of(stored: DataFrame, entries: DataFrame) -> DataFrame:
+    """The stored rows that are an entry's ``rep``.
+
+    Every task gets a bit for each row (4 KB for 32,768 rows of a partition) and reads its own texts:
+    neither these nor what is made of them is shuffled to find each set's row.
+    """
+    at = F.bitmap_bit_position(F.col("rep") + 1).alias("at")
+    marks = entries.select(F.bitmap_bucket_number(F.col("rep") + 1).alias("bucket"), at).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("marks"))
+    rows = stored.withColumns({"bucket": F.bitmap_bucket_number(F.col("row") + 1), "at": F.bitmap_bit_position(F.col("row") + 1)})
+    byte = "cast(conv(hex(substring(marks, cast(at div 8 as int) + 1, 1)), 16, 10) as int)"
+    return rows.join(F.broadcast(marks), "bucket").where(f"(shiftright({byte}, cast(at % 8 as int)) & 1) = 1").select(*stored.columns)
+
+
 def needed(n: Column, m: Column, percent: int) -> Column:
     """The least intersection of linked sets of these sizes."""
     return F.ceil(percent * (n.cast("long") + m) / (100 + percent))
@@ -339,7 +353,7 @@ def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
         counts = bucket_counts(both)
         mine.sweep(docs.sparkSession, stored, made)
     entries = entries_of(made)
-    index = prefixed(stored, counts, size, percent).join(entries, F.col("row") == F.col("rep")).select("rep", "n", "keys", "parts")
+    index = prefixed(texts_of(stored, entries), counts, size, percent).withColumnRenamed("row", "rep")
     index = materialize(index, "index")
     postings = index.select(F.posexplode("keys").alias("pos", "key"), "rep", "n")
     shared = postings.groupBy("key").count().where("count > 1").select("key")
