@@ -25,9 +25,10 @@ Stages:
 
 How it scales.  Hashes and segments move as packed arrays, split by hash over as many tasks as
 the input needs (``PART_BYTES`` of text for each); a task holds its own part only.  A minimizer of
-more than ``HOT`` segments (of a passage that very many documents share, in contexts of their own)
-is dealt over as many parts, by the bytes of its segments: equal ones meet, each part keeps the
-strings of the smallest document of its runs, and these are dealt by their own hash.  So no task
+more segments than ``hot_limit`` (of a passage that very many documents share, in contexts of their
+own) is dealt over as many parts, by the bytes of its segments: equal ones meet, each part keeps the
+strings of the smallest document of its runs, and these are dealt by their own hash, over as many
+parts as all of them need.  A task takes one part, not several, and text comes to Python by ``BATCH_BYTES``.  So no task
 sorts more than a bounded number of suffixes of one minimizer.  Equal strings have equal hashes, so
 what has a hash of its own is left out of the sorting.  No pairs of documents are ever made.  Shuffle files go when the table of their stage is written, and tables
 when the next stages don't read them.
@@ -40,13 +41,14 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridrift.llm.scratch import materialize, owned
@@ -54,12 +56,17 @@ from veridrift.llm.scratch import materialize, owned
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a block (a longer document is a block), and handled at once in it.
 BLOCK_BYTES, CHUNK = 2 << 20, 1 << 18
+#: Bytes of rows that come to Python at once (a larger row comes alone).
+BATCH_BYTES = 16 << 20
+#: How a table of blocks is written: Spark reads the rows of a row group at once, so these have a few blocks each.
+BLOCK_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4"}
 #: Bytes of text whose hashes or segments one task handles.
 PART_BYTES = 8 << 20
 #: Bytes of segments that are sorted at once; a task takes its part in slices of the hash.
 SLICE_BYTES = 2 << 20
-#: Segments of one minimizer that are sorted in one place.
-HOT = 1 << 13
+#: Segments of one minimizer that are sorted in one place: so many, or one for each ``HOT_SHARE``
+#: bytes of text up to ``MOST_HOT``, as strings of hot minimizers move one by one.
+HOT, MOST_HOT, HOT_SHARE = 1 << 13, 1 << 16, 1 << 17
 #: Parts of bytes that are compared at once.
 COMPARED = 1 << 14
 NO_ID = np.iinfo(np.int64).max
@@ -407,9 +414,21 @@ def _edges(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[:-1], edge[1:], strict=True))
 
 
-def shared_keys(blocks: DataFrame, parts: int) -> DataFrame:
+def hot_limit(total: int) -> int:
+    """Segments of one minimizer that are sorted in one place, for so many bytes of text."""
+    return max(HOT, min(MOST_HOT, total // HOT_SHARE))
+
+
+def string_parts(sent: DataFrame) -> int:
+    """Parts that the strings of all hot segments need, were none of them decided before."""
+    segments_ = sent.where("hot").agg(F.sum(F.length("strings"))).first()[0] or 0
+    return -(-segments_ * (LENGTH - GRAM + 1) * (LENGTH + 20) // PART_BYTES)
+
+
+def shared_keys(blocks: DataFrame, parts: int, limit: int | None = None) -> DataFrame:
     """(block, keys, hot): minimizer hashes of each block that another block has too, and of those with
-    more than ``HOT`` segments in all the number of parts to deal them over."""
+    more than ``limit`` segments in all the number of parts to deal them over."""
+    limit = limit or HOT
 
     def name(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -440,7 +459,7 @@ def shared_keys(blocks: DataFrame, parts: int) -> DataFrame:
         size = np.diff(np.append(first, len(k)))
         found, ways = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
         found[order] = np.repeat(size > 1, size)
-        ways[order] = np.repeat(-(-np.add.reduceat(count[order], first) // HOT), size)
+        ways[order] = np.repeat(-(-np.add.reduceat(count[order], first) // limit), size)
         owner, keys, ways = owner[found], keys[found], ways[found]
         k, at_hot = pack40(keys), np.flatnonzero(ways > 1)
         hot = np.stack([keys[at_hot].astype("<i8"), ways[at_hot]], axis=1).tobytes()
@@ -449,7 +468,7 @@ def shared_keys(blocks: DataFrame, parts: int) -> DataFrame:
         yield pd.DataFrame(rows, columns=["block", "keys", "hot"])
 
     named = blocks.mapInPandas(name, "part int, block long, keys binary, counts binary")
-    return named.repartition(parts, "part").mapInPandas(meet, "block long, keys binary, hot binary")
+    return named.repartitionById(parts, "part").mapInPandas(meet, "block long, keys binary, hot binary")
 
 
 def with_side(blocks: DataFrame, side: DataFrame, columns: tuple[str, ...], parts: int) -> DataFrame:
@@ -545,7 +564,7 @@ def _cuts(block: np.ndarray, at: np.ndarray, count: np.ndarray) -> list[tuple[in
 
 def decide(sent: DataFrame, parts: int) -> DataFrame:
     """The columns of ``MET``: in ``cuts`` runs (start, strings) of strings to go, from all segments of a
-    part; and, with another ``part`` by their hash, the other strings of hot minimizers."""
+    part; and, with one of ``parts`` others by their hash, the other strings of hot minimizers."""
     names = [x.split(" ")[0] for x in MET.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -650,19 +669,32 @@ def cut_out(blocks: DataFrame, cuts: DataFrame, parts: int, id_type: str) -> Dat
     return made.withColumn("doc_id", F.when(~F.col("without"), F.col("doc_id")).cast(id_type)).drop("without")
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows come to Python by ``BATCH_BYTES`` (10,000 blocks of text would be 20 GB), in what is written inside."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Bytes removed and kept of every row of (doc_id, text); the columns of ``RESULT``."""
     spark = docs.sparkSession
-    with owned() as mine:
-        blocks = materialize(make_blocks(docs), "blocks")
+    with owned() as mine, _small_batches(spark):
+        blocks = materialize(make_blocks(docs), "blocks", BLOCK_ROWS)
         total = blocks.agg(F.sum(F.length("data"))).first()[0] or 0
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
-        keys = materialize(shared_keys(blocks, parts), "keys")
+        keys = materialize(shared_keys(blocks, parts, hot_limit(total)), "keys")
         # Part -1, which a block decided by itself, goes on as it is.
         sent = materialize(send_segments(blocks, keys, parts), "segments")
         own = sent.where("part = -1").select("block", own_cuts("places", "strings").alias("cuts"))
-        met = materialize(decide(sent.where("part >= 0").repartition(parts, "part"), parts), "met")
-        left = decide_strings(met.where("part is not null").select("part", "owners", "docs", "places", "data").repartition(parts, "part"))
+        more = max(parts, string_parts(sent))
+        met = materialize(decide(sent.where("part >= 0").repartitionById(parts, "part"), more), "met")
+        left = decide_strings(met.where("part is not null").select("part", "owners", "docs", "places", "data").repartitionById(more, "part"))
         cuts = materialize(met.where("part is null").select("block", "cuts").union(own).union(left), "cuts")
         mine.sweep(spark, blocks, cuts)
     return cut_out(blocks, cuts, parts, docs.schema["doc_id"].dataType.simpleString())

@@ -110,15 +110,15 @@ def _cleaned(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(_CLEANUP, _before[0])
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back with the same schema.
+def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder, with such options, and read it back with the same schema.
 
     The table takes the place of the shuffle files of its query, which Spark removes.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     with _cleaned(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **(options or {})).parquet(path)
     if (owner := _owner.get()) is not None:
         owner.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
